@@ -1,7 +1,7 @@
 """Words and their hashes, for whole Arrow columns at once.
 
 A word is a maximal run of bytes other than space and 09-0D; none of these occurs inside a UTF-8 sequence, so bytes
-are enough. A word's 64-bit hash folds A-Z into a-z. Hashes stand for words and shingles throughout: two different
+are enough. A word's 64-bit hash folds A-Z into a-z (unless asked not to). Hashes stand for words and shingles throughout: two different
 ones agree with a probability of about 2**-64.
 """
 
@@ -28,13 +28,13 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> U(31))
 
 
-def _table() -> np.ndarray:
+def _table(fold: bool) -> np.ndarray:
     low = np.arange(256)
-    low[65:91] += 32
+    low[65:91] += 32 * fold
     return mix((low.astype(U) + U(1)) * U(0xD1B54A32D192ED03))
 
 
-BYTE = _table()
+FOLDED, EXACT = _table(True), _table(False)
 _powers = [np.ones(1, U), np.ones(1, U)]
 
 
@@ -79,12 +79,13 @@ def bounds(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return starts, ends, np.searchsorted(starts, offsets)
 
 
-def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, table: np.ndarray = FOLDED) -> np.ndarray:
+    """A hash of each word; with the table EXACT, capital letters count as other letters."""
     if not len(starts):
         return np.zeros(0, U)
     up, down = powers(len(data))
     total = np.zeros(len(data) + 1, U)
-    np.cumsum(BYTE[data] * up[: len(data)], out=total[1:])
+    np.cumsum(table[data] * up[: len(data)], out=total[1:])
     return mix((total[ends] - total[starts]) * down[starts] + (ends - starts).astype(U))
 
 
@@ -113,7 +114,7 @@ def windows(h: np.ndarray, k: int, picks: list[int] | None = None) -> np.ndarray
     return mix(out + U(k))
 
 
-def slices(batches: Iterator[pa.RecordBatch], column: str = "text", size: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+def slices(batches: Iterator[pa.RecordBatch], column: str = "text", size: int = 1 << 20) -> Iterator[pa.RecordBatch]:
     """The batches in parts of about size bytes of text, so that arrays stay small; a longer text comes alone."""
     for b in batches:
         if not b.num_rows:
