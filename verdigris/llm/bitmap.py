@@ -32,18 +32,17 @@ def build(hashes: DataFrame, bits: int = BITS) -> np.ndarray:
             n = np.unique(np.concatenate(places(b.column(0).to_numpy().view(U), bits))).astype(np.int64)
             yield pa.RecordBatch.from_arrays([pa.array(n >> BLOCK), pa.array(n & ((1 << BLOCK) - 1))], names=["block", "bit"])
 
-    def fill(block, rows):
+    def fill(rows):
         import pyarrow as pa
 
         mask = np.zeros(1 << BLOCK, bool)
-        for b in rows:
-            mask[b.column("bit").to_numpy()] = True
-        yield pa.RecordBatch.from_arrays([pa.array([block[0].as_py()], pa.int64()), pa.array([np.packbits(mask, bitorder="little").tobytes()], pa.binary())], names=["block", "mask"])
+        mask[rows.column("bit").to_numpy()] = True
+        return pa.table({"block": rows.column("block")[:1], "mask": pa.array([np.packbits(mask, bitorder="little").tobytes()], pa.binary())})
 
     bitmap = np.zeros(1 << (bits - 3), np.uint8)
     size = 1 << (BLOCK - 3)
     pairs = hashes.select(F.col(column).alias("h")).where("h is not null").mapInArrow(bit_numbers, "block long, bit long").distinct()
-    for r in pairs.groupBy("block").applyInArrow(fill, "block long, mask binary").toLocalIterator():
+    for r in pairs.groupBy("block").applyInArrow(fill, "block long, mask binary").collect():
         bitmap[r["block"] * size : (r["block"] + 1) * size] = np.frombuffer(r["mask"], np.uint8)
     return bitmap
 

@@ -59,6 +59,12 @@ def class_of(s: np.ndarray) -> int:
     return int(np.int64(mix(mix(s).sum(dtype=U, keepdims=True) + U(len(s))).view(np.int64)[0]))
 
 
+def above(mean: float, n: int) -> float:
+    """A bound for the chance that a Poisson variable exceeds n (Chernoff)."""
+    x = n + 1
+    return 1.0 if x <= mean else math.exp(-mean + x - x * math.log(x / mean)) if mean else 0.0
+
+
 class Plan:
     """Bands, and for each pair of neighbouring bands how its segments are matched."""
 
@@ -86,13 +92,13 @@ class Plan:
         """Numbers of exact segments, of one-deletion segments, and of spare ones among them: the cheapest of a few."""
         if j not in self.kept:
             need, size, best = self.differences(j) + 1, self.low[j], None
-            for spare in range(3):
+            for spare in dict.fromkeys((0, 1, 2, 3, *(max(4, need * x // 32) for x in range(1, 13)))):
                 for exact, deletions in ((need + spare, 0), (0, -(-(need + 2 * spare) // 2))):
                     m = exact + deletions
                     k = size / m
                     chance = lambda x: self.n_sets * SHARED ** max(x, 0)
                     empty = m * math.exp(-k) * (1 + (k if deletions else 0))
-                    more = 1 - sum(math.exp(-empty) * empty**i / math.factorial(i) for i in range(spare + 1))
+                    more = above(empty, spare)
                     cost = exact * (1 + chance(k)) + deletions * (1 + k) * (1 + chance(k - 1)) + max(0.0, more) * self.n_sets
                     if best is None or cost < best[0]:
                         best = (cost, exact, deletions, spare)
