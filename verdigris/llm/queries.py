@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from verdigris.llm import mixing, ngram_join, pii, quality, secrets, shards, store
+from verdigris.llm import decontaminate, mixing, ngram_join, pii, quality, secrets, shards, store
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -35,6 +35,10 @@ def op7_host_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return j.select("row.doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.overlaps(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
 def op9_content_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return store.stored(documents(spark, sf_dir), store.default_tokenizer())
 
@@ -43,7 +47,7 @@ def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.joined(documents(spark, sf_dir))
 
 
-QUERIES = {f.__name__: f for f in (op3_pii, op4_histogram_sort, op5_secrets, op6_mixing, op7_host_rules, op9_content_store, op10_ngram_join)}
+QUERIES = {f.__name__: f for f in (op3_pii, op4_histogram_sort, op5_secrets, op6_mixing, op7_host_rules, op8_decontamination, op9_content_store, op10_ngram_join)}
 
 OP7_MEASURES = r"""
 t as (select row_number() over () as r, doc_id, source, coalesce(text, '') as text from documents),
