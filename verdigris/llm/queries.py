@@ -5,13 +5,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from verdigris.llm import decontaminate, mixing, ngram_join, pii, quality, secrets, shards, store
+from verdigris.llm import decontaminate, lm, mixing, ngram_join, pii, quality, secrets, shards, store
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def op2_kneser_ney(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.trained_and_scored(documents(spark, sf_dir))
+
+
 def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.scan(documents(spark, sf_dir))
 
@@ -47,7 +51,7 @@ def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.joined(documents(spark, sf_dir))
 
 
-QUERIES = {f.__name__: f for f in (op3_pii, op4_histogram_sort, op5_secrets, op6_mixing, op7_host_rules, op8_decontamination, op9_content_store, op10_ngram_join)}
+QUERIES = {f.__name__: f for f in (op2_kneser_ney, op3_pii, op4_histogram_sort, op5_secrets, op6_mixing, op7_host_rules, op8_decontamination, op9_content_store, op10_ngram_join)}
 
 OP7_MEASURES = r"""
 t as (select row_number() over () as r, doc_id, source, coalesce(text, '') as text from documents),
