@@ -5,13 +5,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from verdigris.llm import decontaminate, lm, mixing, ngram_join, pii, quality, secrets, shards, store
+from verdigris.llm import decontaminate, lm, mixing, ngram_join, pii, quality, secrets, shards, store, toolcalls
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def op1_tool_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toolcalls.linked(*toolcalls.exchanges(spark.read.parquet(f"{sf_dir}/conversations.parquet")), toolcalls.ANSWER)
+
+
 def op2_kneser_ney(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm.trained_and_scored(documents(spark, sf_dir))
 
@@ -51,7 +55,7 @@ def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.joined(documents(spark, sf_dir))
 
 
-QUERIES = {f.__name__: f for f in (op2_kneser_ney, op3_pii, op4_histogram_sort, op5_secrets, op6_mixing, op7_host_rules, op8_decontamination, op9_content_store, op10_ngram_join)}
+QUERIES = {f.__name__: f for f in (op1_tool_calls, op2_kneser_ney, op3_pii, op4_histogram_sort, op5_secrets, op6_mixing, op7_host_rules, op8_decontamination, op9_content_store, op10_ngram_join)}
 
 OP7_MEASURES = r"""
 t as (select row_number() over () as r, doc_id, source, coalesce(text, '') as text from documents),
@@ -84,9 +88,16 @@ select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
 from f join v on f.source is not distinct from v.source"""
 
 
-OP6_SQL = r"""with recursive
-d as (select row_number() over () as r, doc_id, source, cast(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) as bigint) as size from documents),
-s as (select source, sum(size) as size, row_number() over (order by source is null, source) - 1 as i from d group by source),
+OP1_SQL = r"""
+with c as (select conv_id, turn, concat(conv_id, ':', turn) as call_id, text, len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')) as words from conversations where role = 'user'),
+r as (select conv_id, concat(conv_id, ':', turn - 1) as call_id, min(turn) as turn, arg_min(text, (turn, text)) as content, count(*) as n from conversations where role = 'assistant' group by 1, 2)
+select coalesce(c.conv_id, r.conv_id) as conv_id, c.turn, coalesce(c.call_id, r.call_id) as call_id, case when c.call_id is not null then 'answer' end as name,
+  case when c.call_id is null then 'orphan' when r.call_id is null then 'unanswered' else 'linked' end as status, r.turn as result_turn, coalesce(r.n, 0) as n_results,
+  c.turn as order_turn, case when c.call_id is not null then cast(0 as integer) end as order_step, case when c.call_id is not null then false end as cyclic,
+  case when c.call_id is null then null when length(text) > 1500 then '$.text: length' when words < 1 then '$.words: range' end as fault,
+  concat('{"arguments":', case when c.call_id is null then 'null' else concat('{"text":', to_json(text), ',"words":', words, '}') end, ',"id":"', coalesce(c.call_id, r.call_id), '","name":', case when c.call_id is null then 'null' else '"answer"' end,
+    ',"result":', case when r.call_id is null then 'null' else concat('{"content":', to_json(content), ',"turn":', r.turn, '}') end, '}') as json
+from c full join r on c.conv_id = r.conv_id and c.call_id = r.call_id
 """
 
-ORACLE_SQL = {"op7_host_rules": _op7_sql()}
+ORACLE_SQL = {"op1_tool_calls": OP1_SQL, "op7_host_rules": _op7_sql()}
