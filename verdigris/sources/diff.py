@@ -38,7 +38,7 @@ def touched_lines(hunks: DataFrame) -> DataFrame:
 
 def read(spark: SparkSession, path: str) -> DataFrame:
     """The hunks of captured diff files, one document a file."""
-    return hunks(spark.read.option("wholetext", True).text(path).select(F.input_file_name().alias("doc_id"), F.col("value").alias("text")))
+    return hunks(spark.read.text(path, wholetext=True).select(F.input_file_name().alias("doc_id"), F.col("value").alias("text")))
 
 
 def changed_files(tracked: DataFrame, untracked: DataFrame | None = None) -> DataFrame:

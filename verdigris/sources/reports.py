@@ -39,7 +39,7 @@ def outcomes(reports: DataFrame, text: str = "text") -> DataFrame:
 
 
 def read_outcomes(spark: SparkSession, path: str) -> DataFrame:
-    return outcomes(spark.read.option("wholetext", True).text(path).withColumnRenamed("value", "text"))
+    return outcomes(spark.read.text(path, wholetext=True).withColumnRenamed("value", "text"))
 
 
 def covered_lines(exports: DataFrame, keys: list[str], text: str = "text", lenient: bool = False) -> DataFrame:
@@ -90,7 +90,7 @@ def runs(texts: DataFrame, text: str = "text") -> DataFrame:
 
 
 def read_runs(spark: SparkSession, path: str) -> DataFrame:
-    return runs(spark.read.option("wholetext", True).text(path).withColumnRenamed("value", "text"))
+    return runs(spark.read.text(path, wholetext=True).withColumnRenamed("value", "text"))
 
 
 def metadata(texts: DataFrame, text: str = "text") -> tuple[DataFrame, DataFrame]:

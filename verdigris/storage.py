@@ -64,4 +64,4 @@ def put_text(spark: SparkSession, path: str, text: str) -> None:
 
 
 def get_text(spark: SparkSession, path: str) -> str:
-    return spark.read.option("wholetext", True).text(path).first()[0]
+    return spark.read.text(path, wholetext=True).first()[0]
