@@ -1,0 +1,72 @@
+import hashlib
+import random
+import re
+
+import pytest
+
+from verdigris.llm import pii, secrets
+
+PII = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
+SECRETS = {"assign": r"((?i:password|passwd|secret|token|api_?key))[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)", "access": r"AKIA[A-Z0-9]+", "hex": r"[0-9a-f]+"}
+
+
+def _luhn(digits):
+    return sum(int(c) if i % 2 == 0 else sum(map(int, str(2 * int(c)))) for i, c in enumerate(reversed(digits))) % 10 == 0
+
+
+def brute_pii(t):
+    out = []
+    for kind, pattern in PII.items():
+        for m in re.finditer(pattern, t):
+            d = re.sub("[^0-9]", "", m[0])
+            ok = {"email": lambda m, d: True, "ip": lambda m, d: all(int(x) <= 255 for x in m[0].split(".")), "card": lambda m, d: 14 <= len(d) <= 19 and _luhn(d), "phone": lambda m, d: 10 <= len(d) <= 15}[kind](m, d)
+            out += [(kind, *m.span())] * ok
+    return sorted(out)
+
+
+def brute_secrets(t):
+    least = {"assign": lambda m: len(m[2]) >= 8, "access": lambda m: len(m[0]) >= 16, "hex": lambda m: len(m[0]) >= 32}
+    return sorted((k, *m.span()) for k, p in SECRETS.items() for m in re.finditer(p, t, re.A) if least[k](m))
+
+
+PIECES = {
+    "pii": ["a@b.co", "@", "1.2.3.4", "256.1", "4111 1111 1111 1111", "4111-1111", "+1 (523) 555-1055", ".", "-", " ", "+", "0", "x", "(", ")", "é", "1", "..", "%"],
+    "secrets": ["token", "ToKen", "api_key", "apikey", "PASSWORD", '"', "'", " ", "=", ":", "abcdefgh", "secret", "AKIA", "AKIAABCDEFGH1234", "0123456789abcdef", "b", ".", "-", "é", "\n", "_"],
+}
+
+
+@pytest.mark.parametrize(("module", "brute", "pieces"), [(pii, brute_pii, "pii"), (secrets, brute_secrets, "secrets")])
+def test_base_spans_equal_the_patterns(module, brute, pieces):
+    r = random.Random(11)
+    for _ in range(8000):
+        t = "".join(r.choice(PIECES[pieces]) for _ in range(r.randrange(14)))
+        assert sorted(s for s in module.find(t) if s[0] in module.BASE) == brute(t), t
+
+
+@pytest.mark.parametrize(("module", "brute"), [(pii, brute_pii), (secrets, brute_secrets)])
+def test_scan_of_a_table(spark, docs, empty, module, brute):
+    hot = spark.createDataFrame([(1, 'mail a.b@c.example.org, card 4111 1111 1111 1111 token = "abcdefgh1" ' * 3), (1, "é 10.0.0.1 +1 (523) 555-1055"), (None, None)], "doc_id long, text string")
+    for d in (docs.select("doc_id", "text", "spans" if "spans" in docs.columns else "row"), hot):
+        got = sorted((tuple(r) for r in module.scan(d).collect()), key=repr)
+        want = []
+        for r in d.select("doc_id", "text").collect():
+            spans = sorted(brute(r["text"] or ""), key=lambda s: (s[1], module.KINDS.index(s[0]), s[2]))
+            want.append((r["doc_id"], *(sum(s[0] == k for s in spans) for k in module.BASE), hashlib.sha256(",".join(f"{k}:{a}:{b}" for k, a, b in spans).encode()).hexdigest()))
+        assert [g[:-1] for g in got] == sorted(want, key=repr)
+        assert all(set(s.split(":")[0] for s in g[-1].split(",") if s) <= set(module.KINDS) for g in got)
+    assert module.scan(empty).count() == 0
+
+
+def test_more_kinds():
+    cut = lambda t, m, kind: [t[a:b] for k, a, b in m.find(t) if k == kind]
+    assert cut("see https://a.example/x?y=1). And mailto:q@r.st", pii, "url") == ["https://a.example/x?y=1", "mailto:q@r.st"]
+    assert cut("Account no. 12345678 and IBAN: DE89 3704 0044 0532 0130 00, accounts 12", pii, "account") == ["12345678", "DE89 3704 0044 0532 0130 00"]
+    t = 'k1 = "zX9kq27LmPw4"\ndb.password: k1\ncolour = "redredred1"\nauth_token => other'
+    assert cut(t, secrets, "literal") == ["zX9kq27LmPw4"]
+    assert secrets.find('password = "short"') == [] and not secrets.score("colour", "zX9kq27LmPw4")
+
+
+def test_long_runs_take_linear_time():
+    for t in ("1" * 200_000, "1 " * 100_000, "+1" * 100_000, "a" * 200_000 + "@", "@" * 200_000, "1." * 100_000, "=" * 200_000, "token=" * 40_000, " " * 100_000 + "=" + " " * 100_000, "+1 " + "(" * 200_000):
+        pii.find(t)
+        secrets.find(t)

@@ -102,10 +102,17 @@ def _range_of(h: np.ndarray, ranges: int) -> np.ndarray:
     return ((h >> U(32)) * U(ranges) >> U(32)).astype(np.int64)
 
 
+def _stretches(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where stretches of one value begin and end."""
+    if not len(values):
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    at = np.flatnonzero(np.concatenate([[True], values[1:] != values[:-1]]))
+    return at, np.append(at[1:], len(values))
+
+
 def _sent(ranges: np.ndarray, keys: np.ndarray, counts: np.ndarray) -> pa.RecordBatch:
     """One row for each range; keys are sorted by range first."""
-    at = np.flatnonzero(np.concatenate([[True], ranges[1:] != ranges[:-1]])) if len(keys) else np.zeros(0, np.int64)
-    ends = np.append(at[1:], len(keys))
+    at, ends = _stretches(ranges)
     return pa.RecordBatch.from_arrays([pa.array(ranges[at].astype(np.int32)), pa.array([packed(keys[a:z], counts[a:z]) for a, z in zip(at, ends, strict=True)], pa.binary())], names=["r", "body"])
 
 
@@ -151,8 +158,8 @@ class Model:
 
     def _each(self, ranges: np.ndarray) -> Iterator[tuple[int, slice]]:
         """Runs of one range in a sorted array of ranges."""
-        at = np.flatnonzero(np.concatenate([[True], ranges[1:] != ranges[:-1]])) if len(ranges) else np.zeros(0, np.int64)
-        for a, z in zip(at.tolist(), np.append(at[1:], len(ranges)).tolist(), strict=True):
+        at, ends = _stretches(ranges)
+        for a, z in zip(at.tolist(), ends.tolist(), strict=True):
             yield int(ranges[a]), slice(a, z)
 
     def ids(self, h: np.ndarray) -> np.ndarray:
@@ -334,7 +341,7 @@ def score(docs: DataFrame, model: Model, text: str = "text", doc_id: str = "doc_
             w, v, first = _words(b, m)
             u, _ = summed(w)
             count, cont = m.values("count", u), m.values("cont", u)
-            low = (np.maximum(cont - _d(cont, x["d1"]), 0) / x["pairs"] if x["pairs"] else 0) + x["left"] / (x["types"] + 1)
+            low = np.maximum(cont - _d(cont, x["d1"]), 0) / max(x["pairs"], 1) + x["left"] / (x["types"] + 1)
             at = np.searchsorted(u, w)
             pair, _ = summed((np.maximum(v + 1, 0).astype(U) << U(32)) | (w + 1).astype(U))
             pv, pw = (pair >> U(32)).astype(np.int64) - 1, (pair & U(0xFFFFFFFF)).astype(np.int64) - 1

@@ -282,7 +282,11 @@ def joined(docs: DataFrame, text: str = "text", k: int = 3, num: int = 90, den:
 
 def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group at a similarity of 0.8 on five words: the one with the smallest doc_id; documents
-    without words all stay, and rows that repeat a doc_id stay once where they belong to one group."""
+    without words all stay. Of rows that agree in doc_id and text one stays; rows that share only a doc_id share its fate."""
     j = joined(docs, k=5, num=80)
-    out = docs.join(j.where("n_shingles = 0 or doc_id = component_id or doc_id is null").select("doc_id").distinct().withColumnRenamed("doc_id", "kept_id"), F.col("doc_id").eqNullSafe(F.col("kept_id"))).drop("kept_id")
-    return out
+    of = j.groupBy("doc_id").agg(F.bool_or((F.col("n_shingles") == 0) | F.col("doc_id").eqNullSafe(F.col("component_id"))).alias("stays"), F.count(F.lit(1)).alias("n"))
+    of = written(of.where("stays").select(F.col("doc_id").alias("kept_id"), "n"), work_dir(spark, "kept"))
+    same = F.col("doc_id").eqNullSafe(F.col("kept_id"))
+    once = docs.join(of.where("n = 1"), same, "left_semi")
+    again = of.where("n > 1")
+    return once if again.isEmpty() else once.union(docs.join(again, same, "left_semi").dropDuplicates(["doc_id", "text"]))

@@ -7,8 +7,8 @@ later turn is placed after it, with that call's turn and the next step. Only suc
 
 Defined cases: null ids join nothing (a call with a null id is unanswered, a result with one is an orphan); of calls with
 one id the first by (turn, arguments) counts, the others have status `repeated`; orphans are results whose id no call
-has; dependencies on unknown ids are ignored; a chain of over MAX_STEPS backward dependencies, as in a cycle, is marked
-`cyclic` and keeps its turn; arguments that are not JSON, or no object, are invalid; empty tables give empty results;
+has; dependencies on unknown ids are ignored; a chain of MAX_STEPS / 2 or more backward dependencies, as in a cycle,
+is marked `cyclic` and keeps its turn; arguments that are not JSON, or no object, are invalid; empty tables give empty results;
 other columns are ignored.
 """
 
@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from verdigris.llm.shared import work_dir, written
 
-MAX_STEPS = 1000
+MAX_STEPS = 64
 _KINDS = {"string": str, "boolean": bool, "object": dict, "array": list, "null": type(None)}
 
 
@@ -95,13 +95,13 @@ def calls_in(messages: DataFrame) -> tuple[DataFrame, DataFrame]:
     return calls, got.select("conv_id", "turn", F.col("r.tool_call_id").alias("call_id"), F.col("r.content").alias("content"))
 
 
-def ordered(calls: DataFrame) -> DataFrame:
+def ordered(calls: DataFrame, max_steps: int = MAX_STEPS) -> DataFrame:
     """conv_id, call_id, order_turn, order_step, cyclic of first calls (conv_id, turn, call_id, after)."""
     spark = calls.sparkSession
     ranks = written(calls.select("conv_id", "call_id", F.col("turn").alias("order_turn"), F.lit(0).alias("order_step")), work_dir(spark, "ranks"))
     edges = calls.select("conv_id", "call_id", F.explode("after").alias("on")).where("`on` <> call_id").distinct()
     edges = written(edges, work_dir(spark, "edges"))
-    for _ in range(MAX_STEPS):
+    for _ in range(max_steps):
         put = edges.join(ranks.select("conv_id", F.col("call_id").alias("on"), "order_turn", "order_step"), ["conv_id", "on"])
         put = put.groupBy("conv_id", "call_id").agg(F.max(F.struct("order_turn", F.expr("order_step + 1").alias("order_step"))).alias("least"))
         put = put.join(ranks, ["conv_id", "call_id"]).where(F.col("least") > F.struct("order_turn", "order_step")).select("conv_id", "call_id", "least")
@@ -111,12 +111,12 @@ def ordered(calls: DataFrame) -> DataFrame:
         ranks = ranks.join(put, ["conv_id", "call_id"], "left")
         ranks = ranks.select("conv_id", "call_id", *(F.coalesce(f"least.{c}", c).alias(c) for c in ("order_turn", "order_step")))
         ranks = written(ranks, work_dir(spark, "ranks"))
-    late = F.col("order_step") >= MAX_STEPS // 2
+    late = F.col("order_step") >= max_steps // 2
     own = calls.select("conv_id", "call_id", "turn")
     return ranks.join(own, ["conv_id", "call_id"]).select("conv_id", "call_id", F.when(late, F.col("turn")).otherwise(F.col("order_turn")).alias("order_turn"), F.when(late, 0).otherwise(F.col("order_step")).alias("order_step"), late.alias("cyclic"))
 
 
-def linked(calls: DataFrame, results: DataFrame, schemas: dict[str, dict]) -> DataFrame:
+def linked(calls: DataFrame, results: DataFrame, schemas: dict[str, dict], max_steps: int = MAX_STEPS) -> DataFrame:
     """Calls (conv_id, turn, call_id, name, arguments as JSON text, after) and results (conv_id, turn, call_id, content):
     conv_id, turn, call_id, name, status (linked, early, unanswered, repeated, orphan), result_turn, n_results,
     order_turn, order_step, cyclic, fault (null if valid), json. `early`: the result stands before its call."""
@@ -127,7 +127,7 @@ def linked(calls: DataFrame, results: DataFrame, schemas: dict[str, dict]) -> Da
     first = written(named.groupBy("conv_id", "call_id").agg(F.min(key).alias("c"), F.count(F.lit(1)).alias("n")).select("conv_id", "call_id", "c.*", "n"), work_dir(spark, "calls"))
     got = results.where("conv_id is not null and call_id is not null").groupBy(F.col("conv_id").cast("bigint").alias("conv_id"), "call_id")
     got = got.agg(F.min(F.struct(F.col("turn").cast("bigint").alias("turn"), "content")).alias("r"), F.count(F.lit(1)).alias("n_results"))
-    both = first.join(got, ["conv_id", "call_id"], "full").join(ordered(first.select("conv_id", "call_id", "turn", "after")), ["conv_id", "call_id"], "left")
+    both = first.join(got, ["conv_id", "call_id"], "full").join(ordered(first.select("conv_id", "call_id", "turn", "after"), max_steps), ["conv_id", "call_id"], "left")
     status = F.when(F.col("n").isNull(), "orphan").when(F.col("n_results").isNull(), "unanswered").when(F.col("r.turn") < F.col("turn"), "early").otherwise("linked")
     shape = ("conv_id", "turn", "call_id", "name", "arguments", "status", F.col("r.turn").alias("result_turn"), F.col("r.content").alias("content"), F.coalesce("n_results", F.lit(0)).cast("bigint").alias("n_results"), "order_turn", "order_step", "cyclic")
     rows = both.withColumn("status", status).select(*shape)
