@@ -100,4 +100,16 @@ select coalesce(c.conv_id, r.conv_id) as conv_id, c.turn, coalesce(c.call_id, r.
 from c full join r on c.conv_id = r.conv_id and c.call_id = r.call_id
 """
 
-ORACLE_SQL = {"op1_tool_calls": OP1_SQL, "op7_host_rules": _op7_sql()}
+OP10_SQL = r"""
+with recursive w as (select doc_id, regexp_extract_all(lower_ascii, '[^\x20\x09-\x0D]+') as w from (select doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as lower_ascii from documents)),
+s as (select distinct doc_id, md5(concat_ws(' ', w[i], w[i + 1], w[i + 2])) as s from (select doc_id, w, unnest(range(1, len(w) - 1)) as i from w where len(w) >= 3)
+  union select doc_id, md5(array_to_string(w, ' ')) from w where len(w) between 1 and 2),
+n as (select doc_id, count(*) as n from s group by doc_id),
+p as (select a.doc_id as a, b.doc_id as b, count(*) as both_have from s a join s b on a.s = b.s and a.doc_id < b.doc_id group by 1, 2),
+l as (select a, b from p join n x on x.doc_id = a join n y on y.doc_id = b where 100 * both_have >= 90 * (x.n + y.n - both_have)),
+e as (select a, b from l union select b, a from l),
+c as (select doc_id, doc_id as node from n union select c.doc_id, e.b from c join e on e.a = c.node)
+select w.doc_id, coalesce(n.n, 0) as n_shingles, coalesce(m.low, w.doc_id) as component_id from w left join n using (doc_id) left join (select doc_id, min(node) as low from c group by doc_id) m using (doc_id)
+"""
+
+ORACLE_SQL = {"op1_tool_calls": OP1_SQL, "op10_ngram_join": OP10_SQL, "op7_host_rules": _op7_sql()}
