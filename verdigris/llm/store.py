@@ -7,8 +7,8 @@ doc_id, start, n_tokens, digests, lens, root), in ascending doc_id order, parts
 tokens, root), and over all parts one root. A document's root is the Merkle root of its chunks' digests, a part's that
 of its documents' roots. Readers recompute digests and roots and raise where files disagree.
 
-Texts are cut at ASCII white space before encoding, and each different word of a task is encoded once. For tokenizers
-whose tokens never hold white space (word_bpe_49k) that gives exactly the ids of the whole text.
+For tokenizers like word_bpe_49k, whose tokens hold no white space and never join letters with signs, texts are cut into
+pieces first and each different piece is encoded once; that gives exactly the ids of the whole text.
 
 Defined cases: a null or empty text is the end id alone; a null doc_id sorts first; rows with one doc_id are ordered by
 root, and equal rows stay apart; an empty table gives an empty store; other columns are ignored.
@@ -17,7 +17,10 @@ root, and equal rows stay apart; an empty table gives an empty store; other colu
 from __future__ import annotations
 
 import hashlib
+import json
+import re
 from collections.abc import Iterator
+from itertools import chain
 from zlib import crc32
 
 import numpy as np
@@ -30,30 +33,72 @@ from verdigris.llm.text import EXACT, U, bounds, flat, mix, slices, word_hashes
 
 END = 1
 LEAST, MASK_BITS, MOST, ROLL = 64, 8, 2048, 16
-#: Words whose ids, and chunks whose digests, a task remembers; beyond, it starts anew and only repeats some work.
-WORDS, SEEN = 1_000_000, 500_000
+#: Pieces whose ids a worker remembers, and chunks whose digests a task does; beyond, they start anew and only repeat work.
+WORDS, SEEN = 1_500_000, 500_000
+
+
+#: What a piece of text is made of: 1 ASCII letters and digits, 2 ASCII signs that are in no contraction or special token.
+_KIND = np.zeros(256, np.uint8)
+_KIND[[c for c in range(128) if chr(c).isalnum()]] = 1
+_KIND[[c for c in range(33, 127) if not chr(c).isalnum() and chr(c) not in "'<|>"]] = 2
+# The normalizers and the pattern of tokenizers that are known to treat pieces alone.
+_NORMALIZERS = ["NFC", "Replace", "Lowercase"]
+_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+_latin = re.compile("[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+")
+
+
+def _byte_letters() -> dict[int, int]:
+    """The character that byte-level models use for each byte: itself where it prints, others from 256 on."""
+    prints = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = [b for b in range(256) if b not in set(prints)]
+    return {b: 256 + i for i, b in enumerate(rest)}
 
 
 class Encoder:
-    """ids of whole texts, through the ids of their different words."""
+    """ids of whole texts. Tokenizers that treat the pieces of a text alone (see _by_pieces) encode each different piece
+    once and keep its ids; all others encode text by text."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.model = self.tokenizer.model
         self.width = 2 if self.tokenizer.get_vocab_size() <= 1 << 16 else 4
+        self.by_pieces = self._by_pieces()
+        self.letters = _byte_letters()
         self._clear()
 
+    def _by_pieces(self) -> bool:
+        """White space is dropped, letters are lowered, and the pattern never joins a letter or digit with a sign, nor
+        looks past the piece; so a text may be cut at white space and between ASCII letters or digits and safe signs."""
+        j = json.loads(self.tokenizer.to_str())
+        steps = (j.get("normalizer") or {}).get("normalizers") or []
+        cut = (j.get("pre_tokenizer") or {}).get("pretokenizers") or [{}]
+        kept = all(not t[k] for t in j.get("added_tokens") or [] for k in ("lstrip", "rstrip", "normalized", "single_word"))
+        return kept and [x["type"] for x in steps] == _NORMALIZERS and cut[0].get("pattern") == {"Regex": _PATTERN} and cut[-1]["type"] == "ByteLevel" and not cut[-1]["add_prefix_space"]
+
     def _clear(self) -> None:
         self.known, self.at, self.size = np.zeros(0, U), np.zeros(0, np.int64), np.zeros(0, np.int64)
         self.pool, self.used = np.zeros(1 << 16, np.uint32), 0
 
-    def _learn(self, hashes: np.ndarray, words: list[str]) -> None:
-        if len(self.known) > WORDS:
-            self._clear()
-        ids = [e.ids for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
+    def _ids(self, pieces: list[str]) -> list[list[int]]:
+        """A piece of Latin letters is one token sequence of the model; other pieces take the tokenizer's whole way."""
+        out: list = [None] * len(pieces)
+        hard = []
+        for i, p in enumerate(pieces):
+            if _latin.fullmatch(p):
+                low = p.lower()
+                out[i] = [t.id for t in self.model.tokenize(low if low.isascii() else low.encode().decode("latin-1").translate(self.letters))]
+            else:
+                hard.append(i)
+        for i, e in zip(hard, self.tokenizer.encode_batch_fast([pieces[i] for i in hard], add_special_tokens=False), strict=True):
+            out[i] = e.ids
+        return out
+
+    def _learn(self, hashes: np.ndarray, pieces: list[str]) -> None:
+        ids = self._ids(pieces)
         size = np.fromiter(map(len, ids), np.int64, len(ids))
-        new = np.fromiter((x for i in ids for x in i), np.uint32, int(size.sum()))
+        new = np.fromiter(chain.from_iterable(ids), np.uint32, int(size.sum()))
         while self.used + len(new) > len(self.pool):
             self.pool = np.concatenate([self.pool, np.zeros_like(self.pool)])
         self.pool[self.used : self.used + len(new)] = new
@@ -62,25 +107,41 @@ class Encoder:
         to = np.searchsorted(self.known, hashes)
         self.known, self.at, self.size = np.insert(self.known, to, hashes), np.insert(self.at, to, at), np.insert(self.size, to, size)
 
+    def _find(self, u: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Where the sorted hashes stand among the known ones, and which are unknown."""
+        where = np.searchsorted(self.known, u)
+        hit = np.zeros(len(u), bool)
+        inside = where < len(self.known)
+        hit[inside] = self.known[where[inside]] == u[inside]
+        return where, np.flatnonzero(~hit)
+
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids with the end ids, and where each text's begin (one more at the end)."""
+        if not self.by_pieces:
+            own = [e.ids for e in self.tokenizer.encode_batch_fast([t or "" for t in texts.to_pylist()], add_special_tokens=False)]
+            stops = np.concatenate([[0], np.cumsum([len(x) + 1 for x in own])]).astype(np.int64)
+            return np.fromiter((i for x in own for i in (*x, END)), np.uint32, int(stops[-1])), stops
         data, offsets = flat(texts)
-        starts, ends, first = bounds(data, offsets)
-        h = word_hashes(data, starts, ends, EXACT)
+        starts, ends, first = bounds(data, offsets, _KIND)
+        h = word_hashes(data, starts, ends)
+        odd = data == 60  # special tokens hold a < and are told from their capitals
+        if odd.any():
+            n = np.concatenate([[0], np.cumsum(odd)])
+            rows = np.flatnonzero(n[ends] > n[starts])
+            h[rows] = mix(word_hashes(data, starts[rows], ends[rows], EXACT) + U(END))
         u = np.sort(h)
         u = u[np.concatenate([[True], u[1:] != u[:-1]])] if len(u) else u
         at = np.searchsorted(u, h)
-        where = np.searchsorted(self.known, u)
-        new = np.flatnonzero(where == len(self.known)) if not len(self.known) else np.flatnonzero(self.known[np.minimum(where, len(self.known) - 1)] != u)
+        where, new = self._find(u)
         if len(new):
-            if len(self.known) > WORDS:
+            if len(self.known) + len(new) > WORDS:
                 self._clear()
-                new = np.arange(len(u))
+                where, new = self._find(u)
             one = np.zeros(len(u), np.int64)
             one[at] = np.arange(len(h))
             raw = data.tobytes()
             self._learn(u[new], [raw[starts[i] : ends[i]].decode() for i in one[new]])
-            where = np.searchsorted(self.known, u)
+            where, _ = self._find(u)
         k = where[at]
         size = self.size[k]
         to = np.zeros(len(h) + 1, np.int64)
@@ -90,6 +151,16 @@ class Encoder:
         return np.insert(ids, stops[1:], np.uint32(END)), stops + np.arange(len(stops))
 
 
+_encoders: dict[str, Encoder] = {}
+
+
+def encoder(path: str) -> Encoder:
+    """One a worker process: its pieces serve all the tasks that run there."""
+    if path not in _encoders:
+        _encoders[path] = Encoder(path)
+    return _encoders[path]
+
+
 def cuts(ids: np.ndarray, offsets: np.ndarray) -> list[np.ndarray]:
     """For each document the ends of its chunks. A place ends a chunk if the rolling hash of the last ROLL ids has
     MASK_BITS zeros on top; chunks shorter than LEAST go on, longer than MOST end. Only the document's own ids count:
@@ -152,15 +223,15 @@ _STAGED = "doc_id long, n_tokens long, digests array<binary>, lens array<int>, r
 
 def _encoded(docs: DataFrame, tokenizer: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, seen = Encoder(tokenizer), set()
-        kind = np.dtype("<u2") if encoder.width == 2 else np.dtype("<u4")
+        own, seen = encoder(tokenizer), set()
+        kind = np.dtype("<u2") if own.width == 2 else np.dtype("<u4")
         for b in slices(batches):
-            ids, offsets = encoder.encode(b.column("text"))
+            ids, offsets = own.encode(b.column("text"))
             raw, rows = ids.astype(kind).tobytes(), []
             for a, ends in zip(offsets[:-1].tolist(), cuts(ids, offsets), strict=True):
                 ends, names, bodies = ends.tolist(), [], []
                 for x, y in zip([a, *ends[:-1]], ends, strict=True):
-                    body = raw[x * encoder.width : y * encoder.width]
+                    body = raw[x * own.width : y * own.width]
                     names.append(d := digest(body))
                     bodies.append(None if d in seen else body)
                     seen.add(d)

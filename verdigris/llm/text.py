@@ -63,14 +63,20 @@ def flat(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data, offsets - offsets[0]
 
 
-def bounds(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Byte positions where words begin and end, and for each text the number of its first word (one more at the end)."""
+def bounds(data: np.ndarray, offsets: np.ndarray, kinds: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Byte positions where words begin and end, and for each text the number of its first word (one more at the end).
+    kinds, by byte: words also end between bytes of kinds 1 and 2."""
     if not len(data):
         return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(len(offsets), np.int64)
     space = SPACE[data]
     begin, end = np.empty(len(data), bool), np.empty(len(data), bool)
     begin[0] = end[-1] = True
     begin[1:], end[:-1] = space[:-1], space[1:]
+    if kinds is not None:
+        k = kinds[data]
+        cut = (k[1:] ^ k[:-1]) == 3
+        begin[1:] |= cut
+        end[:-1] |= cut
     inner = offsets[(offsets > 0) & (offsets < len(data))]
     begin[inner] = True
     end[inner - 1] = True
