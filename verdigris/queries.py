@@ -181,12 +181,12 @@ def selection_force_all(spark, sf_dir):
 
 
 @query(r"""with u as (select page_id, regexp_replace(url, '^[a-z]+://', '') as path from pages),
-d as (select distinct split_part(path, '/', 1) as dir from u union select distinct concat(split_part(path, '/', 1), '/', split_part(path, '/', 2)) from u where page_id % 3 = 0 and path like '%/%')
+d as (select distinct split_part(path, '/', 1) as dir from u union select distinct concat(split_part(path, '/', 1), '/', split_part(path, '/', 2)) from u where path like '%/%')
 select page_id, path, dir as owner from (select page_id, path, dir, row_number() over (partition by page_id order by length(dir) desc) as rn from u left join d on path = dir or starts_with(path, concat(dir, '/'))) where rn = 1""")
 def longest_prefix_owner(spark, sf_dir):
     u = _t(spark, sf_dir, "pages").select("page_id", F.regexp_replace("url", "^[a-z]+://", "").alias("path"))
     part = F.split("path", "/")
-    two = u.where("page_id % 3 = 0 and path like '%/%'").select(F.concat_ws("/", part[0], part[1]).alias("name"))
+    two = u.where("path like '%/%'").select(F.concat_ws("/", part[0], part[1]).alias("name"))
     d = u.select(part[0].alias("name")).union(two).distinct().withColumn("manifest_dir", F.col("name"))
     return graph.owned_paths(u, d).select("page_id", "path", "owner")
 
@@ -437,10 +437,11 @@ def gauge_bar(spark, sf_dir):
     return _t(spark, sf_dir, "part").select("p_partkey", dashboard.bar(F.col("p_size") / 40.0).alias("bar"))
 
 
-@query("select url as path from pages where page_id % 2 = 0 union select url from pages where page_id % 3 = 0")
+@query("select url as path from pages union select regexp_replace(url, '/[^/]*$', '') from pages")
 def changed_files_union(spark, sf_dir):
-    p = _t(spark, sf_dir, "pages").select(F.col("url").alias("path"), "page_id")
-    return diff.changed_files(p.where("page_id % 2 = 0"), p.where("page_id % 3 = 0").union(p.limit(1).selectExpr("' '", "page_id")))
+    p = _t(spark, sf_dir, "pages")
+    blank = _t(spark, sf_dir, "region").select(F.lit("  ").alias("path"))
+    return diff.changed_files(p.select(F.col("url").alias("path")), p.select(F.regexp_replace("url", "/[^/]*$", "").alias("path")).union(blank))
 
 
 @query("""select p_partkey, case when p_partkey % 10 > 0 then cast(1 as integer) end as major, case when p_partkey % 10 > 0 then cast(80 + p_size % 20 as integer) end as minor, case when p_partkey % 10 > 0 then cast(case when p_partkey % 2 = 0 then p_size else 0 end as integer) end as patch,
