@@ -61,7 +61,7 @@ def permuted(index: np.ndarray, n: int, key: int) -> np.ndarray:
 
 def sized(docs: DataFrame, text: str, source: str, carry: list[str]) -> DataFrame:
     """The carried columns as a struct, source, size in words, and an order inside the source."""
-    d = docs.select(F.struct(*(F.col(c) for c in carry)).alias("row"), F.col(source).cast("string").alias("source"), F.col("doc_id").cast("bigint").alias("d"), F.crc32(F.coalesce(F.col(text), F.lit("")).cast("binary")).alias("crc"), F.col(text).alias("text"))
+    d = docs.select(F.struct(*(F.col(f"`{c}`") for c in carry)).alias("row"), F.col(source).cast("string").alias("source"), F.col("doc_id").cast("bigint").alias("d"), F.crc32(F.coalesce(F.col(text), F.lit("")).cast("binary")).alias("crc"), F.col(text).alias("text"))
     keep = [i for i, c in enumerate(d.columns) if c != "text"]
 
     def count(batches):
@@ -122,14 +122,14 @@ def mixed(docs: DataFrame, text: str = "text", source: str = "source", weights:
     before = F.coalesce(F.sum("size").over(Window.partitionBy("s").orderBy("g").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     offset = d.groupBy("s", "g").agg(F.sum("size").alias("size")).select("s", "g", before.alias("base"))
     inner = F.coalesce(F.sum("size").over(Window.partitionBy("s", "g").orderBy("d", "size", "crc").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    d = written(d.join(offset, ["s", "g"]).select("row", "s", "size", "source_size", "target", (F.col("base") + inner).alias("start")), work_dir(spark, "placed"))
+    d = written(d.join(offset.hint("merge"), ["s", "g"]).select("row", "s", "size", "source_size", "target", (F.col("base") + inner).alias("start")), work_dir(spark, "placed"))
     whole = [min(int(g + 0.5), repeats * n) for g, n in zip(goal, sizes, strict=True)]
     uses = slots(spark, sizes, whole, block, shards, seed).groupBy("s", "block", "words").agg(F.count(F.lit(1)).alias("n"))
     end = F.col("start") + F.col("size")
     spread = d.where("size > 0").select("s", "start", end.alias("end"), F.explode(F.sequence(F.expr(f"start div {block}"), F.expr(f"(start + size - 1) div {block}"))).alias("block"))
     share = F.greatest(F.lit(0), F.least(F.col("end"), F.col("block") * block + F.col("words")) - F.greatest("start", F.col("block") * block))
-    taken = spread.join(uses, ["s", "block"]).groupBy("s", "start").agg(F.sum(F.col("n") * share).alias("taken"))
-    out = d.join(taken.select(F.col("s").alias("s2"), F.col("start").alias("start2"), "taken"), (F.col("s") == F.col("s2")) & (F.col("start") == F.col("start2")) & (F.col("size") > 0), "left")
+    taken = spread.join(uses.hint("merge"), ["s", "block"]).groupBy("s", "start").agg(F.sum(F.col("n") * share).alias("taken"))
+    out = d.join(taken.select(F.col("s").alias("s2"), F.col("start").alias("start2"), "taken").hint("merge"), (F.col("s") == F.col("s2")) & (F.col("start") == F.col("start2")) & (F.col("size") > 0), "left")
     return out.select("row", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("bigint").alias("taken"))
 
 
