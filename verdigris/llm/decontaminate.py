@@ -159,4 +159,4 @@ def overlaps(docs: DataFrame, items: DataFrame, text: str = "text", doc_id: str
 def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """docs without those that overlap an item of the benchmark."""
     bad = overlaps(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")).select("doc_id").distinct().select(F.col("doc_id").alias("bad_id"))
-    return docs.join(bad, F.col("doc_id").eqNullSafe(F.col("bad_id")), "left_anti")
+    return docs.join(bad, docs["doc_id"].eqNullSafe(bad["bad_id"]), "left_anti")

@@ -63,7 +63,7 @@ def measures(docs: DataFrame, text: str = "text", host: str = "source") -> DataF
     t = F.coalesce(F.col("row")[text], F.lit(""))
     less = lambda chars: F.length(t) - F.length(F.translate(t, chars, ""))
     lines = F.filter(F.split(t, "\n"), lambda x: F.btrim(x, F.lit(BLANK)) != "")
-    m = docs.select(F.struct(*docs.columns).alias("row"))
+    m = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"))
     m = m.select("row", F.col("row")[host].cast("string").alias("host"), words(t).alias("w"), lines.alias("l"), (F.length(t) - less(BLANK)).cast("bigint").alias("word_chars"), less(SYMBOLS).cast("bigint").alias("n_symbols"))
     m = m.select("row", "host", F.size("w").cast("bigint").alias("n_words"), "word_chars", "n_symbols", F.size("l").cast("bigint").alias("n_lines"), (F.size("l") - F.size(F.array_distinct("l"))).cast("bigint").alias("n_dup_lines"), n_repeat_words(F.col("w")).alias("n_repeat_words"))
     n = F.col("n_words")
