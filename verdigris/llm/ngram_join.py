@@ -7,10 +7,11 @@ matched by a one-deletion neighbourhood absorbs one. With a capacity of H + 1, l
 (the pigeonhole principle). `allocate` picks, by estimated cost, between many exact segments and fewer one-deletion ones,
 and how many spare segments to add so that agreement of empty segments alone need not be indexed.
 
-Sets that share a signature fall into the group of the bucket's first member, its pivot. First each set is compared with
-one pivot, exactly; these links already join most near copies. Only groups that still hold several components are then
-compared inside: in blocks of bounded size, by a parity sketch that never hides a link, then exactly, and never between
-sets that are connected already. Copies of one set are one class throughout and are not compared.
+Sets that share a signature fall into the group of the bucket's first member, its pivot. Sizes and parity sketches, which
+never hide a link, come first: each set is compared exactly with one pivot that they do not rule out, and these links
+already join most near copies. Groups that still hold several components are then searched by sketches, in blocks of
+bounded size, for sets that may link across components; only those sets are fetched and compared exactly, and never with
+what they are connected to already. Copies of one set are one class throughout and are not compared.
 
 Defined cases: A-Z count as a-z; a null, empty or blank text has no shingles and links with nothing; a text with fewer
 words than a shingle has one shingle, all its words; a null doc_id takes part, and is never the smallest where another
@@ -29,13 +30,13 @@ from pyspark.sql import functions as F
 
 from verdigris.llm import bitmap
 from verdigris.llm.components import components
-from verdigris.llm.shared import work_dir, written
+from verdigris.llm.shared import release, work_dir, written
 from verdigris.llm.text import U, hashed, mix, slices, windows
 
-#: Elements of all sets in one block of a group, and bits of a sketch at least.
+#: Elements of all sets in one block of a group (a block of sketches has twice as many bytes); bits of a sketch at least.
 BLOCK_ELEMENTS, SKETCH_BITS = 1 << 18, 512
-#: For the cost: the chance that a shingle of one set is also in an unrelated one that shares the rest of a segment.
-SHARED = 0.1
+#: For the cost alone: the chance that an unrelated set holds a given shingle of several words; high for prose.
+SHARED = 0.001
 #: Classes a task remembers so as to emit them once; beyond, it starts anew and only repeats some rows.
 SEEN = 1_000_000
 
@@ -135,32 +136,66 @@ def linked(a: np.ndarray, b: np.ndarray, num: int, den: int) -> bool:
     return den * common >= num * (len(a) + len(b) - common)
 
 
-def sketch(s: np.ndarray, bits: int) -> np.ndarray:
-    """Parities of the elements' numbers by bits: two sketches differ in no more bits than their sets do in elements."""
+def sketch(s: np.ndarray, bits: int = 0) -> np.ndarray:
+    """Parities of the elements' numbers by bits: two sketches differ in no more bits than their sets do in elements.
+    Without bits, a power of two of at least SKETCH_BITS and twice the set's size."""
+    bits = bits or max(SKETCH_BITS, 1 << int(2 * len(s) - 1).bit_length())
     n = np.bincount((mix(s + U(77)) & U(bits - 1)).astype(np.int64), minlength=bits) & 1
-    return np.packbits(n.astype(np.uint8)).view(U)
+    return np.packbits(n.astype(np.uint8), bitorder="little").view(U)
+
+
+def folded(sk: np.ndarray, words: int) -> np.ndarray:
+    """The sketch with fewer bits, which still never differs more than the sets: halves are added bit by bit."""
+    while len(sk) > words:
+        sk = sk[: len(sk) // 2] ^ sk[len(sk) // 2 :]
+    return sk
+
+
+class Sketched:
+    """Sets by size and sketch: which of them may link."""
+
+    def __init__(self, n: list[int], sk: list[np.ndarray], num: int, den: int):
+        self.n, self.sk, self.num, self.den = np.array(n), sk, num, den
+        words = min(map(len, sk))
+        self.short = np.stack([folded(x, words) for x in sk])
+
+    def near(self, i: int, rest: np.ndarray) -> np.ndarray:
+        """Of the sets in rest those that size and sketch do not rule out as links of set i: by short sketches for all,
+        then by those as long as the two sets allow."""
+        n = self.n
+        rest = rest[np.minimum(n[rest], n[i]) * self.den >= np.maximum(n[rest], n[i]) * self.num]
+        most = (self.den - self.num) * (n[rest] + n[i]) // (self.den + self.num)
+        ok = np.bitwise_count(self.short[rest] ^ self.short[i]).sum(axis=1) <= most
+        rest, most = rest[ok], most[ok]
+        apart = np.empty(len(rest), np.int64)
+        for k, j in enumerate(rest.tolist()):
+            words = min(len(self.sk[i]), len(self.sk[j]))
+            apart[k] = np.bitwise_count(folded(self.sk[i], words) ^ folded(self.sk[j], words)).sum()
+        return rest[apart <= most]
+
+
+def block_near(labels: list[int], sides: list[int], sets: Sketched) -> np.ndarray:
+    """Numbers of the sets of a block that may link with one of another label (and side, if there are two)."""
+    label, side = np.unique(labels, return_inverse=True)[1], np.array(sides)
+    one_side, hit = len(set(sides)) == 1, np.zeros(len(labels), bool)
+    for i in range(len(labels) - 1):
+        rest = np.arange(i + 1, len(labels))
+        rest = rest[(label[rest] != label[i]) & (one_side | (side[rest] != side[i])) & ~(hit[rest] & hit[i])]
+        if len(rest) and len(rest := sets.near(i, rest)):
+            hit[rest] = hit[i] = True
+    return np.flatnonzero(hit)
 
 
 def block_links(ids: list[int], labels: list[int], sides: list[int], sets: list[np.ndarray], num: int, den: int) -> list[tuple[int, int]]:
     """Links inside a block between different labels, until what is linked is connected; sides: only pairs of different
     sides count, unless all are on one."""
-    n = np.array([len(s) for s in sets])
-    bits = max(SKETCH_BITS, 1 << int(4 * (den - num) * 2 * int(n.max()) // (den + num)).bit_length())
-    sk = np.stack([sketch(s, bits) for s in sets])
-    names, comp = np.unique(labels, return_inverse=True)
-    side = np.array(sides)
+    by, out = Sketched([len(s) for s in sets], [sketch(s) for s in sets], num, den), []
+    comp, side = np.unique(labels, return_inverse=True)[1], np.array(sides)
     one_side = len(set(sides)) == 1
-    out = []
     for i in range(len(sets) - 1):
         rest = np.arange(i + 1, len(sets))
-        rest = rest[comp[rest] != comp[i]]
-        if not one_side:
-            rest = rest[side[rest] != side[i]]
-        rest = rest[np.minimum(n[rest], n[i]) * den >= np.maximum(n[rest], n[i]) * num]
-        if not len(rest):
-            continue
-        apart = np.bitwise_count(sk[rest] ^ sk[i]).sum(axis=1)
-        for j in rest[apart <= (den - num) * (n[rest] + n[i]) // (den + num)].tolist():
+        rest = rest[(comp[rest] != comp[i]) & (one_side | (side[rest] != side[i]))]
+        for j in by.near(i, rest).tolist() if len(rest) else ():
             if comp[j] != comp[i] and linked(sets[i], sets[j], num, den):
                 out.append((ids[i], ids[j]))
                 comp[comp == comp[j]] = comp[i]
@@ -209,63 +244,107 @@ def links(docs: DataFrame, slim: DataFrame, n_docs: int, text: str, k: int, num:
     bucket = Window.partitionBy("sig")
     shared = given.mapInArrow(index, "sig long, cls long").select("sig", "cls", F.min("cls").over(bucket).alias("pivot"), F.max("cls").over(bucket).alias("last")).where("pivot < last")
     near = written(shared.groupBy("cls", "pivot").agg(F.lit(1).alias("x")).select("cls", "pivot"), work_dir(spark, "pivots"))
-    wanted = bitmap.build(near.select("cls").union(near.select("pivot")))
-    sent = spark.sparkContext.broadcast(wanted)
+    del shared
+    release(spark)
+    sketches = written(_fetched(given, near.select("cls").union(near.select("pivot")), k, lambda s: sketch(s).tobytes(), with_size=True), work_dir(spark, "sketches"))
 
-    def fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set[int] = set()
-        for b in slices(batches):
-            sets = shingle_sets(b.column("text"), k)
-            cls = np.array([class_of(s) if len(s) else 0 for s in sets], np.int64)
-            hit = bitmap.hits(sent.value, cls.view(U))
-            rows = []
-            for s, c, ok in zip(sets, cls.tolist(), hit.tolist(), strict=True):
-                if ok and len(s) and c not in seen:
-                    seen.add(c)
-                    rows.append((c, _binary(s)))
-            if len(seen) > SEEN:
-                seen = set()
-            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.binary())], names=["cls", "body"])
+    def plausible(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rows = zip(*(b.column(c).to_pylist() for c in ("n", "body", "n2", "body2")), strict=True)
+            keep = [i for i, (n, x, n2, y) in enumerate(rows) if len(Sketched([n, n2], [np.frombuffer(x, U), np.frombuffer(y, U)], num, den).near(0, np.array([1])))]
+            yield b.select(["cls", "pivot"]).take(pa.array(keep, pa.int64()))
 
-    sets = given.mapInArrow(fetch, "cls long, body binary").groupBy("cls").agg(F.first("body").alias("body"))
-    sets = written(sets, work_dir(spark, "sets"), "lz4")
+    other = sketches.select(F.col("cls").alias("pivot"), F.col("n").alias("n2"), F.col("body").alias("body2"))
+    pairs = near.where("cls <> pivot").join(sketches.hint("merge"), "cls").join(other.hint("merge"), "pivot")
+    star = written(pairs.select("cls", "pivot", "n", "body", "n2", "body2").mapInArrow(plausible, "cls long, pivot long").groupBy("cls").agg(F.min("pivot").alias("pivot")), work_dir(spark, "star"))
+    del pairs
+    release(spark)
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             keep = [i for i, (x, y) in enumerate(zip(b.column("body").to_pylist(), b.column("other").to_pylist(), strict=True)) if linked(_numbers(x), _numbers(y), num, den)]
             yield b.select(["cls", "pivot"]).take(pa.array(keep, pa.int64()))
 
-    star = near.where("cls <> pivot").groupBy("cls").agg(F.min("pivot").alias("pivot"))
+    sets = written(_fetched(given, star.select("cls").union(star.select("pivot")), k, _binary), work_dir(spark, "sets"), "lz4")
     pivots = sets.select(F.col("cls").alias("pivot"), F.col("body").alias("other"))
     first = written(star.join(sets, "cls").join(pivots, "pivot").select("cls", "pivot", "body", "other").mapInArrow(check, "cls long, pivot long"), work_dir(spark, "links"))
+    del sets, pivots
+    release(spark)
     root = components(first)
     labelled = near.join(root.select(F.col("node").alias("cls"), "root"), "cls", "left").select("pivot", "cls", F.coalesce("root", "cls").alias("label"))
     mixed = labelled.groupBy("pivot").agg(F.min("label").alias("a"), F.max("label").alias("b")).where("a < b").select("pivot")
-    members = labelled.join(mixed, "pivot").join(sets, "cls").select("pivot", "cls", "label", "body")
-    size = members.groupBy("pivot").agg((F.sum(F.length("body")) / (8 * BLOCK_ELEMENTS)).alias("x")).select("pivot", F.ceil("x").cast("int").alias("blocks"))
-    block = F.pmod(F.xxhash64("cls"), F.col("blocks")).cast("int")
-    dealt = members.join(size, "pivot").withColumn("block", block).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    dealt = dealt.select("pivot", F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y"), "block", "cls", "label", "body")
+    members = written(labelled.join(mixed, "pivot"), work_dir(spark, "members"))
+
+    def may_link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in _blocks(batches, ("cls", "label", "n", "body")):
+            ids, labels, n, body = zip(*(r[1:] for r in rows), strict=True)
+            hit = block_near(labels, [r[0] for r in rows], Sketched(n, [np.frombuffer(x, U) for x in body], num, den))
+            yield pa.RecordBatch.from_arrays([pa.array([rows[0].pivot] * len(hit), pa.int64()), pa.array([ids[i] for i in hit], pa.int64()), pa.array([labels[i] for i in hit], pa.int64())], names=["pivot", "cls", "label"])
+
+    dealt = _dealt(members.join(sketches, "cls"), 2 * BLOCK_ELEMENTS)
+    active = written(dealt.mapInArrow(may_link, "pivot long, cls long, label long").distinct(), work_dir(spark, "active"))
+    sets = _fetched(given, active.select("cls"), k, _binary)
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, rows = None, []
+        for rows in _blocks(batches, ("cls", "label", "body")):
+            ids, labels, body = zip(*(r[1:] for r in rows), strict=True)
+            one = block_links(ids, labels, [r[0] for r in rows], [_numbers(x) for x in body], num, den)
+            yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in one], pa.int64()), pa.array([y for _, y in one], pa.int64())], names=["cls", "pivot"])
 
-        def done():
-            one = block_links([r[0] for r in rows], [r[1] for r in rows], [r[2] for r in rows], [_numbers(r[3]) for r in rows], num, den) if len(rows) > 1 else []
-            return pa.RecordBatch.from_arrays([pa.array([x for x, _ in one], pa.int64()), pa.array([y for _, y in one], pa.int64())], names=["cls", "pivot"])
+    both = written(active.join(sets, "cls"), work_dir(spark, "both"), "lz4")
+    second = written(_dealt(both, 8 * BLOCK_ELEMENTS).mapInArrow(compare, "cls long, pivot long"), work_dir(spark, "links"))
+    return first.union(second).select(F.col("cls").alias("a"), F.col("pivot").alias("b"))
+
+
+def _fetched(given: DataFrame, wanted: DataFrame, k: int, body, with_size: bool = False) -> DataFrame:
+    """cls, body (and n): of the texts' classes that wanted (one column) holds, each once."""
+    sent = given.sparkSession.sparkContext.broadcast(bitmap.build(wanted))
+
+    def fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()
+        for b in slices(batches):
+            sets = shingle_sets(b.column("text"), k)
+            cls = np.array([class_of(s) if len(s) else 0 for s in sets], np.int64)
+            rows = []
+            for s, c, ok in zip(sets, cls.tolist(), bitmap.hits(sent.value, cls.view(U)).tolist(), strict=True):
+                if ok and len(s) and c not in seen:
+                    seen.add(c)
+                    rows.append((c, len(s), body(s)))
+            if len(seen) > SEEN:
+                seen = set()
+            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int64()), pa.array([r[2] for r in rows], pa.binary())], names=["cls", "n", "body"])
+
+    own = given.mapInArrow(fetch, "cls long, n long, body binary").groupBy("cls").agg(*([F.first("n").alias("n")] if with_size else []), F.first("body").alias("body"))
+    return own.join(wanted.distinct().withColumnRenamed(wanted.columns[0], "cls"), "cls", "left_semi")
+
+
+def _dealt(members: DataFrame, size: int) -> DataFrame:
+    """members (pivot, cls, ..., body) dealt to blocks of about `size` bytes, and each pair of a group's blocks to a task;
+    rows of one pair (pivot, x, y) are neighbours. side: the block."""
+    n = members.groupBy("pivot").agg(F.ceil(F.sum(F.length("body")) / size).cast("int").alias("blocks"))
+    dealt = members.join(n, "pivot").withColumn("side", F.pmod(F.xxhash64("cls"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    dealt = dealt.withColumns({"x": F.least("side", "other"), "y": F.greatest("side", "other")}).drop("other", "blocks")
+    return dealt.repartition("pivot", "x", "y").sortWithinPartitions("pivot", "x", "y")
+
+
+class _Row(tuple):
+    pivot: int
 
-        for b in batches:
-            for p, x, y, side, c, label, body in zip(*(b.column(i).to_pylist() for i in ("pivot", "x", "y", "block", "cls", "label", "body")), strict=True):
-                if (p, x, y) != key:
-                    if rows:
-                        yield done()
-                    key, rows = (p, x, y), []
-                rows.append((c, label, side, body))
-        if rows:
-            yield done()
 
-    second = dealt.repartition("pivot", "x", "y").sortWithinPartitions("pivot", "x", "y").mapInArrow(compare, "cls long, pivot long")
-    return first.union(written(second, work_dir(spark, "links"))).select(F.col("cls").alias("a"), F.col("pivot").alias("b"))
+def _blocks(batches: Iterator[pa.RecordBatch], columns: tuple[str, ...]) -> Iterator[list[_Row]]:
+    """For each pair of blocks with two rows or more its rows: side and the columns; their attribute pivot is the group."""
+    key, rows = None, []
+    for b in batches:
+        for p, x, y, *row in zip(*(b.column(c).to_pylist() for c in ("pivot", "x", "y", "side", *columns)), strict=True):
+            if (p, x, y) != key:
+                if len(rows) > 1:
+                    yield rows
+                key, rows = (p, x, y), []
+            r = _Row(row)
+            r.pivot = p
+            rows.append(r)
+    if len(rows) > 1:
+        yield rows
 
 
 def joined(docs: DataFrame, text: str = "text", k: int = 3, num: int = 90, den: int = 100) -> DataFrame:
@@ -286,7 +365,6 @@ def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     j = joined(docs, k=5, num=80)
     of = j.groupBy("doc_id").agg(F.bool_or((F.col("n_shingles") == 0) | F.col("doc_id").eqNullSafe(F.col("component_id"))).alias("stays"), F.count(F.lit(1)).alias("n"))
     of = written(of.where("stays").select(F.col("doc_id").alias("kept_id"), "n"), work_dir(spark, "kept"))
-    same = F.col("doc_id").eqNullSafe(F.col("kept_id"))
-    once = docs.join(of.where("n = 1"), same, "left_semi")
-    again = of.where("n > 1")
-    return once if again.isEmpty() else once.union(docs.join(again, same, "left_semi").dropDuplicates(["doc_id", "text"]))
+    one, again = of.where("n = 1"), of.where("n > 1")
+    once = docs.join(one, docs["doc_id"].eqNullSafe(one["kept_id"]), "left_semi")
+    return once if again.isEmpty() else once.union(docs.join(again, docs["doc_id"].eqNullSafe(again["kept_id"]), "left_semi").dropDuplicates(["doc_id", "text"]))

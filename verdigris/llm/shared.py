@@ -1,46 +1,20 @@
-"""Folders that the driver and all executors share, and tables written there to cut lineage."""
+"""Folders that the driver and all executors share, and what else the operators need of the session."""
 
 from __future__ import annotations
 
-import atexit
-import shutil
-import tempfile
-import uuid
+import gc
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import SparkSession
 
-_own: dict[str, str] = {}
+from verdigris.storage import base_dir, remove, work_dir, written
 
+__all__ = ["base_dir", "posix", "release", "remove", "work_dir", "written"]
 
-def base_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir. Only a local-mode session (tests) gets a temporary one where it is unset."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if base:
-        return base.rstrip("/")
-    if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
-        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-    app = spark.sparkContext.applicationId
-    if app not in _own:
-        _own[app] = tempfile.mkdtemp(prefix="verdigris-")
-        atexit.register(shutil.rmtree, _own[app], ignore_errors=True)
-    return "file://" + _own[app]
 
-
-def work_dir(spark: SparkSession, name: str) -> str:
-    """A fresh folder name under base_dir(); what is written there lasts until the session's owner removes it."""
-    return f"{base_dir(spark)}/verdigris/{name}-{uuid.uuid4().hex[:12]}"
-
-
-def written(df: DataFrame, path: str, codec: str = "zstd") -> DataFrame:
-    """df, written to path as Parquet and read again: later steps restart from these files if executors are lost."""
-    df.write.mode("overwrite").option("compression", codec).parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
-def remove(spark: SparkSession, path: str) -> None:
-    jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+def release(spark: SparkSession) -> None:
+    """Lets Spark delete the shuffle files of what is no longer referred to; it does so when the driver's JVM collects."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
 
 
 def posix(path: str) -> str:
