@@ -7,7 +7,9 @@ Base kinds (assign, access, hex) give exactly the leftmost non-overlapping match
 literals that scoring and propagation find.
 
 Defined cases: a null or empty text has no spans; positions count code points; other columns are ignored; repeated rows
-give repeated results; the lexer looks back over at most one name and forward over one literal.
+give repeated results; the lexer looks back over at most one name and forward over one literal, however long. A bare
+literal is the whole run of literal characters; it is a name where all of it is an identifier, or a dotted one that is
+bound. Quoted literals may hold other quotes, escapes and lines, or be triple-quoted; a PEM block needs no quotes.
 """
 
 from __future__ import annotations
@@ -26,28 +28,71 @@ KINDS = (*BASE, "literal")
 NAMES = ("password", "passwd", "secret", "token", "api_key", "apikey")
 SENSITIVE = {"password": 3, "passwd": 3, "passphrase": 3, "pwd": 2, "secret": 3, "token": 3, "apikey": 3, "api_key": 3, "access_key": 3, "private_key": 3, "credential": 2, "auth": 1, "bearer": 2}
 LITERAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_.=-")
-NAME_LENGTH, LITERAL_LENGTH, LEAST = 128, 4096, 4
+NAME_LENGTH, LEAST = 128, 4
 
 _operator = re.compile(r"[:=]")
 _access = re.compile(r"AKIA[A-Z0-9]{12,}")
 _hex = re.compile(r"[0-9a-f]{32,}")
 _named = re.compile(r"(?:password|passwd|secret|token|api_?key)\Z", re.I | re.A)
 _target = re.compile(r"[A-Za-z_][\w.-]*\Z", re.A)
-_quoted = re.compile(r"""(["'`])([^"'`\n]{1,4096})\1""")
-_bare = re.compile(r"[A-Za-z_][\w.]*|[A-Za-z0-9+/_.=-]{8,4096}", re.A)
+_quoted = re.compile(
+    r"""("{3}|'{3})(?P<triple>.+?)\1|(["'`])(?P<line>(?:(?!\3)[^\\\n]|\\.)++)\3|(["'`])(?P<plain>(?:(?!\5)[^\n])++)\5|(["'`])(?P<lines>(?:(?!\7)[^\\]|\\.)++)\7""", re.S
+)
+_run = re.compile(r"[A-Za-z0-9+/_.=-]+")
+_dotted = re.compile(r"[A-Za-z_][\w.]*", re.A)
+_block = re.compile(r"(?:[|>][+-]?+)?\s*+-----BEGIN [A-Z0-9 ]+-----")
+_layout = re.compile(r"-----(?:BEGIN|END) [A-Z0-9 ]+-----|\n[ \t]+")
 
 
-def entropy(s: str) -> float:
-    return -sum(n / len(s) * math.log2(n / len(s)) for n in Counter(s).values()) if s else 0.0
+def entropy(s: str | Counter) -> float:
+    counts = [n for n in Counter(s).values() if n > 0]
+    total = sum(counts)
+    return -sum(n / total * math.log2(n / total) for n in counts)
 
 
-def score(name: str, literal: str) -> float:
-    """By the target's name and the literal's look: 4 or more is reported."""
+def score(name: str, literal: str | Counter) -> float:
+    """By the target's name and the literal's look (or, of one without blanks, its characters): 4 or more is reported."""
     low = name.lower().replace("-", "_")
     by_name = max((v for k, v in SENSITIVE.items() if k in low), default=0)
-    if not by_name or len(literal) < 8:
+    n = sum(literal.values()) if isinstance(literal, Counter) else len(literal)
+    if not by_name or n < 8:
         return 0.0
-    return by_name + (entropy(literal) >= 3) + any(c.isdigit() for c in literal) - 2 * (" " in literal)
+    spaced = isinstance(literal, str) and " " in literal and " " in _layout.sub("", literal)
+    return by_name + (entropy(literal) >= 3) + any(c.isdigit() for c, k in Counter(literal).items() if k > 0) - 2 * spaced
+
+
+class Runs:
+    """Runs of literal characters and PEM blocks of a text, asked for in ascending places. Several operators may stand in
+    one run; its end is sought once and its characters are counted once."""
+
+    def __init__(self, t: str) -> None:
+        self.t, self.end, self.counted, self.counts, self.closes, self.opens = t, 0, 0, None, 0, 0
+
+    def ends(self, c: int) -> int:
+        if c >= self.end:
+            m = _run.match(self.t, c)
+            self.end, self.counts = m.end() if m else c, None
+        return self.end
+
+    def tally(self, c: int) -> Counter:
+        """The characters from c to the end of the run that ends() found."""
+        if self.counts is None:
+            self.counts = Counter(self.t[c : self.end])
+        else:
+            self.counts.subtract(self.t[self.counted : c])
+        self.counted = c
+        return self.counts
+
+    def block(self, c: int) -> int:
+        """The end of the PEM block whose first line ends at c, or 0 where another begins before it closes."""
+        if 0 <= self.closes < c:
+            self.closes = self.t.find("-----END ", c)
+        if 0 <= self.opens < c:
+            self.opens = self.t.find("-----BEGIN ", c)
+        if 0 <= self.opens < self.closes:
+            return 0
+        e = self.t.find("-----", self.closes + 9) if self.closes >= 0 else -1
+        return e + 5 if e >= 0 else 0
 
 
 def base_assign(t: str, at: int, done: int) -> tuple[int, int, int] | None:
@@ -72,8 +117,9 @@ def base_assign(t: str, at: int, done: int) -> tuple[int, int, int] | None:
     return (m.start(), e, c) if e > c else None
 
 
-def pair(t: str, at: int) -> tuple[str, int, int, bool] | None:
-    """Target name, span of what is bound to it, and whether that is a literal."""
+def pair(t: str, at: int, runs: Runs, known: dict[str, tuple[int, int]]) -> tuple[str, int, int, str] | None:
+    """Target name, span of what is bound to it, and what that is: a name, a literal of one line (`text`), one of several
+    (`lines`), or a bare run."""
     a = at
     while a and t[a - 1] in " \t" and at - a < NAME_LENGTH:
         a -= 1
@@ -85,31 +131,39 @@ def pair(t: str, at: int) -> tuple[str, int, int, bool] | None:
     c = at + 1
     while c < len(t) and t[c] in "=> \t" and c - at < NAME_LENGTH:
         c += 1
+    if (b := _block.match(t, c)) and (e := runs.block(b.end())):
+        return m[0], t.index("-----BEGIN", c), e, "text"
     if q := _quoted.match(t, c):
-        return m[0], *q.span(2), True
-    if b := _bare.match(t, c):
-        return m[0], *b.span(), not b[0].isidentifier() or any(x.isdigit() for x in b[0]) and len(b[0]) >= 16
-    return None
+        return m[0], *q.span(q.lastgroup), "lines" if q.lastgroup == "lines" else "text"
+    e = runs.ends(c)
+    if e == c:
+        return None
+    b = _dotted.match(t, c)
+    if b and b.end() == e and (b[0] in known or b[0].isidentifier() and not (any(x.isdigit() for x in b[0]) and len(b[0]) >= 16)):
+        return m[0], c, e, "name"
+    return (m[0], c, e, "run") if e - c >= 8 else None
 
 
 def find(t: str) -> list[Span]:
     out: list[Span] = [("access", *m.span()) for m in _access.finditer(t)]
     out += [("hex", *m.span()) for m in _hex.finditer(t)]
-    done, known = 0, {}
+    done, within, known, runs = 0, 0, {}, Runs(t)
     for m in _operator.finditer(t):
         at = m.start()
         if at >= done and (x := base_assign(t, at, done)):
             done = x[1]
             if x[1] - x[2] >= 8:
                 out.append(("assign", x[0], x[1]))
-        if p := pair(t, at):
-            name, a, b, literal = p
-            if not literal:
+        if at >= within and (p := pair(t, at, runs, known)):
+            name, a, b, kind = p
+            if kind == "name":
                 a, b = known.get(t[a:b], (0, 0))
             if b > a:
                 known[name] = (a, b)
-                if score(name, t[a:b]) >= LEAST:
+                if score(name, runs.tally(a) if kind == "run" else t[a:b]) >= LEAST:
                     out.append(("literal", a, b))
+                    if kind in ("run", "text"):  # operators in it are its own; lines may be two open quotes
+                        within = b
     return out
 
 
