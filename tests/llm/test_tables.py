@@ -145,6 +145,18 @@ def test_tool_calls(spark):
     assert none.count() == 0
 
 
+def test_long_chains_are_ordered_beside_cycles(spark):
+    chain = lambda conv, n, turn: [(conv, turn(k), f"c{k}", "add", "{}", [f"c{k - 1}"] if k else []) for k in range(n)]
+    calls = [*chain(1, 150, lambda k: 3), *chain(2, 90, lambda k: 200 - k), *chain(3, 40, lambda k: None)]
+    calls += [(4, 0, "p", "add", "{}", ["q"]), (4, 2, "q", "add", "{}", ["p"]), (4, 1, "behind", "add", "{}", ["p"]), (4, 7, "later", "add", "{}", ["behind"]), (4, 1, "free", "add", "{}", ["x"]), (4, 0, "x", "add", "{}", [])]
+    calls += chain(5, 50, lambda k: 2 * k)
+    got = toolcalls.linked(spark.createDataFrame(calls, CALL).repartition(7), spark.createDataFrame([], RESULT), SCHEMAS)
+    r = {(x["conv_id"], x["call_id"]): (x["order_turn"], x["order_step"], x["cyclic"]) for x in got.collect()}
+    assert all(r[1, f"c{k}"] == (3, k, False) for k in range(150)) and all(r[2, f"c{k}"] == (200, k, False) for k in range(90))
+    assert all(r[3, f"c{k}"] == (None, k, False) for k in range(40)) and all(r[5, f"c{k}"] == (2 * k, 0, False) for k in range(50))
+    assert [r[4, c] for c in ("p", "q", "behind", "later", "free", "x")] == [(0, 0, True), (2, 0, True), (1, 0, True), (7, 0, True), (1, 0, False), (0, 0, False)]
+
+
 def test_calls_in_messages(spark):
     m = [(1, 0, "user", "hi"), (1, 1, "assistant", '{"tool_calls":[{"id":"a","name":"add","arguments":"{\\"x\\":1}"}]}'), (1, 2, "tool", '{"tool_call_id":"a","content":"1"}'), (1, 3, "assistant", None), (None, None, None, None)]
     c, got = toolcalls.calls_in(spark.createDataFrame(m, "conv_id long, turn long, role string, text string"))

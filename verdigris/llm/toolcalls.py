@@ -3,12 +3,13 @@
 Calls and results meet in a hash join by conversation and call id; results are reduced to the earliest of each id first,
 so neither repeated results nor a very long conversation makes a large group. Calls are ordered by (turn, step): a call
 that depends only on calls of earlier turns keeps its own turn and step 0; one that depends on a call of the same or a
-later turn is placed after it, with that call's turn and the next step. Only such backward dependencies take rounds.
+later turn is placed after it, with that call's turn and the next step. Only conversations with such a backward dependency
+need more than their turns: each is peeled by one task (Kahn), which holds that conversation's ids and dependencies.
 
 Defined cases: null ids join nothing (a call with a null id is unanswered, a result with one is an orphan); of calls with
 one id the first by (turn, arguments) counts, the others have status `repeated`; orphans are results whose id no call
-has; dependencies on unknown ids are ignored; a chain of MAX_STEPS / 2 or more backward dependencies, as in a cycle,
-is marked `cyclic` and keeps its turn; arguments that are not JSON, or no object, are invalid; empty tables give empty results;
+has; dependencies on unknown ids and on the call itself are ignored; what is in a cycle of dependencies, or depends on
+such a call, is marked `cyclic` and keeps its turn, in its own conversation only; a null turn is the first; arguments that are not JSON, or no object, are invalid; empty tables give empty results;
 other columns are ignored.
 """
 
@@ -24,7 +25,7 @@ from pyspark.sql import functions as F
 
 from verdigris.llm.shared import work_dir, written
 
-MAX_STEPS = 64
+_FIRST = -(2**63)  # the turn that stands for a null one
 _KINDS = {"string": str, "boolean": bool, "object": dict, "array": list, "null": type(None)}
 
 
@@ -95,31 +96,65 @@ def calls_in(messages: DataFrame) -> tuple[DataFrame, DataFrame]:
     return calls, got.select("conv_id", "turn", F.col("r.tool_call_id").alias("call_id"), F.col("r.content").alias("content"))
 
 
-def ordered(calls: DataFrame, max_steps: int = MAX_STEPS) -> DataFrame:
+def peeled(turns: dict[str, int], after: dict[str, list[str]]) -> dict[str, tuple[int, int, bool]]:
+    """Turn, step and whether cyclic of each call of one conversation: calls whose dependencies are placed are placed."""
+    on = {c: {d for d in after.get(c) or () if d in turns and d != c} for c in turns}
+    users: dict[str, list[str]] = {}
+    for c, ds in on.items():
+        for d in ds:
+            users.setdefault(d, []).append(c)
+    left, rank = {c: len(ds) for c, ds in on.items()}, {c: (t, 0) for c, t in turns.items()}
+    ready = [c for c, n in left.items() if not n]
+    placed = set()
+    while ready:
+        c = ready.pop()
+        placed.add(c)
+        for u in users.get(c, ()):
+            rank[u] = max(rank[u], (rank[c][0], rank[c][1] + 1))
+            left[u] -= 1
+            if not left[u]:
+                ready.append(u)
+    return {c: (*rank[c], False) if c in placed else (t, 0, True) for c, t in turns.items()}
+
+
+def _peel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of conversations that stand together; a conversation may span batches."""
+
+    def out(conv: int, turns: dict, after: dict) -> pa.RecordBatch:
+        r = [(conv, c, None if t == _FIRST else t, k, x) for c, (t, k, x) in peeled(turns, after).items()]
+        return pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(zip(*r, strict=True), (pa.int64(), pa.string(), pa.int64(), pa.int32(), pa.bool_()), strict=True)], names=["conv_id", "call_id", "order_turn", "order_step", "cyclic"])
+
+    last, turns, after = None, {}, {}
+    for b in batches:
+        for conv, call, turn, on in zip(*(b.column(c).to_pylist() for c in ("conv_id", "call_id", "turn", "after")), strict=True):
+            if turns and conv != last:
+                yield out(last, turns, after)
+                turns, after = {}, {}
+            last, turns[call], after[call] = conv, _FIRST if turn is None else turn, on
+    if turns:
+        yield out(last, turns, after)
+
+
+def ordered(calls: DataFrame) -> DataFrame:
     """conv_id, call_id, order_turn, order_step, cyclic of first calls (conv_id, turn, call_id, after)."""
     spark = calls.sparkSession
-    ranks = written(calls.select("conv_id", "call_id", F.col("turn").alias("order_turn"), F.lit(0).alias("order_step")), work_dir(spark, "ranks"))
-    edges = calls.select("conv_id", "call_id", F.explode("after").alias("on")).where("`on` <> call_id").distinct()
-    edges = written(edges, work_dir(spark, "edges"))
-    for _ in range(max_steps):
-        put = edges.join(ranks.select("conv_id", F.col("call_id").alias("on"), "order_turn", "order_step"), ["conv_id", "on"])
-        put = put.groupBy("conv_id", "call_id").agg(F.max(F.struct("order_turn", F.expr("order_step + 1").alias("order_step"))).alias("least"))
-        put = put.join(ranks, ["conv_id", "call_id"]).where(F.col("least") > F.struct("order_turn", "order_step")).select("conv_id", "call_id", "least")
-        put = written(put, work_dir(spark, "ranks"))
-        if put.isEmpty():
-            return ranks.withColumn("cyclic", F.lit(False))
-        ranks = ranks.join(put, ["conv_id", "call_id"], "left")
-        ranks = ranks.select("conv_id", "call_id", *(F.coalesce(f"least.{c}", c).alias(c) for c in ("order_turn", "order_step")))
-        ranks = written(ranks, work_dir(spark, "ranks"))
-    late = F.col("order_step") >= max_steps // 2
-    own = calls.select("conv_id", "call_id", "turn")
-    return ranks.join(own, ["conv_id", "call_id"]).select("conv_id", "call_id", F.when(late, F.col("turn")).otherwise(F.col("order_turn")).alias("order_turn"), F.when(late, 0).otherwise(F.col("order_step")).alias("order_step"), late.alias("cyclic"))
-
-
-def linked(calls: DataFrame, results: DataFrame, schemas: dict[str, dict], max_steps: int = MAX_STEPS) -> DataFrame:
+    at = F.coalesce("turn", F.lit(_FIRST))
+    edges = calls.select("conv_id", "call_id", at.alias("own"), F.explode("after").alias("on")).where("`on` <> call_id")
+    back = edges.join(calls.select("conv_id", F.col("call_id").alias("on"), at.alias("its")), ["conv_id", "on"]).where("its >= own")
+    back = written(back.select("conv_id").distinct(), work_dir(spark, "backward"))
+    plain = lambda c: c.select("conv_id", "call_id", F.col("turn").alias("order_turn"), F.lit(0).alias("order_step"), F.lit(False).alias("cyclic"))
+    if back.isEmpty():
+        return plain(calls)
+    hard = calls.join(back, "conv_id", "left_semi").select("conv_id", "call_id", "turn", "after").repartition(F.col("conv_id")).sortWithinPartitions("conv_id")
+    hard = hard.mapInArrow(_peel, "conv_id long, call_id string, order_turn long, order_step int, cyclic boolean")
+    return plain(calls.join(back, "conv_id", "left_anti")).unionByName(hard)
+
+
+def linked(calls: DataFrame, results: DataFrame, schemas: dict[str, dict], max_steps: int | None = None) -> DataFrame:
     """Calls (conv_id, turn, call_id, name, arguments as JSON text, after) and results (conv_id, turn, call_id, content):
     conv_id, turn, call_id, name, status (linked, early, unanswered, repeated, orphan), result_turn, n_results,
-    order_turn, order_step, cyclic, fault (null if valid), json. `early`: the result stands before its call."""
+    order_turn, order_step, cyclic, fault (null if valid), json. `early`: the result stands before its call. max_steps
+    has no effect: the order is exact at any depth."""
     spark = calls.sparkSession
     calls = calls.select(F.col("conv_id").cast("bigint").alias("conv_id"), F.col("turn").cast("bigint").alias("turn"), "call_id", "name", "arguments", "after")
     key = F.struct("turn", "name", "arguments", "after")
@@ -127,7 +162,7 @@ def linked(calls: DataFrame, results: DataFrame, schemas: dict[str, dict], max_s
     first = written(named.groupBy("conv_id", "call_id").agg(F.min(key).alias("c"), F.count(F.lit(1)).alias("n")).select("conv_id", "call_id", "c.*", "n"), work_dir(spark, "calls"))
     got = results.where("conv_id is not null and call_id is not null").groupBy(F.col("conv_id").cast("bigint").alias("conv_id"), "call_id")
     got = got.agg(F.min(F.struct(F.col("turn").cast("bigint").alias("turn"), "content")).alias("r"), F.count(F.lit(1)).alias("n_results"))
-    both = first.join(got, ["conv_id", "call_id"], "full").join(ordered(first.select("conv_id", "call_id", "turn", "after"), max_steps), ["conv_id", "call_id"], "left")
+    both = first.join(got, ["conv_id", "call_id"], "full").join(ordered(first.select("conv_id", "call_id", "turn", "after")), ["conv_id", "call_id"], "left")
     status = F.when(F.col("n").isNull(), "orphan").when(F.col("n_results").isNull(), "unanswered").when(F.col("r.turn") < F.col("turn"), "early").otherwise("linked")
     shape = ("conv_id", "turn", "call_id", "name", "arguments", "status", F.col("r.turn").alias("result_turn"), F.col("r.content").alias("content"), F.coalesce("n_results", F.lit(0)).cast("bigint").alias("n_results"), "order_turn", "order_step", "cyclic")
     rows = both.withColumn("status", status).select(*shape)
