@@ -151,6 +151,35 @@ def test_store(spark, docs, empty, tokenizer, tmp_path):
     assert store.stored(empty, store.default_tokenizer()).count() == 0
 
 
+def test_store_misses_what_is_gone(spark, docs, tmp_path):
+    import shutil
+
+    good = tmp_path / "good"
+    root = store.write(docs, f"file://{good}", store.default_tokenizer())
+    assert store.read(spark, f"file://{good}", root).count() == store.rebuilt(spark, f"file://{good}", root).count() == docs.count()
+    for k, reader in enumerate((store.read, store.rebuilt)):
+        with pytest.raises(Exception, match="root over all parts"):
+            reader(spark, f"file://{good}", "00" * 16).collect()
+        for table, says in (("recipes", "manifest"), ("manifest", "root over all parts"), ("chunks", "chunk that is missing")):
+            path = tmp_path / f"{table}{k}"
+            shutil.copytree(good, path)
+            max((path / table).glob("*.parquet"), key=lambda p: p.stat().st_size).unlink()
+            for crc in (path / table).glob(".*.crc"):
+                crc.unlink()
+            with pytest.raises(Exception, match=says):
+                reader(spark, f"file://{path}").collect()
+        path = f"file://{tmp_path}/short{k}"
+        shutil.copytree(good, path[7:])
+        chunks = spark.read.parquet(f"file://{good}/chunks")
+        chunks.where(chunks.n < chunks.agg({"n": "max"}).first()[0]).write.mode("overwrite").parquet(f"{path}/chunks")
+        with pytest.raises(Exception, match="chunk that is missing"):
+            reader(spark, path).collect()
+        bad = chunks.selectExpr("digest", "n", "case when n > 20 then concat(substr(ids, 3), X'0000') else ids end ids")
+        bad.write.mode("overwrite").parquet(f"{path}/chunks")
+        with pytest.raises(Exception, match="does not match its digest"):
+            reader(spark, path).collect()
+
+
 def shingles(t, k):
     w = _words(t)
     return frozenset(tuple(w[i : i + k]) for i in range(len(w) - k + 1)) if len(w) >= k else frozenset([tuple(w)] * bool(w))

@@ -4,8 +4,9 @@ Texts become ids with a public tokenizer, each document closed by an end id. A r
 document into chunks where its content says so, so that copies and near copies share chunks. Files, all Parquet under
 one folder: `chunks` (digest, n, ids: little-endian, `width` bytes each), every different chunk once; `recipes` (part,
 doc_id, start, n_tokens, digests, lens, root), in ascending doc_id order, parts are consecutive; `manifest` (part, docs,
-tokens, root), and over all parts one root. A document's root is the Merkle root of its chunks' digests, a part's that
-of its documents' roots. Readers recompute digests and roots and raise where files disagree.
+tokens, root), and over all parts one root, in `root` (parts, docs, tokens, root). A document's root is the Merkle root
+of its chunks' digests, a part's that of its documents' roots. Readers recompute digests and roots, compare the parts
+with the manifest and the manifest with the overall root, and raise where files disagree or are missing.
 
 For tokenizers like word_bpe_49k, whose tokens hold no white space and never join letters with signs, texts are cut into
 pieces first and each different piece is encoded once; that gives exactly the ids of the whole text.
@@ -276,32 +277,66 @@ def write(docs: DataFrame, path: str, tokenizer: str) -> str:
     recipes = written(recipes.repartitionByRange("start").sortWithinPartitions("start"), f"{path}/recipes")
     for x in ("staged", "ranged"):
         remove(spark, f"{path}/{x}")
-    manifest = written(_parts(recipes), f"{path}/manifest")
-    return merkle([bytes(r["root"]) for r in manifest.select("part", "root").orderBy("part").collect()]).hex()
+    parts = _gathered(written(_parts(recipes).drop("start"), f"{path}/manifest"))
+    whole = (len(parts), sum(p[1] for p in parts), sum(p[2] for p in parts), merkle([p[3] for p in parts]))
+    written(spark.createDataFrame([whole], _ROOT), f"{path}/root")
+    return whole[3].hex()
+
+
+_ROOT = "parts long, docs long, tokens long, root binary"
+_MANIFEST = "part int, docs long, tokens long, root binary"
+_RECIPES = "part int, doc_id long, start long, n_tokens long, digests array<binary>, lens array<int>, root binary"
+_CHUNKS = "digest binary, n int, ids binary"
+
+
+def _gathered(parts: DataFrame) -> list[tuple]:
+    """A row a part, in order: part, docs, tokens, root, and start where it is there."""
+    return sorted((*(r[c] for c in ("part", "docs", "tokens")), bytes(r["root"]), *r[4:]) for r in parts.collect())
+
+
+def _verified(spark: SparkSession, path: str, root: str | None) -> DataFrame:
+    """The recipes, after their parts agree with the manifest, and that with the store's root and with `root` if given."""
+    whole = spark.read.schema(_ROOT).parquet(f"{path}/root").collect()
+    manifest = _gathered(spark.read.schema(_MANIFEST).parquet(f"{path}/manifest"))
+    own = (len(manifest), sum(p[1] for p in manifest), sum(p[2] for p in manifest), merkle([p[3] for p in manifest]))
+    if [(*tuple(r)[:3], bytes(r["root"])) for r in whole] != [own] or root is not None and own[3].hex() != root:
+        raise ValueError("the manifest does not match the root over all parts")
+    recipes = spark.read.schema(_RECIPES).parquet(f"{path}/recipes")
+    found, at = _gathered(_parts(recipes).select("part", "docs", "tokens", "root", "start")), 0
+    if [p[:4] for p in found] != manifest:
+        named = sorted({p[0] for p in {*manifest} ^ {p[:4] for p in found}})
+        raise ValueError(f"the recipes of {len(named)} parts do not match the manifest, first of part {named[0]}")
+    for part, _, tokens, _, start in found:
+        if start != at:
+            raise ValueError(f"part {part} does not start where the one before it ends")
+        at += tokens
+    return recipes
 
 
 def _parts(recipes: DataFrame) -> DataFrame:
-    """part, docs, tokens, root: documents' roots in order."""
+    """part, docs, tokens, root, start: documents' roots in order, which follow each other without gaps."""
 
     def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows, m = [], Merkle()
         for b in batches:
-            for part, n, root in zip(*(b.column(c).to_pylist() for c in ("part", "n_tokens", "root")), strict=True):
+            for part, start, n, root in zip(*(b.column(c).to_pylist() for c in ("part", "start", "n_tokens", "root")), strict=True):
                 if not rows or rows[-1][0] != part:
                     if rows:
                         rows[-1][3] = m.root()
-                    rows.append([part, 0, 0, b""])
+                    rows.append([part, 0, 0, b"", start])
                     m = Merkle()
+                if start != rows[-1][4] + rows[-1][2]:
+                    raise ValueError(f"in part {part} a document that starts at {start} does not follow the one before it")
                 rows[-1][1] += 1
                 rows[-1][2] += n
                 m.add(root)
         if rows:
             rows[-1][3] = m.root()
-            p, d, t, r = zip(*rows, strict=True)
-            yield pa.RecordBatch.from_arrays([pa.array(p, pa.int32()), pa.array(d, pa.int64()), pa.array(t, pa.int64()), pa.array(r, pa.binary())], names=["part", "docs", "tokens", "root"])
+            p, d, t, r, a = zip(*rows, strict=True)
+            yield pa.RecordBatch.from_arrays([pa.array(p, pa.int32()), pa.array(d, pa.int64()), pa.array(t, pa.int64()), pa.array(r, pa.binary()), pa.array(a, pa.int64())], names=["part", "docs", "tokens", "root", "start"])
 
     slim = recipes.select("part", "start", "n_tokens", "root").repartition(F.col("part")).sortWithinPartitions("part", "start")
-    return slim.mapInArrow(fold, "part int, docs long, tokens long, root binary")
+    return slim.mapInArrow(fold, "part int, docs long, tokens long, root binary, start long")
 
 
 def _checked_chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -361,34 +396,45 @@ def _shares(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("start"), b.column("len"), pa.array(share.astype(np.int64))], names=["doc_id", "start", "len", "share"])
 
 
-def read(spark: SparkSession, path: str) -> DataFrame:
-    """doc_id, start, n_tokens, ids_crc32 of each document, from the store's files. Each stored chunk is read, verified
-    and summed once; a document's checksum follows from its chunks' by the algebra of CRC-32, so no ids are shuffled."""
-    chunks = spark.read.parquet(f"{path}/chunks").mapInArrow(_checked_chunks, "digest binary, n int, crc long")
-    uses = spark.read.parquet(f"{path}/recipes").mapInArrow(_uses, "doc_id long, start long, digest binary, len int, after long")
-    both = uses.join(chunks, "digest", "left").withColumn("crc", F.when(F.col("n") == F.col("len"), F.col("crc")).otherwise(F.raise_error(F.lit("a recipe names a chunk that is missing or of another length"))))
-    shares = both.select("doc_id", "start", "len", "after", "crc").mapInArrow(_shares, "doc_id long, start long, len int, share long")
+def _with_chunks(uses: DataFrame, chunks: DataFrame, value: str) -> DataFrame:
+    """uses with `value` of their chunks; raises where a chunk is missing or of another length."""
+    both = uses.join(chunks, "digest", "left")
+    return both.withColumn(value, F.when(F.col("n") == F.col("len"), F.col(value)).otherwise(F.raise_error(F.lit("a recipe names a chunk that is missing or of another length"))))
+
+
+_USES = "doc_id long, start long, digest binary, len int, after long"
+
+
+def read(spark: SparkSession, path: str, root: str | None = None) -> DataFrame:
+    """doc_id, start, n_tokens, ids_crc32 of each document, from the store's files, which must have the given root. Each
+    stored chunk is read, verified and summed once; a document's checksum follows from its chunks' by the algebra of
+    CRC-32, so no ids are shuffled."""
+    chunks = spark.read.schema(_CHUNKS).parquet(f"{path}/chunks").mapInArrow(_checked_chunks, "digest binary, n int, crc long")
+    uses = _verified(spark, path, root).mapInArrow(_uses, _USES)
+    shares = _with_chunks(uses, chunks, "crc").select("doc_id", "start", "len", "after", "crc").mapInArrow(_shares, "doc_id long, start long, len int, share long")
     return shares.groupBy("start").agg(F.max("doc_id").alias("doc_id"), F.sum("len").alias("n_tokens"), F.bit_xor("share").alias("ids_crc32")).select("doc_id", "start", "n_tokens", "ids_crc32")
 
 
-def rebuilt(spark: SparkSession, path: str) -> DataFrame:
-    """doc_id, start, ids (array<int>) of each document, put together from its chunks."""
-    r = spark.read.parquet(f"{path}/recipes").select("doc_id", "start", F.posexplode("digests").alias("k", "digest"))
-    c = spark.read.parquet(f"{path}/chunks").select("digest", "n", "ids")
+def rebuilt(spark: SparkSession, path: str, root: str | None = None) -> DataFrame:
+    """doc_id, start, ids (array<int>) of each document, put together from its chunks, with the checks of read()."""
 
     def numbers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            ids = [np.frombuffer(x, "<u2" if len(x) == 2 * n else "<u4").astype(np.int32) for x, n in zip(b.column("ids").to_pylist(), b.column("n").to_pylist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("start"), b.column("k"), pa.array(ids, pa.list_(pa.int32()))], names=["doc_id", "start", "k", "ids"])
-
-    parts = r.join(c, "digest").select("doc_id", "start", "k", "n", "ids").mapInArrow(numbers, "doc_id long, start long, k int, ids array<int>")
+            ids = []
+            for d, n, body in zip(*(b.column(c).to_pylist() for c in ("digest", "n", "ids")), strict=True):
+                if digest(body) != d:
+                    raise ValueError(f"chunk {d.hex()} does not match its digest")
+                ids.append(np.frombuffer(body, "<u2" if len(body) == 2 * n else "<u4").astype(np.int32))
+            yield pa.RecordBatch.from_arrays([b.column("digest"), pa.array(map(len, ids), pa.int32()), pa.array(ids, pa.list_(pa.int32()))], names=["digest", "n", "ids"])
+
+    chunks = spark.read.schema(_CHUNKS).parquet(f"{path}/chunks").mapInArrow(numbers, "digest binary, n int, ids array<int>")
+    parts = _with_chunks(_verified(spark, path, root).mapInArrow(_uses, _USES), chunks, "ids").select("doc_id", "start", (-F.col("after")).alias("k"), "ids")
     return parts.groupBy("doc_id", "start").agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("k", "ids"))), lambda x: x["ids"])).alias("ids"))
 
 
 def stored(docs: DataFrame, tokenizer: str) -> DataFrame:
     path = work_dir(docs.sparkSession, "store")
-    write(docs, path, tokenizer)
-    return read(docs.sparkSession, path)
+    return read(docs.sparkSession, path, write(docs, path, tokenizer))
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
