@@ -45,6 +45,26 @@ def test_hosts(spark):
     assert quality.stage(spark, spark.createDataFrame(rows, "doc_id long, text string, source string"), "").columns == ["doc_id", "text", "source"]
 
 
+def test_junk_of_mixed_hosts_leaves_the_pipeline(spark):
+    good, junk = " ".join(f"w{k}" for k in range(60)), " ".join(f"w{k} ###" for k in range(60))
+    dull = "\n".join([" ".join(f"v{j}" for j in range(60))] + [" ".join(f"u{j}" for j in range(3))] * 5)
+    rows = [(k, junk if k % 10 == 0 else good, f"mixed{k % 3}") for k in range(600)] + [(600 + k, junk if k == 0 else dull if k == 1 else good, "fine") for k in range(400)]
+    rows += [(1000, junk, None), (1001, good, None), (1002, "short", "fine")]
+    kept = {r["doc_id"] for r in quality.stage(spark, spark.createDataFrame(rows, "doc_id long, text string, source string"), "").collect()}
+    assert kept == {k for k in range(600) if k % 10} | set(range(600, 1000)) - {601} | {1001}, "the seldom failing host keeps its one failure of the symbols rule"
+
+
+def test_labelled_documents_in_the_pipeline(spark):
+    path = "/root/testdata/sf0.01"
+    docs, labels = (spark.read.parquet(f"{path}/{t}.parquet") for t in ("documents", "labels"))
+    soft = F.col("symbols_failed") | F.col("lines_failed") | F.col("length_failed")
+    m = quality.measures(docs).select("row.doc_id", "base_failed", soft.alias("soft_failed")).join(labels, "doc_id")
+    kept = {r["doc_id"] for r in quality.stage(spark, docs, path).select("doc_id").collect()}
+    rows = m.where("not base_failed").collect()
+    clean, junk = {r["doc_id"] for r in rows if r["quality"] == 1}, {r["doc_id"] for r in rows if r["quality"] == 0 and r["soft_failed"]}
+    assert clean and clean <= kept and junk and not junk & kept
+
+
 def test_no_python_runs_in_the_rules(docs):
     plan = quality.measures(docs)._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan and "Pandas" not in plan

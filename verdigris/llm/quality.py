@@ -2,7 +2,8 @@
 
 Each document is measured once; rule failures are summed by host; each host's failure rate is shrunk towards all hosts
 by a beta prior fitted to them (method of moments); a host whose shrunk rate passes the limit for any rule is strict,
-and a strict host's documents must pass every rule. Elsewhere only the base rules reject.
+and a strict host's documents must pass every rule. Elsewhere only the base rules reject. In the pipeline (`stage`) a
+failure of any other rule rejects too, but for hosts that fail that rule at most TRUSTED times as often as all documents.
 
 Defined cases: a null or blank text has no words and fails the base rule; null hosts form one host; repeated rows
 count as often as they occur; an empty table gives an empty result; other columns are carried along untouched.
@@ -21,6 +22,7 @@ BLANK = " \t\n\x0b\x0c\r"
 SYMBOLS = "#*$%&|<>"
 RULES = ("base", "symbols", "lines", "length")
 MAX_RATE = 0.9
+TRUSTED = 0.5
 MAX_STRENGTH = 1e4
 
 
@@ -76,7 +78,7 @@ def measures(docs: DataFrame, text: str = "text", host: str = "source") -> DataF
 
 
 def host_verdicts(measured: DataFrame, max_rate: float = MAX_RATE) -> DataFrame:
-    """host, docs, for each rule its failures and shrunk rate, strict."""
+    """host, docs, for each rule its failures, its rate over all documents and its shrunk rate, strict."""
     hosts = measured.groupBy("host").agg(F.count(F.lit(1)).alias("docs"), *(F.count_if(f"{r}_failed").alias(f"{r}_failures") for r in RULES))
     sums = hosts.agg(F.sum("docs").alias("n"), *(F.sum(f"{r}_failures").alias(f"{r}_f") for r in RULES), *(F.sum(F.col(f"{r}_failures") * F.col(f"{r}_failures") / F.col("docs")).alias(f"{r}_q") for r in RULES)).first()
     strict, rates = F.lit(False), {}
@@ -85,6 +87,7 @@ def host_verdicts(measured: DataFrame, max_rate: float = MAX_RATE) -> DataFrame:
         mean = f / n
         spread = q / n - mean * mean
         strength = min(MAX_STRENGTH, max(1.0, mean * (1 - mean) / spread - 1)) if spread > 1e-12 else MAX_STRENGTH
+        rates[f"{r}_mean"] = F.lit(mean)
         rates[f"{r}_rate"] = (F.col(f"{r}_failures") + mean * strength) / (F.col("docs") + strength)
         strict = strict | (rates[f"{r}_rate"] > max_rate)
     return hosts.withColumns(rates | {"strict": strict})
@@ -102,5 +105,13 @@ def judged(docs: DataFrame, text: str = "text", host: str = "source", max_rate:
 
 
 def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """docs without those that the rules reject."""
-    return judged(docs).where("kept").select("row.*")
+    """docs without those that the rules reject: failures of the base rules, and of any other rule where the host is not
+    known to fail it seldom. A document that fails no rule stays."""
+    m = written(measures(docs), work_dir(spark, "measures"))
+    v = host_verdicts(m)
+    trusted = {r: F.col(f"{r}_rate") <= TRUSTED * F.col(f"{r}_mean") for r in RULES[1:]}
+    v = v.select(F.col("host").alias("of"), *((trusted[r] & ~F.col("strict")).alias(f"{r}_trusted") for r in trusted))
+    kept = ~F.col("base_failed")
+    for r in trusted:
+        kept = kept & (~F.col(f"{r}_failed") | F.col(f"{r}_trusted"))
+    return m.join(v, F.col("host").eqNullSafe(F.col("of")), "left").where(kept).select("row.*")
