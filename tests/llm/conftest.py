@@ -34,3 +34,12 @@ def docs(spark, texts):
 @pytest.fixture(scope="session")
 def empty(docs):
     return docs.limit(0)
+
+
+@pytest.fixture(scope="session")
+def mirrored():
+    """A Thue-Morse word of a and b, and its complement: equal under every polynomial hash modulo a power of two."""
+    word = "a"
+    while len(word) < 2048:
+        word += word.translate({97: 98, 98: 97})
+    return word, word.translate({97: 98, 98: 97})

@@ -95,6 +95,26 @@ def test_encoder_equals_the_library(tokenizer, texts):
         assert ids[a:b].tolist() == [*tokenizer.encode(t or "", add_special_tokens=False).ids, 1]
 
 
+def test_mirrored_words_stay_apart(spark, tokenizer, mirrored, tmp_path):
+    """Words that collide under polynomial hashes, through the model, the store and the join."""
+    a, b = mirrored
+    rows = [(1, f"{a} tail"), (3, f"{b} tail"), (4, f"{a} {a} {b}"), (5, b), (6, f"{a} tail")]
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted(tuple(r) for r in ngram_join.joined(d).collect()) == brute_components(rows, 3, 90)
+    for r, w in zip(sorted((tuple(r)[:7] for r in lm.trained_and_scored(d).collect()), key=lambda r: r[0]), brute_lm(rows), strict=True):
+        assert r[:5] == w[:5] and r[5:] == pytest.approx(w[5:], rel=1e-9)
+    store.write(d, f"file://{tmp_path}/s", store.default_tokenizer())
+    assert [r["ids"] for r in store.rebuilt(spark, f"file://{tmp_path}/s").orderBy("start").collect()] == [[*tokenizer.encode(t, add_special_tokens=False).ids, 1] for _, t in rows]
+
+
+def test_encoder_survives_colliding_hashes(tokenizer, monkeypatch):
+    monkeypatch.setattr(store, "word_hashes", lambda data, starts, ends, fold=True: (ends - starts).astype(U) % U(5))
+    own, texts = store.Encoder(store.default_tokenizer()), ["some words of one length", "and others Four five, six", None, "<|endoftext|> <|ENDOFTEXT|>"]
+    for _ in range(2):
+        ids, offsets = own.encode(pa.array(texts))
+        assert [ids[a:b].tolist() for a, b in zip(offsets[:-1], offsets[1:], strict=True)] == [[*tokenizer.encode(t or "", add_special_tokens=False).ids, 1] for t in texts]
+
+
 def test_other_tokenizers_encode_text_by_text():
     import public_tokenizers
     from tokenizers import Tokenizer
@@ -180,6 +200,26 @@ def test_store_misses_what_is_gone(spark, docs, tmp_path):
             reader(spark, path).collect()
 
 
+def test_store_sees_changed_recipes(spark, docs, tmp_path):
+    good = f"file://{tmp_path}/good"
+    store.write(docs, good, store.default_tokenizer())
+    recipes = spark.read.parquet(f"{good}/recipes")
+    first, second, third = [r[0] for r in recipes.where("doc_id is not null").orderBy("start").select("doc_id").limit(3).collect()]
+    swapped = f"case doc_id when {first} then {third} when {third} then {first} else doc_id end doc_id"
+    changes = {
+        "gone": recipes.where(f"doc_id is null or doc_id <> {second}"), "swapped": recipes.selectExpr("part", swapped, *recipes.columns[2:]),
+        "moved": recipes.selectExpr("part", "doc_id", "start + 1 start", *recipes.columns[3:]), "lengths": recipes.selectExpr(*recipes.columns[:5], "reverse(lens) lens", "root"),
+    }
+    for name, table in changes.items():
+        path = f"file://{tmp_path}/{name}"
+        for x in ("chunks", "manifest", "root"):
+            spark.read.parquet(f"{good}/{x}").write.parquet(f"{path}/{x}")
+        table.write.parquet(f"{path}/recipes")
+        for reader in (store.read, store.rebuilt):
+            with pytest.raises(Exception, match="does not|do not"):
+                reader(spark, path).collect()
+
+
 def shingles(t, k):
     w = _words(t)
     return frozenset(tuple(w[i : i + k]) for i in range(len(w) - k + 1)) if len(w) >= k else frozenset([tuple(w)] * bool(w))

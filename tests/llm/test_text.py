@@ -32,8 +32,8 @@ def test_slices_of_arrays_and_long_texts():
     whole, _ = text.hashed(t)
     assert np.concatenate([text.hashed(p.column("text"))[0] for p in parts[: len(parts) - 2]]).size <= 2 * whole.size
     assert (text.hashed(t.slice(2))[0] == whole[2:]).all()
-    other = text.word_hashes(*_flat(pa.array(["Ab"])), text.EXACT)[0]
-    assert other != text.word_hashes(*_flat(pa.array(["ab"])), text.EXACT)[0] and text.hashed(pa.array(["Ab"]))[0][0] == text.hashed(pa.array(["ab"]))[0][0]
+    other = text.word_hashes(*_flat(pa.array(["Ab"])), fold=False)[0]
+    assert other != text.word_hashes(*_flat(pa.array(["ab"])), fold=False)[0] and text.hashed(pa.array(["Ab"]))[0][0] == text.hashed(pa.array(["ab"]))[0][0]
 
 
 def _flat(a):
@@ -42,6 +42,20 @@ def _flat(a):
     return data, starts, ends
 
 
+def test_words_that_collide_under_polynomials(mirrored):
+    words = [w[:n] for w in mirrored for n in (8, 16, 64, 65, 512, 1024, 2048)]
+    h = text.hashed(pa.array([" ".join(words), *words]))[0]
+    assert len(set(h.tolist())) == len(words) and (h[: len(words)] == h[len(words) :]).all()
+
+
+def test_equal_bytes():
+    raw = b"abcdefgh" * 20 + b"abcdefgX" + b"abcdefgh" * 19
+    x = text.eights(np.frombuffer(raw, np.uint8))
+    pairs = [(a, b, n) for a in (0, 1, 8) for b in (0, 8, 16, 168) for n in (0, 1, 7, 8, 9, 64, 65, 100, 150)]
+    a, b, n = (np.array(v) for v in zip(*pairs, strict=True))
+    assert text.same_bytes(x, a, x, b, n).tolist() == [raw[p : p + k] == raw[q : q + k] for p, q, k in pairs]
+
+
 def test_windows_are_local():
     h = text.hashed(pa.array(["a b c d a b c"]))[0]
     w = text.windows(h, 3)

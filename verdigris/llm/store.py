@@ -5,7 +5,7 @@ document into chunks where its content says so, so that copies and near copies s
 one folder: `chunks` (digest, n, ids: little-endian, `width` bytes each), every different chunk once; `recipes` (part,
 doc_id, start, n_tokens, digests, lens, root), in ascending doc_id order, parts are consecutive; `manifest` (part, docs,
 tokens, root), and over all parts one root, in `root` (parts, docs, tokens, root). A document's root is the Merkle root
-of its chunks' digests, a part's that of its documents' roots. Readers recompute digests and roots, compare the parts
+of its chunks' digests and lengths, a part's that of its documents' ids, starts, lengths and roots. Readers recompute digests and roots, compare the parts
 with the manifest and the manifest with the overall root, and raise where files disagree or are missing.
 
 For tokenizers like word_bpe_49k, whose tokens hold no white space and never join letters with signs, texts are cut into
@@ -20,7 +20,8 @@ from __future__ import annotations
 import hashlib
 import json
 import re
-from collections.abc import Iterator
+import struct
+from collections.abc import Iterable, Iterator
 from itertools import chain
 from zlib import crc32
 
@@ -30,7 +31,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from verdigris.llm.shared import remove, work_dir, written
-from verdigris.llm.text import EXACT, U, bounds, flat, mix, slices, word_hashes
+from verdigris.llm.text import LOWER, U, bounds, eights, flat, mix, same_bytes, slices, word_hashes
 
 END = 1
 LEAST, MASK_BITS, MOST, ROLL = 64, 8, 2048, 16
@@ -79,8 +80,11 @@ class Encoder:
         return kept and [x["type"] for x in steps] == _NORMALIZERS and cut[0].get("pattern") == {"Regex": _PATTERN} and cut[-1]["type"] == "ByteLevel" and not cut[-1]["add_prefix_space"]
 
     def _clear(self) -> None:
-        self.known, self.at, self.size = np.zeros(0, U), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        """By hash, sorted: where each piece's ids and its own bytes lie in the pools, and how many they are."""
+        self.known, (self.at, self.size, self.byte, self.length) = np.zeros(0, U), np.zeros((4, 0), np.int64)
         self.pool, self.used = np.zeros(1 << 16, np.uint32), 0
+        self.bytes, self.filled = np.zeros(1 << 16, np.uint8), 0
+        self.exact = self.folded = np.zeros(0, U)
 
     def _ids(self, pieces: list[str]) -> list[list[int]]:
         """A piece of Latin letters is one token sequence of the model; other pieces take the tokenizer's whole way."""
@@ -96,17 +100,24 @@ class Encoder:
             out[i] = e.ids
         return out
 
-    def _learn(self, hashes: np.ndarray, pieces: list[str]) -> None:
-        ids = self._ids(pieces)
-        size = np.fromiter(map(len, ids), np.int64, len(ids))
+    def _learn(self, hashes: np.ndarray, pieces: list[bytes]) -> None:
+        ids = self._ids([p.decode() for p in pieces])
+        size, length = (np.fromiter(map(len, x), np.int64, len(x)) for x in (ids, pieces))
         new = np.fromiter(chain.from_iterable(ids), np.uint32, int(size.sum()))
+        raw = np.frombuffer(b"".join(pieces), np.uint8)
         while self.used + len(new) > len(self.pool):
             self.pool = np.concatenate([self.pool, np.zeros_like(self.pool)])
+        while self.filled + len(raw) > len(self.bytes):
+            self.bytes = np.concatenate([self.bytes, np.zeros_like(self.bytes)])
         self.pool[self.used : self.used + len(new)] = new
-        at = self.used + size.cumsum() - size
+        self.bytes[self.filled : self.filled + len(raw)] = raw
+        rows = (self.used + size.cumsum() - size, size, self.filled + length.cumsum() - length, length)
         self.used += len(new)
+        self.filled += len(raw)
+        self.exact, self.folded = eights(self.bytes[: self.filled]), eights(LOWER[self.bytes[: self.filled]])
         to = np.searchsorted(self.known, hashes)
-        self.known, self.at, self.size = np.insert(self.known, to, hashes), np.insert(self.at, to, at), np.insert(self.size, to, size)
+        self.known = np.insert(self.known, to, hashes)
+        self.at, self.size, self.byte, self.length = (np.insert(x, to, y) for x, y in zip((self.at, self.size, self.byte, self.length), rows, strict=True))
 
     def _find(self, u: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Where the sorted hashes stand among the known ones, and which are unknown."""
@@ -116,20 +127,23 @@ class Encoder:
         hit[inside] = self.known[where[inside]] == u[inside]
         return where, np.flatnonzero(~hit)
 
+    def _whole(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        own = [e.ids for e in self.tokenizer.encode_batch_fast([t or "" for t in texts.to_pylist()], add_special_tokens=False)]
+        stops = np.concatenate([[0], np.cumsum([len(x) + 1 for x in own])]).astype(np.int64)
+        return np.fromiter((i for x in own for i in (*x, END)), np.uint32, int(stops[-1])), stops
+
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        """All ids with the end ids, and where each text's begin (one more at the end)."""
+        """All ids with the end ids, and where each text's begin (one more at the end). Pieces are looked up by their
+        hashes and then held against the bytes that were encoded; where any differ, all these texts are encoded whole."""
         if not self.by_pieces:
-            own = [e.ids for e in self.tokenizer.encode_batch_fast([t or "" for t in texts.to_pylist()], add_special_tokens=False)]
-            stops = np.concatenate([[0], np.cumsum([len(x) + 1 for x in own])]).astype(np.int64)
-            return np.fromiter((i for x in own for i in (*x, END)), np.uint32, int(stops[-1])), stops
+            return self._whole(texts)
         data, offsets = flat(texts)
         starts, ends, first = bounds(data, offsets, _KIND)
-        h = word_hashes(data, starts, ends)
-        odd = data == 60  # special tokens hold a < and are told from their capitals
-        if odd.any():
-            n = np.concatenate([[0], np.cumsum(odd)])
-            rows = np.flatnonzero(n[ends] > n[starts])
-            h[rows] = mix(word_hashes(data, starts[rows], ends[rows], EXACT) + U(END))
+        h, odd = word_hashes(data, starts, ends), np.zeros(0, np.int64)
+        if (data == 60).any():  # special tokens hold a < and are told from their capitals
+            n = np.concatenate([[0], np.cumsum(data == 60)])
+            odd = np.flatnonzero(n[ends] > n[starts])
+            h[odd] = mix(word_hashes(data, starts[odd], ends[odd], fold=False) + U(END))
         u = np.sort(h)
         u = u[np.concatenate([[True], u[1:] != u[:-1]])] if len(u) else u
         at = np.searchsorted(u, h)
@@ -138,12 +152,14 @@ class Encoder:
             if len(self.known) + len(new) > WORDS:
                 self._clear()
                 where, new = self._find(u)
-            one = np.zeros(len(u), np.int64)
+            one, raw = np.zeros(len(u), np.int64), data.tobytes()
             one[at] = np.arange(len(h))
-            raw = data.tobytes()
-            self._learn(u[new], [raw[starts[i] : ends[i]].decode() for i in one[new]])
+            self._learn(u[new], [raw[starts[i] : ends[i]] for i in one[new]])
             where, _ = self._find(u)
-        k = where[at]
+        k, length = where[at], ends - starts
+        same = (self.length[k] == length).all() and same_bytes(eights(LOWER[data]), starts, self.folded, self.byte[k], length).all()
+        if not same or len(odd) and not same_bytes(eights(data), starts[odd], self.exact, self.byte[k[odd]], length[odd]).all():
+            return self._whole(texts)
         size = self.size[k]
         to = np.zeros(len(h) + 1, np.int64)
         np.cumsum(size, out=to[1:])
@@ -212,13 +228,21 @@ class Merkle:
         return out
 
 
-def merkle(leaves: list[bytes]) -> bytes:
+def merkle(leaves: Iterable[bytes]) -> bytes:
     m = Merkle()
     for x in leaves:
         m.add(x)
     return m.root()
 
 
+def recipe_root(digests: list[bytes], lens: list[int]) -> bytes:
+    return merkle(d + n.to_bytes(4, "little") for d, n in zip(digests, lens, strict=True))
+
+
+def document_leaf(doc_id: int | None, start: int, n_tokens: int, root: bytes) -> bytes:
+    return struct.pack("<?qqq", doc_id is not None, doc_id or 0, start, n_tokens) + root
+
+
 _STAGED = "doc_id long, n_tokens long, digests array<binary>, lens array<int>, root binary, bodies array<binary>"
 
 
@@ -238,7 +262,8 @@ def _encoded(docs: DataFrame, tokenizer: str) -> DataFrame:
                     seen.add(d)
                 if len(seen) > SEEN:
                     seen = set()
-                rows.append((ends[-1] - a, names, [y - x for x, y in zip([a, *ends[:-1]], ends, strict=True)], merkle(names), bodies))
+                sizes = [y - x for x, y in zip([a, *ends[:-1]], ends, strict=True)]
+                rows.append((ends[-1] - a, names, sizes, recipe_root(names, sizes), bodies))
             n, names, lens, roots, bodies = zip(*rows, strict=True)
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(n, pa.int64()), pa.array(names, pa.list_(pa.binary())), pa.array(lens, pa.list_(pa.int32())), pa.array(roots, pa.binary()), pa.array(bodies, pa.list_(pa.binary()))], names=["doc_id", "n_tokens", "digests", "lens", "root", "bodies"])
 
@@ -314,12 +339,12 @@ def _verified(spark: SparkSession, path: str, root: str | None) -> DataFrame:
 
 
 def _parts(recipes: DataFrame) -> DataFrame:
-    """part, docs, tokens, root, start: documents' roots in order, which follow each other without gaps."""
+    """part, docs, tokens, root, start: the root over the documents in order, which follow each other without gaps."""
 
     def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows, m = [], Merkle()
         for b in batches:
-            for part, start, n, root in zip(*(b.column(c).to_pylist() for c in ("part", "start", "n_tokens", "root")), strict=True):
+            for part, doc, start, n, root in zip(*(b.column(c).to_pylist() for c in ("part", "doc_id", "start", "n_tokens", "root")), strict=True):
                 if not rows or rows[-1][0] != part:
                     if rows:
                         rows[-1][3] = m.root()
@@ -329,13 +354,13 @@ def _parts(recipes: DataFrame) -> DataFrame:
                     raise ValueError(f"in part {part} a document that starts at {start} does not follow the one before it")
                 rows[-1][1] += 1
                 rows[-1][2] += n
-                m.add(root)
+                m.add(document_leaf(doc, start, n, root))
         if rows:
             rows[-1][3] = m.root()
             p, d, t, r, a = zip(*rows, strict=True)
             yield pa.RecordBatch.from_arrays([pa.array(p, pa.int32()), pa.array(d, pa.int64()), pa.array(t, pa.int64()), pa.array(r, pa.binary()), pa.array(a, pa.int64())], names=["part", "docs", "tokens", "root", "start"])
 
-    slim = recipes.select("part", "start", "n_tokens", "root").repartition(F.col("part")).sortWithinPartitions("part", "start")
+    slim = recipes.select("part", "doc_id", "start", "n_tokens", "root").repartition(F.col("part")).sortWithinPartitions("part", "start")
     return slim.mapInArrow(fold, "part int, docs long, tokens long, root binary, start long")
 
 
@@ -355,7 +380,7 @@ def _uses(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         out: list[list] = [[], [], [], [], []]
         for doc, start, n, names, lens, root in zip(*(b.column(c).to_pylist() for c in ("doc_id", "start", "n_tokens", "digests", "lens", "root")), strict=True):
-            if merkle(names) != root or sum(lens) != n:
+            if recipe_root(names, lens) != root or sum(lens) != n:
                 raise ValueError(f"the recipe of document {doc} does not match its root")
             after = n
             for d, x in zip(names, lens, strict=True):

@@ -1,12 +1,14 @@
 """Words and their hashes, for whole Arrow columns at once.
 
 A word is a maximal run of bytes other than space and 09-0D; none of these occurs inside a UTF-8 sequence, so bytes
-are enough. A word's 64-bit hash folds A-Z into a-z (unless asked not to). Hashes stand for words and shingles throughout: two different
-ones agree with a probability of about 2**-64.
+are enough. A word's 64-bit hash folds A-Z into a-z (unless asked not to). Hashes stand for words and shingles inside a
+text or a pair of texts: two different ones agree with a probability of about 2**-64. What identifies texts among all texts
+(classes, regions, items) has 128 bits.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -16,7 +18,8 @@ import pyarrow.compute as pc
 U = np.uint64
 SPACE = np.zeros(256, bool)
 SPACE[[9, 10, 11, 12, 13, 32]] = True
-_BASE = 0x9E3779B97F4A7C15 | 1
+#: Words up to so many bytes are hashed together; longer ones, of which a text holds few, one by one.
+SHORT = 64
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -28,25 +31,15 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> U(31))
 
 
-def _table(fold: bool) -> np.ndarray:
-    low = np.arange(256)
-    low[65:91] += 32 * fold
-    return mix((low.astype(U) + U(1)) * U(0xD1B54A32D192ED03))
+LOWER = np.arange(256, dtype=np.uint8)
+LOWER[65:91] += 32
+_FIRST_BYTES = np.array([(1 << 8 * n) - 1 for n in range(9)], U)
 
 
-FOLDED, EXACT = _table(True), _table(False)
-_powers = [np.ones(1, U), np.ones(1, U)]
-
-
-def powers(n: int) -> list[np.ndarray]:
-    """_BASE and its inverse to the powers 0..n-1, modulo 2**64."""
-    if len(_powers[0]) < n:
-        for k, b in enumerate((_BASE, pow(_BASE, -1, 1 << 64))):
-            x = np.full(n, b, U)
-            x[0] = 1
-            np.multiply.accumulate(x, out=x)
-            _powers[k] = x
-    return _powers
+def eights(data: np.ndarray) -> np.ndarray:
+    """The 8 bytes from each place on, zeros after the end."""
+    padded = np.concatenate([data, np.zeros(8, np.uint8)])
+    return np.ndarray(len(data) + 1, "<u8", padded, strides=(1,))
 
 
 def flat(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -85,14 +78,35 @@ def bounds(data: np.ndarray, offsets: np.ndarray, kinds: np.ndarray | None = Non
     return starts, ends, np.searchsorted(starts, offsets)
 
 
-def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, table: np.ndarray = FOLDED) -> np.ndarray:
-    """A hash of each word; with the table EXACT, capital letters count as other letters."""
+def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, fold: bool = True) -> np.ndarray:
+    """A hash of each word; unless folded, capital letters count as other letters. Each 8 bytes are mixed in one after
+    the other, which is no polynomial in the letters, so that no family of words collides by its structure."""
     if not len(starts):
         return np.zeros(0, U)
-    up, down = powers(len(data))
-    total = np.zeros(len(data) + 1, U)
-    np.cumsum(table[data] * up[: len(data)], out=total[1:])
-    return mix((total[ends] - total[starts]) * down[starts] + (ends - starts).astype(U))
+    data = LOWER[data] if fold else data
+    parts, size = eights(data), ends - starts
+    h, rows, k = mix(size.astype(U) + U(0x9E3779B97F4A7C15)), np.flatnonzero(size <= SHORT), 0
+    while len(rows):
+        x = parts[starts[rows] + k] & _FIRST_BYTES[np.minimum(size[rows] - k, 8)]
+        h[rows] = mix(h[rows] ^ x * U(0xD1B54A32D192ED03))
+        k += 8
+        rows = rows[size[rows] > k]
+    for i in np.flatnonzero(size > SHORT).tolist():
+        h[i] = int.from_bytes(hashlib.blake2b(data[starts[i] : ends[i]], digest_size=8).digest(), "little")
+    return h
+
+
+def same_bytes(x: np.ndarray, starts: np.ndarray, y: np.ndarray, at: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """For each pair of stretches of `size` bytes whether they are equal; x, y: eights() of the two arrays they lie in."""
+    same, rows, k = np.ones(len(size), bool), np.flatnonzero(size <= SHORT), 0
+    while len(rows):
+        same[rows] &= (x[starts[rows] + k] ^ y[at[rows] + k]) & _FIRST_BYTES[np.minimum(size[rows] - k, 8)] == 0
+        k += 8
+        rows = rows[size[rows] > k]
+    for i in np.flatnonzero(size > SHORT).tolist():
+        a, b, n = int(starts[i]), int(at[i]), int(size[i])
+        same[i] = np.array_equal(x[a : a + n - 7 : 8], y[b : b + n - 7 : 8]) and x[a + n - 8] == y[b + n - 8]
+    return same
 
 
 def hashed(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
