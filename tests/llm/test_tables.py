@@ -147,12 +147,14 @@ def test_tool_calls(spark):
         (1, 9, "a", "add", "{}", []), (2, 0, "p", "sub", "{}", ["q"]), (2, 0, "q", "add", None, ["p"]), (3, 5, None, "add", '{"x":NaN}', None), (None, 1, "n", "add", "[1]", []), (2, 3, "self", "add", '{"x":true}', ["self"]),
     ]
     results = [(1, 1, "a", "two"), (1, 3, "a", "one"), (1, 1, "b", "early"), (1, 9, "zz", None), (2, 1, "p", ""), (2, 2, None, "lost")]
-    got = toolcalls.linked(spark.createDataFrame(calls, CALL), spark.createDataFrame(results, RESULT), SCHEMAS, max_steps=8)
+    got = toolcalls.linked(spark.createDataFrame(calls, CALL), spark.createDataFrame(results, RESULT), SCHEMAS)
     r = {(x["conv_id"], x["call_id"], x["status"] == "repeated"): x for x in got.collect()}
     assert got.count() == 12
     at = lambda *k: r[(*k, False)]
     assert [at(1, c)["status"] for c in "abcd"] == ["linked", "early", "unanswered", "unanswered"] and at(1, "zz")["status"] == "orphan"
-    assert (1, "a", True) in r and at(2, None)["status"] == "orphan" and at(3, None)["status"] == "unanswered" and at(None, "n")["status"] == "unanswered"
+    again = r[1, "a", True]
+    assert (again["turn"], again["name"], again["fault"], again["json"]) == (9, "add", "$.x: required", '{"arguments":{},"id":"a","name":"add","result":null}') and again["order_turn"] is None
+    assert at(2, None)["status"] == "orphan" and at(3, None)["status"] == "unanswered" and at(None, "n")["status"] == "unanswered"
     assert (at(1, "a")["result_turn"], at(1, "a")["n_results"], at(1, "a")["fault"]) == (1, 2, None)
     assert [at(1, c)["fault"] for c in "bcd"] == ["$.x: range", "$: not JSON", "$.y: unknown"] and at(2, "p")["fault"] == "$: no schema"
     assert at(2, "q")["fault"] == "$: not JSON" and at(3, None)["fault"] == "$: not JSON" and at(2, "self")["fault"] == "$.x: type"
@@ -174,7 +176,56 @@ def test_long_chains_are_ordered_beside_cycles(spark):
     r = {(x["conv_id"], x["call_id"]): (x["order_turn"], x["order_step"], x["cyclic"]) for x in got.collect()}
     assert all(r[1, f"c{k}"] == (3, k, False) for k in range(150)) and all(r[2, f"c{k}"] == (200, k, False) for k in range(90))
     assert all(r[3, f"c{k}"] == (None, k, False) for k in range(40)) and all(r[5, f"c{k}"] == (2 * k, 0, False) for k in range(50))
-    assert [r[4, c] for c in ("p", "q", "behind", "later", "free", "x")] == [(0, 0, True), (2, 0, True), (1, 0, True), (7, 0, True), (1, 0, False), (0, 0, False)]
+    assert [r[4, c] for c in ("p", "q", "behind", "later", "free", "x")] == [(0, 0, True), (2, 0, True), (1, 0, True), (7, 0, False), (1, 0, False), (0, 0, False)]
+
+
+def brute_tangles(spans):
+    out = []
+    for conv in {c for c, _, _ in spans}:
+        open_, first = None, None
+        for at, reach in sorted((a, r) for c, a, r in spans if c == conv):
+            if open_ is None or open_ < at:
+                first = at
+            if reach is not None:
+                open_ = reach if open_ is None else max(open_, reach)
+            if open_ is not None and open_ >= at:
+                out.append((conv, at, first))
+    return sorted(out)
+
+
+def test_tangles_of_long_conversations(spark, monkeypatch):
+    r = np.random.default_rng(4)
+    spans = [(c, int(a), int(a + r.integers(0, reach)) if r.random() < share else None) for c, n, reach, share in ((1, 300, 4, 0.2), (2, 300, 60, 0.05), (3, 50, 400, 0.1), (4, 5, 1, 1.0)) for a in sorted(set(r.integers(-50, 900, n).tolist()))]
+    spans += [(5, toolcalls._FIRST, toolcalls._FIRST), (5, 0, None), (5, 3, 7), (5, 7, None), (5, 8, None)]
+    for turns in (4096, 16, 1):
+        monkeypatch.setattr(toolcalls, "TURNS", turns)
+        assert sorted(tuple(x) for x in toolcalls.tangles(spark.createDataFrame(spans, "conv_id long, at long, reach long")).collect()) == brute_tangles(spans)
+
+
+def test_calls_that_no_parser_likes(spark):
+    deep = "[" * 100_000 + "]" * 100_000
+    schemas = {"any": {}, "whole": {"properties": {"a": {"type": "integer", "minimum": 0}}}}
+    odd = [
+        ('{"a":1e999}', "$: number"), ('{"a":-1e999}', "$: number"), ('{"a":"\\ud800"}', None), (deep, "$: depth"), ('{"a":' + deep + "}", "$: depth"), ('{"a":' + "7" * 400 + "}", None), ('{"a":' + "7" * 5000 + "}", "$: number"), ('{"\\udfff":1}', None),
+        ("{", "$: not JSON"), ("", "$: not JSON"), ("[[]]", "$: type"), ('{"a":"' + "[" * 5000 + '"}', None), ('{"a":1,"a":-0.0}', None), ('{"a":Infinity}', "$: not JSON"), ("é" * 100_000, "$: not JSON"), ('{"a":"' + "x" * 3_000_000 + '"}', None),
+    ]
+    calls = [(1, k, f"c{k}", "any", a, None) for k, (a, _) in enumerate(odd)] + [(2, 0, "int", "whole", odd[5][0], None), (2, 1, "sur", "whole", '{"a":"\\ud800"}', [None, "int"])]
+    got = {(r["conv_id"], r["call_id"]): r for r in toolcalls.linked(spark.createDataFrame(calls, CALL), spark.createDataFrame([], RESULT), schemas).collect()}
+    assert [got[1, f"c{k}"]["fault"] for k in range(len(odd))] == [f for _, f in odd]
+    assert got[2, "int"]["fault"] is None and got[2, "sur"]["fault"] == "$.a: type" and json.loads(got[1, "c2"]["json"])["arguments"] == {"a": "\ud800"}
+    assert json.loads(got[1, "c5"]["json"])["arguments"]["a"] == int("7" * 400) and '{"a":0}' in got[1, "c12"]["json"]
+    for bad in ({"x": {"type": "float"}}, {"x": {"items": {"type": ["null", "int"]}}}, {"x": {"properties": {"y": {"type": "any"}}}}):
+        with pytest.raises(ValueError, match="unknown type"):
+            toolcalls.linked(spark.createDataFrame(calls, CALL), spark.createDataFrame([], RESULT), bad)
+
+
+def test_chats_as_calls_hold_every_case(spark):
+    """The query's own rows order calls inside turns and across them, hold cycles and break schemas."""
+    from verdigris.llm.queries import op1_tool_calls
+
+    r = op1_tool_calls(spark, "/root/testdata/sf0.01").collect()
+    assert {x["order_step"] for x in r} >= {0, 1, 2} and {x["cyclic"] for x in r} >= {True, False} and any(x["order_turn"] != x["turn"] for x in r if x["turn"] is not None)
+    assert {x["fault"] for x in r} >= {None, "$.text: length", "$.even: enum", "$.length: range"} and {x["status"] for x in r} >= {"linked", "unanswered", "orphan"}
 
 
 def test_calls_in_messages(spark):

@@ -89,13 +89,21 @@ from f join v on f.source is not distinct from v.source"""
 
 
 OP1_SQL = r"""
-with c as (select conv_id, turn, concat(conv_id, ':', turn) as call_id, text, len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')) as words from conversations where role = 'user'),
-r as (select conv_id, concat(conv_id, ':', turn - 1) as call_id, min(turn) as turn, arg_min(text, (turn, text)) as content, count(*) as n from conversations where role = 'assistant' group by 1, 2)
-select coalesce(c.conv_id, r.conv_id) as conv_id, c.turn, coalesce(c.call_id, r.call_id) as call_id, case when c.call_id is not null then 'answer' end as name,
-  case when c.call_id is null then 'orphan' when r.call_id is null then 'unanswered' else 'linked' end as status, r.turn as result_turn, coalesce(r.n, 0) as n_results,
-  c.turn as order_turn, case when c.call_id is not null then cast(0 as integer) end as order_step, case when c.call_id is not null then false end as cyclic,
-  case when c.call_id is null then null when length(text) > 1500 then '$.text: length' when words < 1 then '$.words: range' end as fault,
-  concat('{"arguments":', case when c.call_id is null then 'null' else concat('{"text":', to_json(text), ',"words":', words, '}') end, ',"id":"', coalesce(c.call_id, r.call_id), '","name":', case when c.call_id is null then 'null' else '"answer"' end,
+with u as (select conv_id, turn, text, len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')) as w from conversations where role = 'user'),
+n as (select u.*, u.w % 15 = 0 as knot, u.w % 7 = 0 and u.w % 5 <> 0 and x.turn is not null as waits, x.turn as next_turn, x.w % 15 = 0 as next_knot, x.w % 5 = 0 as next_late
+  from u left join u x on x.conv_id = u.conv_id and x.turn = u.turn + 2),
+c as (select conv_id, turn, concat(conv_id, ':', turn) as call_id, 'answer' as name, turn as order_turn, case when w % 5 = 0 and not knot then 1 else 0 end as order_step, knot as cyclic,
+    case when length(text) > 200 then '$.text: length' when w < 1 then '$.words: range' end as fault, concat('{"text":', to_json(text), ',"words":', w, '}') as arguments from n
+  union all
+  select conv_id, turn, concat(conv_id, ':', turn, ':note'), 'note', case when waits and not next_knot then next_turn else turn end,
+    case when knot or waits and next_knot then 0 when waits then case when next_late then 2 else 1 end when w % 3 = 0 then 1 else 0 end, knot or waits and next_knot,
+    case when w % 2 <> 0 then '$.even: enum' when length(text) > 150 then '$.length: range' end, concat('{"even":', w % 2 = 0, ',"length":', length(text), '}') from n),
+r as (select conv_id, call_id, min(turn) as turn, arg_min(text, (turn, text)) as content, count(*) as n
+  from (select conv_id, turn, text, case role when 'user' then concat(conv_id, ':', turn - 2, ':note') else concat(conv_id, ':', turn - 1) end as call_id from conversations where role in ('user', 'assistant')) group by 1, 2)
+select coalesce(c.conv_id, r.conv_id) as conv_id, c.turn, coalesce(c.call_id, r.call_id) as call_id, c.name,
+  case when c.call_id is null then 'orphan' when r.call_id is null then 'unanswered' when r.turn < c.turn then 'early' else 'linked' end as status, r.turn as result_turn, coalesce(r.n, 0) as n_results,
+  c.order_turn, cast(c.order_step as integer) as order_step, c.cyclic, c.fault,
+  concat('{"arguments":', coalesce(c.arguments, 'null'), ',"id":"', coalesce(c.call_id, r.call_id), '","name":', case when c.call_id is null then 'null' else concat('"', c.name, '"') end,
     ',"result":', case when r.call_id is null then 'null' else concat('{"content":', to_json(content), ',"turn":', r.turn, '}') end, '}') as json
 from c full join r on c.conv_id = r.conv_id and c.call_id = r.call_id
 """
