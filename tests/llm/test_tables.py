@@ -104,36 +104,84 @@ def test_targets(sizes):
 def test_permutation(n):
     p = mixing.permuted(np.arange(n), n, 12345)
     assert sorted(p.tolist()) == list(range(n)) and (n < 255 or (p != np.arange(n)).mean() > 0.9)
+def brute_taken(rows, goals, block):
+    """Words taken of each document: each source's words in order, cut to blocks, gone through as permuted."""
+    out = []
+    for source, goal in goals.items():
+        own = sorted((r for r in rows if r[1] == source), key=lambda r: r[2])
+        words = [k for k, r in enumerate(own) for _ in range(r[3])]
+        parts = [words[a : a + block] for a in range(0, len(words), block)]
+        full, got, epoch = len(words) // block, [], 0
+        while len(got) < goal and parts:
+            order = mixing.permuted(np.arange(full), full, mixing.SEED + list(goals).index(source) * 1_000_003 + epoch).tolist() + list(range(full, len(parts)))
+            for p in order:
+                got += parts[p][: goal - len(got)]
+            epoch += 1
+        taken = Counter(got)
+        out += [(r[0], source, r[3], taken[k]) for k, r in enumerate(own)]
+    return sorted(out, key=repr)
+
+
 
 
 @pytest.mark.parametrize("block", [4, 256, 10**6])
-def test_mixing(docs, empty, block):
-    runs = [sorted((tuple(r) for r in mixing.mixed(docs, block=block, carry=["doc_id", "source"]).select("row.doc_id", "row.source", "size", "source_size", "target", "taken").collect()), key=repr) for _ in range(2)]
+def test_mixing(docs, empty, block, monkeypatch):
+    columns = ("doc_id", "name", "unnamed", "size", "source_size", "target", "taken")
+    runs = [sorted((tuple(r) for r in mixing.mixed(docs, block=block).select(*columns).collect()), key=repr)]
+    monkeypatch.setattr(mixing, "SOURCES_PER_BUCKET", 2)
+    monkeypatch.setattr(mixing, "SLOTS_PER_TASK", 7)
+    runs.append(sorted((tuple(r) for r in mixing.mixed(docs.repartition(5), block=block).select(*columns).collect()), key=repr))
     assert runs[0] == runs[1] and len(runs[0]) == docs.count()
     words = Counter(len(_words(r["text"])) for r in docs.collect())
-    assert Counter(r[2] for r in runs[0]) == words
+    assert Counter(r[3] for r in runs[0]) == words
     by = defaultdict(lambda: [0, 0, 0.0])
-    for _, source, size, total, target, taken in runs[0]:
-        assert taken <= 3 * size
+    for _, name, unnamed, size, total, target, taken in runs[0]:
+        source = None if unnamed else name
+        assert taken <= 3 * size and total >= size
         by[source][0] += size
         by[source][1] += taken
         by[source][2] = target
-        assert total >= size
     names = sorted(by, key=lambda s: (s is None, s or ""))
+    groups = mixing.LEAST_GROUPS
+    order = docs.select("doc_id", "source", F.pmod(F.xxhash64("doc_id", F.xxhash64(F.coalesce("text", F.lit("")))), F.lit(groups)).alias("g"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("h"), "text")
+    rows = [(r["doc_id"], r["source"], (r["g"], r["doc_id"] is not None, r["doc_id"] or 0, len(_words(r["text"])), r["h"]), len(_words(r["text"]))) for r in order.collect()]
+    goals = {s: min(int(by[s][2] + 0.5), 3 * by[s][0]) for s in names}
+    got = sorted(((r[0], None if r[2] else r[1], r[3], r[6]) for r in runs[0]), key=repr)
+    assert got == brute_taken(rows, goals, block)
     assert mixing.targets([by[s][0] for s in names]) == pytest.approx([by[s][2] for s in names])
     assert all(abs(taken - target) <= 1 for _, taken, target in by.values())
     assert mixing.mixed(empty).count() == 0 and mixing.mixed(docs.withColumn("text", F.lit(None).cast("string"))).where("taken <> 0").count() == 0
 
 
-def test_slots_follow_shards(spark):
-    s = mixing.slots(spark, [1000, 300, 0], [1700, 600, 0], block=32, shards=5).collect()
-    taken = Counter()
-    for r in s:
-        taken[r["s"]] += r["words"]
-    assert taken == {0: 1700, 1: 600}
-    per = Counter(r["shard"] for r in s)
-    assert set(per) == set(range(5)) and max(per.values()) - min(per.values()) <= 5
-    assert all(sorted(r["slot"] for r in s if r["s"] == k) == list(range(sum(r["s"] == k for r in s))) for k in (0, 1))
+def test_mixing_stage(spark, docs):
+    m = Counter()
+    for r in mixing.mixed(docs).collect():
+        m[r["doc_id"], r["h"]] += int(r["taken"] / max(r["size"], 1) + 0.5)
+    got = mixing.stage(spark, docs, "")
+    assert got.columns == docs.columns
+    key = F.xxhash64(F.coalesce("text", F.lit("")))
+    assert Counter((r[0], r[1]) for r in got.select("doc_id", key).collect()) == +m and set(map(tuple, got.collect())) <= set(map(tuple, docs.collect()))
+
+
+def test_many_sources(spark):
+    """Targets of a table of sources equal those of a list, where many rounds are needed too."""
+    r = np.random.default_rng(3)
+    for sizes in ([int(4.0**k) for k in range(20)], r.integers(0, 1000, 3000).tolist(), [0, 0], [7], []):
+        t = mixing.shared(spark.createDataFrame(list(enumerate(sizes)), "i long, size long")).orderBy("i").collect()
+        assert [x["target"] for x in t] == pytest.approx(mixing.targets(sizes), rel=1e-9)
+
+
+def test_slots_follow_shards(spark, monkeypatch):
+    for per_bucket in (4096, 1):
+        monkeypatch.setattr(mixing, "SOURCES_PER_BUCKET", per_bucket)
+        s = mixing.slots(spark.createDataFrame([(0, 1000, 1700), (1, 300, 600), (2, 0, 0)], "i long, size long, goal long"), block=32, shards=5).collect()
+        taken = Counter()
+        for r in s:
+            taken[r["i"]] += r["words"]
+        assert taken == {0: 1700, 1: 600}
+        per = Counter(r["shard"] for r in s)
+        assert set(per) == set(range(5)) and max(per.values()) - min(per.values()) <= 5
+        assert all(sorted(r["slot"] for r in s if r["i"] == k) == list(range(sum(r["i"] == k for r in s))) for k in (0, 1))
 
 
 SCHEMAS = {"add": {"type": "object", "required": ["x"], "properties": {"x": {"type": "integer", "minimum": 0}, "tags": {"type": "array", "items": {"type": "string"}, "maxItems": 2}}, "additionalProperties": False}}

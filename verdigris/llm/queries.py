@@ -34,8 +34,7 @@ def op5_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    m = mixing.mixed(documents(spark, sf_dir), carry=["doc_id"])
-    return m.select("row.doc_id", "size", "source_size", "target", "taken")
+    return mixing.mixed(documents(spark, sf_dir)).select("doc_id", "size", "source_size", "target", "taken")
 
 
 def op7_host_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
