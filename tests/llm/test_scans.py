@@ -91,3 +91,36 @@ def test_secret_literals_are_whole():
 def test_long_secrets_take_linear_time():
     for t in ("auth=" * 40_000, "x=token=" * 30_000, "auth=-----BEGIN A-----" * 10_000, "auth=-----BEGIN A-----" * 10_000 + "-----END A-----", "token='" * 30_000, 'auth="""' * 30_000, "pwd=aaaa" * 30_000):
         secrets.find(t)
+
+
+V, W = "zX9kq27LmPw4", "Qr5vT81nBc0d"
+SYNTAX = [
+    # strings, escapes, prefixes, three quotes, joined and adjacent strings
+    ('token = "ab\\\\\\"c1d2e3f4"', ['ab\\\\\\"c1d2e3f4']), (f'k = "x\\"{V}"\napi_key = k', [f'x\\"{V}']), (f"api_key = r'{V}'", [V]), (f'secret = f"""{V}\nmore"""', [f"{V}\nmore"]), (f"const apiKey: string = `{V}`;", [V]),
+    (f'password = "{V[:6]}" + "{V[6:]}"', [V[:6], V[6:]]), (f'password = ("{V[:6]}"\n            "{V[6:]}")', [V[:6], V[6:]]), (f'$password = "{V[:6]}" . "{V[6:]}";', [V[:6], V[6:]]), (f'token = "{V[:6]}" \\\n  "{V[6:]}"', [V[:6], V[6:]]),
+    (f'a = "{V[:6]}"\nb = "{V[6:]}"\ntoken = a + b', [V[:6], V[6:]]), (f'a = "{V}"\nb = a\nc = b\ntoken = c', [V]), (f'base = "{V}"\nsecret = base + "-tail"', [V, "-tail"]), (f'String pwd = "{V[:6]}"\n  + "{V[6:]}";', [V[:6], V[6:]]),
+    # comparisons, comments, addresses
+    (f'if token == "{V}":', []), (f'while (password != "{V}") {{', []), (f'x <= token => "{V}"', [V]), (f'token >= "{V}"', []), (f"# token = {V}", [V]), (f'# k = "{V}"\ntoken = k', []), (f"token = {V} # {W}", [V]), (f'token = "{V}" // old: {W}', [V]),
+    (f'/* k = "{V}" */ token = k', []), ("token_url: https://auth.example/oauth2/token9", []), (f"secret_dsn = https://me:{V}@db.example/x", [f"https://me:{V}@db.example/x"]), (f"; password = {V}", [V]),
+    # scopes
+    (f'def f():\n    k = "{V}"\n\ndef g():\n    token = k\n', []), (f'k = "{V}"\ndef g():\n    token = k\n', [V]), (f'function f() {{ const k = "{V}"; }}\nfunction g() {{ token = k; }}', []), (f'{{ k = "{V}"; {{ token = k; }} }}', [V]),
+    (f'k = "{V}"\nif x:\n  k = "{W}"\ntoken = k', [V]), (f'k = "{V}"\nk = "{W}"\ntoken = k', [W]), (f'}}}}}} k = "{V}"; token = k', [V]),
+    # JSON, YAML, INI, environment, shell, subscripts, calls, connection strings
+    (f'{{"user": "x", "api_key": "{V}", "n": 1}}', [V]), (f'{{\n  "db": {{"password" : "{V}"}}\n}}', [V]), (f"db:\n  password: {V}\n  host: h", [V]), (f"db:\n  password: P@ss%{V}!x\n", [f"P@ss%{V}!x"]), (f"- api-key: '{V}'\n", [V]),
+    (f"[db]\npassword={V}\n", [V]), (f"export API_KEY={V}\nPATH=/x", [V]), (f"KEY='{V}'\nAPI_TOKEN=$KEY", [V]), (f'KEY="{V}"\nAPI_TOKEN="${{KEY}}"', [V]), (f'os.environ["API_KEY"] = "{V}"', [V]), (f"cfg[:token] = '{V}'", [V]), (f'connect(user="x", password="{V}")', [V]),
+    (f'url = "Server=x;pwd={V};Db=y"', [V]), (f":token => '{V}',", [V]), (f"token := `{V}`", [V]), (f"token ?= {V}", [V]), (f'self.token: str = "{V}"', [V]), (f'k: Final = "{V}"\ntoken = k', [V]), (f"passwörter: x\npassword: пароль{V}", [f"пароль{V}"]),
+    # what is none
+    ("password: changeme", []), ("token = get_token_value(arg1)", []), ('secret = "no digits but blanks here"', []), (f"colour = {V}", []), ("he said: it's a secret: don't tell", []), (f"don't say password: {V} isn't it", [V]), ("", []), ("token=", []), ("token = ''", []), (f'note = "{V}', []),
+]
+
+
+@pytest.mark.parametrize(("t", "want"), SYNTAX)
+def test_syntax_of_secrets(t, want):
+    assert [t[a:b] for k, a, b in secrets.find(t) if k == "literal"] == want
+
+
+def test_values_that_grow_take_linear_time():
+    step = "".join(f'x = x + "a{i}"\n' for i in range(8000)) + "token = x"
+    assert sum(k == "literal" for k, _, _ in secrets.find(step)) == 8000
+    for t in ('token="a"+' * 20_000, 'token="abcd1234efgh"\n' + "token=token+token\n" * 8000, "token='a' " * 20_000, 'token="' + '\\"' * 50_000, "token={" * 20_000, "token=(\n" * 20_000, "token" + "".join("\n" + " " * (i % 300) + "k=1" for i in range(3000))):
+        secrets.find(t)
