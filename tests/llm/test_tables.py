@@ -89,6 +89,35 @@ def test_sharding(docs, empty, spark):
     assert shards.histogram_sort(empty).count() == 0
     same = spark.createDataFrame([(5, "x")] * 40 + [(None, None)] * 2, "doc_id long, text string")
     assert {r["shard"] for r in shards.histogram_sort(same).where("text_crc32 <> 0").collect()} == {r["shard"] for r in shards.histogram_sort(same).where("text_crc32 <> 0").collect()}
+def test_shards_are_stretches_of_the_order(docs, spark, monkeypatch):
+    """Against a plain sort by (hash, doc_id): shards follow each other, slots count from 0, and each splitter is, to the
+    tolerance, the best place in the sorted list for its share of the bytes."""
+    skewed = spark.createDataFrame([(k, "copy " * 50 if k % 3 == 0 else f"text {k} " * (k % 40)) for k in range(3000)], "doc_id long, text string")
+    for d, n, per, ranges in ((docs, 8, 10**6, 2048), (skewed, 8, 100, 2048), (skewed, 3, 50, 9), (skewed.where("doc_id % 3 = 0"), 5, 10**6, 2048)):
+        monkeypatch.setattr(shards, "RANGES", ranges)
+        got = {}
+        for r in shards.histogram_sort(d, n, rows_per_range=per).collect():
+            got.setdefault((r["doc_id"], r["text_crc32"], r["size"]), []).append((r["shard"], r["slot"]))
+        order = sorted((r["h"], r["d"], r["size"], r["text_crc32"], r["doc_id"]) for r in shards.keyed(d).collect())
+        want, total, at = defaultdict(list), sum(r[2] for r in order), 0
+        cuts = [0]
+        for r in order:
+            cuts.append(cuts[-1] + r[2])
+        for v in got.values():
+            v.sort()  # repeated rows stand in any order
+        flat = [got[r[4], r[3], r[2]].pop(0) for r in order]
+        shard = [s for s, _ in flat]
+        assert shard == sorted(shard)
+        for s, k in flat:
+            want[s].append(k)
+        assert all(sorted(v) == list(range(len(v))) for v in want.values())
+        for k in range(1, n):
+            at = cuts[sum(s < k for s in shard)]
+            best = min(abs(c - total * k / n) for c in cuts)
+            tied = max(Counter((r[0], r[1]) for r in order).values()) * max(r[2] for r in order) if d is docs else 0
+            assert abs(at - total * k / n) <= max(best, 0.001 * total / n) + tied
+
+
 
 
 @pytest.mark.parametrize("sizes", [[100, 100, 100], [10, 10, 1000, 5], [0, 5, 7], [0, 0], [], [1, 10**6, 3, 4, 50, 60]])

@@ -19,7 +19,9 @@ from pyspark.sql import functions as F
 from verdigris.llm.shared import work_dir, written
 
 LOW = 1 << 63
-SHARDS, TOLERANCE, ROWS_PER_RANGE, PROBES = 8, 0.001, 1_000_000, 48
+SHARDS, TOLERANCE, ROWS_PER_RANGE = 8, 0.001, 1_000_000
+#: Ranges together, whatever the number of rows (larger ones sort on disk); probes for a splitter and, at least, for all.
+RANGES, PROBES, ALL_PROBES = 2048, 48, 16_384
 
 
 def keyed(docs: DataFrame) -> DataFrame:
@@ -69,6 +71,7 @@ def splitters(keys: DataFrame, total: tuple[int, int], ids: tuple[int, int], tar
     low, high = ids[0] + LOW, ids[1] + LOW + 1
     while None in found:
         asked: dict[int, set[int]] = {}
+        n = max(4, min(PROBES, ALL_PROBES // sum(x is None for x in found)))
         for j, (a, b) in enumerate(ends):
             if found[j]:
                 continue
@@ -78,11 +81,11 @@ def splitters(keys: DataFrame, total: tuple[int, int], ids: tuple[int, int], tar
                 continue
             if b[0] - a[0] > 1 << 64:
                 x, y = a[0] >> 64, b[0] >> 64
-                new = {(x + (y - x) * i // (PROBES + 1)) << 64 for i in range(1, PROBES + 1)} | {(x + 1) << 64}
+                new = {(x + (y - x) * i // (n + 1)) << 64 for i in range(1, n + 1)} | {(x + 1) << 64}
             else:
                 top = a[0] >> 64 << 64
                 x, y = max(a[0], top + low), min(b[0], top + high)
-                new = {x + (y - x) * i // (PROBES + 1) for i in range(1, PROBES + 1)}
+                new = {x + (y - x) * i // (n + 1) for i in range(1, n + 1)}
             asked[j] = {p for p in new if a[0] < p < b[0]}
             if not asked[j]:
                 found[j] = near
@@ -106,13 +109,14 @@ def splitters(keys: DataFrame, total: tuple[int, int], ids: tuple[int, int], tar
 
 def histogram_sort(docs: DataFrame, shards: int = SHARDS, tolerance: float = TOLERANCE, rows_per_range: int = ROWS_PER_RANGE) -> DataFrame:
     """doc_id, size, text_crc32, shard, slot: rows in key order; slots run without a gap in each shard. tolerance: of a
-    shard's bytes. Large shards are cut into ranges that are sorted alone; exact counts give each range its first slot."""
+    shard's bytes. Large shards are cut into ranges that are sorted alone; exact counts give each range its first slot. What
+    the driver holds depends on the number of ranges and probes, not on the rows."""
     spark = docs.sparkSession
     keys = written(keyed(docs), work_dir(spark, "keys"))
     t = keys.agg(F.coalesce(F.sum("size"), F.lit(0)).alias("size"), F.count(F.lit(1)).alias("n"), F.min("d").alias("a"), F.max("d").alias("b")).first()
     if not t["n"]:
         return keys.select("doc_id", "size", "text_crc32", F.lit(0).alias("shard"), F.lit(0).cast("bigint").alias("slot"))
-    parts = -(-t["n"] // (shards * rows_per_range))
+    parts = max(1, min(-(-t["n"] // (shards * rows_per_range)), RANGES // shards))
     targets = [t["size"] * k / (shards * parts) for k in range(1, shards * parts)]
     each = t["size"] / shards
     cuts = splitters(keys, (t["size"], t["n"]), (t["a"], t["b"]), targets, [each * (tolerance if k % parts == 0 else 0.25 / parts) for k in range(1, shards * parts)])
