@@ -33,34 +33,32 @@ def test_rules(docs, texts, empty, spark):
 
 
 def test_hosts(spark):
-    good, junk = " ".join(f"w{k}" for k in range(60)), " ".join(f"w{k} ###" for k in range(60))
-    rows = [(k, junk if h == "bad" or k % 50 == 0 else good, h) for k, h in enumerate(["bad"] * 200 + ["fine"] * 200 + ["small"])] + [(1000, junk, None), (1001, good, "bad"), (1002, None, "fine")]
-    j = quality.judged(spark.createDataFrame(rows, "doc_id long, text string, source string"))
-    kept = {r["doc_id"]: r["kept"] for r in j.select("row.doc_id", "kept").collect()}
-    assert not any(kept[k] for k in range(200)), "a bad host's failing documents go"
-    assert all(kept[k] for k in range(200, 400)), "a good host keeps soft failures"
-    assert kept[400] and kept[1000] and kept[1001] and not kept[1002], "one failure of a small host is shrunk away; clean documents stay"
-    v = {r["host"]: r for r in quality.host_verdicts(j).collect()}
-    assert v["bad"]["strict"] and not v["fine"]["strict"] and v[None]["symbols_rate"] < 1
-    assert quality.stage(spark, spark.createDataFrame(rows, "doc_id long, text string, source string"), "").columns == ["doc_id", "text", "source"]
-
-
-def test_junk_of_mixed_hosts_leaves_the_pipeline(spark):
     good, junk = " ".join(f"w{k}" for k in range(60)), " ".join(f"w{k} ###" for k in range(60))
     dull = "\n".join([" ".join(f"v{j}" for j in range(60))] + [" ".join(f"u{j}" for j in range(3))] * 5)
     rows = [(k, junk if k % 10 == 0 else good, f"mixed{k % 3}") for k in range(600)] + [(600 + k, junk if k == 0 else dull if k == 1 else good, "fine") for k in range(400)]
-    rows += [(1000, junk, None), (1001, good, None), (1002, "short", "fine")]
-    kept = {r["doc_id"] for r in quality.stage(spark, spark.createDataFrame(rows, "doc_id long, text string, source string"), "").collect()}
+    rows += [(1000, junk, None), (1001, good, None), (1002, "short", "fine"), (1003, None, "fine"), (1004, junk, "small")]
+    d = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    j = quality.judged(d)
+    v = {r["host"]: r for r in quality.host_verdicts(j).collect()}
+    assert v["mixed0"]["symbols_strict"] and not v["fine"]["symbols_strict"] and v["fine"]["lines_strict"] and v[None]["symbols_rate"] < 1
+    assert not any(v[h]["length_strict"] for h in v), "nobody fails the length rule"
+    kept = {r["doc_id"] for r in j.where("kept").select("row.doc_id").collect()}
     assert kept == {k for k in range(600) if k % 10} | set(range(600, 1000)) - {601} | {1001}, "the seldom failing host keeps its one failure of the symbols rule"
+    got = quality.stage(spark, d, "")
+    assert got.columns == ["doc_id", "text", "source"] and {r["doc_id"] for r in got.collect()} == kept
 
 
-def test_labelled_documents_in_the_pipeline(spark):
+def test_labelled_documents(spark):
+    """On the tables the hosts' verdicts reject documents that pass the base rules: none with a label of good quality,
+    all with one of bad quality that fail a rule."""
     path = "/root/testdata/sf0.01"
     docs, labels = (spark.read.parquet(f"{path}/{t}.parquet") for t in ("documents", "labels"))
     soft = F.col("symbols_failed") | F.col("lines_failed") | F.col("length_failed")
-    m = quality.measures(docs).select("row.doc_id", "base_failed", soft.alias("soft_failed")).join(labels, "doc_id")
+    j = quality.judged(docs, carry=["doc_id"]).select("row.doc_id", "base_failed", "kept", soft.alias("soft_failed"), F.col("symbols_strict") & F.col("lines_strict"))
+    assert j.where("kept = base_failed").count() >= 50
     kept = {r["doc_id"] for r in quality.stage(spark, docs, path).select("doc_id").collect()}
-    rows = m.where("not base_failed").collect()
+    assert kept == {r["doc_id"] for r in j.where("kept").collect()}
+    rows = j.join(labels, "doc_id").where("not base_failed").collect()
     clean, junk = {r["doc_id"] for r in rows if r["quality"] == 1}, {r["doc_id"] for r in rows if r["quality"] == 0 and r["soft_failed"]}
     assert clean and clean <= kept and junk and not junk & kept
 
@@ -89,6 +87,8 @@ def test_sharding(docs, empty, spark):
     assert shards.histogram_sort(empty).count() == 0
     same = spark.createDataFrame([(5, "x")] * 40 + [(None, None)] * 2, "doc_id long, text string")
     assert {r["shard"] for r in shards.histogram_sort(same).where("text_crc32 <> 0").collect()} == {r["shard"] for r in shards.histogram_sort(same).where("text_crc32 <> 0").collect()}
+
+
 def test_shards_are_stretches_of_the_order(docs, spark, monkeypatch):
     """Against a plain sort by (hash, doc_id): shards follow each other, slots count from 0, and each splitter is, to the
     tolerance, the best place in the sorted list for its share of the bytes."""
@@ -118,8 +118,6 @@ def test_shards_are_stretches_of_the_order(docs, spark, monkeypatch):
             assert abs(at - total * k / n) <= max(best, 0.001 * total / n) + tied
 
 
-
-
 @pytest.mark.parametrize("sizes", [[100, 100, 100], [10, 10, 1000, 5], [0, 5, 7], [0, 0], [], [1, 10**6, 3, 4, 50, 60]])
 def test_targets(sizes):
     t = mixing.targets(sizes)
@@ -133,6 +131,8 @@ def test_targets(sizes):
 def test_permutation(n):
     p = mixing.permuted(np.arange(n), n, 12345)
     assert sorted(p.tolist()) == list(range(n)) and (n < 255 or (p != np.arange(n)).mean() > 0.9)
+
+
 def brute_taken(rows, goals, block):
     """Words taken of each document: each source's words in order, cut to blocks, gone through as permuted."""
     out = []
@@ -151,8 +151,6 @@ def brute_taken(rows, goals, block):
     return sorted(out, key=repr)
 
 
-
-
 @pytest.mark.parametrize("block", [4, 256, 10**6])
 def test_mixing(docs, empty, block, monkeypatch):
     columns = ("doc_id", "name", "unnamed", "size", "source_size", "target", "taken")
@@ -171,14 +169,14 @@ def test_mixing(docs, empty, block, monkeypatch):
         by[source][1] += taken
         by[source][2] = target
     names = sorted(by, key=lambda s: (s is None, s or ""))
+    assert mixing.targets([by[s][0] for s in names]) == pytest.approx([by[s][2] for s in names])
+    assert all(abs(taken - target) <= 1 for _, taken, target in by.values())
     groups = mixing.LEAST_GROUPS
     order = docs.select("doc_id", "source", F.pmod(F.xxhash64("doc_id", F.xxhash64(F.coalesce("text", F.lit("")))), F.lit(groups)).alias("g"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("h"), "text")
     rows = [(r["doc_id"], r["source"], (r["g"], r["doc_id"] is not None, r["doc_id"] or 0, len(_words(r["text"])), r["h"]), len(_words(r["text"]))) for r in order.collect()]
     goals = {s: min(int(by[s][2] + 0.5), 3 * by[s][0]) for s in names}
     got = sorted(((r[0], None if r[2] else r[1], r[3], r[6]) for r in runs[0]), key=repr)
     assert got == brute_taken(rows, goals, block)
-    assert mixing.targets([by[s][0] for s in names]) == pytest.approx([by[s][2] for s in names])
-    assert all(abs(taken - target) <= 1 for _, taken, target in by.values())
     assert mixing.mixed(empty).count() == 0 and mixing.mixed(docs.withColumn("text", F.lit(None).cast("string"))).where("taken <> 0").count() == 0
 
 

@@ -1,12 +1,14 @@
 """Host-level quality rules, with DataFrame functions only.
 
 Each document is measured once; rule failures are summed by host; each host's failure rate is shrunk towards all hosts
-by a beta prior fitted to them (method of moments); a host whose shrunk rate passes the limit for any rule is strict,
-and a strict host's documents must pass every rule. Elsewhere only the base rules reject. In the pipeline (`stage`) a
-failure of any other rule rejects too, but for hosts that fail that rule at most TRUSTED times as often as all documents.
+by a beta prior fitted to them (method of moments). The host's verdict on a rule joins back to its documents: a host whose
+shrunk rate is at most TRUSTED times that of all documents is trusted with the rule, and its few failures stay; every other
+host is strict, and a document of it that fails the rule goes. The base rules reject everywhere, and a document that fails
+no rule always stays.
 
 Defined cases: a null or blank text has no words and fails the base rule; null hosts form one host; repeated rows
-count as often as they occur; an empty table gives an empty result; other columns are carried along untouched.
+count as often as they occur; hosts whose rates do not differ have the rate of all; an empty table gives an empty result;
+other columns are carried along untouched.
 """
 
 from __future__ import annotations
@@ -20,10 +22,9 @@ from verdigris.llm.shared import work_dir, written
 
 BLANK = " \t\n\x0b\x0c\r"
 SYMBOLS = "#*$%&|<>"
-RULES = ("base", "symbols", "lines", "length")
-MAX_RATE = 0.9
+#: Rules on which hosts have a verdict; the base rules reject by themselves.
+RULES = ("symbols", "lines", "length")
 TRUSTED = 0.5
-MAX_STRENGTH = 1e4
 
 
 def _let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -77,41 +78,37 @@ def measures(docs: DataFrame, text: str = "text", host: str = "source") -> DataF
     })
 
 
-def host_verdicts(measured: DataFrame, max_rate: float = MAX_RATE) -> DataFrame:
-    """host, docs, for each rule its failures, its rate over all documents and its shrunk rate, strict."""
+def host_verdicts(measured: DataFrame, trusted: float = TRUSTED) -> DataFrame:
+    """host, docs, for each rule its failures, its rate over all documents, its shrunk rate, and whether the host is strict."""
     hosts = measured.groupBy("host").agg(F.count(F.lit(1)).alias("docs"), *(F.count_if(f"{r}_failed").alias(f"{r}_failures") for r in RULES))
     sums = hosts.agg(F.sum("docs").alias("n"), *(F.sum(f"{r}_failures").alias(f"{r}_f") for r in RULES), *(F.sum(F.col(f"{r}_failures") * F.col(f"{r}_failures") / F.col("docs")).alias(f"{r}_q") for r in RULES)).first()
-    strict, rates = F.lit(False), {}
+    rates = {}
     for r in RULES:
         n, f, q = sums["n"] or 1, sums[f"{r}_f"] or 0, sums[f"{r}_q"] or 0.0
         mean = f / n
         spread = q / n - mean * mean
-        strength = min(MAX_STRENGTH, max(1.0, mean * (1 - mean) / spread - 1)) if spread > 1e-12 else MAX_STRENGTH
+        strength = max(1.0, mean * (1 - mean) / spread - 1) if spread > 1e-12 else None
         rates[f"{r}_mean"] = F.lit(mean)
-        rates[f"{r}_rate"] = (F.col(f"{r}_failures") + mean * strength) / (F.col("docs") + strength)
-        strict = strict | (rates[f"{r}_rate"] > max_rate)
-    return hosts.withColumns(rates | {"strict": strict})
+        rates[f"{r}_rate"] = (F.col(f"{r}_failures") + mean * strength) / (F.col("docs") + strength) if strength else F.lit(mean)
+        rates[f"{r}_strict"] = rates[f"{r}_rate"] > trusted * mean
+    return hosts.withColumns(rates)
 
 
-def judged(docs: DataFrame, text: str = "text", host: str = "source", max_rate: float = MAX_RATE, carry: list[str] | None = None) -> DataFrame:
-    """For each document: row (the columns of docs, or those in carry), its measures, base_failed, strict, kept."""
+def judged(docs: DataFrame, text: str = "text", host: str = "source", trusted: float = TRUSTED, carry: list[str] | None = None) -> DataFrame:
+    """For each document: row (the columns of docs, or those in carry), its measures, base_failed, for each rule whether
+    it failed and whether its host is strict, kept."""
     slim = measures(docs, text, host)
     if carry is not None:
         slim = slim.withColumn("row", F.struct(*(F.col("row")[c].alias(c) for c in carry)))
     m = written(slim, work_dir(docs.sparkSession, "measures"))
-    v = host_verdicts(m, max_rate).select(F.col("host").alias("of"), "strict")
-    soft = F.col("symbols_failed") | F.col("lines_failed") | F.col("length_failed")
-    return m.join(v, F.col("host").eqNullSafe(F.col("of")), "left").withColumn("kept", ~F.col("base_failed") & ~(F.col("strict") & soft))
+    v = host_verdicts(m, trusted).select(F.col("host").alias("of"), *(f"{r}_strict" for r in RULES))
+    v = written(v, work_dir(docs.sparkSession, "verdicts"))  # its size is known then, and rows stay where they are while it is small
+    kept = ~F.col("base_failed")
+    for r in RULES:
+        kept = kept & ~(F.col(f"{r}_failed") & F.col(f"{r}_strict"))
+    return m.join(v, F.col("host").eqNullSafe(F.col("of")), "left").withColumn("kept", kept)
 
 
 def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """docs without those that the rules reject: failures of the base rules, and of any other rule where the host is not
-    known to fail it seldom. A document that fails no rule stays."""
-    m = written(measures(docs), work_dir(spark, "measures"))
-    v = host_verdicts(m)
-    trusted = {r: F.col(f"{r}_rate") <= TRUSTED * F.col(f"{r}_mean") for r in RULES[1:]}
-    v = v.select(F.col("host").alias("of"), *((trusted[r] & ~F.col("strict")).alias(f"{r}_trusted") for r in trusted))
-    kept = ~F.col("base_failed")
-    for r in trusted:
-        kept = kept & (~F.col(f"{r}_failed") | F.col(f"{r}_trusted"))
-    return m.join(v, F.col("host").eqNullSafe(F.col("of")), "left").where(kept).select("row.*")
+    """docs without those that the rules and their hosts' verdicts reject."""
+    return judged(docs).where("kept").select("row.*")

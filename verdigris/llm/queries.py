@@ -71,19 +71,19 @@ f as (select *, n_words < 50 or 100 * n_repeat_words > 50 * n_words as base_fail
 
 
 def _op7_sql() -> str:
-    parts, strict = [], []
+    parts, prior, strict, go = [], [], [], []
     for r in quality.RULES:
         parts.append(f"count(*) filter ({r}_failed) as {r}_f")
         s = f"sum({r}_f) / sum(docs)"
         v = f"sum({r}_f * {r}_f / docs) / sum(docs) - ({s}) * ({s})"
-        strict.append(f"{s} as {r}_m, case when {v} > 1e-12 then least({quality.MAX_STRENGTH}, greatest(1.0, ({s}) * (1 - {s}) / ({v}) - 1)) else {quality.MAX_STRENGTH} end as {r}_s")
-    bad = " or ".join(f"({r}_f + {r}_m * {r}_s) / (docs + {r}_s) > {quality.MAX_RATE}" for r in quality.RULES)
+        prior.append(f"{s} as {r}_m, case when {v} > 1e-12 then greatest(1.0, ({s}) * (1 - {s}) / ({v}) - 1) end as {r}_s")
+        strict.append(f"coalesce(({r}_f + {r}_m * {r}_s) / (docs + {r}_s), {r}_m) > {quality.TRUSTED} * {r}_m as {r}_strict")
+        go.append(f"{r}_failed and {r}_strict")
     return f"""with {OP7_MEASURES.strip()},
 h as (select source, cast(count(*) as double) as docs, {', '.join(parts)} from f group by source),
-a as (select {', '.join(strict)} from h),
-v as (select source, {bad} as strict from h, a)
-select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
-  not base_failed and not (strict and (symbols_failed or lines_failed or length_failed)) as kept
+a as (select {', '.join(prior)} from h),
+v as (select source, {', '.join(strict)} from h, a)
+select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, not base_failed and not ({' or '.join(go)}) as kept
 from f join v on f.source is not distinct from v.source"""
 
 
