@@ -304,7 +304,7 @@ def brute_overlaps(docs, items):
                 same = [w[x] == v[x - shift] for x in range(lo, hi)]
                 for a in range(len(same)):
                     for b in range(len(same), a, -1):
-                        if 5 * sum(same[a:b]) >= 4 * (b - a) and b - a >= min(12, len(v)) and (best is None or b - a > best):
+                        if 5 * sum(same[a:b]) >= 4 * (b - a) and b - a >= 12 and (best is None or b - a > best):
                             best = b - a
             if best:
                 out[d, i] = best
@@ -314,22 +314,56 @@ def brute_overlaps(docs, items):
 def test_decontamination(spark, empty):
     r = np.random.default_rng(3)
     fill = lambda n: [f"f{x}" for x in r.integers(0, 10**6, n)]
-    items = [(k, [f"i{k}x{j}" for j in range(n)]) for k, n in enumerate((30, 14, 12, 9, 5, 2))]
+    items = [(k, [f"i{k}x{j}" for j in range(n)]) for k, n in enumerate((30, 14, 12, 9, 6, 2))]
     bent = list(items[0][1])
     for k in (4, 11, 19):
         bent[k] = "other"
     rows = [
         (0, fill(40)), (1, [*fill(30), *items[0][1], *fill(20)]), (2, [*fill(7), *bent, *fill(3)]), (3, items[1][1][1:]), (4, [*fill(3), *items[2][1]]), (5, [*fill(2), *items[3][1], "z"]),
-        (6, [*fill(90), *items[4][1]]), (7, items[5][1]), (8, items[0][1][:11]), (9, [*items[0][1], *fill(400), *items[1][1]]), (None, items[1][1]), (11, items[4][1][:4]), (12, [w.upper() for w in items[2][1]]),
+        (6, [*fill(90), *items[4][1]]), (7, items[5][1]), (8, items[0][1][:11]), (9, [*items[0][1], *fill(400), *items[1][1]]), (None, items[1][1]), (11, items[4][1][:4]), (12, [w.upper() for w in items[2][1]]), (15, [*items[3][1][:8], "z"]),
+    """Every alignment and stretch: n_words of the longest, from LEAST words on; short items as a whole."""
     ]
     rows = [(d, " ".join(w)) for d, w in rows] + [(13, None), (14, ""), (1, " ".join(rows[1][1]))]
     bench = [(k, " ".join(w)) for k, w in items] + [(20, None), (21, " "), (22, " ".join(items[2][1]))]
-    got = decontaminate.overlaps(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(bench, "item_id long, text string"))
+    got = _bench(spark, rows, bench)
     found = {(x["doc_id"], x["item_id"]): x["n_words"] for x in got.collect()}
-    assert found == brute_overlaps(rows, bench) and got.count() == len(found)
+            if len(v) < decontaminate.SHORTEST:
+                continue
+    assert found == brute_overlaps(rows, bench) and got.count() == len(found) and (7, 5) not in found and (6, 4) in found
     assert got.where("doc_id = 1 and item_id = 0").first()["doc_word"] == 30
     none = spark.createDataFrame([], "item_id long, text string")
-    assert decontaminate.overlaps(empty, none).count() == 0 and decontaminate.overlaps(spark.createDataFrame(rows, "doc_id long, text string"), none).count() == 0
+                if len(v) < 12:
+                    if len(same) == len(v) and all(same):
+                        best = len(v)
+                    continue
+    assert decontaminate.overlaps(empty, none).count() == 0 and _bench(spark, rows, []).count() == 0
+
+
+def test_decontamination_of_bent_passages(spark):
+    """Random substitutions at any rate, in short and long items, far from any seed too: equal to every alignment."""
+    r = np.random.default_rng(8)
+    items = [(k, [f"i{k}x{j}" for j in range(n)]) for k, n in enumerate((12, 13, 15, 20, 34, 90))]
+    rows = []
+    for d in range(60):
+        w = list(items[d % 6][1])
+        a = int(r.integers(0, len(w) - 11))
+        w = w[a : a + int(r.integers(12, len(w) - a + 1))]
+        for at in r.choice(len(w), int(len(w) * r.choice([0.1, 0.2, 0.2, 0.25])), replace=False):
+            w[at] = "other"
+        rows.append((d, " ".join([*(f"f{x}" for x in r.integers(0, 10**6, 20)), *w, *(f"g{x}" for x in r.integers(0, 10**6, 20))])))
+    rows.append((90, " ".join([*items[5][1][:50], *(["gap"] * 40)])))  # reaches further than any seed
+    bench = [(k, " ".join(w)) for k, w in items]
+    found = {(x["doc_id"], x["item_id"]): x["n_words"] for x in _bench(spark, rows, bench).collect()}
+    want = brute_overlaps(rows, bench)
+    assert found == want and 20 < len(want) < 61
+
+
+def test_decontamination_keeps_other_texts_of_an_id(spark, tmp_path):
+    leak = " ".join(f"leak{k}" for k in range(20))
+    spark.createDataFrame([(1, leak)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    rows = [(1, leak, "a"), (1, "another text", "b"), (None, leak, "c"), (None, None, "d"), (3, leak, "e")]
+    got = decontaminate.stage(spark, spark.createDataFrame(rows, "doc_id long, text string, h string"), str(tmp_path))
+    assert sorted(r["h"] for r in got.collect()) == ["b", "d"] and got.columns == ["doc_id", "text", "h"]
 
 
 def test_pipeline(spark, tmp_path, docs, tokenizer):
@@ -338,6 +372,28 @@ def test_pipeline(spark, tmp_path, docs, tokenizer):
     bench = [(1, " ".join(f"leak{k}" for k in range(30)))]
     own = docs.select("doc_id", "text", "lang", "source", "n_chars").collect()
     r = np.random.default_rng(2)
+def test_masks_lose_no_overlap():
+    """The least number of substituted words that leaves no seed of n words exceeds a fifth of n, for n from LEAST to 400.
+    By states: which of the last SPAN - 1 words are substituted."""
+    masks = [(m[-1], sum(1 << (m[-1] - o) for o in m)) for m in decontaminate.MASKS]
+    assert all(m[0] == 0 and m[-1] < decontaminate.SPAN for m in decontaminate.MASKS)
+    least = {0: 0}
+    for n in range(1, 401):
+        now = {}
+        for state, changed in least.items():
+            for bit in (0, 1):
+                full = state << 1 | bit
+                if all(n <= last or full & places for last, places in masks):
+                    k = full & (1 << (decontaminate.SPAN - 1)) - 1
+                    now[k] = min(now.get(k, n), changed + bit)
+        least = now
+        assert n < decontaminate.LEAST or min(least.values()) > n // 5, n
+
+
+def _bench(spark, rows, bench):
+    return decontaminate.overlaps(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(bench, "item_id long, text string"))
+
+
     more = [(500 + k, " ".join(f"v{x}" for x in r.integers(0, 10**6, 80)) + (" " + bench[0][1] if k == 3 else ""), "en", f"s{k % 3}", 1) for k in range(30)]
     d = spark.createDataFrame([*map(tuple, own), *more], "doc_id long, text string, lang string, source string, n_chars long")
     d.write.parquet(f"{tmp_path}/documents.parquet")
