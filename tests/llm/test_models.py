@@ -252,19 +252,46 @@ def test_near_duplicates(docs, k, num):
     assert sorted((tuple(r) for r in ngram_join.joined(docs, k=k, num=num).collect()), key=repr) == brute_components(rows, k, num)
 
 
-def test_near_duplicates_in_hot_groups(spark, monkeypatch):
-    """Near copies of one text, many of them farther from each other than the limit, in several blocks."""
-    monkeypatch.setattr(ngram_join, "BLOCK_ELEMENTS", 1500)
-    r = np.random.default_rng(5)
+def _bent(n=120, seed=5):
+    """Near copies of one text, many of them farther from each other than the limit."""
+    r = np.random.default_rng(seed)
     base, rows = [f"w{k}" for k in range(60)], []
-    for d in range(120):
+    for d in range(n):
         w = list(base)
         for at in r.integers(0, 60, r.integers(0, 9)):
             w[at] = f"x{r.integers(0, 30)}"
         rows.append((d, " ".join(w)))
-    got = sorted((tuple(x) for x in ngram_join.joined(spark.createDataFrame(rows, "doc_id long, text string")).collect()), key=repr)
+    return rows
+
+
+def test_near_duplicates_in_hot_groups(spark, monkeypatch):
+    """In several blocks, and with hot signatures dealt to parts."""
+    for name, value in (("SKETCH_BLOCK", 700), ("SET_BLOCK", 4000), ("BLOCKS", 5), ("BLOCK_BYTES", 2000)):
+        monkeypatch.setattr(ngram_join, name, value)
+    rows = _bent(300)
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    sig = ngram_join._near(d.select("text").coalesce(1), ngram_join.Plan(90, 100, 300), 3, 64)
+    assert sig.groupBy("pivot").count().agg({"count": "max"}).first()[0] >= ngram_join.HOT
+    got = sorted((tuple(x) for x in ngram_join.joined(d.coalesce(1)).collect()), key=repr)
     want = brute_components(rows, 3, 90)
-    assert got == want and 10 < len({c for _, _, c in want}) < 110
+    assert got == want and 10 < len({c for _, _, c in want}) < 290
+
+
+def test_hot_signatures_are_dealt_apart():
+    r = np.random.default_rng(1)
+    sig, cls = np.concatenate([np.full(500, 7), np.full(63, 8), r.integers(100, 10**6, 300)]), r.integers(-(2**62), 2**62, 863)
+    b = ngram_join._hot_apart(sig, cls).to_pandas()
+    assert sorted(zip(b.sig[b.part >= 0], b.cls[b.part >= 0], strict=True)) == sorted(zip(sig, cls, strict=True))
+    assert set(b.sig[b.part > 0]) == {7} == set(b.sig[b.part < 0]) and sorted(b.cls[b.part < 0]) == sorted([cls[:500].min(), cls[:500].max()])
+    assert b[b.part > 0].groupby("part").size().max() < 30 and ngram_join._hot_apart(sig[:0], cls[:0]).num_rows == 0
+
+
+@pytest.mark.parametrize("bits", [1, 4])
+def test_clashing_classes(spark, docs, bits):
+    """With a first hash of a few bits nearly all classes clash; the result is the same."""
+    rows = [(r["doc_id"], r["text"]) for r in docs.select("doc_id", "text").collect()] + [(1000 + d, t) for d, t in _bent(40)]
+    got = ngram_join.joined(spark.createDataFrame(rows, "doc_id long, text string"), class_bits=bits)
+    assert sorted((tuple(r) for r in got.collect()), key=repr) == brute_components(rows, 3, 90)
 
 
 def test_near_duplicates_without_rows(empty):
@@ -294,14 +321,21 @@ def test_both_kinds_of_segments_are_used():
 
 
 def brute_overlaps(docs, items):
+    """Every alignment and stretch: n_words of the longest, from LEAST words on; short items as a whole."""
     out = {}
     for d, t in docs:
         w = _words(t)
         for i, u in items:
             v, best = _words(u), None
+            if len(v) < decontaminate.SHORTEST:
+                continue
             for shift in range(-len(v) + 1, len(w)):
                 lo, hi = max(0, shift), min(len(w), shift + len(v))
                 same = [w[x] == v[x - shift] for x in range(lo, hi)]
+                if len(v) < 12:
+                    if len(same) == len(v) and all(same):
+                        best = len(v)
+                    continue
                 for a in range(len(same)):
                     for b in range(len(same), a, -1):
                         if 5 * sum(same[a:b]) >= 4 * (b - a) and b - a >= 12 and (best is None or b - a > best):
@@ -311,6 +345,28 @@ def brute_overlaps(docs, items):
     return out
 
 
+def test_masks_lose_no_overlap():
+    """The least number of substituted words that leaves no seed of n words exceeds a fifth of n, for n from LEAST to 400.
+    By states: which of the last SPAN - 1 words are substituted."""
+    masks = [(m[-1], sum(1 << (m[-1] - o) for o in m)) for m in decontaminate.MASKS]
+    assert all(m[0] == 0 and m[-1] < decontaminate.SPAN for m in decontaminate.MASKS)
+    least = {0: 0}
+    for n in range(1, 401):
+        now = {}
+        for state, changed in least.items():
+            for bit in (0, 1):
+                full = state << 1 | bit
+                if all(n <= last or full & places for last, places in masks):
+                    k = full & (1 << (decontaminate.SPAN - 1)) - 1
+                    now[k] = min(now.get(k, n), changed + bit)
+        least = now
+        assert n < decontaminate.LEAST or min(least.values()) > n // 5, n
+
+
+def _bench(spark, rows, bench):
+    return decontaminate.overlaps(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(bench, "item_id long, text string"))
+
+
 def test_decontamination(spark, empty):
     r = np.random.default_rng(3)
     fill = lambda n: [f"f{x}" for x in r.integers(0, 10**6, n)]
@@ -321,21 +377,14 @@ def test_decontamination(spark, empty):
     rows = [
         (0, fill(40)), (1, [*fill(30), *items[0][1], *fill(20)]), (2, [*fill(7), *bent, *fill(3)]), (3, items[1][1][1:]), (4, [*fill(3), *items[2][1]]), (5, [*fill(2), *items[3][1], "z"]),
         (6, [*fill(90), *items[4][1]]), (7, items[5][1]), (8, items[0][1][:11]), (9, [*items[0][1], *fill(400), *items[1][1]]), (None, items[1][1]), (11, items[4][1][:4]), (12, [w.upper() for w in items[2][1]]), (15, [*items[3][1][:8], "z"]),
-    """Every alignment and stretch: n_words of the longest, from LEAST words on; short items as a whole."""
     ]
     rows = [(d, " ".join(w)) for d, w in rows] + [(13, None), (14, ""), (1, " ".join(rows[1][1]))]
     bench = [(k, " ".join(w)) for k, w in items] + [(20, None), (21, " "), (22, " ".join(items[2][1]))]
     got = _bench(spark, rows, bench)
     found = {(x["doc_id"], x["item_id"]): x["n_words"] for x in got.collect()}
-            if len(v) < decontaminate.SHORTEST:
-                continue
     assert found == brute_overlaps(rows, bench) and got.count() == len(found) and (7, 5) not in found and (6, 4) in found
     assert got.where("doc_id = 1 and item_id = 0").first()["doc_word"] == 30
     none = spark.createDataFrame([], "item_id long, text string")
-                if len(v) < 12:
-                    if len(same) == len(v) and all(same):
-                        best = len(v)
-                    continue
     assert decontaminate.overlaps(empty, none).count() == 0 and _bench(spark, rows, []).count() == 0
 
 
@@ -372,28 +421,6 @@ def test_pipeline(spark, tmp_path, docs, tokenizer):
     bench = [(1, " ".join(f"leak{k}" for k in range(30)))]
     own = docs.select("doc_id", "text", "lang", "source", "n_chars").collect()
     r = np.random.default_rng(2)
-def test_masks_lose_no_overlap():
-    """The least number of substituted words that leaves no seed of n words exceeds a fifth of n, for n from LEAST to 400.
-    By states: which of the last SPAN - 1 words are substituted."""
-    masks = [(m[-1], sum(1 << (m[-1] - o) for o in m)) for m in decontaminate.MASKS]
-    assert all(m[0] == 0 and m[-1] < decontaminate.SPAN for m in decontaminate.MASKS)
-    least = {0: 0}
-    for n in range(1, 401):
-        now = {}
-        for state, changed in least.items():
-            for bit in (0, 1):
-                full = state << 1 | bit
-                if all(n <= last or full & places for last, places in masks):
-                    k = full & (1 << (decontaminate.SPAN - 1)) - 1
-                    now[k] = min(now.get(k, n), changed + bit)
-        least = now
-        assert n < decontaminate.LEAST or min(least.values()) > n // 5, n
-
-
-def _bench(spark, rows, bench):
-    return decontaminate.overlaps(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(bench, "item_id long, text string"))
-
-
     more = [(500 + k, " ".join(f"v{x}" for x in r.integers(0, 10**6, 80)) + (" " + bench[0][1] if k == 3 else ""), "en", f"s{k % 3}", 1) for k in range(30)]
     d = spark.createDataFrame([*map(tuple, own), *more], "doc_id long, text string, lang string, source string, n_chars long")
     d.write.parquet(f"{tmp_path}/documents.parquet")

@@ -1,7 +1,7 @@
-"""A filter of fixed size: which hashes a (possibly huge) table holds, with few false hits and no misses.
+"""A filter of bounded size: which hashes a (possibly huge) table holds, with few false hits and no misses.
 
-It only saves work ahead of an exact join. Its size does not depend on the table: 2**bits bits, in 32 kB blocks that
-executors build and of which the driver gets at most one each.
+It only saves work ahead of an exact join. It has 2**bits bits, MOST at most (128 MB), in 32 kB blocks that executors
+build and of which the driver gets at most one each.
 """
 
 from __future__ import annotations
@@ -12,7 +12,12 @@ from pyspark.sql import functions as F
 
 from verdigris.llm.text import U, mix
 
-BITS, BLOCK = 26, 18
+BITS, MOST, BLOCK = 26, 30, 18
+
+
+def bits_for(n: int) -> int:
+    """At least 16 bits for each of n hashes, within the bounds."""
+    return min(MOST, max(BLOCK, (16 * n).bit_length()))
 
 
 def places(h: np.ndarray, bits: int = BITS) -> tuple[np.ndarray, np.ndarray]:

@@ -174,7 +174,7 @@ def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     m = mixed(docs).groupBy(F.col("doc_id").alias("of"), "h", "name", "unnamed").agg(F.sum(times).cast("int").alias("times"), F.count(F.lit(1)).cast("int").alias("rows"))
     m = written(m.where("times > 0"), work_dir(spark, "times"))
     own = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), *(c.alias(f"{n}2") for n, c in _identity().items()))
-    joined = own.join(m, own["doc_id2"].eqNullSafe(m["of"]) & (own["h2"] == m["h"]) & (own["name2"] == m["name"]) & (own["unnamed2"] == m["unnamed"]))
+    joined = own.join(m.hint("merge"), own["doc_id2"].eqNullSafe(m["of"]) & (own["h2"] == m["h"]) & (own["name2"] == m["name"]) & (own["unnamed2"] == m["unnamed"]))
     out = lambda d, n: d.select("row", F.explode(F.array_repeat(F.lit(0), n.cast("int")))).select("row.*")
     once = out(joined.where("rows = 1"), F.col("times"))
     if m.where("rows > 1").isEmpty():

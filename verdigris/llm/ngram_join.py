@@ -11,7 +11,11 @@ Sets that share a signature fall into the group of the bucket's first member, it
 never hide a link, come first: each set is compared exactly with one pivot that they do not rule out, and these links
 already join most near copies. Groups that still hold several components are then searched by sketches, in blocks of
 bounded size, for sets that may link across components; only those sets are fetched and compared exactly, and never with
-what they are connected to already. Copies of one set are one class throughout and are not compared.
+what they are connected to already. Copies of one set are one class throughout and are not compared: a class is known by a
+64-bit hash, and by a second one where the table holds two sets with the same first.
+
+A signature that many sets of a task have in common is hot: its rows are dealt by the set too, and only the smallest and
+the largest of each task stand for them where the bucket's pivot is found.
 
 Defined cases: A-Z count as a-z; a null, empty or blank text has no shingles and links with nothing; a text with fewer
 words than a shingle has one shingle, all its words; a null doc_id takes part, and is never the smallest where another
@@ -30,11 +34,14 @@ from pyspark.sql import functions as F
 
 from verdigris.llm import bitmap
 from verdigris.llm.components import components
-from verdigris.llm.shared import release, work_dir, written
+from verdigris.llm.shared import release, remove, work_dir, written
 from verdigris.llm.text import U, hashed, mix, slices, windows
 
-#: Elements of all sets in one block of a group (a block of sketches has twice as many bytes); bits of a sketch at least.
-BLOCK_ELEMENTS, SKETCH_BITS = 1 << 18, 512
+#: Bits of a sketch at least. A group's blocks: of at least these bytes of sketches and of sets, then a number at most,
+#: and above all no more bytes than a task holds.
+SKETCH_BITS, SKETCH_BLOCK, SET_BLOCK, BLOCKS, BLOCK_BYTES = 512, 1 << 15, 1 << 18, 48, 1 << 23
+#: Rows of signatures that a task looks through for hot ones, how many sets make one hot, and to how many parts it is dealt.
+ROWS, HOT, SALTS = 1_000_000, 64, 64
 #: For the cost alone: the chance that an unrelated set holds a given shingle of several words; high for prose.
 SHARED = 0.001
 #: Classes a task remembers so as to emit them once; beyond, it starts anew and only repeats some rows.
@@ -55,9 +62,10 @@ def shingle_sets(texts: pa.Array, k: int) -> list[np.ndarray]:
     return out
 
 
-def class_of(s: np.ndarray) -> int:
-    """A hash of the set, as a signed number; copies of a set have one class."""
-    return int(np.int64(mix(mix(s).sum(dtype=U, keepdims=True) + U(len(s))).view(np.int64)[0]))
+def class_of(s: np.ndarray, bits: int = 64) -> tuple[int, int]:
+    """Two hashes of the set, as signed numbers; copies of a set agree in both. bits: of the first, fewer in tests."""
+    first, second = (mix(mix(s ^ U(x)).sum(dtype=U, keepdims=True) + U(len(s))) for x in (0, 0x6A09E667F3BCC908))
+    return int((first >> U(64 - bits)).view(np.int64)[0]), int(second.view(np.int64)[0])
 
 
 def above(mean: float, n: int) -> float:
@@ -210,43 +218,115 @@ def _numbers(b: bytes) -> np.ndarray:
     return np.frombuffer(b, "<u8").astype(U, copy=False)
 
 
-def classes(docs: DataFrame, text: str, k: int) -> DataFrame:
-    """doc_id, n (shingles), cls (null without shingles)."""
+def classes(docs: DataFrame, text: str, k: int, bits: int = 64) -> DataFrame:
+    """doc_id, n (shingles), cls and chk (both null without shingles)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches):
             sets = shingle_sets(b.column("text"), k)
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array([class_of(s) if len(s) else None for s in sets], pa.int64())], names=["doc_id", "n", "cls"])
-
-    return docs.selectExpr("cast(doc_id as bigint) doc_id", f"`{text}` text").mapInArrow(run, "doc_id long, n long, cls long")
-
-
-def links(docs: DataFrame, slim: DataFrame, n_docs: int, text: str, k: int, num: int, den: int) -> DataFrame:
-    """a, b: links between classes that connect every two classes that links connect. slim: classes(docs)."""
-    spark = docs.sparkSession
-    given = docs.select(F.col(text).alias("text"))
-    plan = Plan(num, den, n_docs)
+            both = [class_of(s, bits) if len(s) else (None, None) for s in sets]
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), *(pa.array([x[i] for x in both], pa.int64()) for i in (0, 1))], names=["doc_id", "n", "cls", "chk"])
+
+    return docs.selectExpr("cast(doc_id as bigint) doc_id", f"`{text}` text").mapInArrow(run, "doc_id long, n long, cls long, chk long")
+
+
+class Names:
+    """One number for each class: its first hash, but for the classes that share it with another, all of which but one
+    are numbered by both hashes. Nearly always there are none."""
+
+    def __init__(self, slim: DataFrame):
+        of = slim.where("cls is not null").groupBy("cls")
+        twice = written(of.agg(F.min("chk").alias("low"), F.max("chk").alias("high")).where("low < high").select("cls", "low"), work_dir(slim.sparkSession, "clashes"))
+        self.split = None
+        if not twice.isEmpty():
+            split = slim.join(twice, "cls").select("cls", "chk", F.when(F.col("chk") == F.col("low"), F.col("cls")).otherwise(F.xxhash64("cls", "chk")).alias("id")).distinct()
+            self.split = written(split, work_dir(slim.sparkSession, "split"))
+
+    def named(self, df: DataFrame) -> DataFrame:
+        """df with the class's number as cls and without chk."""
+        if self.split is None:
+            return df.drop("chk")
+        of = self.split.select(F.col("cls").alias("c2"), F.col("chk").alias("k2"), "id")
+        return df.join(of, (F.col("cls") == F.col("c2")) & (F.col("chk") == F.col("k2")), "left").withColumn("cls", F.coalesce("id", "cls")).drop("chk", "c2", "k2", "id")
+
+    def all_of(self, near: DataFrame) -> DataFrame:
+        """near (cls, pivot: first hashes) with a row for each class that they may mean, and classes that share one."""
+        if self.split is None:
+            return near
+        for c in ("cls", "pivot"):
+            near = near.join(self.split.select(F.col("cls").alias(c), "id"), c, "left").withColumn(c, F.coalesce("id", c)).drop("id")
+        return near.select("cls", "pivot").unionByName(self.split.select(F.col("id").alias("cls"), F.col("cls").alias("pivot"))).distinct()
+
+    def hashes(self, wanted: DataFrame) -> DataFrame:
+        """The first hashes of the classes in wanted (cls)."""
+        if self.split is None:
+            return wanted
+        return wanted.join(self.split.select(F.col("id").alias("cls"), F.col("cls").alias("h")), "cls", "left").select(F.coalesce("h", "cls").alias("cls"))
+
+
+def _hot_apart(sig: np.ndarray, cls: np.ndarray) -> pa.RecordBatch:
+    """sig, cls, part: 0, but for signatures of HOT rows or more from 1 on by the class; these have two more rows, with
+    their smallest and largest class and part -1."""
+    order = np.lexsort((cls, sig))
+    sig, cls = sig[order], cls[order]
+    at = np.flatnonzero(np.concatenate([[True], sig[1:] != sig[:-1]])) if len(sig) else np.zeros(0, np.int64)
+    size = np.diff(np.append(at, len(sig)))
+    hot = np.flatnonzero(size >= HOT)
+    part = np.where(np.repeat(size, size) >= HOT, 1 + (mix(cls.view(U)) % U(SALTS)).astype(np.int32), 0).astype(np.int32)
+    ends = np.concatenate([at[hot], at[hot] + size[hot] - 1])
+    whole = [np.concatenate(x) for x in ((sig, sig[ends]), (cls, cls[ends]), (part, np.full(len(ends), -1, np.int32)))]
+    return pa.RecordBatch.from_arrays([pa.array(x) for x in whole], names=["sig", "cls", "part"])
+
+
+def _near(given: DataFrame, plan: Plan, k: int, bits: int) -> DataFrame:
+    """cls, pivot (the smallest class of a bucket) for each class of a bucket of two or more, by first hashes."""
 
     def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set[int] = set()
+        seen: set[tuple[int, int]] = set()
+        sig: list[np.ndarray] = []
+        cls: list[np.ndarray] = []
+        n = 0
         for b in slices(batches):
-            rows = []
             for s in shingle_sets(b.column("text"), k):
-                if len(s) and (c := class_of(s)) not in seen:
+                if len(s) and (c := class_of(s, bits)) not in seen:
                     seen.add(c)
-                    rows.append((c, plan.signatures(s).view(np.int64)))
+                    x = plan.signatures(s).view(np.int64)
+                    sig.append(x)
+                    cls.append(np.full(len(x), c[0], np.int64))
+                    n += len(x)
+                    if n > ROWS:
+                        yield _hot_apart(np.concatenate(sig), np.concatenate(cls))
+                        sig, cls, n = [], [], 0
             if len(seen) > SEEN:
                 seen = set()
-            if rows:
-                size = [len(x) for _, x in rows]
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([x for _, x in rows])), pa.array(np.repeat(np.array([c for c, _ in rows], np.int64), size))], names=["sig", "cls"])
-
-    bucket = Window.partitionBy("sig")
-    shared = given.mapInArrow(index, "sig long, cls long").select("sig", "cls", F.min("cls").over(bucket).alias("pivot"), F.max("cls").over(bucket).alias("last")).where("pivot < last")
-    near = written(shared.groupBy("cls", "pivot").agg(F.lit(1).alias("x")).select("cls", "pivot"), work_dir(spark, "pivots"))
-    del shared
+        if sig:
+            yield _hot_apart(np.concatenate(sig), np.concatenate(cls))
+
+    bucket = Window.partitionBy("sig", F.greatest("part", F.lit(0)))
+    rows = given.mapInArrow(index, "sig long, cls long, part int").select("sig", "cls", "part", F.min("cls").over(bucket).alias("pivot"), F.max("cls").over(bucket).alias("last"))
+    rows = rows.where("part > 0 or pivot < last").groupBy("cls", "pivot", "part", F.when(F.col("part") != 0, F.col("sig")).alias("sig")).agg(F.lit(1).alias("x")).drop("x")
+    rows = written(rows, work_dir(given.sparkSession, "buckets"))
+    if rows.where("part <> 0").isEmpty():
+        return rows.select("cls", "pivot")
+    hot = rows.where("part > 0")
+    pivots = rows.where("part = -1").select("sig", "pivot").distinct().join(hot.select("sig", "part").distinct(), "sig")
+    dealt = hot.select("sig", "part", "cls").join(pivots, ["sig", "part"]).select("cls", "pivot")
+    return written(rows.where("part <= 0").select("cls", "pivot").unionByName(dealt).distinct(), work_dir(given.sparkSession, "pivots"))
+
+
+def links(docs: DataFrame, names: Names, n_docs: int, text: str, k: int, num: int, den: int, bits: int = 64) -> DataFrame:
+    """a, b: links between classes that connect every two classes that links connect."""
+    spark = docs.sparkSession
+    given = docs.select(F.col(f"`{text}`").alias("text"))
+    near = _near(given, Plan(num, den, n_docs), k, bits)
+    if names.split is not None:
+        near = written(names.all_of(near), work_dir(spark, "pivots"))
     release(spark)
-    sketches = written(_fetched(given, near.select("cls").union(near.select("pivot")), k, lambda s: sketch(s).tobytes(), with_size=True), work_dir(spark, "sketches"))
+
+    def fetched(wanted: DataFrame, body, with_size: bool = False) -> DataFrame:
+        return _fetched(given, names, wanted, k, body, with_size, bits)
+
+    sketches = written(fetched(near.select("cls").union(near.select("pivot")), lambda s: sketch(s).tobytes(), True), work_dir(spark, "sketches"))
 
     def plausible(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -265,10 +345,11 @@ def links(docs: DataFrame, slim: DataFrame, n_docs: int, text: str, k: int, num:
             keep = [i for i, (x, y) in enumerate(zip(b.column("body").to_pylist(), b.column("other").to_pylist(), strict=True)) if linked(_numbers(x), _numbers(y), num, den)]
             yield b.select(["cls", "pivot"]).take(pa.array(keep, pa.int64()))
 
-    sets = written(_fetched(given, star.select("cls").union(star.select("pivot")), k, _binary), work_dir(spark, "sets"), "lz4")
+    sets = written(fetched(star.select("cls").union(star.select("pivot")), _binary), path := work_dir(spark, "sets"), "lz4")
     pivots = sets.select(F.col("cls").alias("pivot"), F.col("body").alias("other"))
     first = written(star.join(sets, "cls").join(pivots, "pivot").select("cls", "pivot", "body", "other").mapInArrow(check, "cls long, pivot long"), work_dir(spark, "links"))
     del sets, pivots
+    remove(spark, path)
     release(spark)
     root = components(first)
     labelled = near.join(root.select(F.col("node").alias("cls"), "root"), "cls", "left").select("pivot", "cls", F.coalesce("root", "cls").alias("label"))
@@ -281,9 +362,9 @@ def links(docs: DataFrame, slim: DataFrame, n_docs: int, text: str, k: int, num:
             hit = block_near(labels, [r[0] for r in rows], Sketched(n, [np.frombuffer(x, U) for x in body], num, den))
             yield pa.RecordBatch.from_arrays([pa.array([rows[0].pivot] * len(hit), pa.int64()), pa.array([ids[i] for i in hit], pa.int64()), pa.array([labels[i] for i in hit], pa.int64())], names=["pivot", "cls", "label"])
 
-    dealt = _dealt(members.join(sketches, "cls"), 2 * BLOCK_ELEMENTS)
+    dealt = _dealt(members.join(sketches, "cls"), SKETCH_BLOCK)
     active = written(dealt.mapInArrow(may_link, "pivot long, cls long, label long").distinct(), work_dir(spark, "active"))
-    sets = _fetched(given, active.select("cls"), k, _binary)
+    sets = fetched(active.select("cls"), _binary)
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in _blocks(batches, ("cls", "label", "body")):
@@ -291,38 +372,44 @@ def links(docs: DataFrame, slim: DataFrame, n_docs: int, text: str, k: int, num:
             one = block_links(ids, labels, [r[0] for r in rows], [_numbers(x) for x in body], num, den)
             yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in one], pa.int64()), pa.array([y for _, y in one], pa.int64())], names=["cls", "pivot"])
 
-    both = written(active.join(sets, "cls"), work_dir(spark, "both"), "lz4")
-    second = written(_dealt(both, 8 * BLOCK_ELEMENTS).mapInArrow(compare, "cls long, pivot long"), work_dir(spark, "links"))
+    both = written(active.join(sets, "cls"), path := work_dir(spark, "both"), "lz4")
+    second = written(_dealt(both, SET_BLOCK).mapInArrow(compare, "cls long, pivot long"), work_dir(spark, "links"))
+    remove(spark, path)
     return first.union(second).select(F.col("cls").alias("a"), F.col("pivot").alias("b"))
 
 
-def _fetched(given: DataFrame, wanted: DataFrame, k: int, body, with_size: bool = False) -> DataFrame:
+def _fetched(given: DataFrame, names: Names, wanted: DataFrame, k: int, body, with_size: bool, bits: int) -> DataFrame:
     """cls, body (and n): of the texts' classes that wanted (one column) holds, each once."""
-    sent = given.sparkSession.sparkContext.broadcast(bitmap.build(wanted))
+    wanted = wanted.toDF("cls")
+    sent = given.sparkSession.sparkContext.broadcast(bitmap.build(names.hashes(wanted), bitmap.bits_for(wanted.count())))
 
     def fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set[int] = set()
+        seen: set[tuple[int, int]] = set()
         for b in slices(batches):
             sets = shingle_sets(b.column("text"), k)
-            cls = np.array([class_of(s) if len(s) else 0 for s in sets], np.int64)
+            both = [class_of(s, bits) if len(s) else (0, 0) for s in sets]
+            hit = bitmap.hits(sent.value, np.array([c for c, _ in both], np.int64).view(U))
             rows = []
-            for s, c, ok in zip(sets, cls.tolist(), bitmap.hits(sent.value, cls.view(U)).tolist(), strict=True):
+            for s, c, ok in zip(sets, both, hit.tolist(), strict=True):
                 if ok and len(s) and c not in seen:
                     seen.add(c)
-                    rows.append((c, len(s), body(s)))
+                    rows.append((*c, len(s), body(s)))
             if len(seen) > SEEN:
                 seen = set()
-            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int64()), pa.array([r[2] for r in rows], pa.binary())], names=["cls", "n", "body"])
+            yield pa.RecordBatch.from_arrays([*(pa.array([r[i] for r in rows], pa.int64()) for i in range(3)), pa.array([r[3] for r in rows], pa.binary())], names=["cls", "chk", "n", "body"])
 
-    own = given.mapInArrow(fetch, "cls long, n long, body binary").groupBy("cls").agg(*([F.first("n").alias("n")] if with_size else []), F.first("body").alias("body"))
-    return own.join(wanted.distinct().withColumnRenamed(wanted.columns[0], "cls"), "cls", "left_semi")
+    own = names.named(given.mapInArrow(fetch, "cls long, chk long, n long, body binary"))
+    own = own.groupBy("cls").agg(*([F.first("n").alias("n")] if with_size else []), F.first("body").alias("body"))
+    return own.join(wanted.distinct(), "cls", "left_semi")
 
 
-def _dealt(members: DataFrame, size: int) -> DataFrame:
-    """members (pivot, cls, ..., body) dealt to blocks of about `size` bytes, and each pair of a group's blocks to a task;
-    rows of one pair (pivot, x, y) are neighbours. side: the block."""
-    n = members.groupBy("pivot").agg(F.ceil(F.sum(F.length("body")) / size).cast("int").alias("blocks"))
-    dealt = members.join(n, "pivot").withColumn("side", F.pmod(F.xxhash64("cls"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+def _dealt(members: DataFrame, least: int) -> DataFrame:
+    """members (pivot, cls, ..., body) dealt to blocks, as many as their group's bytes ask for, and each pair of a group's
+    blocks to a task; rows of one pair (pivot, x, y) are neighbours. side: the block."""
+    size = F.sum(F.length("body"))
+    n = members.groupBy("pivot").agg(F.greatest(F.ceil(size / BLOCK_BYTES), F.least(F.ceil(size / least), F.lit(BLOCKS))).cast("int").alias("blocks"))
+    large = written(n.where("blocks > 1"), work_dir(members.sparkSession, "large"))  # few: its size is known then
+    dealt = members.join(large, "pivot", "left").fillna(1, ["blocks"]).withColumn("side", F.pmod(F.xxhash64("cls"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     dealt = dealt.withColumns({"x": F.least("side", "other"), "y": F.greatest("side", "other")}).drop("other", "blocks")
     return dealt.repartition("pivot", "x", "y").sortWithinPartitions("pivot", "x", "y")
 
@@ -347,15 +434,19 @@ def _blocks(batches: Iterator[pa.RecordBatch], columns: tuple[str, ...]) -> Iter
         yield rows
 
 
-def joined(docs: DataFrame, text: str = "text", k: int = 3, num: int = 90, den: int = 100) -> DataFrame:
-    """doc_id, n_shingles, component_id: the smallest doc_id that links reach."""
+def joined(docs: DataFrame, text: str = "text", k: int = 3, num: int = 90, den: int = 100, class_bits: int = 64) -> DataFrame:
+    """doc_id, n_shingles, component_id: the smallest doc_id that links reach. class_bits: fewer make classes clash, which
+    changes nothing but the work."""
     spark = docs.sparkSession
-    slim = written(classes(docs, text, k), work_dir(spark, "classes"))
-    found = links(docs, slim, slim.count(), text, k, num, den)
-    root = components(found)
+    slim = written(classes(docs, text, k, class_bits), work_dir(spark, "classes"))
+    names = Names(slim)
+    if names.split is not None:
+        slim = written(names.named(slim), work_dir(spark, "named"))
+    root = components(links(docs, names, slim.count(), text, k, num, den, class_bits))
     of = slim.where("cls is not null").groupBy("cls").agg(F.min("doc_id").alias("least"))
     of = of.join(root.select(F.col("node").alias("cls"), "root"), "cls", "left").select("cls", "least", F.coalesce("root", "cls").alias("root"))
-    of = of.select("cls", "root", "least").withColumn("component", F.min("least").over(Window.partitionBy("root")))
+    of = of.select("cls", "root", "least")
+    of = of.join(of.groupBy("root").agg(F.min("least").alias("component")), "root")
     return slim.join(of.select("cls", "component"), "cls", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"))
 
 
@@ -364,7 +455,7 @@ def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     without words all stay. Of rows that agree in doc_id and text one stays; rows that share only a doc_id share its fate."""
     j = joined(docs, k=5, num=80)
     of = j.groupBy("doc_id").agg(F.bool_or((F.col("n_shingles") == 0) | F.col("doc_id").eqNullSafe(F.col("component_id"))).alias("stays"), F.count(F.lit(1)).alias("n"))
-    of = written(of.where("stays").select(F.col("doc_id").alias("kept_id"), "n"), work_dir(spark, "kept"))
-    one, again = of.where("n = 1"), of.where("n > 1")
-    once = docs.join(one, docs["doc_id"].eqNullSafe(one["kept_id"]), "left_semi")
-    return once if again.isEmpty() else once.union(docs.join(again, docs["doc_id"].eqNullSafe(again["kept_id"]), "left_semi").dropDuplicates(["doc_id", "text"]))
+    of = written(of.where("n > 1 or not stays").select(F.col("doc_id").alias("of_id"), "stays"), work_dir(spark, "gone"))
+    own, again = docs["doc_id"].cast("bigint").eqNullSafe(of["of_id"]), of.where("stays")
+    once = docs.join(of, own, "left_anti")
+    return once if again.isEmpty() else once.unionByName(docs.join(again, own, "left_semi").dropDuplicates(["doc_id", "text"]))
