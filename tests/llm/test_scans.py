@@ -66,6 +66,29 @@ def test_more_kinds():
     assert secrets.find('password = "short"') == [] and not secrets.score("colour", "zX9kq27LmPw4")
 
 
+ACCOUNTS = [
+    ("account number is 12345678.", ["12345678"]), ("accounts: 12345678", ["12345678"]), ("Your ACCOUNT\n  12345678", ["12345678"]), ("account\n\n12345678", []), ("account " + "1" * 60, ["1" * 60]), ("account 123-456-789", ["123-456-789"]),
+    ("account 1----2", []), ("account 12345", []), ("account 1-2-3-4-5-6 x", ["1-2-3-4-5-6"]), ("acct# 000123456", ["000123456"]), ("account of my the le 123456", ["123456"]), ("account of my the le la 123456", []), ("account 123456abc", []), ("subaccount 1234567", []),
+    ("accountant 1234567", []), ("passport no: C01X00T47", ["C01X00T47"]), ("passport ABCDEFGH", []), ("IBAN de89 370400", []), ("iban DE89 3704 0044 0532 0130 00 OK", ["DE89 3704 0044 0532 0130 00"]), ("iban: GB82WEST12345698765432", ["GB82WEST12345698765432"]),
+    ("iban GB82 WEST 1234 5698 7654 33", []), ("account" + " " * 100_000 + "x", []), ("ssn: 078-05-1120, konto 123456", ["078-05-1120", "123456"]), ("account", []), ("account:", []), ("İaccount x account 123456", ["123456"]), ("account account 123456", ["123456"]),
+]
+
+
+@pytest.mark.parametrize(("t", "want"), ACCOUNTS)
+def test_accounts(t, want):
+    assert [t[a:b] for k, a, b in pii.find(t) if k == "account"] == want
+
+
+def test_schemes_in_any_case():
+    t = "HTTP://A.example/x Https://b.example, İ MAILTO:c@d.ef ftp:/none"
+    assert [t[a:b] for k, a, b in pii.find(t) if k == "url"] == ["HTTP://A.example/x", "Https://b.example", "MAILTO:c@d.ef"]
+
+
+def test_cues_take_linear_time():
+    for t in ("account " * 50_000, ("account" + " " * 500) * 400, "account" + " " * 400_000 + "x", "account:=#" * 40_000, "iban A " * 50_000, "iban " + "A1B2 " * 50_000, "account no is " * 30_000, "account1-" * 50_000, "account " + "1-" * 100_000, "konto " + "A" * 300_000, "account\n" * 50_000):
+        pii.find(t)
+
+
 def test_long_runs_take_linear_time():
     for t in ("1" * 200_000, "1 " * 100_000, "+1" * 100_000, "a" * 200_000 + "@", "@" * 200_000, "1." * 100_000, "=" * 200_000, "token=" * 40_000, " " * 100_000 + "=" + " " * 100_000, "+1 " + "(" * 200_000):
         pii.find(t)

@@ -1,12 +1,15 @@
 """Personal data by anchor expansion.
 
-One Aho-Corasick pass over a text finds anchors: at-signs, plus signs, URL schemes, account cues, and digits. A parser
-that looks only at an anchor's surroundings then finds the exact boundaries and validates them. Base kinds (email, ip,
-card, phone) give exactly the leftmost non-overlapping matches of their patterns that pass validation; more kinds (url,
-account) are added: `url` from a scheme to the next blank or quote, `account` for 6 or more digits or an IBAN after a cue.
+One Aho-Corasick pass over a text finds anchors: at-signs, plus signs, URL schemes, account cues (both in any case), and
+digits. A parser that looks only at an anchor's surroundings then finds the exact boundaries and validates them. Base
+kinds (email, ip, card, phone) give exactly the leftmost non-overlapping matches of their patterns that pass validation;
+more kinds (url, account) are added: `url` from a scheme to the next blank or quote; `account` after a cue, at most
+FILLERS filler words and one line break: an IBAN whose check digits hold, digits (LEAST_DIGITS or more, with single
+hyphens), or capitals and digits together as passports have them, each to its very end.
 
 Defined cases: a null or empty text has no spans; positions count code points; other columns are ignored; repeated rows
-give repeated results. Work grows with the text's length: each parser moves forward only.
+give repeated results. Work grows with the text's length: each parser moves forward only, over blanks that no other cue's
+parser reads, and over a run of digits once for each cue before it.
 """
 
 from __future__ import annotations
@@ -23,18 +26,24 @@ KINDS = (*BASE, "url", "account")
 # Anchors by what they start.
 SCHEMES = ("http://", "https://", "ftp://", "mailto:")
 CUES = ("account", "acct", "iban", "passport", "ssn", "konto", "compte", "cuenta")
+# Words that may stand between a cue and its number.
+BETWEEN = frozenset("no nr num number numbers numero número nummer id is are was my the our your ist est es de la le of code".split())
+FILLERS, LEAST_DIGITS, LEAST_MIXED, IBAN_SIZE = 4, 6, 6, (15, 34)
 
 LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 LABEL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789-")
 DIGIT = frozenset("0123456789")
 PHONE = frozenset(" ().0123456789-")
-_url = re.compile(r"(?:https?|ftp)://[^\s\"'<>]+|mailto:[^\s\"'<>]+")
-_account = re.compile(r"[ \t]*(?:no\.?|number|nr\.?|#)?[ \t]*[:=]?[ \t]*([A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?|[0-9][0-9-]{4,32}[0-9])")
+CAPITAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZ")
+_LOW = {c: c + 32 for c in range(65, 91)}
+_url = re.compile(r"(?:(?:https?|ftp)://|mailto:)[^\s\"'<>]+", re.I | re.A)
+_word = re.compile(r"[^\W\d_]+")
+_mixed = re.compile(r"[A-Z0-9]+")
 
 
 def _automaton() -> ahocorasick.Automaton:
     a = ahocorasick.Automaton()
-    for word, kind in [("@", "at"), ("+", "plus"), *((d, "digit") for d in "0123456789"), *((s, "scheme") for s in SCHEMES), *((v, "cue") for c in CUES for v in {c, c.capitalize(), c.upper()})]:
+    for word, kind in [("@", "at"), ("+", "plus"), *((d, "digit") for d in "0123456789"), *((s, "scheme") for s in SCHEMES), *((c, "cue") for c in CUES)]:
         a.add_word(word, (kind, len(word)))
     a.make_automaton()
     return a
@@ -97,12 +106,70 @@ def runs(t: str, at: int, joiners: str) -> tuple[list[tuple[int, int]], int]:
             return out, b
 
 
+def _iban(t: str, at: int) -> int:
+    """The end of the IBAN at `at`, its groups parted by single blanks or not at all; 0 without one that is valid."""
+    n, b, compact, ends = len(t), at, [], []
+    while b < n and len(compact) < IBAN_SIZE[1]:
+        if t[b] in CAPITAL or t[b] in DIGIT:
+            compact.append(t[b])
+            b += 1
+            if b == n or t[b] not in CAPITAL and t[b] not in DIGIT:
+                ends.append((len(compact), b))
+        elif t[b] == " " and len(compact) % 4 == 0 and compact:
+            b += 1
+        else:
+            break
+    for size, end in reversed(ends):
+        x = "".join(compact[:size])
+        if size >= IBAN_SIZE[0] and x[:2].isalpha() and x[2:4].isdigit() and not t[end : end + 1].isalnum() and int("".join(str(int(c, 36)) for c in x[4:] + x[:4])) % 97 == 1:
+            return end
+    return 0
+
+
+def account(t: str, at: int) -> tuple[int, int] | None:
+    """The number after the cue that ends at `at`."""
+    n, b, fillers, lines, marks = len(t), at, 0, 0, 0
+    if t[b : b + 1] in ("s", "S"):  # accounts
+        b += 1
+    if t[b : b + 1].isalnum() or t[b : b + 1] == "_":
+        return None
+    while b < n and t[b] not in DIGIT:
+        if t[b] in " \t\r":
+            b += 1
+        elif t[b] == "\n" and not lines:
+            lines, b = 1, b + 1
+        elif t[b] in ":=#.-*" and marks < 4:
+            marks, b = marks + 1, b + 1
+        elif t[b] in CAPITAL and (e := _iban(t, b) or _mixed_end(t, b)):
+            return b, e
+        elif (m := _word.match(t, b, b + 8)) and m[0].lower() in BETWEEN and fillers < FILLERS:
+            fillers, b = fillers + 1, m.end()
+        else:
+            return None
+    if b >= n:
+        return None
+    parts, e = runs(t, b, "-")
+    if not t[e : e + 1].isalnum() and t[e : e + 1] != "_" and sum(y - x for x, y in parts) >= LEAST_DIGITS:
+        return b, e
+    return (b, e) if (e := _mixed_end(t, b)) else None
+
+
+def _mixed_end(t: str, at: int) -> int:
+    """The end of capitals and digits that stand together, of which most are digits; 0 otherwise."""
+    m = _mixed.match(t, at)
+    e = m.end() if m else at
+    if e - at < LEAST_MIXED or t[e : e + 1].isalnum() or t[e : e + 1] == "_" or 2 * sum(c in DIGIT for c in m[0]) <= e - at:
+        return 0
+    return e
+
+
 def find(t: str) -> list[Span]:
     if not _anchors:
         _anchors.append(_automaton())
     out: list[Span] = []
-    mail = call = dotted = dashed = link = 0  # ends of what was matched last
-    for end, (kind, size) in _anchors[0].iter(t):
+    mail = call = dotted = dashed = link = named = 0  # ends of what was matched last
+    low = t.lower()
+    for end, (kind, size) in _anchors[0].iter(low if len(low) == len(t) else t.translate(_LOW)):
         at = end - size + 1
         if kind == "digit":
             if at >= dotted:  # each stretch of digits and dots is parsed once, at its first digit
@@ -129,8 +196,9 @@ def find(t: str) -> list[Span]:
             if at >= link and (u := _url.match(t, at)):
                 link = u.end()
                 out.append(("url", at, len(t[at:link].rstrip(".,;:!?)")) + at))
-        elif (a := _account.match(t, end + 1)) and not (at and t[at - 1].isalnum()):
-            out.append(("account", *a.span(1)))
+        elif end >= named and not (at and t[at - 1].isalnum()) and (a := account(t, end + 1)):
+            out.append(("account", *a))
+            named = a[1]
     return out
 
 
