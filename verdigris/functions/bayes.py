@@ -20,20 +20,25 @@ def ln_gamma(x: np.ndarray | float) -> np.ndarray:
     return _lgamma(np.asarray(x, float))
 
 
+#: What a further term of the fraction may change, relative to the whole, and still be left out.
+SETTLED = 8 * np.finfo(float).eps
+
+
 def _fraction(x: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """The continued fraction of the incomplete beta function by the modified Lentz method, for all elements at once;
-    an element stops counting when its factor has settled."""
-    tiny = 1e-300
-    guard = lambda v: np.where(np.abs(v) < tiny, tiny, v)
+    an element stops counting when its factor has settled. Where x is at most (a + 1) / (a + b + 2), as here, that takes
+    a number of terms of the order of the square root of the larger parameter."""
+    least = np.finfo(float).tiny / np.finfo(float).eps
+    guard = lambda v: np.where(np.abs(v) < least, least, v)
     d = 1 / guard(1 - (a + b) * x / (a + 1))
     c, out = np.ones_like(x), d.copy()
-    live = np.ones(x.shape, bool)
-    for m in range(1, 201):
+    live, terms = np.ones(x.shape, bool), 64 + 16 * math.isqrt(int(max(np.max(a, initial=0), np.max(b, initial=0))))
+    for m in range(1, terms):
         for k in (m * (b - m) * x / ((a + 2 * m - 1) * (a + 2 * m)), -(a + m) * (a + b + m) * x / ((a + 2 * m) * (a + 2 * m + 1))):
             d, c = 1 / guard(1 + k * d), guard(1 + k / c)
             step = d * c
             out = np.where(live, out * step, out)
-        live &= np.abs(step - 1) > 3e-12
+        live &= np.abs(step - 1) > SETTLED
         if not live.any():
             break
     return out
@@ -52,10 +57,10 @@ def incomplete_beta(x: np.ndarray | float, a: np.ndarray | float, b: np.ndarray
 
 
 def beta_quantile(p: np.ndarray | float, a: np.ndarray | float, b: np.ndarray | float) -> np.ndarray:
-    """By bisection of [0, 1]; 0 and 1 for p at or beyond them."""
+    """By bisection of [0, 1] down to neighbouring numbers near 1; 0 and 1 for p at or beyond them."""
     p, a, b = (np.atleast_1d(v) for v in np.broadcast_arrays(*(np.asarray(v, float) for v in (p, a, b))))
     low, high = np.zeros(p.shape), np.ones(p.shape)
-    for _ in range(60):
+    for _ in range(np.finfo(float).nmant + 2):
         mid = (low + high) / 2
         under = incomplete_beta(mid, a, b) < p
         low, high = np.where(under, mid, low), np.where(under, high, mid)

@@ -2,16 +2,12 @@
 
 from __future__ import annotations
 
-from collections import defaultdict
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from verdigris.storage import remove, work_dir, written
 
 ZERO = "0" * 64
-#: Graphs of up to this many edges are closed on the driver.
-LOCAL_EDGES = 2_000
 
 
 def digest(content: Column) -> Column:
@@ -29,39 +25,29 @@ def domain(compiler: str, lock_digest: str | None, flags: str = "", globals_dige
     return "\0".join((compiler, lock_digest or ZERO, flags, globals_digest))
 
 
-def closure_pairs(edges: DataFrame, nodes: DataFrame, local_edges: int = LOCAL_EDGES) -> DataFrame:
-    """crate, member: each node with itself and all it depends on; cycles are fine. Small graphs (counted) are closed on
-    the driver; otherwise each round extends the newest pairs by an edge."""
+def closure_pairs(edges: DataFrame, nodes: DataFrame) -> DataFrame:
+    """crate, member: each node with itself and all it depends on; cycles are fine. Each round joins the pairs with
+    themselves, so paths of length n take about log2(n) rounds, until no pair is new."""
     spark = edges.sparkSession
-    e = edges.select("crate", "dep").where("crate is not null and dep is not null").distinct()
-    small = e.limit(local_edges + 1).collect()
-    own = nodes.select(F.col(nodes.columns[0]).alias("crate"), F.col(nodes.columns[0]).alias("member")).distinct()
-    if len(small) <= local_edges:
-        near, out = defaultdict(list), []
-        for c, d in small:
-            near[c].append(d)
-        for c in near:
-            seen, todo = {c}, [c]
-            while todo:
-                todo = [d for x in todo for d in near.get(x, ()) if d not in seen and not seen.add(d)]
-            out += [(c, d) for d in seen if d != c]
-        return own.union(spark.createDataFrame(out, own.schema)) if out else own
     home, k = work_dir(spark, "closure"), 0
-    e = written(e, f"{home}/edges")
-    seen = front = written(own, f"{home}/0")
+    own = nodes.select(F.col(nodes.columns[0]).alias("crate"), F.col(nodes.columns[0]).alias("member"))
+    e = edges.select("crate", F.col("dep").alias("member")).where("crate is not null and member is not null")
+    pairs = written(own.union(e).distinct(), f"{home}/0")
+    n = pairs.count()
     while True:
         k += 1
-        new = front.join(e.select(F.col("crate").alias("member"), "dep"), "member").select("crate", F.col("dep").alias("member")).distinct()
-        front = written(new.join(seen, ["crate", "member"], "left_anti"), f"{home}/{k}")
-        if front.isEmpty():
-            return seen
-        seen = seen.union(front)
+        both = pairs.join(pairs.select(F.col("crate").alias("member"), F.col("member").alias("further")), "member").select("crate", F.col("further").alias("member"))
+        last, pairs = n, written(pairs.union(both).distinct(), f"{home}/{k}")
+        remove(spark, f"{home}/{k - 1}")
+        n = pairs.count()
+        if n == last:
+            return pairs.join(nodes.select(F.col(nodes.columns[0]).alias("crate")).distinct(), "crate", "left_semi")
 
 
-def fingerprints(own: DataFrame, edges: DataFrame, scope: str, local_edges: int = LOCAL_EDGES) -> DataFrame:
+def fingerprints(own: DataFrame, edges: DataFrame, scope: str) -> DataFrame:
     """crate, fingerprint: of the scope and the sorted (name, own digest) of all that the crate depends on, itself
     included. A crate without a digest counts with zeros. Cycles have no effect on what is covered."""
-    pairs = closure_pairs(edges, own.select("crate"), local_edges)
+    pairs = closure_pairs(edges, own.select("crate"))
     leaf = F.concat(F.col("member"), F.lit("="), F.coalesce("digest", F.lit(ZERO)))
     both = pairs.join(own.select(F.col("crate").alias("member"), "digest"), "member", "left")
     return both.groupBy("crate").agg(F.sha2(F.concat(F.lit(scope + "\0"), F.array_join(F.array_sort(F.collect_list(leaf)), "\n")), 256).alias("fingerprint"))

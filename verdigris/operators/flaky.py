@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -45,9 +47,13 @@ def as_json(scores: DataFrame) -> DataFrame:
     return scores.select(F.to_json(F.struct(*scores.columns), {"ignoreNullFields": "false"}).alias("json"))
 
 
-def as_text(scores: DataFrame, position: str, limit: int = 1000) -> str:
-    """The report for people: at most `limit` lines, and how many more there are."""
-    rows = flat(shown(scores, position)).limit(limit + 1).collect()
+def lines(scores: DataFrame, position: str) -> Iterator[str]:
+    """The report for people, line by line, in order; the driver holds one partition of it at a time."""
     head = {0: "FLAKY", 1: "ALWAYS FAILS"}
-    lines = [f"{head[r['section']]:<13}{r['id']}  rate {r['flake_rate']:.4f} [{r['ci_low']:.4f}, {r['ci_high']:.4f}] of {r['runs']} runs" + (f", {r['reruns_to_reproduce_95']} reruns show it" if r["reruns_to_reproduce_95"] else "") for r in rows[:limit]]
-    return "\n".join([*lines, *["..."] * (len(rows) > limit)]) or "no flaky or failing test"
+    for r in flat(shown(scores, position)).toLocalIterator():
+        again = f", {r['reruns_to_reproduce_95']} reruns show it" if r["reruns_to_reproduce_95"] else ""
+        yield f"{head[r['section']]:<13}{r['id']}  rate {r['flake_rate']:.4f} [{r['ci_low']:.4f}, {r['ci_high']:.4f}] of {r['runs']} runs{again}"
+
+
+def as_text(scores: DataFrame, position: str) -> str:
+    return "\n".join(lines(scores, position)) or "no flaky or failing test"

@@ -34,8 +34,3 @@ def with_flaky(selection: DataFrame, history: DataFrame) -> DataFrame:
     risky = historically_flaky(history).select(F.col("id").alias("test_id")).distinct().withColumn("risky", F.lit(True))
     return selection.join(risky, "test_id", "left").withColumn("must_run", F.col("must_run") | F.coalesce("risky", F.lit(False))).drop("risky")
 
-
-def nested(coverage: DataFrame) -> DataFrame:
-    """test_id, files: map of file to its sorted lines, the shape of coverage in JSON documents."""
-    lines = coverage.groupBy("test_id", "file").agg(F.array_sort(F.collect_set("line")).alias("lines"))
-    return lines.groupBy("test_id").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("file", "lines")))).alias("files"))

@@ -2,15 +2,13 @@
 
 from __future__ import annotations
 
-from collections import defaultdict
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from verdigris.storage import remove, work_dir, written
 
-#: Edge lists up to this many rows are walked by the driver; longer ones by joins. Both give the same nodes.
-LOCAL_EDGES = 200_000
+#: Edges that reachable() follows before it writes what it found.
+STEPS = 4
 
 
 def ancestors(path: Column) -> Column:
@@ -52,41 +50,34 @@ def resolved(edges: DataFrame, members: DataFrame) -> DataFrame:
     return edges.join(names, edges["dep"] == names["name"], "left_semi").join(names, edges["crate"] == names["name"], "left_semi").distinct()
 
 
-def reachable(edges: DataFrame, seeds: DataFrame, src: str, dst: str, local_edges: int = LOCAL_EDGES) -> DataFrame:
-    """node: the seeds, and what edges reach from them; cycles are fine. Small graphs (counted first) are walked on the
-    driver; otherwise each round joins the frontier with the edges and drops what was seen, and is written out."""
+def reachable(edges: DataFrame, seeds: DataFrame, src: str, dst: str) -> DataFrame:
+    """node: the seeds, and what edges reach from them; cycles are fine. A round follows the frontier for STEPS edges and
+    is written out once; nodes that were seen before are dropped at each of them."""
     spark = edges.sparkSession
-    e = edges.select(F.col(src).alias("s"), F.col(dst).alias("d")).where("s is not null and d is not null")
-    seeds = seeds.select(F.col(seeds.columns[0]).alias("node")).where("node is not null")
-    small = e.limit(local_edges + 1).collect() if local_edges else []
-    if local_edges and len(small) <= local_edges:
-        first = seeds.distinct().limit(local_edges + 1).collect()
-        if len(first) <= local_edges:
-            out, todo, near = {r[0] for r in first}, [r[0] for r in first], defaultdict(list)
-            for s, d in small:
-                near[s].append(d)
-            while todo:
-                todo = [d for s in todo for d in near[s] if d not in out and not out.add(d)]
-            return spark.createDataFrame([(x,) for x in out], seeds.schema)
     home, k = work_dir(spark, "reachable"), 0
-    e = written(e.distinct(), f"{home}/edges")
-    seen = front = written(seeds.distinct(), f"{home}/0")
+    e = written(edges.select(F.col(src).alias("s"), F.col(dst).alias("d")).where("s is not null and d is not null").distinct(), f"{home}/edges")
+    seen = front = written(seeds.select(F.col(seeds.columns[0]).alias("node")).where("node is not null").distinct(), f"{home}/0")
     while True:
         k += 1
-        new = e.join(front, e["s"] == front["node"], "left_semi").select(F.col("d").alias("node")).distinct()
-        front = written(new.join(seen, "node", "left_anti"), f"{home}/{k}")
+        found, step = None, front
+        for i in range(1, STEPS + 1):
+            step = e.join(step, e["s"] == step["node"], "left_semi").select(F.col("d").alias("node")).distinct().join(seen, "node", "left_anti")
+            found = step.withColumn("step", F.lit(i)) if found is None else found.union(step.withColumn("step", F.lit(i)))
+        new = written(found.groupBy("node").agg(F.min("step").alias("step")), f"{home}/{k}")
+        if new.isEmpty():
+            return seen
+        front, seen = new.where(F.col("step") == STEPS).select("node"), seen.union(new.select("node"))
         if front.isEmpty():
             return seen
-        seen = seen.union(front)
-        if k % 16 == 0:
-            old, seen = k, written(seen, f"{home}/seen{k}")
-            for j in range(max(0, old - 16), old):
+        if k % 16 == 0:  # many short files are read as one
+            seen = written(seen, f"{home}/seen{k}")
+            for j in range(k - 15, k):
                 remove(spark, f"{home}/{j}")
 
 
-def affected(edges: DataFrame, seeds: DataFrame, local_edges: int = LOCAL_EDGES) -> DataFrame:
+def affected(edges: DataFrame, seeds: DataFrame) -> DataFrame:
     """crate: the seeds and every crate that depends on one of them, directly or not. edges: (crate, dep)."""
-    return reachable(edges, seeds, "dep", "crate", local_edges).select(F.col("node").alias("crate"))
+    return reachable(edges, seeds, "dep", "crate").select(F.col("node").alias("crate"))
 
 
 def names(members: DataFrame) -> DataFrame:

@@ -13,7 +13,7 @@ FN, CONST, STATIC, TYPE, OPAQUE = "fn", "const", "static", "type_alias", "opaque
 BLOCK = 256
 
 
-def reference_edges(items: DataFrame, aliases: DataFrame | None = None, local_edges: int = graph.LOCAL_EDGES) -> DataFrame:
+def reference_edges(items: DataFrame, aliases: DataFrame | None = None) -> DataFrame:
     """src_item, dst_item: src names dst, directly or through a chain of use-aliases. An alias holds in every file; one
     that several files give different targets has them all. An item does not refer to itself."""
     named = items.where("name is not null and name <> ''").select(F.col("item_id").alias("dst_item"), "name")
@@ -31,19 +31,20 @@ def closed_aliases(step: DataFrame) -> DataFrame:
     return pairs.where("crate <> member").select(F.col("crate").alias("alias"), F.col("member").alias("original"))
 
 
-def users(items: DataFrame, edges: DataFrame, seeds: DataFrame, local_edges: int = graph.LOCAL_EDGES) -> DataFrame:
+def users(items: DataFrame, edges: DataFrame, seeds: DataFrame) -> DataFrame:
     """The functions among items that refer to a seed (item_id), directly or through any items; seeds included."""
-    hit = graph.reachable(edges, seeds, "dst_item", "src_item", local_edges)
+    hit = graph.reachable(edges, seeds, "dst_item", "src_item")
     return items.where(F.col("kind") == FN).join(hit.select(F.col("node").alias("item_id")), "item_id", "left_semi")
 
 
 def enclosing(lines: DataFrame, items: DataFrame, of_functions: bool) -> DataFrame:
     """lines (file, line) and item_id of the smallest enclosing item that is, or is not, a function; null if none is. Of
-    equally small ones the first item. Both sides are dealt to blocks of lines, so the join is by equality of file and
+    equally small ones the first of the file, by pos (or by item_id, where items have no pos). Both sides are dealt to blocks of lines, so the join is by equality of file and
     block and a long file is spread."""
     kind = F.col("kind") == FN if of_functions else F.col("kind") != FN
-    spans = items.where(kind).select("item_id", "file", "start", "end", F.explode(F.sequence(F.expr(f"start div {BLOCK}"), F.expr(f"`end` div {BLOCK}"))).alias("block"))
+    place = F.col("pos" if "pos" in items.columns else "item_id").alias("place")
+    spans = items.where(kind).select("item_id", place, "file", "start", "end", F.explode(F.sequence(F.expr(f"start div {BLOCK}"), F.expr(f"`end` div {BLOCK}"))).alias("block"))
     at = lines.select("file", "line").distinct().withColumn("block", F.expr(f"line div {BLOCK}"))
     inside = at.join(spans, ["file", "block"]).where("line between start and `end`")
-    best = inside.groupBy("file", "line").agg(F.min(F.struct((F.col("end") - F.col("start")).alias("width"), "item_id")).alias("m"))
+    best = inside.groupBy("file", "line").agg(F.min(F.struct((F.col("end") - F.col("start")).alias("width"), "place", "item_id")).alias("m"))
     return lines.join(best.select("file", "line", F.col("m.item_id").alias("item_id")), ["file", "line"], "left")

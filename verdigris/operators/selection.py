@@ -41,7 +41,7 @@ class Plan:
         return "\n".join([s["reason"], *(f"  {'-' if r['status'] == SKIPPED else '+'} {r['crate']} ({r['status']})" for r in rows)])
 
 
-def plan(members: DataFrame, edges: DataFrame, changed: DataFrame, root: str = "", local_edges: int = graph.LOCAL_EDGES) -> Plan:
+def plan(members: DataFrame, edges: DataFrame, changed: DataFrame, root: str = "") -> Plan:
     """members (name, manifest_dir), edges (crate, dep), changed (path, relative to root). A global file selects every
     crate; it is neither owned nor ignored. Files that no member owns are ignored, and counted."""
     files = changed.select("path").where("trim(path) <> ''").distinct().withColumn("global", is_global(F.col("path")))
@@ -53,7 +53,7 @@ def plan(members: DataFrame, edges: DataFrame, changed: DataFrame, root: str = "
     if facts["select_all"]:
         seeds, reached = seeds.limit(0), everyone
     else:
-        reached = graph.affected(graph.resolved(edges, members), seeds, local_edges)
+        reached = graph.affected(graph.resolved(edges, members), seeds)
     status = F.when(F.col("c"), CHANGED).when(F.col("r"), AFFECTED).otherwise(SKIPPED)
     crates = everyone.join(seeds.withColumn("c", F.lit(True)), "crate", "left").join(reached.distinct().withColumn("r", F.lit(True)), "crate", "left").select("crate", status.alias("status"))
     n = [F.count_if(F.col("status") == s).alias(s) for s in (CHANGED, AFFECTED, SKIPPED)]

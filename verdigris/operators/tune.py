@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: The one host, and the first version, whose toolchain links with the fast linker by default.
+# The one host, and the first version, whose toolchain links with the fast linker by default; keys and values
+# of build_config() are the build tool's own.
 FAST_LINKER = ("x86_64-unknown-linux-gnu", (1, 90, 0))
 LEAST_MEMBERS = 4
 

@@ -14,20 +14,28 @@ def bare_path(header: Column) -> Column:
 
 def hunks(diffs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, file, old_start, old_count of each hunk header of each diff text. A hunk belongs to the file named last:
-    by `+++ `, or by `--- ` if that was /dev/null. A header before any file, or that is malformed, gives no hunk. Only
-    the header lines are kept before lines are put in order, so contents are not shuffled."""
+    by `+++ `, or by `--- ` if that was /dev/null. A header before any file, or that is malformed, gives no hunk. Lines
+    of a hunk are counted, so a deleted `-- x` or an added `++ x` in it names no file. Only header lines are kept whole
+    before lines are put in order; of the others it is their place and first sign, so contents are not shuffled."""
     lines = diffs.select(F.col(doc_id).alias("doc_id"), F.posexplode(F.split(text, "\n")).alias("pos", "line"))
-    lines = lines.where(F.col("line").rlike("^(--- |[+]{3} |@@ )"))
+    sign, head = F.substring("line", 1, 1), F.col("line").rlike("^(--- |[+]{3} |@@ )")
+    lines = lines.select("doc_id", "pos", F.when(head, F.col("line")).alias("line"), sign.isin("-", " ", "").alias("o"), sign.isin("+", " ", "").alias("n"))
+    number = lambda i: F.nullif(F.regexp_extract("line", r"^@@ (?:[^-\s]\S* )*-(\d+)(?:,(\d+))?(?:\s+[+]\d+(?:,(\d+))?)?(?=\s|$)", i), F.lit("")).try_cast("int")
+    added = F.regexp_extract("line", r"^@@ [^+]*[+]\d+(?=[\s,])", 0) != ""
+    is_hunk = F.coalesce(F.col("line").startswith("@@ "), F.lit(False))
+    w = Window.partitionBy("doc_id").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
+    lines = lines.withColumns({"is_hunk": is_hunk, "start": F.when(is_hunk, number(1)), "old_count": F.when(is_hunk, F.when(number(1).isNotNull(), F.coalesce(number(2), F.lit(1)))), "new_count": F.when(is_hunk & added, F.coalesce(number(3), F.lit(1)))})
+    lines = lines.withColumn("g", F.count_if("is_hunk").over(w))
+    own = Window.partitionBy("doc_id", "g").orderBy("pos")
+    so_far = own.rowsBetween(Window.unboundedPreceding, -1)
+    left = lambda count, kind: F.coalesce(F.first(count).over(own), F.lit(0)) - F.coalesce(F.count_if(kind).over(so_far), F.lit(0))
+    lines = lines.withColumns({"old_left": left("old_count", "o"), "new_left": left("new_count", "n")})
+    lines = lines.where(F.col("is_hunk") | (F.col("line").startswith("--- ") & (F.col("old_left") <= 0)) | (F.col("line").startswith("+++ ") & (F.col("new_left") <= 0)))
     old = F.when(F.col("line").startswith("--- "), F.struct(bare_path(F.substr("line", F.lit(5))).alias("path")))
     new = F.when(F.col("line").startswith("+++ "), F.struct(bare_path(F.substr("line", F.lit(5))).alias("path")))
-    w = Window.partitionBy("doc_id").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
-    at = F.when(old.isNotNull() | new.isNotNull(), F.col("pos"))
-    marked = lines.select("doc_id", "pos", "line", F.last(old, True).over(w).alias("old"), F.last(F.when(new.isNotNull() | old.isNotNull(), F.struct(new.alias("new"))), True).over(w).alias("top"), F.last(at, True).over(w).alias("at"))
+    marked = lines.select("doc_id", "is_hunk", "start", "old_count", F.last(old, True).over(w).alias("old"), F.last(F.when(new.isNotNull() | old.isNotNull(), F.struct(new.alias("new"))), True).over(w).alias("top"))
     file = F.when(F.col("top.new").isNotNull(), F.coalesce("top.new.path", "old.path"))
-    start = F.regexp_extract("line", r"^@@ (?:[^-\s]\S* )*-(\d+)(?:,(\d+))?(?=\s|$)", 1)
-    count = F.regexp_extract("line", r"^@@ (?:[^-\s]\S* )*-(\d+)(?:,(\d+))?(?=\s|$)", 2)
-    found = marked.where(F.col("line").startswith("@@ ")).select("doc_id", file.alias("file"), F.nullif(start, F.lit("")).try_cast("int").alias("old_start"), F.coalesce(F.nullif(count, F.lit("")).try_cast("int"), F.lit(1)).alias("old_count"))
-    return found.where("file is not null and old_start is not null")
+    return marked.where("is_hunk").select("doc_id", file.alias("file"), F.col("start").alias("old_start"), "old_count").where("file is not null and old_start is not null")
 
 
 def touched_lines(hunks: DataFrame) -> DataFrame:

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from xml.parsers import expat
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -10,31 +14,50 @@ from verdigris import schemas
 # Children of a testcase that make it failed, or flaky.
 FAILED = ("failure", "error")
 RETRIED = ("flakyFailure", "flakyError", "rerun", "rerunFailure")
-#: A coverage region over more lines is not believed, and its test's record with it.
+#: A coverage region over more lines is not believed.
 MAX_SPAN = 1_000_000
 
-_CASE = "struct<_name:string,_time:string," + ",".join(f"{c}:array<string>" for c in (*FAILED, *RETRIED)) + ">"
-_SUITE = f"_name string, testcase array<{_CASE}>"
+
+def _cases(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """suite, name, time, failed, retried of each testcase, at any depth."""
+    for b in batches:
+        for text in b.column(0).to_pylist():
+            out: list[list] = []
+            suites, case = [""], []
+
+            def start(tag: str, at: dict, out=out, suites=suites, case=case) -> None:
+                if tag == "testsuite":
+                    suites.append(at.get("name") or suites[-1])
+                elif tag == "testcase":
+                    case.append([suites[-1], at.get("name", ""), at.get("time"), False, False])
+                elif case and tag in FAILED:
+                    case[-1][3] = True
+                elif case and tag in RETRIED:
+                    case[-1][4] = True
+
+            def end(tag: str, out=out, suites=suites, case=case) -> None:
+                if tag == "testsuite":
+                    suites.pop()
+                elif tag == "testcase":
+                    out.append(case.pop())
+
+            parser = expat.ParserCreate()
+            parser.StartElementHandler, parser.EndElementHandler = start, end
+            parser.Parse(text or "", True)
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.string(), pa.string(), pa.string(), pa.bool_(), pa.bool_()), strict=True)], names=["suite", "name", "time", "failed", "retried"])
 
 
 def outcomes(reports: DataFrame, text: str = "text") -> DataFrame:
-    """id, passed, flaky, duration_ms of each testcase of XML texts with the root <testsuites> or <testsuite>. The id is
-    suite::name, or the name where the suite has none. A failure outweighs retries; a skipped case passes. Malformed XML
-    raises."""
-    suite = f"struct<{_SUITE.replace(' ', ':', 1).replace(', testcase ', ',testcase:')}>"
-    options = {"mode": "FAILFAST"}
-    many = F.from_xml(F.col(text), f"testsuite array<{suite}>", options)["testsuite"]
-    one = F.array(F.from_xml(F.col(text), _SUITE, options))
-    is_one = F.col(text).rlike(r"(?s)^\s*(?:<\?.*?\?>\s*)?(?:<!--.*?-->\s*)*<testsuite[\s>/]")
-    s = reports.select(F.explode(F.when(is_one, one).otherwise(many)).alias("s"))
-    c = s.select(F.coalesce("s._name", F.lit("")).alias("suite"), F.explode("s.testcase").alias("c"))
-    some = lambda names: F.coalesce(*(F.col(f"c.{n}") for n in names)).isNotNull()
-    name = F.coalesce("c._name", F.lit(""))
+    """id, passed, flaky, duration_ms of each testcase of XML texts, however deep its suite lies in others. The id is
+    suite::name with the innermost suite around it that has a name, or the name alone. A failure outweighs retries; a
+    skipped case passes. Malformed XML raises. Depth has no bound in XML but has one in a schema, hence the parser."""
+    c = reports.select(text).mapInArrow(_cases, "suite string, name string, time string, failed boolean, retried boolean")
     return c.select(
-        F.when(F.col("suite") == "", name).otherwise(F.concat_ws("::", "suite", name)).alias("id"),
-        (~some(FAILED)).alias("passed"),
-        (some(RETRIED) & ~some(FAILED)).alias("flaky"),
-        F.round(F.expr("try_cast(c._time as double)") * 1000).cast("bigint").alias("duration_ms"),
+        F.when(F.col("suite") == "", F.col("name")).otherwise(F.concat_ws("::", "suite", "name")).alias("id"),
+        (~F.col("failed")).alias("passed"),
+        (F.col("retried") & ~F.col("failed")).alias("flaky"),
+        F.round(F.expr("try_cast(time as double)") * 1000).cast("bigint").alias("duration_ms"),
     )
 
 
@@ -42,11 +65,11 @@ def read_outcomes(spark: SparkSession, path: str) -> DataFrame:
     return outcomes(spark.read.text(path, wholetext=True).withColumnRenamed("value", "text"))
 
 
-def covered_lines(exports: DataFrame, keys: list[str], text: str = "text", lenient: bool = False) -> DataFrame:
+def covered_lines(exports: DataFrame, keys: list[str], text: str = "text", lenient: bool = True) -> DataFrame:
     """keys, file, line: the lines that coverage exports (JSON texts) count as run, each once for each key. A region is
     [first line, column, last line, column, count, file, expanded file, kind, ...]; regions of another kind, without a
     count, from macro expansions, or malformed are left out before lines are expanded. A region over more than MAX_SPAN
-    lines drops its export whole, so that its tests count as uncovered; with lenient, only the region."""
+    lines is left out; without lenient its whole export is, so that its tests count as uncovered."""
     parsed = exports.select(*keys, F.from_json(text, schemas.COVERAGE_EXPORT)["data"].alias("data"))
     parsed = parsed.select(*keys, F.flatten(F.transform(F.coalesce("data", F.array()), lambda d: F.coalesce(d["functions"], F.array()))).alias("functions"))
     at = lambda r, i: F.get(r, F.lit(i))

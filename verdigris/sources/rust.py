@@ -13,7 +13,6 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from verdigris import schemas
 from verdigris.storage import work_dir, written
 
 _masked = re.compile(r"""//[^\n]*|/\*|(?<![A-Za-z0-9_])[bc]?r(\#*)"|[bc]?"(?:[^"\\]|\\.)*"|b?'(?:[^'\\\n]|\\(?:x[0-9a-fA-F]{2}|u\{[0-9a-fA-F_]+\}|.))'""", re.S)
@@ -67,15 +66,16 @@ class _Parser:
                 self.match[stack.pop()] = i
         if stack:
             raise ValueError("brackets do not match")
-        self.items: list[Item] = []
-        self.aliases: list[tuple[str, str]] = []
+        self.items: list[tuple[int, Item]] = []  # each with its first word's number
+        self.aliases: list[tuple[int, tuple[str, str]]] = []
+        self.inner: list[tuple[int, int, str]] = []
 
     def word(self, i: int) -> str:
         return self.words[i] if i < len(self.words) else ""
 
     def put(self, name: str, kind: str, a: int, b: int) -> None:
         names = {w for w in self.words[a : b + 1] if w[0].isalpha() or w[0] == "_"}
-        self.items.append((name, kind, self.lines[a], self.lines[b], sorted(names)))
+        self.items.append((a, (name, kind, self.lines[a], self.lines[b], sorted(names))))
 
     def end(self, i: int, to: int, blocks: bool) -> tuple[int, int | None]:
         """The last word of an item, and its body's opening brace: a semicolon outside brackets, or with blocks a brace."""
@@ -90,7 +90,7 @@ class _Parser:
         return to - 1, None
 
     def uses(self, a: int, b: int) -> None:
-        self.aliases += [(self.words[i + 1], self.words[i - 1]) for i in range(a, b) if self.words[i] == "as" and i > a and self.word(i + 1) != "_"]
+        self.aliases += [(i, (self.words[i + 1], self.words[i - 1])) for i in range(a, b) if self.words[i] == "as" and i > a and self.word(i + 1) != "_"]
 
     def run(self, i: int, to: int, inside: str = "") -> None:
         """Items among words i to to; inside: `impl` or `trait` where only members count."""
@@ -118,7 +118,7 @@ class _Parser:
             elif key == "mod":
                 b, body = self.end(j, to, True)
                 if body is not None:
-                    self.run(body + 1, b)
+                    self.inner.append((body + 1, b, ""))
                 else:
                     self.put("", "opaque", a, b)
             elif key in ("trait", "impl") or (key == "auto" and name == "trait"):
@@ -126,7 +126,7 @@ class _Parser:
                 head = [w for w in self.words[j + 1 : body if body is not None else b] if w[0].isalpha() or w[0] == "_"]
                 self.put(name if key == "trait" else self.impl_name(j + 1, body if body is not None else b), "opaque", a, b)
                 if body is not None and head:
-                    self.run(body + 1, b, key if key == "impl" else "trait")
+                    self.inner.append((body + 1, b, key if key == "impl" else "trait"))
             elif key in _NAMED and (name[:1].isalpha() or name[:1] == "_"):
                 b, _ = self.end(j, to, True)
                 if self.word(b) == ")" and self.word(b + 1) == ";":
@@ -170,15 +170,20 @@ def parse(src: str) -> tuple[list[Item], list[tuple[str, str]]]:
     match."""
     try:
         p = _Parser(src)
-        p.run(0, len(p.words))
     except ValueError:
         return [], []
-    return p.items, p.aliases
+    todo = [(0, len(p.words), "")]
+    while todo:  # modules, traits and implementations inside others come to the list, not to the stack
+        p.inner = []
+        p.run(*todo.pop())
+        todo += reversed(p.inner)
+    p.items.sort(key=lambda x: x[0])
+    return [x[1] for x in p.items], [x[1] for x in sorted(p.aliases, key=lambda x: x[0])]
 
 
 def items_and_aliases(sources: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Of sources (file, src): items, numbered by file and place, and aliases (alias, original, file). A file is parsed
-    once; both come from that pass."""
+    """Of sources (file, src): items with their place in the file (pos), numbered by file and place, and aliases (alias,
+    original, file). A file is parsed once; both come from that pass."""
     schema = "file string, pos int, name string, kind string, start int, `end` int, refs array<string>, alias string, original string"
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -193,7 +198,7 @@ def items_and_aliases(sources: DataFrame) -> tuple[DataFrame, DataFrame]:
 
     both = written(sources.select("file", "src").mapInPandas(run, schema), work_dir(sources.sparkSession, "items"))
     number = F.abs(F.xxhash64("file", "pos"))
-    return both.where("pos is not null").select(number.alias("item_id"), "name", "kind", "file", "start", "end", "refs"), both.where("alias is not null").select("alias", "original", "file")
+    return both.where("pos is not null").select(number.alias("item_id"), "pos", "name", "kind", "file", "start", "end", "refs"), both.where("alias is not null").select("alias", "original", "file")
 
 
 def read_sources(spark: SparkSession, path: str, suffix: str = ".rs") -> DataFrame:
@@ -239,6 +244,3 @@ def tree_files(spark: SparkSession, root: str) -> DataFrame:
     listed = spark.createDataFrame([(x,) for x in sorted(found)], "rel string")
     return listed.mapInPandas(run, "rel string, digest string")
 
-
-def empty_items(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame([], schemas.ITEMS)

@@ -1,6 +1,6 @@
-"""The persistent store: greens, history and coverage as tables of numbered versions, and a pointer to the newest.
+"""The persistent store: greens, history and coverage as tables of numbered versions, and numbered pointers to them.
 
-A save writes a new version beside the old one and moves the pointer last, so readers always see whole versions, and a
+A save writes a new version beside the old one and the next pointer last, so readers always see whole versions, and a
 table can be replaced by what was computed from it. A missing store is empty.
 """
 
@@ -11,7 +11,7 @@ import json
 from pyspark.sql import DataFrame, SparkSession
 
 from verdigris import schemas
-from verdigris.storage import exists, get_text, put_text
+from verdigris.storage import get_text, put_text
 
 TABLES = {"greens": schemas.GREENS, "history": schemas.HISTORY, "coverage": schemas.COVERAGE}
 
@@ -25,8 +25,7 @@ class Store:
         self.spark, self.path = spark, path.rstrip("/")
 
     def version(self) -> dict[str, int]:
-        pointer = f"{self.path}/CURRENT.json"
-        return json.loads(get_text(self.spark, pointer)) if exists(self.spark, pointer) else {}
+        return json.loads(get_text(self.spark, f"{self.path}/CURRENT.json") or "{}")
 
     def load(self, table: str) -> DataFrame:
         v = self.version().get(table)

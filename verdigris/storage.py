@@ -47,21 +47,34 @@ def remove(spark: SparkSession, path: str) -> None:
     fs.delete(p, True)
 
 
-def exists(spark: SparkSession, path: str) -> bool:
-    fs, p = _fs(spark, path)
-    return fs.exists(p)
-
-
 def put_text(spark: SparkSession, path: str, text: str) -> None:
-    """Writes a small file aside and renames it, so that readers see the old or the new one, never a part."""
+    """Writes a small file as the next of a sequence path.1, path.2, ...: aside first, then renamed to a name that was
+    not there, so that readers see whole files and never none. Of two that write at once one fails. Older ones but the
+    last are removed."""
     fs, p = _fs(spark, path)
-    aside = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}.{uuid.uuid4().hex[:8]}")
+    path_of = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    n = _numbers(fs, p)
+    aside, to = path_of(f"{path}.aside-{uuid.uuid4().hex[:8]}"), path_of(f"{path}.{max(n, default=0) + 1}")
     out = fs.create(aside, True)
     out.write(bytearray(text.encode()))
     out.close()
-    fs.delete(p, False)
-    fs.rename(aside, p)
-
-
-def get_text(spark: SparkSession, path: str) -> str:
-    return spark.read.text(path, wholetext=True).first()[0]
+    if fs.exists(to) or not fs.rename(aside, to):
+        fs.delete(aside, False)
+        raise OSError(f"{to} was written by another")
+    for k in sorted(n)[:-1]:
+        fs.delete(path_of(f"{path}.{k}"), False)
+
+
+def _numbers(fs, p) -> list[int]:
+    """The numbers of the sequence's files."""
+    if not fs.exists(p.getParent()):
+        return []
+    name = p.getName() + "."
+    found = [s.getPath().getName() for s in fs.listStatus(p.getParent())]
+    return [int(x[len(name) :]) for x in found if x.startswith(name) and x[len(name) :].isdigit()]
+
+
+def get_text(spark: SparkSession, path: str) -> str | None:
+    """The newest file of the sequence; None without one."""
+    n = _numbers(*_fs(spark, path))
+    return spark.read.text(f"{path}.{max(n)}", wholetext=True).first()[0] if n else None

@@ -7,7 +7,7 @@ from pyspark.sql.streaming.query import StreamingQuery
 
 from verdigris.operators import history
 from verdigris.sources.store import Store
-from verdigris.storage import exists, get_text, put_text
+from verdigris.storage import get_text, put_text
 
 
 def follow(outcomes: DataFrame, store: Store, checkpoint: str, available_now: bool = True) -> StreamingQuery:
@@ -17,7 +17,7 @@ def follow(outcomes: DataFrame, store: Store, checkpoint: str, available_now: bo
 
     def add(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
-        state = get_text(spark, mark).split() if exists(spark, mark) else ["-1", "0"]
+        state = (get_text(spark, mark) or "-1 0").split()
         version = store.version().get("history", 0)
         if number <= int(state[0]) or (int(state[0]) == number - 1 and version > int(state[1]) and state[0] != "-1"):
             put_text(spark, mark, f"{number} {version}")
