@@ -26,6 +26,8 @@ def test_diff(spark, rows):
 def test_lines_of_a_hunk_name_no_file(spark, rows):
     sql = "--- a/q.sql\n+++ b/q.sql\n@@ -1,3 +1,4 @@\n select 1\n--- old note\n+++ new note\n+-- more\n\n@@ -9,2 +10 @@\n--- gone\n-x\n+y\n--- a/z.txt\n+++ b/z.txt\n@@ -4 +4 @@\n-- a\n++ b\n\\ No newline at end of file\n"
     assert rows(diff.hunks(_text(spark, sql)), "file", "old_start", "old_count") == [("q.sql", 1, 3), ("q.sql", 9, 2), ("z.txt", 4, 1)]
+    short = "--- a/x\n+++ b/x\n@@ -1,5 +1,5 @@\n-a\ndiff --git a/y b/y\n--- a/y\n+++ b/y\n@@ -2 +2 @@\n-a\n+b\n"
+    assert rows(diff.hunks(_text(spark, short)), "file", "old_start", "old_count") == [("x", 1, 5), ("y", 2, 1)]
 
 
 def test_changed_files(spark, rows):

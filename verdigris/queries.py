@@ -10,7 +10,10 @@ from pyspark.sql import functions as F
 
 from verdigris.functions import bayes, stats
 from verdigris.operators import attribution, dashboard, fingerprint, flaky, fnselect, graph, history, hybrid, ordering, refgraph, selection, tune
-from verdigris.sources import diff, reports
+from verdigris.plans import flows
+from verdigris.sources import diff, reports, rust
+from verdigris.sources.store import Store
+from verdigris.storage import work_dir
 
 Z = 1.959963986120195
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -204,15 +207,16 @@ def attribution_three_valued(spark, sf_dir):
     return attribution.crate_results(crates, p.select(F.concat_ws("::", "p_brand", "p_name").alias("id"), (F.col("p_size") > 1).alias("passed")))
 
 
-ITEMS = """i as (select row_number() over (order by l_suppkey, l_partkey, l_orderkey, l_linenumber, l_quantity, l_extendedprice, l_discount, l_tax, l_shipdate, l_returnflag, l_linestatus) as item_id, cast(l_suppkey as varchar) as file, l_partkey as s, l_partkey + cast(l_quantity as bigint) as e,
+ITEMS = """i as (select l_orderkey * 8 + l_linenumber as item_id, cast(l_suppkey as varchar) as file, l_partkey as s, l_partkey + cast(l_quantity as bigint) as e,
   case when l_linestatus = 'O' then 'fn' else 'const' end as kind from lineitem),
 q as (select distinct cast(1 + p_partkey % (select max(s_suppkey) from supplier) as varchar) as file, p_partkey as line from part)"""
 
 
 def _span_items(spark, sf_dir) -> DataFrame:
-    """Items of a file are the lines of a supplier; the item's name is not used. Its id follows from all its columns."""
-    li = _t(spark, sf_dir, "lineitem")
-    return li.select(F.xxhash64(*li.columns).alias("item_id"), F.lit("").alias("name"), F.when(F.col("l_linestatus") == "O", "fn").otherwise("const").alias("kind"), F.col("l_suppkey").cast("string").alias("file"), F.col("l_partkey").cast("int").alias("start"), (F.col("l_partkey") + F.col("l_quantity").cast("bigint")).cast("int").alias("end"), F.array().cast("array<string>").alias("refs"))
+    """Items of a file are the lines of a supplier, numbered by order and line, which is their place too."""
+    li, number = _t(spark, sf_dir, "lineitem"), (F.col("l_orderkey") * 8 + F.col("l_linenumber")).cast("bigint")
+    kind = F.when(F.col("l_linestatus") == "O", "fn").otherwise("const")
+    return li.select(number.alias("item_id"), number.alias("pos"), F.lit("").alias("name"), kind.alias("kind"), F.col("l_suppkey").cast("string").alias("file"), F.col("l_partkey").cast("int").alias("start"), (F.col("l_partkey") + F.col("l_quantity").cast("bigint")).cast("int").alias("end"), F.array().cast("array<string>").alias("refs"))
 
 
 def _span_lines(spark, sf_dir) -> DataFrame:
@@ -220,15 +224,14 @@ def _span_lines(spark, sf_dir) -> DataFrame:
     return _t(spark, sf_dir, "part").select((1 + F.col("p_partkey") % most).cast("string").alias("file"), F.col("p_partkey").cast("int").alias("line")).distinct()
 
 
-@query(f"""with {ITEMS} select file, line, cast(min(e - s) filter (kind = 'fn') as bigint) as fn_width, cast(min(e - s) filter (kind <> 'fn') as bigint) as other_width
-from (select q.file, q.line, i.s, i.e, i.kind from q left join i on i.file = q.file and q.line between i.s and i.e) group by 1, 2""")
+@query(f"""with {ITEMS} select file, line, arg_min(item_id, (e - s, item_id)) filter (kind = 'fn') as fn_item, arg_min(item_id, (e - s, item_id)) filter (kind <> 'fn') as other_item
+from (select q.file, q.line, i.* exclude (file) from q left join i on i.file = q.file and q.line between i.s and i.e) group by 1, 2""")
 def interval_enclosure(spark, sf_dir):
-    items, lines = _span_items(spark, sf_dir), _span_lines(spark, sf_dir)
-    width = items.select("item_id", (F.col("end") - F.col("start")).cast("bigint").alias("w")).distinct()
-    out = lines
-    for name, fn in (("fn_width", True), ("other_width", False)):
-        out = refgraph.enclosing(out, items, fn).join(width.withColumnRenamed("w", name), "item_id", "left").drop("item_id")
-    return out.select("file", F.col("line").cast("bigint").alias("line"), "fn_width", "other_width")
+    """The smallest item around each line; of equally small ones the first."""
+    items, out = _span_items(spark, sf_dir), _span_lines(spark, sf_dir)
+    for name, fn in (("fn_item", True), ("other_item", False)):
+        out = refgraph.enclosing(out, items, fn).withColumnRenamed("item_id", name)
+    return out.select("file", F.col("line").cast("bigint").alias("line"), "fn_item", "other_item")
 
 
 def _coverage(spark, sf_dir) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -305,8 +308,10 @@ def diff_parse(spark, sf_dir):
     key, cust = F.col("o_orderkey"), F.col("o_custkey").cast("string")
     head = F.when(key % 5 == 0, F.concat(F.lit("--- a/src/old"), cust, F.lit(".rs\n+++ /dev/null\n"))).otherwise(F.concat(F.lit("--- a/x\n+++ b/src/f"), cust, F.lit(".rs\t2024\n")))
     count = F.when(key % 4 == 0, F.lit("")).otherwise(F.concat(F.lit(","), (key % 4 - 1).cast("string")))
-    more = F.when(key % 3 == 0, F.lit("--- /dev/null\n+++ b/lib/x.rs\n@@ -7,2 +9 @@ fn x() { a - b }\n")).otherwise(F.lit("@@ malformed @@\n"))
-    text = F.concat(F.lit("diff --git a b\n@@ -1 +1 @@\n"), head, F.lit("@@ -"), (key % 90).cast("string"), count, F.lit(" +1,2 @@ tail\n+let y = 1;\n"), more)
+    n = F.when(key % 4 == 0, 1).otherwise((key % 4 - 1).cast("int"))
+    more = F.when(key % 3 == 0, F.lit("--- /dev/null\n+++ b/lib/x.rs\n@@ -7,2 +9 @@ fn x() { a - b }\n a\n--- b\n")).otherwise(F.lit("@@ malformed @@\n"))
+    body = F.concat(F.repeat(F.lit("--- gone\n"), n), F.lit("+let y = 1;\n+++ two\n"))
+    text = F.concat(F.lit("diff --git a b\n@@ -1 +1 @@\n-p\n+q\n"), head, F.lit("@@ -"), (key % 90).cast("string"), count, F.lit(" +1,2 @@ tail\n"), body, more)
     return diff.hunks(o.select(key.alias("doc_id"), text.alias("text")))
 
 
@@ -317,17 +322,21 @@ def touched_lines(spark, sf_dir):
     return diff.touched_lines(li.select(F.col("l_suppkey").cast("string").alias("file"), F.col("l_partkey").cast("int").alias("old_start"), n.alias("old_count")))
 
 
-@query("""select case when user_id % 4 = 0 then '' else concat('suite', user_id, '::') end || concat('t', event_id) as id, event_type <> 'error' as passed, event_type = 'view' as flaky,
+@query("""select case when event_id % 3 = 0 then concat('deep', user_id, '::') when user_id % 4 = 0 then '' else concat('suite', user_id, '::') end || concat('t', event_id) as id, event_type <> 'error' as passed, event_type = 'view' as flaky,
   case when event_type <> 'click' then cast(event_id % 5000 as bigint) end as duration_ms from events""")
 def junit_parse(spark, sf_dir):
+    """A suite a user, with a nested one (in one without a name) for every third event."""
     e = _t(spark, sf_dir, "events")
     child = F.when(F.col("event_type") == "error", F.lit('><failure type="x">boom</failure><flakyFailure/></testcase>')).when(F.col("event_type") == "view", F.lit("><flakyFailure>again</flakyFailure></testcase>")).when(F.col("event_type") == "purchase", F.lit("><skipped/></testcase>")).otherwise(F.lit("/>"))
     ms = F.col("event_id") % 5000
     time = F.when(F.col("event_type") != "click", F.concat(F.lit(' time="'), F.format_string("%d.%03d", F.expr("(event_id % 5000) div 1000"), ms % 1000), F.lit('"'))).otherwise(F.lit(""))
     case = F.concat(F.lit('<testcase name="t'), F.col("event_id").cast("string"), F.lit('"'), time, child)
-    suite = e.groupBy("user_id").agg(F.concat_ws("", F.collect_list(case)).alias("c"))
-    name = F.when(F.col("user_id") % 4 == 0, F.lit("")).otherwise(F.concat(F.lit(' name="suite'), F.col("user_id").cast("string"), F.lit('"')))
-    xml = F.concat(F.lit("<testsuites><testsuite"), name, F.lit(">"), "c", F.lit("</testsuite></testsuites>"))
+    deep = F.col("event_id") % 3 == 0
+    suite = e.groupBy("user_id").agg(F.array_join(F.collect_list(F.when(~deep, case)), "").alias("c"), F.array_join(F.collect_list(F.when(deep, case)), "").alias("d"))
+    key = F.col("user_id").cast("string")
+    name = F.when(F.col("user_id") % 4 == 0, F.lit("")).otherwise(F.concat(F.lit(' name="suite'), key, F.lit('"')))
+    inner = F.concat(F.lit('<testsuite name="deep'), key, F.lit('"><testsuite>'), "d", F.lit("</testsuite></testsuite>"))
+    xml = F.concat(F.lit("<testsuites><testsuite"), name, F.lit(">"), inner, "c", F.lit("</testsuite></testsuites>"))
     return reports.outcomes(suite.select(xml.alias("text")))
 
 
@@ -382,7 +391,14 @@ def closure_fingerprint(spark, sf_dir):
     return _nation_prints(spark, sf_dir)
 
 
-@query()
+def _merkle_sql(levels: int = 6) -> str:
+    """Nations refer to lower numbers by division, so a few levels hold them all."""
+    level = "select n.crate, sha256(concat('v1', chr(0), sha256(n.crate), chr(0), coalesce(string_agg(concat(e.dep, '=', m.fingerprint), chr(10) order by concat(e.dep, '=', m.fingerprint)) filter (e.dep is not null), ''))) as fingerprint from n left join e on e.crate = n.crate left join {} m on m.crate = e.dep group by n.crate having count(e.dep) = count(m.fingerprint)"
+    steps = ["m0 as (select crate, null as fingerprint from n where false)", *(f"m{k} as ({level.format(f'm{k - 1}')})" for k in range(1, levels + 1))]
+    return f"with {NATIONS[: NATIONS.index('s as (select distinct')]}n as (select n_name as crate from nation), {', '.join(steps)} select crate, fingerprint from m{levels}"
+
+
+@query(_merkle_sql())
 def merkle_fingerprint(spark, sf_dir):
     members, edges = _nations(spark, sf_dir)
     return fingerprint.merkle(members.select(F.col("name").alias("crate"), F.sha2("name", 256).alias("digest")), edges, "v1")
@@ -469,3 +485,128 @@ def artifact_listing(spark, sf_dir):
 @query("select count(*) >= 4 and not bool_or(n_name = 'workspace-hack' or n_name like '%-workspace-hack') as advise from nation")
 def hack_advice(spark, sf_dir):
     return tune.hack_advice(_t(spark, sf_dir, "nation").select(F.col("n_name").alias("name")))
+
+
+SUMMARY = "concat(count(*) filter (status = 'changed'), ' changed, ', count(*) filter (status <> 'skipped'), ' affected of ', count(*), ' crates; ', (select count(*) from region), ' files ignored')"
+
+
+def _names_sql(condition: str) -> str:
+    return f"coalesce(to_json(list(crate order by crate) filter ({condition})), '[]')"
+
+
+@query(f"""with recursive {NATIONS} select concat('{{"changed_crates":', {_names_sql("status = 'changed'")}, ',"affected":', {_names_sql("status <> 'skipped'")}, ',"skipped":', {_names_sql("status = 'skipped'")},
+  ',"select_all":false,"reason":"', {SUMMARY}, '","ignored_files":', (select count(*) from region), '}}') as json from p""")
+def plan_json(spark, sf_dir):
+    return selection.plan(*_nations(spark, sf_dir), _nation_changes(spark, sf_dir)).as_json()
+
+
+@query(f"with recursive {NATIONS} select crate from p where status <> 'skipped'")
+def plan_candidates(spark, sf_dir):
+    members, edges = _nations(spark, sf_dir)
+    return selection.candidates(selection.plan(members, edges, _nation_changes(spark, sf_dir)), members)
+
+
+@query(f"""with {USER_RUNS} select concat('{{"id":"', id, '","passes":', passes, ',"fails":', fails, ',"verdict":"', case when fails = 0 then 'stable_pass' when passes = 0 then 'stable_fail' else 'flaky' end, '"}}') as json from r""")
+def flaky_json(spark, sf_dir):
+    return flaky.as_json(flaky.score(_user_runs(spark, sf_dir)).select("id", "passes", "fails", "verdict"))
+
+
+@query(f"select id, round((ci_high - ci_low) / 2, 7) as margin from ({_scores_sql(USER_RUNS)})")
+def flaky_margin(spark, sf_dir):
+    return flaky.score(_user_runs(spark, sf_dir)).select("id", F.round(stats.margin(F.col("ci")), 7).alias("margin"))
+
+
+@query("select p_partkey, case when p_partkey % 3 = 0 then true when p_partkey % 3 = 1 then false else p_size <= 32 end as is_id from part")
+def object_ids(spark, sf_dir):
+    """Hexadecimal names, names with another letter, and names of twice p_size digits."""
+    k = F.col("p_partkey")
+    text = F.when(k % 3 == 0, F.lower(F.hex(k))).when(k % 3 == 1, F.concat(F.hex(k), F.lit("g"))).otherwise(F.repeat(F.lit("0f"), F.col("p_size")))
+    return _t(spark, sf_dir, "part").select("p_partkey", reports.is_object_id(text).alias("is_id"))
+
+
+@query("select page_id, case when starts_with(url, 'https:/') then substring(url, 8) else url end as path, case when page_id % 2 = 0 then concat('src/', page_id, '.rs') end as inside from pages")
+def relative_paths(spark, sf_dir):
+    """Paths without their root, and of coverage files those under a root."""
+    p = _t(spark, sf_dir, "pages").select("page_id", reports.relative_path(F.col("url"), "https:/").alias("path"), F.concat(F.when(F.col("page_id") % 2 == 0, F.lit("/ws/src/")).otherwise(F.lit("/wsx/")), F.col("page_id").cast("string"), F.lit(".rs")).alias("file"))
+    return p.select("page_id", "path").join(reports.relative(p.select("page_id", "file"), "/ws/").withColumnRenamed("file", "inside"), "page_id", "left")
+
+
+def _sources(spark, sf_dir) -> DataFrame:
+    """A file a part: an alias, a constant, a function or a struct by p_size, and an implementation with a method."""
+    fill = lambda text: F.replace(F.replace(F.lit(text), F.lit("#"), F.col("p_partkey").cast("string")), F.lit("@"), F.expr("p_partkey div 2").cast("string"))
+    head = fill("use crate::k@ as a#;\nconst C#: u32 = a#; // fn no() { \" '\n")
+    body = F.when(F.col("p_size") % 2 == 0, fill('fn f#() -> u32 {\n    "}"; C#\n}\n')).otherwise(fill("pub struct S# {\n    x: u8,\n}\n"))
+    return _t(spark, sf_dir, "part").select(fill("f#.rs").alias("file"), F.concat(head, body, fill("impl S# { fn m(&self) { f#(); } }\n")).alias("src"))
+
+
+@query("""with k as (select p_partkey as k, p_partkey // 2 as h, p_size % 2 = 0 as even from part),
+i as (select k, 0 as pos, '' as name, 'opaque' as kind, 1 as a, 1 as b, concat('a', k, ' as crate k', h, ' use') as refs from k
+union all select k, 1, concat('C', k), 'const', 2, 2, concat('C', k, ' a', k, ' const u32') from k
+union all select k, 2, case when even then concat('f', k) else concat('S', k) end, case when even then 'fn' else 'opaque' end, 3, 5, case when even then concat('C', k, ' f', k, ' fn u32') else concat('S', k, ' pub struct u8 x') end from k
+union all select k, 3, concat('S', k), 'opaque', 6, 6, concat('S', k, ' f', k, ' fn impl m self') from k
+union all select k, 4, 'm', 'fn', 6, 6, concat('f', k, ' fn m self') from k)
+select concat('f', k, '.rs') as file, cast(pos as integer) as pos, name, kind, cast(a as integer) as first_line, cast(b as integer) as last_line, refs from i""")
+def source_items(spark, sf_dir):
+    items, _ = rust.items_and_aliases(_sources(spark, sf_dir))
+    return items.select("file", "pos", "name", "kind", F.col("start").alias("first_line"), F.col("end").alias("last_line"), F.array_join("refs", " ").alias("refs"))
+
+
+@query("select concat('a', p_partkey) as alias, concat('k', p_partkey // 2) as original, concat('f', p_partkey, '.rs') as file from part")
+def source_aliases(spark, sf_dir):
+    return rust.items_and_aliases(_sources(spark, sf_dir))[1].select("alias", "original", "file")
+
+
+def _ingested(spark, sf_dir) -> Store:
+    """A store after two runs of each nation's suppliers: even ones pass first; every third runs again the other way."""
+    s = _t(spark, sf_dir, "supplier").join(_t(spark, sf_dir, "nation"), F.col("s_nationkey") == F.col("n_nationkey"))
+    even = F.col("s_suppkey") % 2 == 0
+    run = s.select(F.concat_ws("::", "n_name", "s_name").alias("id"), "s_suppkey", even.alias("passed"), F.lit(False).alias("flaky"), F.when(even, F.col("s_suppkey")).alias("duration_ms"))
+    crates, prints = _t(spark, sf_dir, "nation").select(F.col("n_name").alias("crate")), _nation_prints(spark, sf_dir)
+    store = Store(spark, work_dir(spark, "store"))
+    flows.ingest(store, crates, run.drop("s_suppkey"), prints, 1)
+    flows.ingest(store, crates, run.where("s_suppkey % 3 = 0").withColumn("passed", ~F.col("passed")).drop("s_suppkey"), prints, 2)
+    return store
+
+
+RUNS_OF = "t as (select n_name as crate, concat(n_name, '::', s_name) as id, s_suppkey % 2 = 0 as even, s_suppkey % 3 = 0 as again, s_suppkey as k from supplier join nation on s_nationkey = n_nationkey)"
+
+
+@query(f"""with {RUNS_OF} select id, cast(even as bigint) + cast(again and not even as bigint) as passes, cast(not even as bigint) + cast(again and even as bigint) as fails,
+  cast(case when again and even then 2 when not even then 1 end as bigint) as last_fail, cast(case when even then k end as bigint) as last_duration_ms, case when again then [even, not even] else [even] end as recent from t""")
+def stored_history(spark, sf_dir):
+    return _ingested(spark, sf_dir).load("history")
+
+
+@query(f"""with {RUNS_OF}, c as (select crate, bool_and(even) as first, bool_and(not even) filter (again) as second from t group by 1)
+select crate, cast(case when second then 2 else 1 end as bigint) as at from c where coalesce(second, first)""")
+def stored_greens(spark, sf_dir):
+    return _ingested(spark, sf_dir).load("greens").select("crate", "at")
+
+
+RUN_SET = """with recursive h as (select p_partkey as line from part where p_size = 1), i as (select p_partkey as k, p_size % 2 = 0 as fn from part),
+e as (select * from (select p_partkey as src_item, p_partkey // 3 as dst_item from part union select p_partkey, p_partkey // 7 from part) where src_item <> dst_item and dst_item in (select p_partkey from part)),
+a(node) as (select k from i join h on line = k where not fn union select e.src_item from a join e on e.dst_item = a.node),
+l as (select k from i where fn and (k in (select line from h) or k in (select node from a))),
+c as (select l_orderkey, bool_or(l_partkey in (select k from l)) as hit, count(distinct l_returnflag = 'R') > 1 as risky from lineitem group by 1)
+"""
+
+
+@query(f"{RUN_SET} select cast(o_orderkey as varchar) as test_id, coalesce(hit or risky, true) as must_run from orders left join c on l_orderkey = o_orderkey")
+def functions_to_run(spark, sf_dir):
+    """The impact of a diff, held against coverage and history from a store."""
+    li, part = _t(spark, sf_dir, "lineitem"), _t(spark, sf_dir, "part")
+    store = Store(spark, work_dir(spark, "store"))
+    flows.ingest_coverage(store, li.select(F.col("l_orderkey").cast("string").alias("test_id"), F.lit("f").alias("file"), F.col("l_partkey").cast("int").alias("line")), "b0")
+    past = flaky.counts(li, "l_orderkey", "l_returnflag = 'R'")
+    store.save(history=past.select("*", F.lit(None).cast("bigint").alias("last_fail"), F.lit(None).cast("bigint").alias("last_duration_ms"), F.array().cast("array<boolean>").alias("recent")))
+    hunks = part.where("p_size = 1").select(F.lit("f").alias("file"), F.col("p_partkey").cast("int").alias("old_start"), F.lit(1).alias("old_count"))
+    return flows.functions_to_run(*_named_items(spark, sf_dir), hunks, _t(spark, sf_dir, "orders").select(F.col("o_orderkey").cast("string").alias("test_id")), store, "b0")
+
+
+@query("select distinct cast(l_orderkey as varchar) as test_id, 'f' as file, cast(l_partkey as integer) as line from lineitem join orders on o_orderkey = l_orderkey where o_orderpriority like '1%'")
+def stored_coverage(spark, sf_dir):
+    store = Store(spark, work_dir(spark, "store"))
+    li = _t(spark, sf_dir, "lineitem")
+    flows.ingest_coverage(store, li.select(F.col("l_orderkey").cast("string").alias("test_id"), F.lit("f").alias("file"), F.col("l_partkey").cast("int").alias("line")).distinct(), "b0")
+    some = _t(spark, sf_dir, "orders").where("o_orderpriority like '1%'").select(F.col("o_orderkey").cast("string").alias("test_id"))
+    return flows.covered_of(some, store).select("test_id", "file", "line")

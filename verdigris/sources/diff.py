@@ -18,14 +18,14 @@ def hunks(diffs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataF
     of a hunk are counted, so a deleted `-- x` or an added `++ x` in it names no file. Only header lines are kept whole
     before lines are put in order; of the others it is their place and first sign, so contents are not shuffled."""
     lines = diffs.select(F.col(doc_id).alias("doc_id"), F.posexplode(F.split(text, "\n")).alias("pos", "line"))
-    sign, head = F.substring("line", 1, 1), F.col("line").rlike("^(--- |[+]{3} |@@ )")
+    sign, head = F.substring("line", 1, 1), F.col("line").rlike("^(--- |[+]{3} |@@ |diff )")
     lines = lines.select("doc_id", "pos", F.when(head, F.col("line")).alias("line"), sign.isin("-", " ", "").alias("o"), sign.isin("+", " ", "").alias("n"))
     number = lambda i: F.nullif(F.regexp_extract("line", r"^@@ (?:[^-\s]\S* )*-(\d+)(?:,(\d+))?(?:\s+[+]\d+(?:,(\d+))?)?(?=\s|$)", i), F.lit("")).try_cast("int")
     added = F.regexp_extract("line", r"^@@ [^+]*[+]\d+(?=[\s,])", 0) != ""
     is_hunk = F.coalesce(F.col("line").startswith("@@ "), F.lit(False))
     w = Window.partitionBy("doc_id").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
     lines = lines.withColumns({"is_hunk": is_hunk, "start": F.when(is_hunk, number(1)), "old_count": F.when(is_hunk, F.when(number(1).isNotNull(), F.coalesce(number(2), F.lit(1)))), "new_count": F.when(is_hunk & added, F.coalesce(number(3), F.lit(1)))})
-    lines = lines.withColumn("g", F.count_if("is_hunk").over(w))
+    lines = lines.withColumn("g", F.count_if(F.col("is_hunk") | F.coalesce(F.col("line").startswith("diff "), F.lit(False))).over(w))  # a `diff` line ends a hunk too
     own = Window.partitionBy("doc_id", "g").orderBy("pos")
     so_far = own.rowsBetween(Window.unboundedPreceding, -1)
     left = lambda count, kind: F.coalesce(F.first(count).over(own), F.lit(0)) - F.coalesce(F.count_if(kind).over(so_far), F.lit(0))
