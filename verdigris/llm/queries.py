@@ -119,4 +119,22 @@ c as (select doc_id, doc_id as node from n union select c.doc_id, e.b from c joi
 select w.doc_id, coalesce(n.n, 0) as n_shingles, coalesce(m.low, w.doc_id) as component_id from w left join n using (doc_id) left join (select doc_id, min(node) as low from c group by doc_id) m using (doc_id)
 """
 
-ORACLE_SQL = {"op1_tool_calls": OP1_SQL, "op10_ngram_join": OP10_SQL, "op7_host_rules": _op7_sql()}
+#: Every alignment of which three words in a row agree, and in it every stretch; no stretch of LEAST words or more of which
+#: four fifths agree, and no whole item of SHORTEST words or more, is without three such words.
+OP8_SQL = rf"""
+with d as (select row_number() over () as r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') as w from documents),
+i as (select * from (select row_number() over () as s, item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') as v from benchmark) where len(v) >= {decontaminate.SHORTEST}),
+g as (select r, p, concat_ws(' ', w[p + 1], w[p + 2], w[p + 3]) as g from (select r, w, unnest(range(0, len(w) - 2)) as p from d)),
+h as (select s, p, concat_ws(' ', v[p + 1], v[p + 2], v[p + 3]) as g from (select s, v, unnest(range(0, len(v) - 2)) as p from i)),
+c as (select distinct r, s, g.p - h.p as shift from g join h on g.g = h.g),
+x as (select r, s, shift, q, w[q + 1] = v[q - shift + 1] as same, len(v) as n from (select c.r, c.s, shift, w, v, unnest(range(greatest(0, shift), least(len(w), shift + len(v)))) as q from c join d on d.r = c.r join i on i.s = c.s)),
+t as (select r, s, shift, q + 1 as at, sum(case when same then 1 else -4 end) over o as t, sum(same::int) over o as e from x where n >= {decontaminate.LEAST} window o as (partition by r, s, shift order by q)
+  union all select r, s, shift, min(q), 0, 0 from x where n >= {decontaminate.LEAST} group by 1, 2, 3),
+l as (select y.r, y.s, y.shift, y.at as b, min(z.at) as a, any_value(y.e) - arg_min(z.e, z.at) as e from t y join t z on y.r = z.r and y.s = z.s and y.shift = z.shift and z.at < y.at and z.t <= y.t group by 1, 2, 3, 4),
+k as (select r, s, b - a as n, e, a from (select *, row_number() over (partition by r, s, shift order by b - a desc, b) as rn from l) where rn = 1 and b - a >= {decontaminate.LEAST}
+  union all select r, s, n, n, shift from x where n < {decontaminate.LEAST} group by r, s, shift, n having count(*) = n and bool_and(same)),
+m as (select doc_id, item_id, max({{'n': n, 'e': e, 'w': -a}}) as m from k join d on d.r = k.r join i on i.s = k.s group by 1, 2)
+select doc_id, cast(item_id as bigint) as item_id, cast(m.n as bigint) as n_words, cast(m.e as bigint) as n_equal, cast(-m.w as bigint) as doc_word from m
+"""
+
+ORACLE_SQL = {"op8_decontamination": OP8_SQL, "op1_tool_calls": OP1_SQL, "op10_ngram_join": OP10_SQL, "op7_host_rules": _op7_sql()}
