@@ -9,7 +9,7 @@ from verdigris.queries import ORACLE_SQL, QUERIES
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 #: One-row tables are joined without keys here.
-ONE_ROW = {"dashboard_header"}
+ONE_ROW = {"dashboard_header", "plan_json"}
 #: What Spark has no function for: the Beta quantile, XML of any depth, source items.
 PYTHON = {"flaky_posterior_bounds", "flaky_posterior_mean", "junit_parse", "source_items", "source_aliases"}
 
