@@ -35,8 +35,9 @@ from verdigris.llm.text import LOWER, U, bounds, eights, flat, mix, same_bytes,
 
 END = 1
 LEAST, MASK_BITS, MOST, ROLL = 64, 8, 2048, 16
-#: Pieces whose ids a worker remembers, and chunks whose digests a task does; beyond, they start anew and only repeat work.
-WORDS, SEEN = 1_500_000, 500_000
+#: Pieces (and their bytes) whose ids a worker remembers, and chunks whose digests a task does; beyond, they start anew and
+#: only repeat work.
+WORDS, POOL, SEEN = 800_000, 1 << 26, 300_000
 
 
 #: What a piece of text is made of: 1 ASCII letters and digits, 2 ASCII signs that are in no contraction or special token.
@@ -81,10 +82,10 @@ class Encoder:
 
     def _clear(self) -> None:
         """By hash, sorted: where each piece's ids and its own bytes lie in the pools, and how many they are."""
-        self.known, (self.at, self.size, self.byte, self.length) = np.zeros(0, U), np.zeros((4, 0), np.int64)
+        self.known, (self.at, self.size, self.byte, self.length) = np.zeros(0, U), np.zeros((4, 0), np.int32)
         self.pool, self.used = np.zeros(1 << 16, np.uint32), 0
         self.bytes, self.filled = np.zeros(1 << 16, np.uint8), 0
-        self.exact = self.folded = np.zeros(0, U)
+        self.folded = np.zeros(0, U)
 
     def _ids(self, pieces: list[str]) -> list[list[int]]:
         """A piece of Latin letters is one token sequence of the model; other pieces take the tokenizer's whole way."""
@@ -114,10 +115,10 @@ class Encoder:
         rows = (self.used + size.cumsum() - size, size, self.filled + length.cumsum() - length, length)
         self.used += len(new)
         self.filled += len(raw)
-        self.exact, self.folded = eights(self.bytes[: self.filled]), eights(LOWER[self.bytes[: self.filled]])
+        self.folded = eights(LOWER[self.bytes[: self.filled]])
         to = np.searchsorted(self.known, hashes)
         self.known = np.insert(self.known, to, hashes)
-        self.at, self.size, self.byte, self.length = (np.insert(x, to, y) for x, y in zip((self.at, self.size, self.byte, self.length), rows, strict=True))
+        self.at, self.size, self.byte, self.length = (np.insert(x, to, y.astype(np.int32)) for x, y in zip((self.at, self.size, self.byte, self.length), rows, strict=True))
 
     def _find(self, u: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Where the sorted hashes stand among the known ones, and which are unknown."""
@@ -149,7 +150,7 @@ class Encoder:
         at = np.searchsorted(u, h)
         where, new = self._find(u)
         if len(new):
-            if len(self.known) + len(new) > WORDS:
+            if len(self.known) + len(new) > WORDS or self.filled > POOL:
                 self._clear()
                 where, new = self._find(u)
             one, raw = np.zeros(len(u), np.int64), data.tobytes()
@@ -158,9 +159,9 @@ class Encoder:
             where, _ = self._find(u)
         k, length = where[at], ends - starts
         same = (self.length[k] == length).all() and same_bytes(eights(LOWER[data]), starts, self.folded, self.byte[k], length).all()
-        if not same or len(odd) and not same_bytes(eights(data), starts[odd], self.exact, self.byte[k[odd]], length[odd]).all():
+        if not same or len(odd) and not same_bytes(eights(data), starts[odd], eights(self.bytes[: self.filled]), self.byte[k[odd]], length[odd]).all():
             return self._whole(texts)
-        size = self.size[k]
+        size = self.size[k].astype(np.int64)
         to = np.zeros(len(h) + 1, np.int64)
         np.cumsum(size, out=to[1:])
         ids = self.pool[np.repeat(self.at[k] - to[:-1], size) + np.arange(to[-1])]
