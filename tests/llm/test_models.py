@@ -279,7 +279,7 @@ def test_near_duplicates_in_hot_groups(spark, monkeypatch):
 
 def test_hot_signatures_are_dealt_apart():
     r = np.random.default_rng(1)
-    sig, cls = np.concatenate([np.full(500, 7), np.full(63, 8), r.integers(100, 10**6, 300)]), r.integers(-(2**62), 2**62, 863)
+    sig, cls = np.concatenate([np.full(500, 7), np.full(ngram_join.HOT - 1, 8), r.integers(100, 10**6, 300)]), r.integers(-(2**62), 2**62, 800 + ngram_join.HOT - 1)
     b = ngram_join._hot_apart(sig, cls).to_pandas()
     assert sorted(zip(b.sig[b.part >= 0], b.cls[b.part >= 0], strict=True)) == sorted(zip(sig, cls, strict=True))
     assert set(b.sig[b.part > 0]) == {7} == set(b.sig[b.part < 0]) and sorted(b.cls[b.part < 0]) == sorted([cls[:500].min(), cls[:500].max()])

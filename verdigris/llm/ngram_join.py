@@ -41,7 +41,7 @@ from verdigris.llm.text import U, hashed, mix, slices, windows
 #: and above all no more bytes than a task holds.
 SKETCH_BITS, SKETCH_BLOCK, SET_BLOCK, BLOCKS, BLOCK_BYTES = 512, 1 << 15, 1 << 18, 48, 1 << 23
 #: Rows of signatures that a task looks through for hot ones, how many sets make one hot, and to how many parts it is dealt.
-ROWS, HOT, SALTS = 1_000_000, 64, 64
+ROWS, HOT, SALTS = 400_000, 32, 64
 #: For the cost alone: the chance that an unrelated set holds a given shingle of several words; high for prose.
 SHARED = 0.001
 #: Classes a task remembers so as to emit them once; beyond, it starts anew and only repeats some rows.
@@ -354,6 +354,7 @@ def links(docs: DataFrame, names: Names, n_docs: int, text: str, k: int, num: in
     root = components(first)
     labelled = near.join(root.select(F.col("node").alias("cls"), "root"), "cls", "left").select("pivot", "cls", F.coalesce("root", "cls").alias("label"))
     mixed = labelled.groupBy("pivot").agg(F.min("label").alias("a"), F.max("label").alias("b")).where("a < b").select("pivot")
+    mixed = written(mixed, work_dir(spark, "mixed"))  # apart from the join, which can then be split where a pivot is hot
     members = written(labelled.join(mixed, "pivot"), work_dir(spark, "members"))
 
     def may_link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
