@@ -447,7 +447,8 @@ def joined(docs: DataFrame, text: str = "text", k: int = 3, num: int = 90, den:
     of = slim.where("cls is not null").groupBy("cls").agg(F.min("doc_id").alias("least"))
     of = of.join(root.select(F.col("node").alias("cls"), "root"), "cls", "left").select("cls", "least", F.coalesce("root", "cls").alias("root"))
     of = of.select("cls", "root", "least")
-    of = of.join(of.groupBy("root").agg(F.min("least").alias("component")), "root")
+    least = written(of.groupBy("root").agg(F.min("least").alias("component")), work_dir(spark, "least"))  # apart, so that a hot root's rows can be split
+    of = of.join(least, "root")
     return slim.join(of.select("cls", "component"), "cls", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"))
 
 
