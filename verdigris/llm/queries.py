@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from verdigris.llm import decontaminate, lm, mixing, ngram_join, pii, quality, secrets, shards, store, toolcalls
+from verdigris.llm import decontaminate, divergence, lm, mixing, ngram_join, pii, quality, secrets, shards, store, toolcalls
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -54,7 +54,11 @@ def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.joined(documents(spark, sf_dir))
 
 
-QUERIES = {f.__name__: f for f in (op1_tool_calls, op2_kneser_ney, op3_pii, op4_histogram_sort, op5_secrets, op6_mixing, op7_host_rules, op8_decontamination, op9_content_store, op10_ngram_join)}
+def op11_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(documents(spark, sf_dir))
+
+
+QUERIES = {f.__name__: f for f in (op1_tool_calls, op2_kneser_ney, op3_pii, op4_histogram_sort, op5_secrets, op6_mixing, op7_host_rules, op8_decontamination, op9_content_store, op10_ngram_join, op11_source_divergence)}
 
 OP7_MEASURES = r"""
 t as (select row_number() over () as r, doc_id, source, coalesce(text, '') as text from documents),
@@ -137,4 +141,20 @@ m as (select doc_id, item_id, max({{'n': n, 'e': e, 'w': -a}}) as m from k join
 select doc_id, cast(item_id as bigint) as item_id, cast(m.n as bigint) as n_words, cast(m.e as bigint) as n_equal, cast(-m.w as bigint) as doc_word from m
 """
 
-ORACLE_SQL = {"op8_decontamination": OP8_SQL, "op1_tool_calls": OP1_SQL, "op10_ngram_join": OP10_SQL, "op7_host_rules": _op7_sql()}
+OP11_SQL = r"""
+with d as (select row_number() over () as r, coalesce(lang, '') as lang, coalesce(source, '') as source, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as text from documents),
+o as (select r, lang, source, unnest(regexp_extract_all(text, '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')) as term from d),
+k as (select lang, term, cast(count(*) as bigint) as n from o group by 1, 2 having count(distinct r) >= 10),
+c as (select lang, source, term, cast(count(*) as bigint) as n from o semi join k using (lang, term) group by 1, 2, 3),
+g as (select lang, source, coalesce(sum(n), 0)::hugeint as total from (select distinct lang, source from d) left join c using (lang, source) group by 1, 2),
+l as (select lang, count(*) as terms, sum(n)::hugeint as total from k group by 1),
+p as (select lang, source, term, coalesce(c.n, 0) as n, cast(1 + (1000000000::hugeint * (coalesce(c.n, 0) + 2)) // (g.total + 2 * l.terms) as bigint) as p from g join k using (lang) join l using (lang) left join c using (lang, source, term)),
+q as (select lang, term, cast(1 + (1000000000::hugeint * (k.n + 2)) // (l.total + 2 * l.terms) as bigint) as q from k join l using (lang)),
+x as (select a.lang, a.source, b.source as item, sum(((a.p - b.p) * (a.p - b.p)) // (a.p + b.p)) as v from p a join p b on a.lang = b.lang and a.term = b.term and a.source <> b.source group by 1, 2, 3),
+u as (select a.lang, a.source, 'pair' as part, b.source as item, cast(coalesce(v, 0) as bigint) as value from g a join g b on a.lang = b.lang and a.source <> b.source left join x on x.lang = a.lang and x.source = a.source and x.item = b.source
+  union all select lang, source, 'term', term, ((p - q) * (p - q)) // (p + q) from p join q using (lang, term) where n > 0 and p > q),
+n as (select *, cast(row_number() over (partition by lang, source, part order by value desc, item) as integer) as rank from u)
+select lang, source, part, item, value, rank from n where part = 'pair' or rank <= 10
+"""
+
+ORACLE_SQL = {"op11_source_divergence": OP11_SQL, "op8_decontamination": OP8_SQL, "op1_tool_calls": OP1_SQL, "op10_ngram_join": OP10_SQL, "op7_host_rules": _op7_sql()}
