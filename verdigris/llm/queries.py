@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from verdigris.llm import decontaminate, divergence, lm, mixing, ngram_join, pii, quality, secrets, shards, spelling, store, toolcalls
+from verdigris.llm import classifier, decontaminate, divergence, lm, mixing, ngram_join, pii, quality, secrets, shards, spelling, store, toolcalls
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -58,11 +58,15 @@ def op11_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return divergence.audit(documents(spark, sf_dir))
 
 
+def op12_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return classifier.classified(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
 def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling.variants(documents(spark, sf_dir))
 
 
-QUERIES = {f.__name__: f for f in (op1_tool_calls, op2_kneser_ney, op3_pii, op4_histogram_sort, op5_secrets, op6_mixing, op7_host_rules, op8_decontamination, op9_content_store, op10_ngram_join, op11_source_divergence, op13_spelling_variants)}
+QUERIES = {f.__name__: f for f in (op1_tool_calls, op2_kneser_ney, op3_pii, op4_histogram_sort, op5_secrets, op6_mixing, op7_host_rules, op8_decontamination, op9_content_store, op10_ngram_join, op11_source_divergence, op12_quality_classifier, op13_spelling_variants)}
 
 OP7_MEASURES = r"""
 t as (select row_number() over () as r, doc_id, source, coalesce(text, '') as text from documents),
