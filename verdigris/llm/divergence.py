@@ -2,8 +2,8 @@
 
 Each term that enough documents of a language have becomes a wide vector: its share in every source of the language, at
 the source's index. Higher-order functions emit what the term adds to each pair of sources, and sums are taken before
-rows are exchanged. A pair in neither of whose sources a term occurs gets the same from every such term, so it is counted
-for all terms at once, and a term only emits what differs from that: work is in proportion to its occurrences by source
+rows are exchanged. A pair in neither of whose sources a term occurs gets the same from every such term, so these are
+added for all terms at once, and a term only emits its pairs with a source that has it: work is in proportion to its occurrences by source
 times the number of sources. All arithmetic is in integers.
 
 Shares are 1 + floor(SCALE * (count + 2) / (total + 2 * terms)); two shares diverge by floor((p - q)**2 / (p + q)).
@@ -32,7 +32,7 @@ from verdigris.llm.shared import work_dir, written
 from verdigris.llm.terms import runs, strings
 from verdigris.llm.text import LOWER, flat, slices
 
-SCALE, LEAST_DOCS, TOP, SALTS, SLICE = 1_000_000_000, 10, 10, 64, 4 << 20
+SCALE, LEAST_DOCS, TOP, SALTS, SLICE = 1_000_000_000, 10, 10, 64, 16 << 20
 LETTER = np.ones(256, bool)
 LETTER[:128] = False
 LETTER[65:91] = LETTER[97:123] = True
@@ -63,13 +63,14 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _share(count: str, total: str, terms: str) -> str:
-    """1 + floor(SCALE * (count + 2) / (total + 2 * terms)) by long division to base 1,000: exact while the divisor is below 9 * 10**15."""
+    """1 + floor(SCALE * (count + 2) / (total + 2 * terms)), exact while the divisor is below 9 * 10**15: where the product
+    would pass a long, by long division to base 1,000."""
     d, r = f"nullif({total} + 2 * {terms}, 0)", f"({count} + 2)"
-    q = []
+    plain, q = f"({r} * {SCALE}L div {d})", []
     for _ in range(3):
         q.append(f"({r} * 1000L div {d})")
         r = f"({r} * 1000L % {d})"
-    return f"(1 + {q[0]} * 1000000L + {q[1]} * 1000L + {q[2]})"
+    return f"(1 + if({count} < 9000000000L, {plain}, {q[0]} * 1000000L + {q[1]} * 1000L + {q[2]}))"
 
 
 def _apart(p: str, q: str) -> str:
@@ -98,25 +99,26 @@ def audit(docs: DataFrame, least_docs: int = LEAST_DOCS, top: int = TOP) -> Data
     divergences of all its kept terms. Part `term`: item is a term that the source has more of than its language as a
     whole, value their divergence, the first `top` only. Ranks run from 1 in a group and part, by value from the greatest."""
     kept, langs = term_vectors(docs, least_docs)
-    salted = langs.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    wide = kept.withColumn("salt", F.pmod(F.xxhash64("term"), F.lit(SALTS)).cast("int")).join(salted.withColumnRenamed("total", "all"), ["lang", "salt"])
-    wide = wide.withColumn("p", F.expr(f"transform(names, x -> {_share('coalesce(counts[x.source], 0L)', 'x.total', 'terms')})"))
-
-    some = wide.select("lang", "p", "zeros", F.posexplode("p").alias("i", "pi")).where("pi <> zeros[i]")
-    more = f"""transform(filter(sequence(0, size(p) - 1), j -> j <> i and (p[j] = zeros[j] or j > i)),
-        j -> struct(least(i, j) as a, greatest(i, j) as b, {_apart('pi', 'p[j]')} - {_apart('zeros[i]', 'zeros[j]')} as v))"""
-    more = some.select("lang", F.explode(F.expr(more)).alias("x")).select("lang", "x.a", "x.b", "x.v")
+    salted = langs.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))).withColumnRenamed("total", "all")
+    wide = kept.withColumn("salt", F.pmod(F.xxhash64("term"), F.lit(SALTS)).cast("int")).join(salted, ["lang", "salt"])
+    p = F.expr(f"transform(names, x -> {_share('coalesce(counts[x.source], 0L)', 'x.total', 'terms')})")
+    wide = wide.select("lang", "salt", "term", "counts", p.alias("p"), F.expr(_share("n", "`all`", "terms")).alias("q"))
+    wide = written(wide, work_dir(docs.sparkSession, "wide"))
+
+    some = wide.join(salted.select("lang", "salt", "zeros"), ["lang", "salt"]).select("lang", "p", "zeros", F.posexplode("p").alias("i", "pi")).where("pi <> zeros[i]")
+    more = some.select("lang", "i", F.expr(f"transform(p, (x, j) -> if(j > i or (j < i and x = zeros[j]), {_apart('pi', 'x')}, null))").alias("v"))
+    more = more.select("lang", "i", F.posexplode("v").alias("j", "v")).where("v is not null")
+    more = more.groupBy("lang", F.least("i", "j").alias("a"), F.greatest("i", "j").alias("b")).agg(F.sum("v").alias("v"), F.count(F.lit(1)).alias("met"))
     base = langs.select("lang", "terms", "zeros", F.posexplode("zeros").alias("a", "za")).select("lang", "terms", "a", "za", F.posexplode("zeros").alias("b", "zb")).where("a < b")
-    base = base.select("lang", "a", "b", F.expr(f"case when terms = 0 then 0L else terms * {_apart('za', 'zb')} end as v"))
-    sums = more.unionByName(base).groupBy("lang", "a", "b").agg(F.sum("v").alias("value"))
+    value = F.expr(f"if(terms = 0, 0L, coalesce(v, 0L) + (terms - coalesce(met, 0L)) * {_apart('za', 'zb')})")
+    sums = base.join(more, ["lang", "a", "b"], "left").select("lang", "a", "b", value.alias("value"))
     both = sums.select("lang", F.explode(F.array(F.struct(F.col("a").alias("of"), F.col("b").alias("to")), F.struct(F.col("b").alias("of"), F.col("a").alias("to")))).alias("x"), "value").select("lang", "x.*", "value")
     names = langs.select("lang", F.posexplode("names").alias("k", "x")).select("lang", "k", F.col("x.source").alias("name"))
     left, right = (names.select("lang", F.col("k").alias(k), F.col("name").alias(n)) for k, n in (("of", "source"), ("to", "item")))
     pairs = both.join(left, ["lang", "of"]).join(right, ["lang", "to"]).select("lang", "source", F.lit("pair").alias("part"), "item", "value")
 
-    q = _share("n", "`all`", "terms")
-    own = wide.select("lang", "term", F.expr(q).alias("q"), F.explode(F.expr("filter(transform(names, (x, k) -> struct(x.source as source, p[k] as p)), x -> counts[x.source] is not null)")).alias("x"))
-    terms = own.where("x.p > q").select("lang", "x.source", F.lit("term").alias("part"), F.col("term").alias("item"), F.expr(_apart("x.p", "q")).alias("value"))
+    own = wide.join(salted.select("lang", "salt", "names.source"), ["lang", "salt"]).select("lang", "term", "q", F.explode(F.expr("filter(transform(source, (s, k) -> struct(s as source, p[k] as p)), x -> x.p > q and counts[x.source] is not null)")).alias("x"))
+    terms = own.select("lang", "x.source", F.lit("term").alias("part"), F.col("term").alias("item"), F.expr(_apart("x.p", "q")).alias("value"))
 
     w = Window.partitionBy("lang", "source", "part").orderBy(F.desc("value"), "item")
     ranked = [x.withColumn("rank", F.row_number().over(w)) for x in (pairs, terms)]
