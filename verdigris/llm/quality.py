@@ -1,14 +1,15 @@
 """Host-level quality rules, with DataFrame functions only.
 
 Each document is measured once; rule failures are summed by host; each host's failure rate is shrunk towards all hosts
-by a beta prior fitted to them (method of moments). The host's verdict on a rule joins back to its documents: a host whose
-shrunk rate is at most TRUSTED times that of all documents is trusted with the rule, and its few failures stay; every other
-host is strict, and a document of it that fails the rule goes. The base rules reject everywhere, and a document that fails
-no rule always stays.
+by a beta prior fitted to them (method of moments). The host's verdict on a rule joins back to its documents as a limit on
+how far they may be from the rule (a document's severity: its measure over the rule's bound, so that it fails the rule
+above 1). The limit is the EVIDENCE-th power of the odds of failing among all documents over the host's shrunk odds, within
+LIMITS: a host that fails a rule seldom keeps documents that fail it slightly, a host that fails it often loses some that
+come near it, and gross failures go everywhere. The base rules reject everywhere.
 
 Defined cases: a null or blank text has no words and fails the base rule; null hosts form one host; repeated rows
-count as often as they occur; hosts whose rates do not differ have the rate of all; an empty table gives an empty result;
-other columns are carried along untouched.
+count as often as they occur; hosts whose rates do not differ have the plain rule as their limit (1); an empty table gives
+an empty result; other columns are carried along untouched.
 """
 
 from __future__ import annotations
@@ -24,7 +25,7 @@ BLANK = " \t\n\x0b\x0c\r"
 SYMBOLS = "#*$%&|<>"
 #: Rules on which hosts have a verdict; the base rules reject by themselves.
 RULES = ("symbols", "lines", "length")
-TRUSTED = 0.5
+EVIDENCE, LIMITS = 4, (0.8, 2.0)
 
 
 def _let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -78,8 +79,18 @@ def measures(docs: DataFrame, text: str = "text", host: str = "source") -> DataF
     })
 
 
-def host_verdicts(measured: DataFrame, trusted: float = TRUSTED) -> DataFrame:
-    """host, docs, for each rule its failures, its rate over all documents, its shrunk rate, and whether the host is strict."""
+def severities() -> dict[str, Column]:
+    """Of a measured document and each rule: above 1 exactly where it fails the rule."""
+    n, chars = F.greatest("n_words", F.lit(1)), F.greatest("word_chars", F.lit(1))
+    return {
+        "symbols": 100 * F.col("n_symbols") / (30 * n),
+        "lines": 100 * F.col("n_dup_lines") / (50 * F.greatest("n_lines", F.lit(1))),
+        "length": F.greatest(2 * F.col("n_words") / chars, F.col("word_chars") / (15 * n)),
+    }
+
+
+def host_verdicts(measured: DataFrame, evidence: int = EVIDENCE, limits: tuple[float, float] = LIMITS) -> DataFrame:
+    """host, docs, for each rule its failures, its rate over all documents, its shrunk rate, and the limit on severities."""
     hosts = measured.groupBy("host").agg(F.count(F.lit(1)).alias("docs"), *(F.count_if(f"{r}_failed").alias(f"{r}_failures") for r in RULES))
     sums = hosts.agg(F.sum("docs").alias("n"), *(F.sum(f"{r}_failures").alias(f"{r}_f") for r in RULES), *(F.sum(F.col(f"{r}_failures") * F.col(f"{r}_failures") / F.col("docs")).alias(f"{r}_q") for r in RULES)).first()
     rates = {}
@@ -88,24 +99,29 @@ def host_verdicts(measured: DataFrame, trusted: float = TRUSTED) -> DataFrame:
         mean = f / n
         spread = q / n - mean * mean
         strength = max(1.0, mean * (1 - mean) / spread - 1) if spread > 1e-12 else None
-        rates[f"{r}_mean"] = F.lit(mean)
-        rates[f"{r}_rate"] = (F.col(f"{r}_failures") + mean * strength) / (F.col("docs") + strength) if strength else F.lit(mean)
-        rates[f"{r}_strict"] = rates[f"{r}_rate"] > trusted * mean
+        rate = (F.col(f"{r}_failures") + mean * strength) / (F.col("docs") + strength) if strength else F.lit(mean)
+        limit = F.lit(1.0)
+        if strength:
+            odds = mean / (1 - mean) / (rate / (1 - rate))
+            for k in range(evidence):
+                limit = odds if k == 0 else limit * odds
+            limit = F.least(F.lit(limits[1]), F.greatest(F.lit(limits[0]), limit))
+        rates |= {f"{r}_mean": F.lit(mean), f"{r}_rate": rate, f"{r}_limit": limit}
     return hosts.withColumns(rates)
 
 
-def judged(docs: DataFrame, text: str = "text", host: str = "source", trusted: float = TRUSTED, carry: list[str] | None = None) -> DataFrame:
+def judged(docs: DataFrame, text: str = "text", host: str = "source", evidence: int = EVIDENCE, limits: tuple[float, float] = LIMITS, carry: list[str] | None = None) -> DataFrame:
     """For each document: row (the columns of docs, or those in carry), its measures, base_failed, for each rule whether
-    it failed and whether its host is strict, kept."""
+    it failed and its host's limit, kept."""
     slim = measures(docs, text, host)
     if carry is not None:
         slim = slim.withColumn("row", F.struct(*(F.col("row")[c].alias(c) for c in carry)))
     m = written(slim, work_dir(docs.sparkSession, "measures"))
-    v = host_verdicts(m, trusted).select(F.col("host").alias("of"), *(f"{r}_strict" for r in RULES))
+    v = host_verdicts(m, evidence, limits).select(F.col("host").alias("of"), *(f"{r}_limit" for r in RULES))
     v = written(v, work_dir(docs.sparkSession, "verdicts"))  # its size is known then, and rows stay where they are while it is small
     kept = ~F.col("base_failed")
-    for r in RULES:
-        kept = kept & ~(F.col(f"{r}_failed") & F.col(f"{r}_strict"))
+    for r, severity in severities().items():
+        kept = kept & (severity <= F.col(f"{r}_limit"))
     return m.join(v, F.col("host").eqNullSafe(F.col("of")), "left").withColumn("kept", kept)
 
 

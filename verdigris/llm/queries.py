@@ -83,19 +83,24 @@ f as (select *, n_words < 50 or 100 * n_repeat_words > 50 * n_words as base_fail
 
 
 def _op7_sql() -> str:
-    parts, prior, strict, go = [], [], [], []
+    low, high = quality.LIMITS
+    severity = {"symbols": "100 * n_symbols / (30 * greatest(n_words, 1))", "lines": "100 * n_dup_lines / (50 * greatest(n_lines, 1))", "length": "greatest(2 * n_words / greatest(word_chars, 1), word_chars / (15 * greatest(n_words, 1)))"}
+    parts, prior, rates, limits, stay = [], [], [], [], []
     for r in quality.RULES:
         parts.append(f"count(*) filter ({r}_failed) as {r}_f")
         s = f"sum({r}_f) / sum(docs)"
         v = f"sum({r}_f * {r}_f / docs) / sum(docs) - ({s}) * ({s})"
         prior.append(f"{s} as {r}_m, case when {v} > 1e-12 then greatest(1.0, ({s}) * (1 - {s}) / ({v}) - 1) end as {r}_s")
-        strict.append(f"coalesce(({r}_f + {r}_m * {r}_s) / (docs + {r}_s), {r}_m) > {quality.TRUSTED} * {r}_m as {r}_strict")
-        go.append(f"{r}_failed and {r}_strict")
+        rates.append(f"({r}_f + {r}_m * {r}_s) / (docs + {r}_s) as {r}_r")
+        odds = f"({r}_m / (1 - {r}_m) / ({r}_r / (1 - {r}_r)))"
+        limits.append(f"case when {r}_s is null then 1.0 else least({high}, greatest({low}, {' * '.join([odds] * quality.EVIDENCE)})) end as {r}_limit")
+        stay.append(f"{severity[r]} <= {r}_limit")
     return f"""with {OP7_MEASURES.strip()},
 h as (select source, cast(count(*) as double) as docs, {', '.join(parts)} from f group by source),
 a as (select {', '.join(prior)} from h),
-v as (select source, {', '.join(strict)} from h, a)
-select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, not base_failed and not ({' or '.join(go)}) as kept
+s as (select source, a.*, {', '.join(rates)} from h, a),
+v as (select source, {', '.join(limits)} from s)
+select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, not base_failed and {' and '.join(stay)} as kept
 from f join v on f.source is not distinct from v.source"""
 
 
