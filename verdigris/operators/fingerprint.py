@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import hashlib
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from verdigris.storage import remove, work_dir, written
+from verdigris.operators import graph
+from verdigris.storage import bucketed, remove, work_dir, written
 
 ZERO = "0" * 64
 
@@ -53,28 +57,99 @@ def fingerprints(own: DataFrame, edges: DataFrame, scope: str) -> DataFrame:
     return both.groupBy("crate").agg(F.sha2(F.concat(F.lit(scope + "\0"), F.array_join(F.array_sort(F.collect_list(leaf)), "\n")), 256).alias("fingerprint"))
 
 
-def merkle(own: DataFrame, edges: DataFrame, scope: str) -> DataFrame:
-    """crate, fingerprint: of the scope, the own digest and the sorted (name, fingerprint) of the direct dependencies,
-    level by level from the leaves, one round a level. Crates on or above a cycle get their closure's fingerprint."""
+def merkle(own: DataFrame, edges: DataFrame, scope: str, size: int = graph.PART) -> DataFrame:
+    """crate, fingerprint: of the scope, the own digest and the sorted (name, fingerprint) of the direct dependencies.
+    Crates on a cycle have one fingerprint: of the scope, the digest over the cycle's members, and the dependencies of all
+    of them outside it. What lies on no cycle and depends on none is folded first; of the rest, what no cycle depends on is
+    peeled off from above; cycles are sought in what remains, and the graph of cycles and others, which has none, is folded."""
     spark = own.sparkSession
-    home, k = work_dir(spark, "merkle"), 0
-    known = own.select("crate")
-    e = written(edges.select("crate", "dep").join(known.select(F.col("crate").alias("dep")), "dep", "left_semi").join(known, "crate", "left_semi").where("crate <> dep").distinct(), f"{home}/edges")
-    own = written(own.select("crate", F.coalesce("digest", F.lit(ZERO)).alias("digest")), f"{home}/own")
-    done = written(own.limit(0).select("crate", F.lit("").alias("fingerprint")), f"{home}/0")
+    home = work_dir(spark, "merkle")
+    nodes = own.where("crate is not null").groupBy(F.col("crate").alias("node")).agg(F.min(F.coalesce("digest", F.lit(ZERO))).alias("digest"))
+    nodes = written(nodes, f"{home}/own")
+    known = nodes.select("node")
+    e = edges.select(F.col("crate").alias("node"), F.col("dep").alias("name"), F.col("dep")).where("crate <> dep").distinct()
+    e = written(e.join(known.select(F.col("node").alias("dep")), "dep", "left_semi").join(known, "node", "left_semi").select("node", "name", "dep"), f"{home}/edges")
+    done = folded(nodes, e, scope, size=size)
+    rest = written(nodes.join(done, "node", "left_anti"), f"{home}/rest")
+    done_crates = done.select(F.col("node").alias("crate"), "fingerprint")
+    if rest.isEmpty():
+        return done_crates
+    e = written(e.join(rest.select("node"), "node", "left_semi"), f"{home}/rest-edges")
+    inner = e.join(rest.select(F.col("node").alias("dep")), "dep", "left_semi")
+    above = folded(rest, inner.select(F.col("dep").alias("node"), F.col("node").alias("name"), F.col("node").alias("dep")), scope, size=size).select("node")
+    core = inner.join(above, "node", "left_anti").join(above.select(F.col("node").alias("dep")), "dep", "left_anti")
+    cycle = written(graph.cycles(core.select(F.col("node").alias("s"), F.col("dep").alias("d")), size), f"{home}/cycles")
+    of = written(rest.join(cycle, "node", "left").select("node", "digest", F.coalesce("component", "node").alias("of")), f"{home}/of")
+    many = of.groupBy("of").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("of")
+    whole = _sealed(of.join(many, "of", "left_semi").select("of", F.concat("node", F.lit("="), "digest").alias("leaf")))
+    parts = of.join(many, "of", "left_anti").select("node", "digest").union(whole)
+    at = of.select("node", "of")
+    up = e.join(at, "node").select("of", "name", "dep").join(at.select(F.col("node").alias("dep"), F.col("of").alias("dep_of")), "dep", "left")
+    up = up.select(F.col("of").alias("node"), "name", F.coalesce("dep_of", "dep").alias("dep")).where("node <> dep").distinct()
+    ends = folded(parts, up, scope, done, size)
+    return done_crates.union(at.join(ends.select(F.col("node").alias("of"), "fingerprint"), "of").select(F.col("node").alias("crate"), "fingerprint"))
+
+
+def _sealed(leaves: DataFrame) -> DataFrame:
+    """node, digest: of each group's (of) leaves, by their digests: a tree of fixed shape, by the digests' first four and
+    two letters, so that no group is collected whole."""
+    t = leaves.select("of", F.sha2("leaf", 256).alias("h")).withColumn("key", F.substring("h", 1, 4))
+    for width in (2, 0):
+        t = t.groupBy("of", "key").agg(F.sha2(F.array_join(F.array_sort(F.collect_list("h")), "\n"), 256).alias("h")).withColumn("key", F.expr(f"substring(key, 1, {width})"))
+    return t.groupBy("of").agg(F.sha2(F.array_join(F.array_sort(F.collect_list("h")), "\n"), 256).alias("h")).select(F.col("of").alias("node"), F.col("h").alias("digest"))
+
+
+def folded(nodes: DataFrame, edges: DataFrame, scope: str, given: DataFrame | None = None, size: int = graph.PART) -> DataFrame:
+    """node, fingerprint of the nodes (node, digest) all of whose dependencies, by the edges (node, name, dep), have one:
+    a node of this kind, or one of those given (node, fingerprint). Others, which lie on or above a cycle, are left out.
+
+    Nodes are dealt once to parts of about `size` with the edges to what they depend on. A round folds each part as far as
+    it gets, at any depth; then the fingerprints that another part waits for are exchanged. A graph that fits one part
+    takes one round, another one as many as its longest way changes parts. A node's own dependencies are in one task."""
+    spark = nodes.sparkSession
+    home, k, count = work_dir(spark, "folded"), 0, 0
+    rows = nodes.select("node", "digest", F.lit(None).cast("string").alias("name"), F.lit(None).cast("string").alias("dep")).union(edges.select("node", F.lit(None).cast("string"), "name", "dep"))
+    rows = written(rows, f"{home}/rows")
+    parts = max(1, -(-rows.count() // size))
+    part_of = lambda c: F.pmod(F.xxhash64(c), F.lit(parts)).cast("int")
+    rows, table = (rows.withColumn("part", F.lit(0)), None) if parts == 1 else bucketed(rows.withColumn("part", part_of("node")), f"{home}/parts", "part", parts)
+    waits = rows.where("dep is not null").select("part", "dep").distinct()
+    waits = written(waits.where(F.col("part") != part_of("dep")) if given is None else waits, f"{home}/waits")
+    known = nodes.limit(0).select("node", F.col("digest").alias("fingerprint")) if given is None else given.select("node", "fingerprint")
+    new = known
     while True:
-        k += 1
-        rest = own.join(done, "crate", "left_anti")
-        left = e.join(done.select(F.col("crate").alias("dep"), "fingerprint"), "dep", "left")
-        per = left.groupBy("crate").agg(F.bool_and(F.col("fingerprint").isNotNull()).alias("ready"), F.array_join(F.array_sort(F.collect_list(F.concat("dep", F.lit("="), "fingerprint"))), "\n").alias("deps"))
-        level = rest.join(per, "crate", "left").where("coalesce(ready, true)")
-        level = level.select("crate", F.sha2(F.concat_ws("\0", F.lit(scope), "digest", F.coalesce("deps", F.lit(""))), 256).alias("fingerprint"))
-        level = written(level, f"{home}/{k}")
-        if level.isEmpty():
-            break
-        done = done.union(level)
-        if k % 16 == 0:
-            done = written(done, f"{home}/done{k}")
-            remove(spark, f"{home}/{k - 1}")
-    rest = own.join(done, "crate", "left_anti").select("crate")
-    return done if rest.isEmpty() else done.union(fingerprints(own, e, scope).join(rest, "crate", "left_semi").select("crate", "fingerprint"))
+        arrive = waits.join(new, F.col("dep") == F.col("node")).select("part", "node", "fingerprint")
+        fold = rows.groupBy("part").cogroup(arrive.groupBy("part")).applyInArrow(lambda a, b: _folded(a, b, scope), "node string, fingerprint string")
+        out, last = written(fold, f"{home}/{k}"), count
+        count, k = out.count() if parts > 1 else 0, k + 1
+        if parts == 1 or count == last:
+            if table:
+                spark.sql(f"drop table {table}")
+            return out
+        new = known.union(out)
+
+
+def _folded(rows: pa.Table, new: pa.Table, scope: str) -> pa.Table:
+    node, digest, name, dep = (rows.column(c).to_pylist() for c in ("node", "digest", "name", "dep"))
+    own, known = {}, dict(zip(new.column("node").to_pylist(), new.column("fingerprint").to_pylist(), strict=True))
+    needs: dict[str, list[tuple[str, str]]] = {}
+    users: dict[str, list[str]] = {}
+    missing: dict[str, int] = {}
+    for v, x, as_name, d in zip(node, digest, name, dep, strict=True):
+        if d is None:
+            own[v] = x
+        else:
+            needs.setdefault(v, []).append((as_name, d))
+            if d not in known:
+                users.setdefault(d, []).append(v)
+                missing[v] = missing.get(v, 0) + 1
+    ready, found = [v for v in own if v not in missing], {}
+    while ready:
+        v = ready.pop()
+        deps = "\n".join(sorted(f"{n}={known[d]}" for n, d in needs.get(v, [])))
+        found[v] = known[v] = hashlib.sha256("\0".join((scope, own[v], deps)).encode()).hexdigest()
+        for u in users.pop(v, []):
+            missing[u] -= 1
+            if not missing[u]:
+                ready.append(u)
+    return pa.table({"node": pa.array(list(found), pa.string()), "fingerprint": pa.array(list(found.values()), pa.string())})

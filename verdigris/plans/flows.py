@@ -16,7 +16,7 @@ def affected(members: DataFrame, edges: DataFrame, changed: DataFrame, root: str
 def crate_fingerprints(files: DataFrame, members: DataFrame, edges: DataFrame, scope: str) -> DataFrame:
     """crate, fingerprint of all members; files: (crate, rel, digest)."""
     own = members.select(F.col("name").alias("crate")).distinct().join(fingerprint.own_digests(files), "crate", "left")
-    return fingerprint.fingerprints(own, edges, scope)
+    return fingerprint.merkle(own, edges, scope)
 
 
 def crates_to_run(plan: selection.Plan, members: DataFrame, files: DataFrame, edges: DataFrame, store: Store, scope: str, every: bool = False, no_cache: bool = False) -> DataFrame:

@@ -404,6 +404,31 @@ def merkle_fingerprint(spark, sf_dir):
     return fingerprint.merkle(members.select(F.col("name").alias("crate"), F.sha2("name", 256).alias("digest")), edges, "v1")
 
 
+def _part_sql(levels: int = 18) -> str:
+    """The way down by halves and thirds ends after so many levels for any number of parts below 2**17."""
+    level = "select n.k, sha256(concat('v1', chr(0), n.d, chr(0), coalesce(string_agg(concat(e.name, '=', m.f), chr(10) order by concat(e.name, '=', m.f)) filter (e.name is not null), ''))) as f from n left join e on e.k = n.k left join {} m on m.k = e.dep group by n.k, n.d having count(e.name) = count(m.f)"
+    steps = ["m0 as materialized (select k, null as f from n where false)", *(f"m{i} as materialized ({level.format(f'm{i - 1}')})" for i in range(1, levels + 1))]
+    agg = "sha256(string_agg(h, chr(10) order by h)) as h"
+    return f"""with p as (select cast(p_partkey as bigint) as k, p_partkey % 40 = 8 and p_partkey - 1 in (select p_partkey from part) as second from part),
+o as (select k, case when second then k - 1 else k end as top from p),
+l as (select top, sha256(concat('p', k, '=', sha256(concat('p', k)))) as h from o where top in (select top from o group by 1 having count(*) > 1)),
+s1 as (select top, left(h, 4) as key, {agg} from l group by 1, 2), s2 as (select top, left(key, 2) as key, {agg} from s1 group by 1, 2), s3 as (select top, {agg} from s2 group by 1),
+n as materialized (select o.k, coalesce(s3.h, sha256(concat('p', o.k))) as d from o left join s3 on s3.top = o.k where o.k = o.top),
+x as (select k as a, k // 2 as b from p where k >= 2 union select k, k // 3 from p where k >= 3),
+e as materialized (select distinct o.top as k, concat('p', x.b) as name, w.top as dep from x join o on o.k = x.a join o w on w.k = x.b where o.top <> w.top), {', '.join(steps)}
+select concat('p', o.k) as crate, m.f as fingerprint from o join m{levels} m on m.k = o.top"""
+
+
+@query(_part_sql())
+def part_fingerprint(spark, sf_dir):
+    """Parts depend on their halves and thirds; every fortieth and the one behind it depend on each other."""
+    k = _t(spark, sf_dir, "part").select(F.col("p_partkey").cast("bigint").alias("k"))
+    pair = k.where("k % 40 = 7").select(F.explode(F.array(F.struct(F.col("k").alias("crate"), (F.col("k") + 1).alias("dep")), F.struct((F.col("k") + 1).alias("crate"), F.col("k").alias("dep")))).alias("x")).select("x.*")
+    name = lambda c: F.concat(F.lit("p"), F.col(c).cast("string")).alias(c)
+    own = k.select(F.concat(F.lit("p"), F.col("k").cast("string")).alias("crate"))
+    return fingerprint.merkle(own.withColumn("digest", F.sha2("crate", 256)), _halves(k).union(pair).select(name("crate"), name("dep")), "v1")
+
+
 def _greens(spark, sf_dir) -> DataFrame:
     """Even nations are green at their present fingerprint, the others at an older one."""
     even = _t(spark, sf_dir, "nation").select(F.col("n_name").alias("crate"), (F.col("n_nationkey") % 2 == 0).alias("even"))
