@@ -5,12 +5,18 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from verdigris.operators import ranges
 from verdigris.operators.history import historically_flaky
 
 
 def covered_by(coverage: DataFrame, impacts: DataFrame) -> DataFrame:
-    """test_id of each test with an impacted line: a left-semi join, so no test is matched twice."""
-    return coverage.join(impacts.where("line is not null").select("file", "line").distinct(), ["file", "line"], "left_semi").select("test_id").distinct()
+    """test_id of each test with an impacted line, once. Both have lines (file, line), and meet by equality, or one or both
+    have ranges of lines (file, first, last)."""
+    if "line" in coverage.columns and "line" in impacts.columns:
+        return coverage.join(impacts.where("line is not null").select("file", "line").distinct(), ["file", "line"], "left_semi").select("test_id").distinct()
+    if "line" in coverage.columns:
+        return ranges.stabbed(coverage.select("test_id", "file", "line"), ranges.united(impacts.where("first is not null"), ["file"]), ["file"]).select("test_id").distinct()
+    return ranges.overlapping(coverage, ranges.united(ranges.as_ranges(impacts).where("first is not null"), ["file"]), ["file"], ["test_id"])
 
 
 def valid(coverage: DataFrame, base: str | None) -> DataFrame:

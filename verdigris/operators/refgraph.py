@@ -5,12 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from verdigris.operators import graph
+from verdigris.operators import graph, ranges
 from verdigris.operators.fingerprint import closure_pairs
 
 FN, CONST, STATIC, TYPE, OPAQUE = "fn", "const", "static", "type_alias", "opaque"
-#: Lines to a block when items and lines meet: an item is dealt to each block it touches.
-BLOCK = 256
 
 
 def reference_edges(items: DataFrame, aliases: DataFrame | None = None) -> DataFrame:
@@ -39,12 +37,11 @@ def users(items: DataFrame, edges: DataFrame, seeds: DataFrame) -> DataFrame:
 
 def enclosing(lines: DataFrame, items: DataFrame, of_functions: bool) -> DataFrame:
     """lines (file, line) and item_id of the smallest enclosing item that is, or is not, a function; null if none is. Of
-    equally small ones the first of the file, by pos (or by item_id, where items have no pos). Both sides are dealt to blocks of lines, so the join is by equality of file and
-    block and a long file is spread."""
+    equally small ones the first of the file, by pos (or by item_id, where items have no pos). Lines and items meet on
+    blocks of two's powers, of which an item has few however long it is."""
     kind = F.col("kind") == FN if of_functions else F.col("kind") != FN
     place = F.col("pos" if "pos" in items.columns else "item_id").alias("place")
-    spans = items.where(kind).select("item_id", place, "file", "start", "end", F.explode(F.sequence(F.expr(f"start div {BLOCK}"), F.expr(f"`end` div {BLOCK}"))).alias("block"))
-    at = lines.select("file", "line").distinct().withColumn("block", F.expr(f"line div {BLOCK}"))
-    inside = at.join(spans, ["file", "block"]).where("line between start and `end`")
-    best = inside.groupBy("file", "line").agg(F.min(F.struct((F.col("end") - F.col("start")).alias("width"), "place", "item_id")).alias("m"))
+    spans = items.where(kind).where("start <= `end`").select("item_id", place, "file", F.col("start").alias("first"), F.col("end").alias("last"))
+    inside = ranges.stabbed(lines.select("file", "line").distinct(), spans, ["file"])
+    best = inside.groupBy("file", "line").agg(F.min(F.struct((F.col("last") - F.col("first")).alias("width"), "place", "item_id")).alias("m"))
     return lines.join(best.select("file", "line", F.col("m.item_id").alias("item_id")), ["file", "line"], "left")

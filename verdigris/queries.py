@@ -251,6 +251,15 @@ def coverage_semi(spark, sf_dir):
     return fnselect.covered_by(coverage, impacts).join(tests.distinct(), "test_id", "left_semi")
 
 
+@query("""with c as (select l_orderkey as k, l_suppkey as f, l_partkey as a, l_partkey + l_linenumber * 40 as b from lineitem), i as (select p_size % 10 as f, p_partkey * 3 as a, p_partkey * 3 + p_size * p_size as b from part where p_size % 25 = 1)
+select distinct cast(c.k as varchar) as test_id from c join i on c.f % 10 = i.f and c.a <= i.b and i.a <= c.b""")
+def coverage_overlap(spark, sf_dir):
+    """Ranges of lines that tests cover, held against impacted ranges, none of them listed line by line."""
+    c = _t(spark, sf_dir, "lineitem").select(F.col("l_orderkey").cast("string").alias("test_id"), (F.col("l_suppkey") % 10).cast("string").alias("file"), F.col("l_partkey").alias("first"), (F.col("l_partkey") + F.col("l_linenumber") * 40).alias("last"))
+    i = _t(spark, sf_dir, "part").where("p_size % 25 = 1").select((F.col("p_size") % 10).cast("string").alias("file"), (F.col("p_partkey") * 3).alias("first"), (F.col("p_partkey") * 3 + F.col("p_size") * F.col("p_size")).alias("last"))
+    return fnselect.covered_by(c, i)
+
+
 @query(f"select test_id from (select {COVERED}) where uncovered")
 def coverage_anti(spark, sf_dir):
     _, coverage, tests = _coverage(spark, sf_dir)
@@ -349,7 +358,8 @@ def coverage_parse(spark, sf_dir):
     region = F.array(*(x.cast("bigint") for x in (F.col("l_partkey"), F.lit(1), last, F.lit(9), count, F.lit(1), F.lit(0), kind)))
     f = F.struct(F.array(F.lit("unused"), F.concat(F.lit("f"), F.col("l_suppkey").cast("string"))).alias("filenames"), F.array(region).alias("regions"))
     docs = li.groupBy(F.col("l_orderkey").cast("string").alias("test_id")).agg(F.to_json(F.struct(F.array(F.struct(F.collect_list(f).alias("functions"))).alias("data"))).alias("text"))
-    return reports.covered_lines(docs, ["test_id"])
+    r = reports.covered_ranges(docs, ["test_id"])
+    return r.select("test_id", "file", F.explode(F.sequence(F.col("first").cast("int"), F.col("last").cast("int"))).alias("line"))
 
 
 @query(f"with {USER_RUNS} select * from r")

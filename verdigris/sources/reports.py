@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from verdigris import schemas
+from verdigris.operators.ranges import united
 
 # Children of a testcase that make it failed, or flaky.
 FAILED = ("failure", "error")
@@ -65,11 +66,11 @@ def read_outcomes(spark: SparkSession, path: str) -> DataFrame:
     return outcomes(spark.read.text(path, wholetext=True).withColumnRenamed("value", "text"))
 
 
-def covered_lines(exports: DataFrame, keys: list[str], text: str = "text", lenient: bool = True) -> DataFrame:
-    """keys, file, line: the lines that coverage exports (JSON texts) count as run, each once for each key. A region is
-    [first line, column, last line, column, count, file, expanded file, kind, ...]; regions of another kind, without a
-    count, from macro expansions, or malformed are left out before lines are expanded. A region over more than MAX_SPAN
-    lines is left out; without lenient its whole export is, so that its tests count as uncovered."""
+def covered_ranges(exports: DataFrame, keys: list[str], text: str = "text", max_span: int | None = None, lenient: bool = True) -> DataFrame:
+    """keys, file, first, last: the lines that coverage exports (JSON texts) count as run, as the fewest ranges for each
+    key; a region of any length is a row. A region is [first line, column, last line, column, count, file, expanded file,
+    kind, ...]; regions of another kind, without a count, from macro expansions, or malformed are left out. With max_span
+    a region over more lines is left out too; without lenient its whole export is, so that its tests count as uncovered."""
     parsed = exports.select(*keys, F.from_json(text, schemas.COVERAGE_EXPORT)["data"].alias("data"))
     parsed = parsed.select(*keys, F.flatten(F.transform(F.coalesce("data", F.array()), lambda d: F.coalesce(d["functions"], F.array()))).alias("functions"))
     at = lambda r, i: F.get(r, F.lit(i))
@@ -78,14 +79,19 @@ def covered_lines(exports: DataFrame, keys: list[str], text: str = "text", lenie
         cells = F.forall(F.slice(r, 1, 8), lambda x: x.isNotNull())
         return (F.size(r) >= 8) & cells & (at(r, 7) == 0) & (at(r, 4) > 0) & (at(r, 6) == 0) & (at(r, 2) >= at(r, 0))
 
-    long = lambda r: counted(r) & (at(r, 2) - at(r, 0) > MAX_SPAN)
+    long = lambda r: counted(r) & (at(r, 2) - at(r, 0) > max_span) if max_span is not None else F.lit(False)
     if not lenient:
         parsed = parsed.where(~F.exists("functions", lambda f: F.exists(F.coalesce(f["regions"], F.array()), lambda r: F.coalesce(long(r), F.lit(False)))))
     f = parsed.select(*keys, F.explode("functions").alias("f")).select(*keys, F.col("f.filenames").alias("names"), F.explode("f.regions").alias("r"))
     f = f.where(F.coalesce(counted(F.col("r")) & ~long(F.col("r")), F.lit(False)))
     file = F.get("names", at(F.col("r"), 5).try_cast("int"))
-    f = f.select(*keys, file.alias("file"), at(F.col("r"), 0).cast("int").alias("a"), at(F.col("r"), 2).cast("int").alias("b")).where("file is not null").distinct()
-    return f.select(*keys, "file", F.explode(F.sequence("a", "b")).alias("line")).distinct()
+    f = f.select(*keys, file.alias("file"), at(F.col("r"), 0).cast("bigint").alias("first"), at(F.col("r"), 2).cast("bigint").alias("last")).where("file is not null")
+    return united(f, [*keys, "file"])
+
+
+def covered_lines(exports: DataFrame, keys: list[str], text: str = "text", lenient: bool = True) -> DataFrame:
+    """keys, file, line: covered_ranges() line by line, without regions over more than MAX_SPAN lines."""
+    return covered_ranges(exports, keys, text, MAX_SPAN, lenient).select(*keys, "file", F.explode(F.sequence(F.col("first").cast("int"), F.col("last").cast("int"))).alias("line"))
 
 
 def relative(coverage: DataFrame, root: str) -> DataFrame:
