@@ -28,7 +28,7 @@ SCHEMES = ("http://", "https://", "ftp://", "mailto:")
 CUES = ("account", "acct", "iban", "passport", "ssn", "konto", "compte", "cuenta")
 # Words that may stand between a cue and its number.
 BETWEEN = frozenset("no nr num number numbers numero número nummer id is are was my the our your ist est es de la le of code".split())
-FILLERS, LEAST_DIGITS, LEAST_MIXED, IBAN_SIZE = 4, 6, 6, (15, 34)
+FILLERS, LEAST_DIGITS, LEAST_GROUPED, LEAST_MIXED, IBAN_SIZE = 4, 6, 8, 6, (15, 34)
 
 LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 LABEL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789-")
@@ -151,6 +151,10 @@ def account(t: str, at: int) -> tuple[int, int] | None:
     parts, e = runs(t, b, "-")
     if not t[e : e + 1].isalnum() and t[e : e + 1] != "_" and sum(y - x for x, y in parts) >= LEAST_DIGITS:
         return b, e
+    if len(parts) == 1:  # too short by itself: groups that single blanks part
+        parts, e = runs(t, b, " -")
+        if not t[b - 1].isalnum() and all(y - x > 1 for x, y in parts) and sum(y - x for x, y in parts) >= LEAST_GROUPED and not t[e : e + 1].isalnum() and t[e : e + 1] != "_":
+            return b, e
     return (b, e) if (e := _mixed_end(t, b)) else None
 
 

@@ -29,7 +29,7 @@ BASE = ("assign", "access", "hex")
 KINDS = (*BASE, "literal")
 # Names that the base kind knows, and what others add to a name's score.
 NAMES = ("password", "passwd", "secret", "token", "api_key", "apikey")
-SENSITIVE = {"password": 3, "passwd": 3, "passphrase": 3, "pwd": 2, "secret": 3, "token": 3, "apikey": 3, "api_key": 3, "access_key": 3, "private_key": 3, "credential": 2, "auth": 1, "bearer": 2}
+SENSITIVE = {"password": 3, "passwd": 3, "passphrase": 3, "pwd": 3, "secret": 3, "token": 3, "apikey": 3, "api_key": 3, "access_key": 3, "private_key": 3, "credential": 3, "auth": 1, "bearer": 2}
 LITERAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_.=-")
 LEAST = 4
 # Operators that assign, and those that only look like it.
@@ -53,13 +53,25 @@ _token = re.compile(
     |(?P<mark>[\[\](){},;.|>])""",
     re.X | re.S,
 )
+_called = re.compile(r"[(]\s*[rbfu]?[\"'`]")
 _quotes = re.compile(r"[rbfuRBFU]{0,2}(\"{3}|'{3}|[\"'`])")
 _name = re.compile(r"[A-Za-z_$][\w.$-]*\Z")
 _reference = re.compile(r"\$(?:\{([A-Za-z_]\w*)\}|([A-Za-z_]\w*))\Z")
 _plain, _dotted = re.compile(r"[^\W\d]\w*+"), re.compile(r"[^\W\d][\w.]*+")
 _digit, _stretch = re.compile(r"\d"), re.compile(r"[a-z]+|[A-Z]+|\d+|[\W_]+")
 _run = re.compile(r"[^\s\"'`,;(){}\[\]<>]+")
-_address = re.compile(r"[A-Za-z][A-Za-z0-9+.-]{1,30}://(?![^\s/]{1,200}@)")
+_address = re.compile(r"[A-Za-z][A-Za-z0-9+.-]+://(?![^\s/@]+@)")
+#: An authorization scheme and its credentials, which count alone.
+_scheme = re.compile(r"(?:basic|bearer|token|digest)[ \t]+(?=\S{8,}\Z)", re.I)
+_bare_scheme = re.compile(r"(?:basic|bearer)[ \t]+", re.I)
+_element = re.compile(r"<([A-Za-z][\w.:-]*)(?:\s[^<>]*+)?>([^<>]*+)</\1\s*>")
+_tag = re.compile(r"<[A-Za-z][\w.:-]*\s[^<>]*+>")
+_attribute = re.compile(r"""(?<!\S)([\w.:-]+)=(?:"([^"]*+)"|'([^']*+)')""")
+_words = re.compile(r"(?:[ \t]+[^\s\"'`#,;(){}\[\]<>=]+)*")
+#: Functions that take a secret as their argument, as against those that look one up or check it.
+_setter = re.compile(r"(?:set|with|use|add|put)[A-Z_]", re.A)
+#: What may stand on a line of a configuration before the name.
+_before = frozenset(["export", "set", "ENV", "env", "-"])
 _layout = re.compile(r"-----(?:BEGIN|END) [A-Z0-9 ]+-----|\n[ \t]+")
 
 
@@ -80,7 +92,7 @@ def score(name: str, literal: str | Counter, spaced: bool = False) -> float:
     counts = literal if isinstance(literal, Counter) else Counter(literal)
     if not by_name or sum(counts.values()) < 8:
         return 0.0
-    spaced = spaced or isinstance(literal, str) and _spaced(literal)
+    spaced = (spaced or isinstance(literal, str) and _spaced(literal)) and "passphrase" not in low
     return by_name + (entropy(counts) >= 3) + any(c.isdigit() for c, k in counts.items() if k > 0) - 2 * spaced
 
 
@@ -232,8 +244,10 @@ class Parser:
                 self.note = ""
             elif kind == "mark" and not inner and t[x] in "{}":
                 self.scopes.brace(t[x] == "{")
+            elif kind == "mark" and t[x] == "(":
+                self.call(tokens, i)
             elif kind == "op" and t[x:y] in ASSIGNING and (name := self.target(tokens, i)):
-                self.pair(name, tokens, i + 1)
+                self.pair(name, tokens, i + 1, inner)
             elif kind == "str" and y - x > 12 and not inner and _operator.search(t, x, y):
                 if not (i and tokens[i - 1][0] == "op" and self.reported(x, y)):
                     note, self.note = self.note, "line"  # what is quoted binds nothing
@@ -266,7 +280,52 @@ class Parser:
             return self.target(tokens, k - 1) or t[x:y]  # name: type = value
         return t[x:y]
 
-    def pair(self, name: str, tokens: list, k: int) -> None:
+    def call(self, tokens: list, i: int) -> None:
+        """Of a call whose bracket is token i: its only string argument where the function's name is that of a setter or of
+        the secret itself, and the second of two where the first is a sensitive name."""
+        t, args = self.t, tokens[i + 1 : i + 5]
+        if not args or args[0][0] != "str":
+            return
+        marks = [t[x:y] for kind, x, y in args if kind == "mark"]
+        if len(args) > 3 and [a[0] for a in args[:3]] == ["str", "mark", "str"] and marks[0] == ",":
+            a, b = self.inside(*args[0][1:])
+            if _sensitive.search(t, a, b) and _name.match(t, a, b):
+                self.told(t[a:b], self.literal([self.inside(*args[2][1:])]))
+        elif i and tokens[i - 1][0] == "word" and marks and marks[0] in "),":
+            function = t[tokens[i - 1][1] : tokens[i - 1][2]].rpartition(".")[2]
+            if _setter.match(function) or _sensitive.fullmatch(function):
+                self.told(function, self.literal([self.inside(*args[0][1:])]))
+
+    def told(self, name: str, value: Value, scheme: int = 0) -> None:
+        """Reports a value if it scores with the name; `pwd` may also be the folder at hand."""
+        first = value.parts[0] if value.parts else None
+        if first and name.lower() in ("pwd", "oldpwd") and self.t[first[0]] in "/~":
+            return
+        if first and len(value.parts) == 1 and not value.links and (m := _scheme.match(self.t, *first)):
+            value, scheme = self.literal([(m.end(), first[1])]), 2
+        if score(name, value.counts, value.spaced) + scheme >= LEAST and not (first and _address.match(self.t, first[0])):
+            value.report(self.out)
+            self.done = max([self.done, *(b for _, b in value.parts)])
+
+    def leads(self, tokens: list, k: int) -> bool:
+        """Whether a name and its operator (token k - 1) begin a line of a configuration: the name stands first on it, and
+        the operator is `:`, or `=` without blanks."""
+        t, j = self.t, k - 3
+        if j >= 0 and tokens[j][0] == "word" and t[tokens[j][1] : tokens[j][2]] in _before:
+            j -= 1
+        if j >= 0 and tokens[j][0] != "line" or k < 2 or tokens[k - 2][0] not in ("word", "str"):
+            return False
+        x, y = tokens[k - 1][1:]
+        return t[x:y] == ":" or t[x:y] == "=" and tokens[k - 2][2] == x and t[y : y + 1] not in (" ", "\t", "")
+
+    def stops(self, e: int) -> bool:
+        """Whether nothing but a comment follows on the line."""
+        t = self.t
+        while e < len(t) and t[e] in " \t":
+            e += 1
+        return e == len(t) or t[e] in "\n\r#" or t[e] == ";" and t[e - 1] in " \t"
+
+    def pair(self, name: str, tokens: list, k: int, inner: bool = False) -> None:
         t, n, value, bracket = self.t, len(tokens), None, False
         at = tokens[k - 1][2]
         while k < n and (tokens[k][0] == "mark" and t[tokens[k][1]] in "(|>" or tokens[k][0] == "line" and (bracket or k + 1 < n and tokens[k + 1][0] == "pem")):
@@ -281,7 +340,13 @@ class Parser:
             while at < len(t) and t[at] in " \t":
                 at += 1
             e = self.runs.ends(at)
-            if self.is_name(at, e):
+            leads = not inner and self.leads(tokens, k)
+            m = _bare_scheme.match(t, at)
+            if m and (stop := self.runs.ends(m.end())) - m.end() >= 8:
+                return self.told(name, Value([(m.end(), stop)], [], self.runs.tally(m.end()).copy(), False), 2)
+            if leads and "passphrase" in name.lower() and (stop := self.rest(e)) > e and self.stops(stop):
+                value = self.literal([(at, stop)])
+            elif self.is_name(at, e, leads and self.stops(e), name):
                 value = self.joined(tokens, k, bracket)
             elif e - at >= 8:
                 value = Value([(at, e)], [], self.runs.tally(at).copy(), False)
@@ -289,20 +354,25 @@ class Parser:
             return
         if not self.note:
             self.scopes.bind(name, value)
-        first = value.parts[0] if value.parts else None
-        if score(name, value.counts, value.spaced) >= LEAST and not (first and _address.match(t, first[0])):
-            value.report(self.out)
-            self.done = max([self.done, *(b for _, b in value.parts)])
+        self.told(name, value)
+
+    def rest(self, e: int) -> int:
+        """Where the words from e on end, before a comment or the line's end."""
+        m = _words.match(self.t, e)
+        return m.end() if m else e
 
-    def is_name(self, a: int, e: int) -> bool:
+    def is_name(self, a: int, e: int, config: bool, name: str) -> bool:
         """Of an unquoted run: a reference, an identifier that does not look random (it does with digits where it is long
-        or changes between small letters, capitals and digits all the time), or a dotted name that is bound."""
+        or changes between small letters, capitals and digits all the time), or a dotted name that is bound or has no digit. On a line of a
+        configuration a run is a literal where it has a digit or its target is in capitals, unless it is bound."""
         t = self.t
         m = _plain.match(t, a, e)
         if m and m.end() == e:
+            if config and (_digit.search(m[0]) or name.isupper()):
+                return self.scopes.of(m[0]) is not None
             return e - a < 8 or not _digit.search(m[0]) or e - a < 16 and 10 * len(_stretch.findall(m[0])) < 6 * (e - a)
         m = _dotted.match(t, a, e)
-        return bool(_reference.match(t, a, e) or m and m.end() == e and self.scopes.of(m[0]))
+        return bool(_reference.match(t, a, e) or m and m.end() == e and (not _digit.search(m[0]) or self.scopes.of(m[0])))
 
     def literal(self, parts: list[Part]) -> Value:
         texts = [self.t[a:b] for a, b in parts]
@@ -350,7 +420,9 @@ def _blank(t: str, a: int, b: int) -> bool:
 
 
 def _worth(t: str) -> bool:
-    """Whether a sensitive name stands before an operator on its line; without one no pair scores."""
+    """Whether a sensitive name stands before an operator on its line, or with a string in a call; without one no pair scores."""
+    if _called.search(t):
+        return True
     last = 0
     for m in _operator.finditer(t):
         if _sensitive.search(t, max(last, t.rfind("\n", last, m.start())), m.start()):
@@ -359,6 +431,29 @@ def _worth(t: str) -> bool:
     return False
 
 
+def _marked(t: str) -> list[tuple[int, int]]:
+    """Literals in markup: the text of an element with a sensitive name, and the `value` of one whose name is an attribute."""
+    out = []
+    for m in _element.finditer(t):
+        if _sensitive.search(m[1]):
+            a, b = m.span(2)
+            while a < b and t[a].isspace():
+                a += 1
+            while a < b and t[b - 1].isspace():
+                b -= 1
+            if score(m[1], t[a:b]) >= LEAST and not _address.match(t, a):
+                out.append((a, b))
+    for m in _tag.finditer(t):
+        if _sensitive.search(m[0]):
+            at = {x[1].lower(): x for x in _attribute.finditer(t, m.start(), m.end())}
+            name, value = next((at[k] for k in ("name", "key", "id") if k in at), None), at.get("value")
+            if name and value:
+                a, b = value.span(2 if value[2] is not None else 3)
+                if score(name[2] or name[3] or "", t[a:b]) >= LEAST and not _address.match(t, a):
+                    out.append((a, b))
+    return out
+
+
 def find(t: str) -> list[Span]:
     out: list[Span] = [("access", *m.span()) for m in _access.finditer(t)]
     out += [("hex", *m.span()) for m in _hex.finditer(t)]
@@ -368,11 +463,12 @@ def find(t: str) -> list[Span]:
             done = x[1]
             if x[1] - x[2] >= 8:
                 out.append(("assign", x[0], x[1]))
+    literals = set(_marked(t)) if "<" in t and _sensitive.search(t) else set()
     if _worth(t):
         p = Parser(t)
         p.read(0, len(t))
-        out += [("literal", a, b) for a, b in sorted(set(p.out)) if b > a]
-    return out
+        literals |= set(p.out)
+    return out + [("literal", a, b) for a, b in sorted(literals) if b > a]
 
 
 def scan(docs: DataFrame, text: str = "text") -> DataFrame:
