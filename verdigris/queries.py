@@ -86,7 +86,24 @@ def flaky_posterior_mean(spark, sf_dir):
     return _rounded(bayes.jeffreys(_user_runs(spark, sf_dir)), "post_mean").select("id", "passes", "fails", "post_mean")
 
 
-@query()
+def _bounds_sql(terms: int = 240, steps: int = 54) -> str:
+    """The beta quantiles by bisection; the distribution function by its continued fraction, folded from the inmost of a
+    fixed number of terms, which is enough for the counts of these tables."""
+    d = "case when j % 2 = 1 then -(u + (j - 1) / 2) * (u + v + (j - 1) / 2) * z / ((u + j - 1) * (u + j)) else j / 2 * (v - j / 2) * z / ((u + j - 1) * (u + j)) end"
+    return f"""with recursive {USER_RUNS},
+k as (select passes, fails, t.p, fails + 0.5::double as a, passes + 0.5::double as b, lgamma(passes + fails + 1) - lgamma(fails + 0.5) - lgamma(passes + 0.5) as g from (select distinct passes, fails from r), (values (0.025::double), (0.975::double)) t(p)),
+s(passes, fails, p, a, b, g, low, high, i) as (select *, 0.0::double, 1.0::double, 0 from k union all
+  select passes, fails, p, a, b, g, case when f < p then x else low end, case when f < p then high else x end, i + 1 from (
+    select *, case when swap then 1 - c else c end as f from (
+      select *, exp(g + a * ln(x) + b * ln(1 - x)) / u / list_reduce(list_transform(range({terms}, 0, -1), lambda j: j::double), lambda acc, j: 1 + ({d}) / acc, 1.0::double) as c from (
+        select *, case when swap then b else a end as u, case when swap then a else b end as v, case when swap then 1 - x else x end as z from (
+          select *, (low + high) / 2 as x, (low + high) / 2 > (a + 1) / (a + b + 2) as swap from s where i < {steps}))))),
+e as (select passes, fails, p, (low + high) / 2 as q from s where i = {steps})
+select id, passes, fails, round((fails + 0.5) / (passes + fails + 1), 9) as post_mean, round(l.q, 9) as post_low, round(h.q, 9) as post_high from r
+join e l using (passes, fails) join e h using (passes, fails) where l.p < 0.5 and h.p > 0.5"""
+
+
+@query(_bounds_sql())
 def flaky_posterior_bounds(spark, sf_dir):
     return _rounded(bayes.jeffreys(_user_runs(spark, sf_dir)), "post_mean", "post_low", "post_high").select("id", "passes", "fails", "post_mean", "post_low", "post_high")
 
