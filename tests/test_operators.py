@@ -283,7 +283,10 @@ def test_tune(spark):
     linux = "x86_64-unknown-linux-gnu"
     assert [r[0] for r in df.select(tune.fast_linker_default(F.lit(linux), F.col("v"))).collect()] == [True, True, None, False]
     assert not df.select(tune.fast_linker_default(F.lit("aarch64-apple-darwin"), F.col("v"))).first()[0]
-    assert "mold" in tune.build_config(linux, "linux", (1, 90, 0), True, True) and "mold" not in tune.build_config(linux, "linux", (1, 80, 0), True, False)
-    assert "split-debuginfo" not in tune.build_config("x", "windows", None, True, True)
+    v = lambda minor: F.struct(F.lit(1).alias("major"), F.lit(minor).alias("minor"), F.lit(0).alias("patch"))
+    text = lambda host, system, version, mold, clang: spark.range(1).select(tune.build_config(F.lit(host), F.lit(system), version, F.lit(mold), F.lit(clang))).first()[0]
+    assert "mold" in text(linux, "linux", v(90), True, True) and tune.NOTE in text(linux, "linux", v(90), True, True) and "mold" not in text(linux, "linux", v(80), True, False)
+    none = F.lit(None).cast("struct<major:int,minor:int,patch:int>")
+    assert "split-debuginfo" not in text("x", "windows", none, True, True) and tune.NOTE not in text(linux, "linux", none, True, True)
     advise = lambda *n: tune.hack_advice(spark.createDataFrame([(x,) for x in n], "name string")).first()[0]
     assert advise(*"abcd") and not advise(*"abc") and not advise("a", "b", "c", "my-workspace-hack") and advise("a", "b", "c", "workspace-hacks")

@@ -100,3 +100,8 @@ def unit_interval(value: float) -> float:
     if not 0 <= value <= 1:
         raise ValueError(f"{value} is not in [0, 1]")
     return value
+
+
+def within_unit(value: Column) -> Column:
+    """The value where it lies in [0, 1]; null otherwise, also for NaN."""
+    return F.when((value >= 0) & (value <= 1), value)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from verdigris.operators import graph
@@ -31,6 +31,11 @@ def is_exhaustive(args: list[str]) -> bool:
     return not any(a in PARTIAL or (a and not a.startswith("-")) for a in args)
 
 
+def exhaustive(args: Column) -> Column:
+    """is_exhaustive() of an array of arguments."""
+    return ~F.exists(args, lambda a: F.coalesce(a.isin(*PARTIAL) | ((a != "") & ~a.startswith("-")), F.lit(False)))
+
+
 def with_green(crates: DataFrame, fingerprints: DataFrame, greens: DataFrame) -> DataFrame:
     """crate, fingerprint, green: the stored green has the crate's present fingerprint. Without one it is not green."""
     hit = greens.select("crate", "fingerprint").distinct().withColumn("green", F.lit(True))

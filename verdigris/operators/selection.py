@@ -35,10 +35,15 @@ class Plan:
         both = lists.join(F.broadcast(self.summary.select("select_all", "reason", "ignored_files")))
         return both.select(F.to_json(F.struct(*both.columns)).alias("json"))
 
+    def as_lines(self) -> DataFrame:
+        """status, crate, line: the reason (without either) and a line a crate; the text is their order by status and crate."""
+        sign = F.when(F.col("status") == SKIPPED, "-").otherwise("+")
+        crates = self.crates.select("status", "crate", F.concat(F.lit("  "), sign, F.lit(" "), "crate", F.lit(" ("), "status", F.lit(")")).alias("line"))
+        return self.summary.select(F.lit(None).cast("string").alias("status"), F.lit(None).cast("string").alias("crate"), F.col("reason").alias("line")).union(crates)
+
     def as_text(self) -> str:
-        s = self.summary.first()
-        rows = self.crates.orderBy("status", "crate").collect()
-        return "\n".join([s["reason"], *(f"  {'-' if r['status'] == SKIPPED else '+'} {r['crate']} ({r['status']})" for r in rows)])
+        """The lines of a plan for a terminal."""
+        return "\n".join(r["line"] for r in self.as_lines().orderBy(F.col("status").asc_nulls_first(), "crate").toLocalIterator())
 
 
 def plan(members: DataFrame, edges: DataFrame, changed: DataFrame, root: str = "") -> Plan:

@@ -5,8 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-# The one host, and the first version, whose toolchain links with the fast linker by default; keys and values
-# of build_config() are the build tool's own.
+# The one host, and the first version, whose toolchain links with the fast linker by default.
 FAST_LINKER = ("x86_64-unknown-linux-gnu", (1, 90, 0))
 LEAST_MEMBERS = 4
 
@@ -33,14 +32,19 @@ def hack_advice(members: DataFrame) -> DataFrame:
     return members.agg(((F.count(F.lit(1)) >= LEAST_MEMBERS) & ~F.coalesce(F.bool_or(hack), F.lit(False))).alias("advise"))
 
 
-def build_config(host: str, system: str, version: tuple[int, int, int] | None, has_mold: bool, has_clang: bool) -> str:
+# Keys and values of the configuration, which are the build tool's own.
+DEBUG = ("[profile.dev]", 'debug = "line-tables-only"')
+UNPACKED = 'split-debuginfo = "unpacked"'
+LINKER = ('linker = "clang"', 'rustflags = ["-C", "link-arg=-fuse-ld=mold"]')
+NOTE = "# The default linker is fast here; this helps only where linking dominates."
+
+
+def build_config(host: Column, system: Column, version: Column, has_mold: Column, has_clang: Column) -> Column:
     """A build configuration: line tables as the only debug information; kept beside the binary where the system can; on
-    Linux with both tools, clang linking through mold, with a note where the toolchain's own linker is fast already."""
-    parts = ["[profile.dev]", 'debug = "line-tables-only"']
-    if system in ("linux", "macos"):
-        parts.append('split-debuginfo = "unpacked"')
-    if system == "linux" and has_mold and has_clang:
-        if host == FAST_LINKER[0] and version is not None and version >= FAST_LINKER[1]:
-            parts.append("# The default linker is fast here; this helps only where linking dominates.")
-        parts += [f"[target.{host}]", 'linker = "clang"', 'rustflags = ["-C", "link-arg=-fuse-ld=mold"]']
-    return "\n".join(parts) + "\n"
+    Linux with both tools, clang linking through mold, with a note where the toolchain's own linker is fast already.
+    version: as of release(), or null."""
+    links = (system == "linux") & has_mold & has_clang
+    fast = F.coalesce(fast_linker_default(host, version), F.lit(False))
+    note = F.when(links & fast, F.lit(NOTE + "\n")).otherwise("")
+    target = F.when(links, F.concat(F.lit("[target."), host, F.lit("]\n" + "\n".join(LINKER) + "\n"))).otherwise("")
+    return F.concat(F.lit("\n".join(DEBUG) + "\n"), F.when(system.isin("linux", "macos"), UNPACKED + "\n").otherwise(""), note, target)

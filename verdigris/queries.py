@@ -552,6 +552,56 @@ def plan_json(spark, sf_dir):
     return selection.plan(*_nations(spark, sf_dir), _nation_changes(spark, sf_dir)).as_json()
 
 
+@query(f"""with recursive {NATIONS} select null as status, null as crate, {SUMMARY} as line from p
+union all select status, crate, concat('  ', case when status = 'skipped' then '-' else '+' end, ' ', crate, ' (', status, ')') from p""")
+def plan_text(spark, sf_dir):
+    return selection.plan(*_nations(spark, sf_dir), _nation_changes(spark, sf_dir)).as_lines()
+
+
+@query("select 'crates' as changed, false as empty from customer where c_acctbal < -900 group by 1, 2 union all select 'docs', true from region group by 1, 2")
+def plan_empty(spark, sf_dir):
+    """Of a plan for the changes of selection_plan, and for those outside all crates."""
+    members, edges = _nations(spark, sf_dir)
+    changes = _nation_changes(spark, sf_dir)
+    plans = {"crates": changes, "docs": changes.where("path like 'docs/%'")}
+    return spark.createDataFrame([(k, selection.plan(members, edges, c).is_empty()) for k, c in plans.items()], "changed string, empty boolean")
+
+
+@query("""select event_id, not (event_type = 'click' or event_id % 5 = 0 and event_type <> 'view') as exhaustive from events""")
+def exhaustive_args(spark, sf_dir):
+    """Arguments of a run an event: a filter, or a word, or only flags and an empty one."""
+    kind, fifth = F.col("event_type"), F.col("event_id") % 5 == 0
+    args = F.array(F.lit("--nocapture"), F.when(kind == "click", "--skip").otherwise("-q"), F.when(fifth & (kind != "view"), F.col("event_type")).otherwise(""))
+    return _t(spark, sf_dir, "events").select("event_id", attribution.exhaustive(args).alias("exhaustive"))
+
+
+@query("select l_orderkey, l_linenumber, case when l_discount * l_linenumber * 5 - 0.2 between 0 and 1 then round(l_discount * l_linenumber * 5 - 0.2, 9) end as share from lineitem")
+def unit_interval(spark, sf_dir):
+    return _t(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", F.round(stats.within_unit(F.col("l_discount") * F.col("l_linenumber") * 5 - 0.2), 9).alias("share"))
+
+
+@query("""with s as (select s_suppkey as k, case s_suppkey % 3 when 0 then 'linux' when 1 then 'macos' else 'windows' end as system, case when s_suppkey % 2 = 0 then 'x86_64-unknown-linux-gnu' else 'aarch64-apple-darwin' end as host,
+  s_suppkey % 5 > 0 as mold, s_suppkey % 7 > 0 as clang, 85 + s_suppkey % 11 as minor from supplier)
+select k, concat('[profile.dev]', chr(10), 'debug = "line-tables-only"', chr(10), case when system <> 'windows' then concat('split-debuginfo = "unpacked"', chr(10)) else '' end,
+  case when system = 'linux' and mold and clang then concat(case when host like 'x86%' and minor >= 90 then concat('# The default linker is fast here; this helps only where linking dominates.', chr(10)) else '' end,
+    '[target.', host, ']', chr(10), 'linker = "clang"', chr(10), 'rustflags = ["-C", "link-arg=-fuse-ld=mold"]', chr(10)) else '' end) as config from s""")
+def build_config(spark, sf_dir):
+    k = F.col("s_suppkey")
+    system = F.when(k % 3 == 0, "linux").when(k % 3 == 1, "macos").otherwise("windows")
+    host = F.when(k % 2 == 0, "x86_64-unknown-linux-gnu").otherwise("aarch64-apple-darwin")
+    version = tune.release(F.concat(F.lit("release: 1."), (85 + k % 11).cast("string"), F.lit(".0")))
+    return _t(spark, sf_dir, "supplier").select(k.alias("k"), tune.build_config(host, system, version, k % 5 > 0, k % 7 > 0).alias("config"))
+
+
+@query("select concat('n', n_nationkey) as file, concat('const C', n_nationkey, ': u8 = 1;') as src from nation")
+def source_tree(spark, sf_dir):
+    """Sources of an exported tree, a folder a nation."""
+    path = work_dir(spark, "tree")
+    n = F.col("n_nationkey").cast("string")
+    _t(spark, sf_dir, "nation").select(F.concat(F.lit("n"), n).alias("of"), F.concat(F.lit("const C"), n, F.lit(": u8 = 1;")).alias("value")).write.partitionBy("of").text(path)
+    return rust.read_sources(spark, path, ".txt").select(F.regexp_extract("file", "^of=([^/]+)/", 1).alias("file"), F.rtrim("src", F.lit("\n")).alias("src"))
+
+
 @query(f"with recursive {NATIONS} select crate from p where status <> 'skipped'")
 def plan_candidates(spark, sf_dir):
     members, edges = _nations(spark, sf_dir)
