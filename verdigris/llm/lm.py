@@ -16,7 +16,7 @@ ends with an end token that is scored.
 
 Defined cases: a null or empty text is the end token alone; a null doc_id counts as the empty text for held_out's
 checksum; repeated rows count as often as they occur; without training rows every word is unknown; other columns are
-ignored. A-Z count as a-z.
+ignored. A-Z count as a-z. 2**32 different words or more are refused, as ids in files have 32 bits.
 """
 
 from __future__ import annotations
@@ -36,6 +36,9 @@ from verdigris.llm.text import U, hashed, slices
 FOLDS, HELD = 7, 2
 #: Different words or bigrams that a task sums before it sends them on.
 ENTRIES = 4_000_000
+#: Bytes of training text for each range of hashes, at most (there are as many ranges as shuffle partitions at least): what
+#: one reader merges grows with neither the corpus nor that setting.
+RANGE_BYTES = 256 << 20
 
 
 def is_held(doc_id: Column) -> Column:
@@ -226,8 +229,10 @@ def train(docs: DataFrame, path: str | None = None, text: str = "text") -> Model
     spark = docs.sparkSession
     path = path or posix(work_dir(spark, "lm"))
     os.makedirs(path, exist_ok=True)
-    ranges = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
     given = docs.select(F.col(text).alias("text"))
+    counted = given.agg(F.count(F.lit(1)).alias("docs"), F.sum(F.octet_length("text")).alias("bytes")).first()
+    n_docs = counted["docs"]
+    ranges = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")), -(-(counted["bytes"] or 0) // RANGE_BYTES))
 
     def count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums = Sums()
@@ -252,7 +257,7 @@ def train(docs: DataFrame, path: str | None = None, text: str = "text") -> Model
         _save(f"{path}/hash.{r}", np.zeros(0, U))
         _save(f"{path}/count.{r}", np.zeros(0, np.int64))
     model = Model(path, [found[r]["n"] if r in found else 0 for r in range(ranges)])
-    n_docs, last = given.count(), ranges - 1
+    last = ranges - 1
     old = np.load(f"{path}/count.{last}")
     _save(f"{path}/count.{last}", np.append(old[: model.first[-1] - model.first[-2]], n_docs))
     n_tokens = sum(r["total"] for r in found.values()) + n_docs
