@@ -326,3 +326,37 @@ def test_schema_faults():
     assert ok(1, {"type": "integer"}) is None and ok(True, {"type": "integer"}) == "$: type" and ok(1.5, {"type": ["integer", "null"]}) == "$: type" and ok(None, {"type": ["integer", "null"]}) is None
     assert ok("ab", {"minLength": 3}) == "$: length" and ok([1, "a"], {"items": {"type": "string"}}) == "$[0]: type" and ok([1], {"minItems": 2}) == "$: items" and ok("x", {"enum": ["y"]}) == "$: enum"
     assert toolcalls.canonical({"b": [1.0, 2.5, 1e300], "a": None}) == '{"a":null,"b":[1,2.5,1e+300]}'
+
+
+SCHEMA_CASES = [
+    # schema, values that fit, (value, fault)
+    (True, [1, None], []), (False, [], [(1, "$: not allowed")]), ({"properties": {"a": True, "b": False}}, [{"a": 1}, 3], [({"b": 1}, "$.b: not allowed")]),
+    ({"const": {"x": 1.0}}, [{"x": 1}], [({"x": 2}, "$: const")]), ({"pattern": "^a+$"}, ["aa", 4], [("ab", "$: pattern")]), ({"anyOf": [{"type": "string"}, {"minimum": 5}]}, ["x", 7], [(4, "$: anyOf")]),
+    ({"oneOf": [{"multipleOf": 2}, {"multipleOf": 3}]}, [2, 9], [(6, "$: oneOf"), (7, "$: oneOf")]), ({"allOf": [{"minLength": 2}, {"maxLength": 3}]}, ["ab"], [("a", "$: length"), ("abcd", "$: length")]), ({"not": {"type": "null"}}, [1], [(None, "$: not")]),
+    ({"items": [{"type": "integer"}, {"type": "string"}], "additionalItems": False}, [[1, "x"], [1], []], [(["x"], "$[0]: type"), ([1, "x", 2], "$[2]: not allowed")]), ({"prefixItems": [{"type": "integer"}], "items": {"type": "string"}}, [[1, "a", "b"]], [([1, 2], "$[1]: type")]),
+    ({"exclusiveMinimum": 0, "exclusiveMaximum": 1}, [0.5], [(0, "$: range"), (1, "$: range")]), ({"multipleOf": 0.1}, [0.3, 1], [(0.35, "$: multiple")]), ({"uniqueItems": True}, [[1, "1", True]], [([1, 1.0], "$: unique")]),
+    ({"patternProperties": {"^x": {"type": "integer"}}, "additionalProperties": {"type": "string"}}, [{"x1": 1, "y": "s"}], [({"x1": "s"}, "$.x1: type"), ({"y": 1}, "$.y: type")]), ({"minProperties": 1, "maxProperties": 1}, [{"a": 1}], [({}, "$: properties")]),
+    ({"$defs": {"n": {"type": "integer"}, "t": {"properties": {"next": {"$ref": "#/$defs/t"}, "v": {"$ref": "#/$defs/n"}}}}, "$ref": "#/$defs/t"}, [{"next": {"v": 1}}], [({"next": {"next": {"v": "x"}}}, "$.next.next.v: type")]),
+    ({"title": "t", "format": "date", "default": 3}, ["anything"], []),
+]
+
+
+@pytest.mark.parametrize(("s", "good", "bad"), SCHEMA_CASES)
+def test_schema_keywords(s, good, bad):
+    toolcalls.checked(s)
+    assert [toolcalls.fault(v, s) for v in good] == [None] * len(good) and [toolcalls.fault(v, s) for v, _ in bad] == [f for _, f in bad]
+
+
+@pytest.mark.parametrize("s", [{"contains": {}}, {"properties": {"a": {"dependentRequired": {}}}}, {"type": "int"}, {"pattern": "("}, {"items": [3]}, {"$ref": "#/none"}, {"$ref": "other.json"}, {"$defs": {"a": {"$ref": "#/$defs/a"}}}, {"minimum": "1"}, {"multipleOf": 0}, {"anyOf": {}}, 3])
+def test_unknown_schemas_are_refused(s):
+    with pytest.raises(ValueError):
+        toolcalls.checked(s)
+
+
+def test_limits_of_arguments_are_parameters():
+    deep, long = "[" * 30 + "]" * 30, "-" + "9" * 50
+    assert toolcalls.parsed(deep) and toolcalls.parsed(long) == int(long)
+    for text, limits in ((deep, {"depth": 29}), (long, {"digits": 49})):
+        with pytest.raises(toolcalls.Fault):
+            toolcalls.parsed(text, **limits)
+    assert toolcalls.parsed(deep, depth=30) and toolcalls.parsed(long, digits=50)

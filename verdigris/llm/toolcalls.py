@@ -12,8 +12,8 @@ one id the first by (turn, name, arguments) counts, the others have status `repe
 place in the order; orphans are results whose id no call has; dependencies on unknown ids and on the call itself are
 ignored; what is in a cycle, or depends on such a call of its tangle, is marked `cyclic` and keeps its turn and step 0; a
 null turn is the first; arguments that are no JSON, no object, nested deeper than DEPTH, or with numbers that doubles or
-DIGITS digits cannot hold are faults; halves of surrogate pairs are written as escapes; a schema with an unknown type is
-refused at once; empty tables give empty results; other columns are ignored.
+DIGITS digits cannot hold are faults; halves of surrogate pairs are written as escapes; a schema with an
+unknown keyword or type is refused at once; empty tables give empty results; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -28,12 +28,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from verdigris.llm.schema import checked
+from verdigris.llm.schema import fault as schema_fault
 from verdigris.llm.shared import work_dir, written
 from verdigris.llm.text import slices
 
 _FIRST = -(2**63)  # the turn that stands for a null one
-_KINDS = {"string": str, "boolean": bool, "object": dict, "array": list, "null": type(None)}
-#: What arguments may nest, digits of an integer, and turns of a conversation that one task looks through for tangles.
+#: Unless told otherwise: what arguments may nest, and digits of an integer. Turns of a conversation that one task looks
+#: through for tangles.
 DEPTH, DIGITS, TURNS = 200, 4000, 4096
 _half = re.compile("[\ud800-\udfff]")
 _nesting = re.compile(r'"(?:[^"\\]|\\.)*+"|[\[{]|[\]}]', re.S)
@@ -70,8 +72,8 @@ def _float(text: str) -> float:
     return x
 
 
-def _int(text: str) -> int:
-    if len(text) > DIGITS:
+def _int(text: str, digits: int) -> int:
+    if len(text.lstrip("-")) > digits:
         raise Fault("$: number")
     return int(text)
 
@@ -88,60 +90,21 @@ def _depth(text: str) -> int:
     return most
 
 
-def parsed(text: str | None) -> object:
-    """Raises Fault for what is not JSON or cannot be held."""
+def parsed(text: str | None, depth: int = DEPTH, digits: int = DIGITS) -> object:
+    """Raises Fault for what is not JSON, nests deeper or has longer integers."""
     if text is None:
         raise Fault("$: not JSON")
-    if text.count("[") + text.count("{") > DEPTH and _depth(text) > DEPTH:
+    if text.count("[") + text.count("{") > depth and _depth(text) > depth:
         raise Fault("$: depth")
     try:
-        return json.loads(text, parse_constant=_refuse, parse_float=_float, parse_int=_int)
+        return json.loads(text, parse_constant=_refuse, parse_float=_float, parse_int=lambda x: _int(x, digits))
     except json.JSONDecodeError:
         raise Fault("$: not JSON") from None
 
 
-def checked(schema: dict) -> dict:
-    """The schema; raises ValueError where it, or one inside it, names an unknown type."""
-    kinds = schema.get("type", [])
-    for k in [kinds] if isinstance(kinds, str) else kinds:
-        if k not in _KINDS and k not in ("number", "integer"):
-            raise ValueError(f"unknown type {k!r} in a schema")
-    for inner in (*schema.get("properties", {}).values(), *([schema["items"]] if "items" in schema else [])):
-        checked(inner)
-    return schema
-
-
-def fault(value: object, schema: dict, at: str = "$") -> str | None:
-    """The first way in which value breaks the schema: type, enum, required, properties, additionalProperties, items,
-    minimum, maximum, minLength, maxLength, minItems and maxItems of JSON Schema."""
-    kinds = schema.get("type")
-    for_number = isinstance(value, (int, float)) and not isinstance(value, bool)
-    if kinds:
-        fits = any(for_number and (k == "number" or isinstance(value, int) or value.is_integer()) if k in ("number", "integer") else isinstance(value, _KINDS[k]) for k in ([kinds] if isinstance(kinds, str) else kinds))
-        if not fits:
-            return f"{at}: type"
-    if "enum" in schema and canonical(value) not in map(canonical, schema["enum"]):
-        return f"{at}: enum"
-    if for_number and not schema.get("minimum", -math.inf) <= value <= schema.get("maximum", math.inf):
-        return f"{at}: range"
-    if isinstance(value, str) and not schema.get("minLength", 0) <= len(value) <= schema.get("maxLength", math.inf):
-        return f"{at}: length"
-    if isinstance(value, list):
-        if not schema.get("minItems", 0) <= len(value) <= schema.get("maxItems", math.inf):
-            return f"{at}: items"
-        return next((f for i, x in enumerate(value) if (f := fault(x, schema.get("items", {}), f"{at}[{i}]"))), None)
-    if isinstance(value, dict):
-        for k in schema.get("required", ()):
-            if k not in value:
-                return f"{at}.{k}: required"
-        known = schema.get("properties", {})
-        for k in sorted(value):
-            if k in known:
-                if f := fault(value[k], known[k], f"{at}.{k}"):
-                    return f
-            elif schema.get("additionalProperties") is False:
-                return f"{at}.{k}: unknown"
-    return None
+def fault(value: object, schema: dict | bool, at: str = "$") -> str | None:
+    """The first way in which value breaks the schema."""
+    return schema_fault(value, schema, canonical, at)
 
 
 def calls_in(messages: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -228,10 +191,12 @@ def ordered(calls: DataFrame) -> DataFrame:
     return plain(calls.join(inside, ["conv_id", "at"], "left_anti")).unionByName(hard.mapInArrow(_peel, _PEELED))
 
 
-def linked(calls: DataFrame, results: DataFrame, schemas: dict[str, dict]) -> DataFrame:
+def linked(calls: DataFrame, results: DataFrame, schemas: dict[str, dict | bool], depth: int = DEPTH, digits: int = DIGITS) -> DataFrame:
     """Calls (conv_id, turn, call_id, name, arguments as JSON text, after) and results (conv_id, turn, call_id, content):
     conv_id, turn, call_id, name, status (linked, early, unanswered, repeated, orphan), result_turn, n_results,
-    order_turn, order_step, cyclic, fault (null if valid), json. `early`: the result stands before its call."""
+    order_turn, order_step, cyclic, fault (null if valid), json. `early`: the result stands before its call. depth and
+    digits: how deep arguments may nest, and how many digits an integer may have (a runtime's own limits are about 900
+    levels and 4,300 digits)."""
     spark, schemas = calls.sparkSession, {k: checked(v) for k, v in schemas.items()}
     calls = calls.select(F.col("conv_id").cast("bigint").alias("conv_id"), F.col("turn").cast("bigint").alias("turn"), "call_id", "name", "arguments", "after")
     named = calls.where("conv_id is not null and call_id is not null").groupBy("conv_id", "call_id", F.struct("turn", "name", "arguments", "after").alias("c")).agg(F.count(F.lit(1)).alias("copies"))
@@ -260,7 +225,7 @@ def linked(calls: DataFrame, results: DataFrame, schemas: dict[str, dict]) -> Da
                 wrong, value = None, None
                 if r["status"] != "orphan":
                     try:
-                        value = parsed(r["arguments"])
+                        value = parsed(r["arguments"], depth, digits)
                         wrong = fault(value, schemas[r["name"]]) if r["name"] in schemas else "$: no schema"
                         wrong = wrong or (None if isinstance(value, dict) else "$: type")
                     except Fault as e:
