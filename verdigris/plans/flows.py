@@ -32,23 +32,20 @@ def ingest(store: Store, crates: DataFrame, outcomes: DataFrame, fingerprints: D
     ran; returns their results (crate, passed)."""
     results = attribution.crate_results(crates, outcomes)
     seen = outcomes.withColumns({"ord": F.monotonically_increasing_id(), "at": F.lit(at).cast("bigint")})
-    store.save(
-        history=history.merged(store.load("history"), history.fold(seen)),
-        greens=history.with_greens(store.load("greens"), results, fingerprints, at),
-    )
+    store.append(history=history.partial(seen, run=at), greens=history.green_changes(results, fingerprints, at))
     return results
 
 
 def ingest_status(store: Store, crates: DataFrame, ok: bool, args: list[str], fingerprints: DataFrame, at: int) -> DataFrame:
     """As ingest(), for a run that gives one status only: no history is written."""
     results = attribution.aggregate_results(crates, ok, attribution.is_exhaustive(args))
-    store.save(greens=history.with_greens(store.load("greens"), results, fingerprints, at))
+    store.append(greens=history.green_changes(results, fingerprints, at))
     return results
 
 
 def ingest_coverage(store: Store, coverage: DataFrame, base: str) -> None:
     """Replaces the lines of the tests in coverage (test_id, file, line), taken at the base revision."""
-    store.save(coverage=history.with_coverage(store.load("coverage"), coverage.withColumn("base", F.lit(base))))
+    store.append(coverage=coverage.withColumn("base", F.lit(base)))
 
 
 def functions_to_run(items: DataFrame, aliases: DataFrame, hunks: DataFrame, tests: DataFrame, store: Store, base: str) -> DataFrame:

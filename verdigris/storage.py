@@ -55,14 +55,15 @@ def remove(spark: SparkSession, path: str) -> None:
     fs.delete(p, True)
 
 
-def put_text(spark: SparkSession, path: str, text: str) -> None:
-    """Writes a small file as the next of a sequence path.1, path.2, ...: aside first, then renamed to a name that was
-    not there, so that readers see whole files and never none. Of two that write at once one fails. Older ones but the
-    last are removed."""
+def put_text(spark: SparkSession, path: str, text: str, after: int | None = None) -> None:
+    """Writes a small file as the next of a sequence path.1, path.2, ... (as the one after number `after`, where given):
+    aside first, then renamed to a name that was not there, so that readers see whole files and never none. Of two that
+    write at once one fails. Older ones but the last are removed."""
     fs, p = _fs(spark, path)
     path_of = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
     n = _numbers(fs, p)
-    aside, to = path_of(f"{path}.aside-{uuid.uuid4().hex[:8]}"), path_of(f"{path}.{max(n, default=0) + 1}")
+    after = max(n, default=0) if after is None else after
+    aside, to = path_of(f"{path}.aside-{uuid.uuid4().hex[:8]}"), path_of(f"{path}.{after + 1}")
     out = fs.create(aside, True)
     out.write(bytearray(text.encode()))
     out.close()
@@ -84,5 +85,10 @@ def _numbers(fs, p) -> list[int]:
 
 def get_text(spark: SparkSession, path: str) -> str | None:
     """The newest file of the sequence; None without one."""
+    return get_numbered(spark, path)[1]
+
+
+def get_numbered(spark: SparkSession, path: str) -> tuple[int, str | None]:
+    """The number and text of the newest file of the sequence; 0 and None without one."""
     n = _numbers(*_fs(spark, path))
-    return spark.read.text(f"{path}.{max(n)}", wholetext=True).first()[0] if n else None
+    return (max(n), spark.read.text(f"{path}.{max(n)}", wholetext=True).first()[0]) if n else (0, None)

@@ -7,23 +7,16 @@ from pyspark.sql.streaming.query import StreamingQuery
 
 from verdigris.operators import history
 from verdigris.sources.store import Store
-from verdigris.storage import get_text, put_text
 
 
 def follow(outcomes: DataFrame, store: Store, checkpoint: str, available_now: bool = True) -> StreamingQuery:
-    """Folds each micro-batch of outcomes (id, ord, at, passed, duration_ms) and merges it into the store's history. A
-    batch that is repeated after a failure is recognised by its number, kept beside the store, and not counted twice."""
-    mark = f"{store.path}/BATCH.txt"
+    """Adds each micro-batch of outcomes (id, ord, at, passed, duration_ms) to the store as a partial history of its own;
+    nothing that is there is written again but by the store's merges. ord orders an id's outcomes in the whole stream, so
+    late ones take their place. The batch's number is committed with its rows, under the checkpoint's name, so that one
+    that is repeated after a failure counts once."""
 
     def add(batch: DataFrame, number: int) -> None:
-        spark = batch.sparkSession
-        state = (get_text(spark, mark) or "-1 0").split()
-        version = store.version().get("history", 0)
-        if number <= int(state[0]) or (int(state[0]) == number - 1 and version > int(state[1]) and state[0] != "-1"):
-            put_text(spark, mark, f"{number} {version}")
-            return
-        store.save(history=history.merged(store.load("history"), history.fold(batch)))
-        put_text(spark, mark, f"{number} {store.version()['history']}")
+        Store(batch.sparkSession, store.path).append((checkpoint, number), history=history.partial(batch))
 
     w = outcomes.writeStream.option("checkpointLocation", checkpoint).foreachBatch(add)
     return (w.trigger(availableNow=True) if available_now else w).start()
