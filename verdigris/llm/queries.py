@@ -170,4 +170,22 @@ n as (select *, cast(row_number() over (partition by lang, source, part order by
 select lang, source, part, item, value, rank from n where part = 'pair' or rank <= 10
 """
 
-ORACLE_SQL = {"op11_source_divergence": OP11_SQL, "op8_decontamination": OP8_SQL, "op1_tool_calls": OP1_SQL, "op10_ngram_join": OP10_SQL, "op7_host_rules": _op7_sql()}
+#: CRC-32 by its table, bytes from code points: those of the runs beyond ASCII all begin with 195.
+OP13_SQL = r"""
+with recursive t as (select list(list_reduce([i, 0, 0, 0, 0, 0, 0, 0, 0]::bigint[], lambda c, x: case when c & 1 = 1 then xor(c >> 1, 3988292384) else c >> 1 end) order by i) as t from (select unnest(range(0, 256)) as i)),
+d as (select row_number() over () as r, coalesce(cast(doc_id as varchar), '') as doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as text from documents),
+o as (select r, doc_id, unnest(regexp_extract_all(text, '[A-Za-z\x{C0}-\x{FF}]+')) as run from d),
+c as (select r, doc_id, run, count(*) as n from o where length(run) >= 7 group by 1, 2, 3),
+b as (select run, n, flatten(list_transform(string_split(concat(doc_id, ':', run), ''), lambda x: case when unicode(x) < 128 then [unicode(x)::bigint] else [195, unicode(x)::bigint - 64] end)) as b from c),
+h as (select run, n, xor(4294967295, list_reduce(b, lambda crc, x: xor(crc >> 8, t.t[(xor(crc, x) & 255) + 1]), 4294967295::bigint)) as h from b, t),
+w as (select case when h % 31 = 0 then concat(substr(run, 1, h % length(run)), substr(run, h % length(run) + 2)) else run end as w, n from h),
+l as (select w, cast(sum(n) as bigint) as n from w where length(w) >= 7 group by 1 having sum(n) >= 2),
+x as (select w, i, concat(substr(w, 1, i), substr(w, i + 2)) as less from (select w, unnest(range(0, length(w))) as i from l)),
+e as (select x.w as a, y.w as b from x join x y on x.i = y.i and x.less = y.less and x.w <> y.w union select x.w, l.w from x join l on x.less = l.w union select l.w, x.w from x join l on x.less = l.w),
+m as (select a, count(*) as n_near, arg_min(b, {'n': -l.n, 'w': b}) as best, max(l.n) as best_n from e join l on l.w = e.b group by a),
+f as (select l.w, l.n, coalesce(n_near, 0) as n_near, case when best_n >= 10 * l.n then best end as form, case when best_n >= 10 * l.n then best_n end as form_n from l left join m on m.a = l.w),
+g(w, place, steps) as (select w, w, 0 from f union all select g.w, f.form, steps + 1 from g join f on f.w = g.place where f.form is not null)
+select f.w as word, form, root.place as root, n, n_near, form_n from f join (select w, arg_max(place, steps) as place from g group by w) root on root.w = f.w
+"""
+
+ORACLE_SQL = {"op13_spelling_variants": OP13_SQL, "op11_source_divergence": OP11_SQL, "op8_decontamination": OP8_SQL, "op1_tool_calls": OP1_SQL, "op10_ngram_join": OP10_SQL, "op7_host_rules": _op7_sql()}
