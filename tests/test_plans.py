@@ -11,7 +11,7 @@ TABLES = "region nation customer supplier part orders lineitem events documents
 #: One-row tables are joined without keys here.
 ONE_ROW = {"dashboard_header", "plan_json"}
 #: What Spark has no function for: the Beta quantile, XML of any depth, source items.
-PYTHON = {"flaky_posterior_bounds", "flaky_posterior_mean", "junit_parse", "source_items", "source_aliases"}
+PYTHON = {"diff_parse", "flaky_posterior_bounds", "flaky_posterior_mean", "junit_parse", "source_items", "source_aliases"}
 
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="the driver's tables are not here")
 
