@@ -233,6 +233,7 @@ thread_local!(static X: u8 = 1);
     ]
     assert aliases == [("c", "b"), ("F", "E")]
     assert rust.parse("fn broken( {") == ([], [])
+    assert rust.parse("fn r#match() { r#type(r#\"x\"#); }")[0] == [("r#match", "fn", 1, 1, ["fn", "r#match", "r#type"])]
     deep = rust.parse("mod m { fn f() {} " * 3000 + "}" * 3000)[0]
     assert len(deep) == 3000 and {x[1] for x in deep} == {"fn"}
 

@@ -17,7 +17,7 @@ from verdigris.storage import work_dir, written
 
 _masked = re.compile(r"""//[^\n]*|/\*|(?<![A-Za-z0-9_])[bc]?r(\#*)"|[bc]?"(?:[^"\\]|\\.)*"|b?'(?:[^'\\\n]|\\(?:x[0-9a-fA-F]{2}|u\{[0-9a-fA-F_]+\}|.))'""", re.S)
 _comment = re.compile(r"/\*|\*/")
-_token = re.compile(r"[A-Za-z_]\w*|[{}()\[\];#!<>=,*]|::|\d\w*|\S", re.A)
+_token = re.compile(r"r\#[A-Za-z_]\w*|[A-Za-z_]\w*|[{}()\[\];#!<>=,*]|::|\d\w*|\S", re.A)
 _OPEN, _CLOSE = "{([", "})]"
 _NAMED = {"struct", "enum", "union"}
 _LEAD = {"pub", "default", "async", "unsafe", "extern", "const", "crate"}
@@ -182,7 +182,7 @@ def parse(src: str) -> tuple[list[Item], list[tuple[str, str]]]:
 
 
 def items_and_aliases(sources: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Of sources (file, src): items with their place in the file (pos), numbered by file and place, and aliases (alias,
+    """Of sources (file, src): items with their place in the file (pos), numbered, and aliases (alias,
     original, file). A file is parsed once; both come from that pass."""
     schema = "file string, pos int, name string, kind string, start int, `end` int, refs array<string>, alias string, original string"
 
@@ -196,9 +196,9 @@ def items_and_aliases(sources: DataFrame) -> tuple[DataFrame, DataFrame]:
             out = pd.DataFrame(rows, columns=["file", "pos", "name", "kind", "start", "end", "refs", "alias", "original"])
             yield out.astype({"pos": "Int32", "start": "Int32", "end": "Int32"})
 
-    both = written(sources.select("file", "src").mapInPandas(run, schema), work_dir(sources.sparkSession, "items"))
-    number = F.abs(F.xxhash64("file", "pos"))
-    return both.where("pos is not null").select(number.alias("item_id"), "pos", "name", "kind", "file", "start", "end", "refs"), both.where("alias is not null").select("alias", "original", "file")
+    parsed = sources.select("file", "src").mapInPandas(run, schema).withColumn("item_id", F.monotonically_increasing_id())
+    both = written(parsed, work_dir(sources.sparkSession, "items"))  # numbers are given once, as rows are written
+    return both.where("pos is not null").select("item_id", "pos", "name", "kind", "file", "start", "end", "refs"), both.where("alias is not null").select("alias", "original", "file")
 
 
 def read_sources(spark: SparkSession, path: str, suffix: str = ".rs") -> DataFrame:
