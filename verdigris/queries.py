@@ -602,6 +602,16 @@ def source_tree(spark, sf_dir):
     return rust.read_sources(spark, path, ".txt").select(F.regexp_extract("file", "^of=([^/]+)/", 1).alias("file"), F.rtrim("src", F.lit("\n")).alias("src"))
 
 
+@query("select concat('of=n', n_nationkey) as folder, sha256(concat('const C', n_nationkey, ': u8 = 1;', chr(10))) as digest from nation")
+def tree_digests(spark, sf_dir):
+    """Files of a tree on a mounted folder, without those that the writer keeps for itself."""
+    path = work_dir(spark, "tree-of")
+    n = F.col("n_nationkey").cast("string")
+    _t(spark, sf_dir, "nation").select(F.concat(F.lit("n"), n).alias("of"), F.concat(F.lit("const C"), n, F.lit(": u8 = 1;")).alias("value")).write.partitionBy("of").text(path)
+    files = rust.tree_files(spark, "/" + path.removeprefix("file:").lstrip("/"))
+    return files.where(F.col("rel").rlike("^of=[^/]+/part-[^/]+$")).select(F.split("rel", "/")[0].alias("folder"), "digest")
+
+
 @query(f"with recursive {NATIONS} select crate from p where status <> 'skipped'")
 def plan_candidates(spark, sf_dir):
     members, edges = _nations(spark, sf_dir)

@@ -6,6 +6,8 @@ becomes an opaque item, the safe direction: a change there selects everything.
 
 from __future__ import annotations
 
+import hashlib
+import os
 import re
 from collections.abc import Iterator
 
@@ -211,36 +213,54 @@ def read_sources(spark: SparkSession, path: str, suffix: str = ".rs") -> DataFra
 
 #: Folders that a crate's digest leaves out, at any depth, besides those that begin with a dot.
 SKIPPED_FOLDERS = ("target",)
+#: Folders to a task, about.
+FOLDERS = 64
 
 
 def tree_files(spark: SparkSession, root: str) -> DataFrame:
-    """rel, digest of every file below a mounted folder: the list is made by the driver (Spark's file sources skip
-    dot-files, which count here), the contents are read and hashed by the executors. A link's digest is that of its
-    target's name; a file that cannot be read has zeros."""
-    import hashlib
-    import os
-
-    found = []
-    for folder, dirs, files in os.walk(root):
-        dirs[:] = sorted(d for d in dirs if not d.startswith(".") and d not in SKIPPED_FOLDERS)
-        links = [d for d in dirs if os.path.islink(f"{folder}/{d}")]
-        found += [os.path.relpath(f"{folder}/{f}", root).replace(os.sep, "/") for f in [*files, *links]]
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            out = []
-            for rel in b["rel"]:
-                path = f"{root}/{rel}"
-                if os.path.islink(path):
-                    out.append(hashlib.sha256(b"symlink:" + os.readlink(path).encode()).hexdigest())
-                    continue
-                try:
-                    with open(path, "rb") as f:
-                        out.append(hashlib.file_digest(f, "sha256").hexdigest())
-                except OSError:
-                    out.append("0" * 64)
-            yield b.assign(digest=out)
-
-    listed = spark.createDataFrame([(x,) for x in sorted(found)], "rel string")
-    return listed.mapInPandas(run, "rel string, digest string")
-
+    """rel, digest of every file below a folder that all machines mount (Spark's file sources skip dot-files, which count
+    here). Folders are listed level by level, each level's by tasks of its own, which also read and hash the files in them;
+    the driver sees no list. A link's digest is that of its target's name; a file that cannot be read has zeros."""
+    home, k, found = work_dir(spark, "tree"), 0, []
+    level = spark.createDataFrame([("",)], "folder string")
+    while not level.isEmpty():
+        seen = level.repartition(max(1, min(level.count() // FOLDERS, 4096))).mapInPandas(lambda b: _listed(root, b), "rel string, digest string, folder string")
+        found.append(f"{home}/{k}")
+        seen = written(seen, found[-1])
+        level, k = seen.where("folder is not null").select("folder"), k + 1
+    return spark.read.schema(seen.schema).parquet(*found).where("rel is not null").select("rel", "digest")
+
+
+def _listed(root: str, batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """The files of folders with their digests, and the folders in them."""
+    for b in batches:
+        for folder in b["folder"]:
+            rows = []
+            try:
+                entries = sorted(os.scandir(f"{root}/{folder}"), key=lambda e: e.name)
+            except OSError:
+                continue
+            for e in entries:
+                rel = f"{folder}/{e.name}".lstrip("/")
+                if e.is_symlink() and not (e.is_dir() and _skipped(e.name)):
+                    rows.append((rel, hashlib.sha256(b"symlink:" + os.readlink(e.path).encode()).hexdigest(), None))
+                elif e.is_dir():
+                    rows += [] if _skipped(e.name) else [(None, None, rel)]
+                elif not e.is_symlink():
+                    rows.append((rel, _file_digest(e.path), None))
+                if len(rows) >= 10_000:
+                    yield pd.DataFrame(rows, columns=["rel", "digest", "folder"])
+                    rows = []
+            yield pd.DataFrame(rows, columns=["rel", "digest", "folder"], dtype=object)
+
+
+def _skipped(name: str) -> bool:
+    return name.startswith(".") or name in SKIPPED_FOLDERS
+
+
+def _file_digest(path: str) -> str:
+    try:
+        with open(path, "rb") as f:
+            return hashlib.file_digest(f, "sha256").hexdigest()
+    except OSError:
+        return "0" * 64
