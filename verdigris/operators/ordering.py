@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from verdigris.operators.history import recently_failed
 from verdigris.storage import work_dir, written
 
+#: Ranges of keys in a round of search_failing().
+WAYS = 64
 
 
 def _order():
@@ -57,3 +59,28 @@ def bisect(n: int, failing: Callable[[int], bool]) -> int | None:
         else:
             passes = mid
     return fails
+
+
+def search_failing(rows: DataFrame, order: str, failing: str, ways: int = WAYS) -> DataFrame:
+    """As first_failing(), for a condition that is dear and monotone: in a round the keys still in question are cut into
+    `ways` ranges of equal width, the condition is evaluated for the last row of each only, and what is left lies above the
+    last range where it does not hold before the first where it does. Rounds are the logarithm of the keys' width, a
+    whole number, to base `ways`; of a round the driver sees `ways` rows at most. Where the condition is not monotone the
+    result is a key at which it holds while it does not at the end of the range before it, or null."""
+    key = F.col(order).cast("bigint")
+    known = rows.where(F.col(order).isNotNull())
+    ends = known.agg(F.min(key).alias("low"), F.max(key).alias("high")).first()
+    none = rows.sparkSession.createDataFrame([(None,)], "first long")
+    if ends["low"] is None:
+        return none
+    low, high, sure = ends["low"] - 1, ends["high"], False  # keys above low, up to high
+    while not sure or high - low > 1:
+        width = -(-(high - low) // ways)
+        inside = known.where((key > low) & (key <= high)).select(F.expr(f"(cast({order} as bigint) - {low} - 1) div {width}").alias("range"), F.struct(*known.columns).alias("row"), key.alias("key"))
+        last = inside.groupBy("range").agg(F.max_by("row", "key").alias("row")).select(F.col("range").alias("__range"), "row.*")
+        tops = last.select("__range", key.alias("__at"), F.expr(failing).alias("__fails")).orderBy("__range").collect()
+        first = next((r for r in tops if r["__fails"]), None)
+        if first is None:
+            return none if not sure else rows.sparkSession.createDataFrame([(high,)], "first long")
+        low, high, sure = low + first["__range"] * width, first["__at"], True
+    return rows.sparkSession.createDataFrame([(high,)], "first long")

@@ -149,6 +149,11 @@ def first_failing(spark, sf_dir):
     return ordering.first_failing(_t(spark, sf_dir, "part"), "p_partkey", "p_partkey * 3 >= 500")
 
 
+@query("select cast(min(o_orderkey) filter (o_orderkey * 7 >= 90001) as bigint) as first from orders")
+def first_failing_search(spark, sf_dir):
+    return ordering.search_failing(_t(spark, sf_dir, "orders"), "o_orderkey", "o_orderkey * 7 >= 90001", ways=16)
+
+
 def _halves(nodes: DataFrame) -> DataFrame:
     """Edges (crate, dep) of numbered nodes k: to k div 2 and k div 3."""
     two, three = (F.when(F.col("k") >= n, F.expr(f"k div {n}")) for n in (2, 3))
