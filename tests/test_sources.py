@@ -175,3 +175,11 @@ def test_stream(spark, rows, tmp_path):
             part.write.mode("append").parquet(str(tmp_path / "in"))
         follow(spark.readStream.schema(seen.schema).parquet(str(tmp_path / "in")), store, str(tmp_path / "ck")).awaitTermination()
     assert rows(store.load("history")) == [("a", 3, 1, 2, 3, [True, True, False, True])]
+
+
+def test_sources_read_by_one_task_are_parsed_by_many(spark, rows):
+    src = spark.createDataFrame([(f"f{k}.rs", f"use a::b as c{k};\nfn f{k}() {{}}\n") for k in range(200)], "file string, src string").coalesce(1)
+    items, aliases = rust.items_and_aliases(src)
+    assert len(items.inputFiles()) > 4, "a file a task that parsed something"
+    assert rows(items, "file", "pos", "name") == sorted([(f"f{k}.rs", 0, "") for k in range(200)] + [(f"f{k}.rs", 1, f"f{k}") for k in range(200)], key=repr)
+    assert items.select("item_id").distinct().count() == 400 and aliases.count() == 200
