@@ -59,3 +59,14 @@ def test_an_item_as_long_as_its_file(spark):
     lines = spark.range(500_000).select(F.lit("f").alias("file"), F.col("id").cast("int").alias("line"))
     got = dict(refgraph.enclosing(lines, items, True).groupBy("item_id").count().collect())
     assert got == {1: 349_999, 2: 100_001, 3: 50_000}
+
+
+def test_what_dealing_makes_is_not_broadcast_unless_it_is_small(spark, monkeypatch):
+    s = spark.range(400).selectExpr("id as item_id", "'f' as file", "id as first", "id + id % 9 as last")
+    p = spark.range(300).selectExpr("'f' as file", "id as line")
+    want = sorted((n, k) for k in range(400) for n in range(k, min(k + k % 9, 299) + 1))
+    for most, sent in ((0, False), (300 * 4, True), (1 << 18, True)):
+        monkeypatch.setattr(ranges, "SENT", most, raising=False)
+        got = ranges.stabbed(p, s, ["file"])
+        assert ("Broadcast" in got._jdf.queryExecution().executedPlan().toString()) == sent, "what Spark estimates before rows are dealt says nothing"
+        assert sorted((r["line"], r["item_id"]) for r in got.collect()) == want

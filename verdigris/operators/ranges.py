@@ -32,14 +32,32 @@ def pieces(first: str = "first", last: str = "last") -> Column:
     return F.expr(f"flatten(transform(sequence(0, cast(floor(log2(greatest({e} - {a}, 1))) as int)), k -> if({low} < {high}, {level}, array())))")
 
 
+#: Rows of one side of a join that are sent to every executor, at most.
+SENT = 1 << 18
+
+
+def dealt(ranges: DataFrame) -> DataFrame:
+    """ranges with (__level, __block) of each of their pieces(), a row each."""
+    a, e = "cast(first as bigint)", "(cast(last as bigint) + 1)"
+    r = ranges.withColumn("__level", F.expr(f"explode(sequence(0, cast(floor(log2(greatest({e} - {a}, 1))) as int)))"))
+    r = r.withColumns({"__low": F.expr(f"shiftright({a} + shiftleft(1L, __level) - 1, __level)"), "__high": F.expr(f"shiftright({e}, __level)")}).where("__low < __high")
+    r = r.withColumn("__block", F.expr("explode(array(if(__low % 2 = 1, __low, null), if(__high % 2 = 1, __high - 1, null)))"))
+    return r.where("__block is not null").drop("__low", "__high")
+
+
 def stabbed(points: DataFrame, ranges: DataFrame, on: list[str], line: str = "line") -> DataFrame:
     """points with each range (of the same `on`) that their line is in, once. A range of n lines is dealt to its pieces, at
     most 2 * log2(n) + 2, and a point to the block it is in at each level up to the longest range's, so they meet by
-    equality, on one block exactly, however long the range. Lines are not negative."""
-    longest = ranges.agg(F.max(F.col("last").cast("bigint") - F.col("first")).alias("n")).first()["n"]
-    top = max(int(longest or 0) + 1, 1).bit_length() - 1
+    equality, on one block exactly, however long the range. Lines are not negative. Spark's estimates know nothing of the
+    rows that dealing makes, so they are counted: a side of few is sent to all, and of two larger ones neither is."""
+    span = ranges.agg(F.max(F.col("last").cast("bigint") - F.col("first")).alias("n"), F.count(F.lit(1)).alias("rows")).first()
+    top = max(int(span["n"] or 0) + 1, 1).bit_length() - 1
     p = points.withColumn("__level", F.explode(F.sequence(F.lit(0), F.lit(top)))).withColumn("__block", F.expr(f"shiftright(cast({line} as bigint), __level)"))
-    r = ranges.withColumn("__piece", F.explode(pieces())).withColumns({"__level": F.col("__piece.level"), "__block": F.col("__piece.block")}).drop("__piece")
+    r = dealt(ranges)
+    if span["rows"] * 2 * (top + 1) <= SENT:
+        r = F.broadcast(r)
+    else:
+        p = F.broadcast(p) if points.count() * (top + 1) <= SENT else p.hint("merge")
     return p.join(r, [*on, "__level", "__block"]).drop("__level", "__block")
 
 

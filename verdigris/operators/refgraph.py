@@ -41,7 +41,7 @@ def enclosing(lines: DataFrame, items: DataFrame, of_functions: bool) -> DataFra
     blocks of two's powers, of which an item has few however long it is."""
     kind = F.col("kind") == FN if of_functions else F.col("kind") != FN
     place = F.col("pos" if "pos" in items.columns else "item_id").alias("place")
-    spans = items.where(kind).where("start <= `end`").select("item_id", place, "file", F.col("start").alias("first"), F.col("end").alias("last"))
+    spans = items.where(kind).where("start <= `end`").select("item_id", place, "file", F.col("start").alias("first"), F.col("end").alias("last"), (F.col("end") - F.col("start")).alias("width"))
     inside = ranges.stabbed(lines.select("file", "line").distinct(), spans, ["file"])
-    best = inside.groupBy("file", "line").agg(F.min(F.struct((F.col("last") - F.col("first")).alias("width"), "place", "item_id")).alias("m"))
+    best = inside.groupBy("file", "line").agg(F.min(F.struct("width", "place", "item_id")).alias("m"))
     return lines.join(best.select("file", "line", F.col("m.item_id").alias("item_id")), ["file", "line"], "left")
