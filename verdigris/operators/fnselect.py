@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from verdigris.operators import ranges
 from verdigris.operators.history import historically_flaky
+from verdigris.storage import work_dir, written
 
 
 def covered_by(coverage: DataFrame, impacts: DataFrame) -> DataFrame:
@@ -15,7 +16,10 @@ def covered_by(coverage: DataFrame, impacts: DataFrame) -> DataFrame:
     if "line" in coverage.columns and "line" in impacts.columns:
         return coverage.join(impacts.where("line is not null").select("file", "line").distinct(), ["file", "line"], "left_semi").select("test_id").distinct()
     if "line" in coverage.columns:
-        return ranges.stabbed(coverage.select("test_id", "file", "line"), ranges.united(impacts.where("first is not null"), ["file"]), ["file"]).select("test_id").distinct()
+        # different lines are held against the ranges, once each however many tests cover them
+        home = work_dir(coverage.sparkSession, "covered")
+        lines, hit = written(coverage.select("file", "line").distinct(), f"{home}/lines"), written(ranges.united(impacts.where("first is not null"), ["file"]), f"{home}/ranges")
+        return coverage.join(ranges.stabbed(lines, hit, ["file"]).select("file", "line"), ["file", "line"], "left_semi").select("test_id").distinct()
     return ranges.overlapping(coverage, ranges.united(ranges.as_ranges(impacts).where("first is not null"), ["file"]), ["file"], ["test_id"])
 
 
@@ -30,9 +34,9 @@ def select(impacts: DataFrame, coverage: DataFrame, tests: DataFrame, base: str
     coverage = valid(coverage, base)
     if impacts.where("whole").limit(1).count():
         return tests.withColumn("must_run", F.lit(True))
-    known = coverage.select("test_id").distinct().withColumn("known", F.lit(True))
-    hit = covered_by(coverage, impacts).withColumn("hit", F.lit(True))
-    return tests.join(known, "test_id", "left").join(hit, "test_id", "left").withColumn("must_run", F.col("known").isNull() | F.col("hit").isNotNull()).drop("known", "hit")
+    known = coverage.select("test_id", F.lit(False).alias("hit"))
+    marks = known.union(covered_by(coverage, impacts).withColumn("hit", F.lit(True))).groupBy("test_id").agg(F.max("hit").alias("hit"))
+    return tests.join(marks, "test_id", "left").withColumn("must_run", F.coalesce("hit", F.lit(True))).drop("hit")
 
 
 def with_flaky(selection: DataFrame, history: DataFrame) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from verdigris.operators import fnselect, ranges, refgraph
 from verdigris.sources.diff import touched_lines
+from verdigris.storage import work_dir, written
 
 
 class Impact:
@@ -24,11 +25,12 @@ class Impact:
 def analyze(items: DataFrame, aliases: DataFrame | None, hunks: DataFrame) -> Impact:
     """items and aliases of the base revision, hunks (file, old_start, old_count). A function is tried first, even where
     a smaller item of another kind encloses the line. Without hunks nothing is impacted."""
-    touched = touched_lines(hunks)
-    in_fn = refgraph.enclosing(touched, items, True).withColumnRenamed("item_id", "fn")
+    home = work_dir(items.sparkSession, "impact")
+    touched = written(touched_lines(hunks), f"{home}/touched")
+    in_fn = written(refgraph.enclosing(touched, items, True).withColumnRenamed("item_id", "fn"), f"{home}/in_fn")
     both = refgraph.enclosing(in_fn.where("fn is null").select("file", "line"), items, False).withColumnRenamed("item_id", "other")
     kinds = items.select(F.col("item_id").alias("other"), "kind")
-    outside = both.join(kinds, "other", "left")
+    outside = written(both.join(kinds, "other", "left"), f"{home}/outside")
     soft = F.col("kind").isin(refgraph.CONST, refgraph.STATIC, refgraph.TYPE)
     whole = bool(outside.where(F.col("kind").isNull() | ~soft).limit(1).count())
     spans = items.select("item_id", "file", "start", "end")
@@ -39,7 +41,8 @@ def analyze(items: DataFrame, aliases: DataFrame | None, hunks: DataFrame) -> Im
     used = refgraph.users(items, refgraph.reference_edges(items, aliases), seeds).select("item_id")
     hit = in_fn.where("fn is not null").select(F.col("fn").alias("item_id")).union(used).distinct()
     impacted = spans.join(hit, "item_id", "left_semi").select("file", F.col("start").alias("first"), F.col("end").alias("last"))
-    return Impact(False, ranges.united(impacted, ["file"]).select("file", F.lit(False).alias("whole"), "first", "last"))
+    once = written(ranges.united(impacted, ["file"]), f"{home}/impacted")  # several steps read them
+    return Impact(False, once.select("file", F.lit(False).alias("whole"), "first", "last"))
 
 
 def run_set(impact: Impact, coverage: DataFrame, tests: DataFrame, history: DataFrame | None = None, base: str | None = None) -> DataFrame:
