@@ -3,6 +3,7 @@
 import os
 
 import pytest
+from pyspark.sql import functions as F
 
 from verdigris.queries import ORACLE_SQL, QUERIES
 
@@ -56,3 +57,10 @@ def test_equal_in_sql(spark, name):
     got = QUERIES[name](spark, SF).toArrow()
     assert sorted(got.column_names) == sorted(want.column_names)
     assert rows(got) == rows(want)
+
+
+def test_sources_of_a_table_read_by_one_task_are_parsed_by_many(spark):
+    assert spark.read.parquet(f"{SF}/part.parquet").select(F.spark_partition_id()).distinct().count() == 1
+    shares = [r["count"] for r in QUERIES["source_aliases"](spark, SF).groupBy(F.input_file_name()).count().collect()]
+    assert sum(shares) == spark.read.parquet(f"{SF}/part.parquet").count()
+    assert len(shares) > 4 and max(shares) < sum(shares) / 4, "aliases found by each task"
