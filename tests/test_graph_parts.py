@@ -113,6 +113,23 @@ def test_fingerprints_by_components(spark, size):
     assert none.count() == 0
 
 
+def test_fingerprints_take_few_rounds_where_parts_are_many(spark, monkeypatch):
+    """Crates on each other are one by a join, without a search for cycles, and a chain that fits a task ends in one task."""
+    steps, write = [], fingerprint.written
+
+    def counted(*x):
+        steps.append(x[1])
+        assert len(steps) < 40, "as many rounds as the chain changes parts"
+        return write(*x)
+
+    monkeypatch.setattr(fingerprint, "written", counted)
+    monkeypatch.setattr(graph, "cycles", lambda *x: pytest.fail("no cycle is longer than two"))
+    edges = [(f"c{k}", f"c{k + 1}") for k in range(150)] + [(f"w{k}", f"w{k % 9}") for k in range(9, 400)] + [("c70", "w20"), ("w20", "w21"), ("w21", "w20"), ("w22", "w20"), ("w20", "w22"), ("w60", "c140")]
+    digests = {n: sha("d" + n) for e in edges for n in e}
+    got = fingerprint.merkle(spark.createDataFrame(list(digests.items()), "crate string, digest string"), spark.createDataFrame(edges, "crate string, dep string"), "s", 400).collect()
+    assert len(got) == len(digests) and {x["crate"]: x["fingerprint"] for x in got} == prints(digests, edges, "s")
+
+
 def test_fingerprints_of_long_chains_and_cycles(spark):
     """A chain of 100,000 and, below it, a cycle of 10,000: what hangs on the changed one changes, and nothing else."""
     chain = spark.range(100_000).selectExpr("concat('a', id) crate", "if(id = 99999, 'b5', concat('a', id + 1)) dep")
