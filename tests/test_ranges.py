@@ -2,6 +2,7 @@
 
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from verdigris.operators import fnselect, ranges, refgraph
@@ -70,3 +71,19 @@ def test_what_dealing_makes_is_not_broadcast_unless_it_is_small(spark, monkeypat
         got = ranges.stabbed(p, s, ["file"])
         assert ("Broadcast" in got._jdf.queryExecution().executedPlan().toString()) == sent, "what Spark estimates before rows are dealt says nothing"
         assert sorted((r["line"], r["item_id"]) for r in got.collect()) == want
+
+
+def test_overlap_deals_no_range_to_several_rows(spark, monkeypatch):
+    """Ranges of one line and of millions, over chunks of lines, by what crosses an exchange."""
+    monkeypatch.setattr(ranges, "dealt", lambda *x: pytest.fail("a range is a row, whatever its length"))
+    r = random.Random(3)
+    some = lambda n, long: [(r.choice("xyz"), a, a + r.choice([0, 1, 40, 70_000, long])) for a in (r.randrange(-(1 << 20), 1 << 20) for _ in range(n))]
+    spans, other = some(300, 300_000) + [("x", 5, 4), ("w", 1, 2), ("y", None, 3)], some(6, 90_000) + [("x", 9, 1), ("x", None, 7), ("v", 0, 9)]
+    s = spark.createDataFrame([(k, *x) for k, x in enumerate(spans)], "id int, file string, first int, last int")
+    o = spark.createDataFrame(other, "file string, first long, last long")
+    ok = lambda a, b: a is not None and a <= b
+    want = sorted(k for k, (f, a, b) in enumerate(spans) if ok(a, b) and any(f == g and ok(c, d) and a <= d and c <= b for g, c, d in other))
+    assert 0 < len(want) < 300
+    for sent in (ranges.SENT, 0):
+        monkeypatch.setattr(ranges, "SENT", sent)
+        assert sorted(x["id"] for x in ranges.overlapping(s, o, ["file"], ["id"]).collect()) == want

@@ -20,7 +20,7 @@ def covered_by(coverage: DataFrame, impacts: DataFrame) -> DataFrame:
         home = work_dir(coverage.sparkSession, "covered")
         lines, hit = written(coverage.select("file", "line").distinct(), f"{home}/lines"), written(ranges.united(impacts.where("first is not null"), ["file"]), f"{home}/ranges")
         return coverage.join(ranges.stabbed(lines, hit, ["file"]).select("file", "line"), ["file", "line"], "left_semi").select("test_id").distinct()
-    return ranges.overlapping(coverage, ranges.united(ranges.as_ranges(impacts).where("first is not null"), ["file"]), ["file"], ["test_id"])
+    return ranges.overlapping(coverage, ranges.as_ranges(impacts), ["file"], ["test_id"])
 
 
 def valid(coverage: DataFrame, base: str | None) -> DataFrame:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from verdigris.storage import work_dir, written
+
 
 def as_ranges(df: DataFrame) -> DataFrame:
     """df with first and last: its own, or its line as both."""
@@ -61,9 +63,28 @@ def stabbed(points: DataFrame, ranges: DataFrame, on: list[str], line: str = "li
     return p.join(r, [*on, "__level", "__block"]).drop("__level", "__block")
 
 
+#: Lines of a file that one window orders: 2**CHUNK.
+CHUNK = 16
+
+
 def overlapping(left: DataFrame, right: DataFrame, on: list[str], keep: list[str]) -> DataFrame:
-    """keep (columns of left), once, of the ranges in left that share a line with one in right: the first line of one of
-    two such ranges is in the other."""
-    a, b = left.select(*on, *keep, "first", "last"), right.select(*on, "first", "last")
-    starts = lambda df, *more: df.select(*on, *more, F.col("first").alias("line"))
-    return stabbed(starts(a, *keep), b, on).select(*keep).union(stabbed(starts(b), a, on).select(*keep)).distinct()
+    """keep (columns of left), once, of the ranges in left that share a line with one in right. Of the ranges in right that
+    begin at a line or before it, how far does one reach? A range overlaps one in right exactly if what begins up to its
+    last line reaches its first. This is asked once for each different last line, in chunks of lines: by what is before
+    the chunk, whose furthest is carried over the chunks of a file, and in the chunk. No range is dealt to several rows, so
+    what is shuffled grows with the ranges, however long they are. Of few files in right, left is cut to these first."""
+    home = work_dir(left.sparkSession, "overlapping")
+    whole = lambda df, *more: df.select(*on, *more, F.col("first").cast("bigint").alias("first"), F.col("last").cast("bigint").alias("last")).where("first <= last")
+    a, b = whole(left, *keep), written(whole(right).groupBy(*on, "first").agg(F.max("last").alias("last")), f"{home}/right")
+    files = b.select(*on).distinct()
+    if files.limit(SENT + 1).count() <= SENT:
+        a = a.join(F.broadcast(files), on, "left_semi")
+    asked = a.select(*on, F.col("last").alias("at"), F.lit(None).cast("bigint").alias("reach")).distinct()
+    steps = b.select(*on, F.col("first").alias("at"), F.col("last").alias("reach"))
+    steps = written(asked.union(steps).groupBy(*on, "at").agg(F.max("reach").alias("reach"), F.max(F.col("reach").isNull()).alias("asked")).withColumn("chunk", F.shiftright("at", CHUNK)), f"{home}/steps")
+    earlier = Window.partitionBy(*on).orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
+    carried = steps.groupBy(*on, "chunk").agg(F.max("reach").alias("most")).select(*on, "chunk", F.max("most").over(earlier).alias("before"))
+    upto = Window.partitionBy(*on, "chunk").orderBy("at").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    reach = steps.select(*on, "chunk", "at", "asked", F.max("reach").over(upto).alias("here")).where("asked").join(carried, [*on, "chunk"])
+    reach = reach.select(*on, F.col("at").alias("last"), F.greatest("here", "before").alias("reach")).where("reach is not null")
+    return a.join(reach, [*on, "last"]).where("reach >= first").select(*keep).distinct()
